@@ -2,16 +2,18 @@
 
 1. Frequencies of shingles, summed into a table of fixed size, give one global order: rare first, then by hash.
 2. Two sets with ``100 * common >= percent * union`` share one of the first ``n - ceil(percent * n / 100) + 1``
-   shingles of that order (prefix filter). Each such shingle that several sets hold names a *tile* after the
-   least of these sets; a set joins each of its tiles once. Tiles of over ``tile_rows`` sets are cut into
-   blocks, and each pair of blocks is a tile of its own, so no task ever holds an unbounded group.
-3. In a tile, sets sorted by size are compared band by band. ``common <= bits(x & y) + min(|x| - bits(x),
-   |y| - bits(y))`` bounds the overlap from above; what passes and isn't already connected within the tile is
-   verified by intersecting the sorted arrays. Only a spanning forest of verified links leaves the task.
+   shingles of that order (prefix filter). The sets that hold such a shingle, sorted by size, are cut into bands
+   wherever a size can't link with the one before; a band of several sets names a *tile* after its first set,
+   and a set joins each of its tiles once. Tiles of over ``tile_rows`` sets are cut into blocks, and each
+   pair of blocks is a tile of its own, so no task ever holds an unbounded group.
+3. In a tile, sets sorted by size are compared with those in their reach. ``common <= bits(x & y) + min(|x| -
+   bits(x), |y| - bits(y))`` bounds the overlap from above; what passes and isn't already connected within the
+   tile is verified by intersecting the sorted arrays. Only a spanning forest of verified links leaves the task.
 4. Components of these links are the classes. No link between different texts is lost, as only pairs that
    are already connected by verified links are skipped; no pair of copies is expanded.
 
-Sets are told apart by a 64-bit hash.
+What is shuffled: prefix shingles of distinct sets, and the texts of sets that have a tile. Sets are told apart by
+a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -26,13 +28,12 @@ from .components import components
 from .shared import prepare, slices, stage, text_offsets
 from .words import shingle_sets, word_hashes
 
-BUCKETS = 1 << 20
-CHUNK = 1 << 13
-EMPTY = pa.array([], pa.int64())
+BITS = 24
+CHUNK = 1 << 17
 
 
 def _buckets(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(44)).astype(np.int64)
+    return (s >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def _sets(batches, n: int, column: str = "text"):
@@ -42,15 +43,19 @@ def _sets(batches, n: int, column: str = "text"):
             yield part, shingle_sets(*word_hashes(raw, offs), n)
 
 
+def _chunks(totals) -> pa.RecordBatch:
+    rows = [(k, x.tobytes()) for k, x in totals if x.any()]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["chunk", "counts"])
+
+
 def _count(n: int):
     def run(batches):
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(1 << BITS, np.uint32)
         for _, sets in _sets(batches, n):
             if sets:
-                total += np.bincount(_buckets(np.concatenate(sets)), minlength=BUCKETS)
-        rows = [(k, total[k * CHUNK : (k + 1) * CHUNK].astype("<u4").tobytes()) for k in range(BUCKETS // CHUNK)]
-        rows = [r for r in rows if any(r[1])]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["chunk", "counts"])
+                np.add.at(total, _buckets(np.concatenate(sets)), np.uint32(1))
+        total = np.minimum(total, 255).astype(np.uint8)
+        yield _chunks((k, total[k * CHUNK : (k + 1) * CHUNK]) for k in range(len(total) // CHUNK))
 
     return run
 
@@ -59,18 +64,18 @@ def _add(batches):
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            got = np.frombuffer(counts.as_py(), "<u4").astype(np.int64)
-            total[k] = total[k] + got if k in total else got
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in total.values()], pa.binary())], ["chunk", "counts"])
+            got = np.frombuffer(counts.as_py(), np.uint8)
+            total[k] = np.minimum(total.get(k, np.zeros(CHUNK, np.uint32)) + got, 1 << 24)
+    # small counts as they are, large ones by magnitude: 8 bits each, in the same order
+    yield _chunks((k, np.where(v < 128, v, np.minimum(255, 100 + 4 * np.log2(np.maximum(v, 1)))).astype(np.uint8)) for k, v in total.items())
 
 
 def frequencies(docs: DataFrame, n: int) -> np.ndarray:
-    """Of all shingles, by bucket of their hash: BUCKETS counts, whatever the size of the corpus."""
+    """Of all texts' shingles, by bucket of their hash: 2**BITS ranks of 8 bits, whatever the size of the corpus."""
     kind = "chunk int, counts binary"
-    rows = docs.select("text").mapInArrow(_count(n), kind).repartition("chunk").mapInArrow(_add, kind).collect()
-    out = np.zeros(BUCKETS, np.int64)
-    for r in rows:
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] += np.frombuffer(r["counts"], "<i8")
+    out = np.zeros(1 << BITS, np.uint8)
+    for r in docs.select("text").mapInArrow(_count(n), kind).repartition("chunk").mapInArrow(_add, kind).collect():
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.uint8)
     return out
 
 
@@ -79,16 +84,17 @@ def set_hash(s: np.ndarray) -> int:
 
 
 def _keys(n: int, percent: int, freq):
-    """(rid, n_shingles, set_id, keys): keys are the prefix in the global order."""
+    """(rid, doc_id, n_shingles, set_id, keys): keys are the prefix in the global order; only the first of a task's equal sets has them."""
 
     def run(batches):
-        counts = freq.value
+        counts, seen = freq.value, set()
         for part, sets in _sets(batches, n):
             sizes, ids, keys = [], [], []
             for s in sets:
                 sizes.append(len(s))
                 ids.append(set_hash(s) if len(s) else None)
-                most = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
+                most = len(s) - -(-percent * len(s) // 100) + 1 if len(s) and ids[-1] not in seen else 0
+                seen.add(ids[-1])
                 if most < len(s):
                     s = s[np.lexsort((s, counts[_buckets(s)]))[:most]]
                 keys.append(s.view(np.int64))
@@ -102,19 +108,56 @@ def _keys(n: int, percent: int, freq):
     return run
 
 
-def _arrays(n: int):
-    """(set_id, n, shingles binary) of texts."""
+def _bands(percent: int):
+    """Rows (key, n, set_id) sorted by all three -> (center, set_id) of each band of several sets."""
 
     def run(batches):
-        for _, sets in _sets(batches, n):
-            sets = [s for s in sets if len(s)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["set_id", "shingles"]
-            )
+        held: list[np.ndarray] = []  # the band that goes on: its center, its last row
+        for batch in batches:
+            key, size, ids = (batch.column(k).to_numpy() for k in ("key", "n", "set_id"))
+            if not len(key):
+                continue
+            if held:  # one row stands for the band so far
+                key, size, ids = (np.append(h, x) for h, x in zip(held[:3], (key, size, ids), strict=True))
+            fresh = np.append(True, (key[1:] != key[:-1]) | (size[1:] * percent > 100 * size[:-1]))
+            start = np.flatnonzero(fresh)
+            center = ids[np.repeat(start, np.diff(np.append(start, len(key))))]
+            if held:
+                center[: start[1] if len(start) > 1 else len(center)] = held[3]
+            again = np.append(False, (ids[1:] == ids[:-1]) & ~fresh[1:])
+            out = (center != ids) & ~again
+            if held:
+                out[0] = False
+            first = np.unique(center[out])
+            held = [key[-1:], size[-1:], ids[-1:], center[-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(center[out], first)), pa.array(np.append(ids[out], first))], ["center", "set_id"])
 
     return run
 
 
+def _wanted(bits: np.ndarray):
+    """Keeps rows whose bit is set: all that are wanted, and some others."""
+
+    def run(batches):
+        for batch in batches:
+            at = batch.column("bit").to_numpy().astype(np.int64)
+            on = (bits.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            yield batch.filter(pa.array(on == 1))
+
+    return run
+
+
+def only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """A superset of the rows of texts whose rid is in wanted, by a bit for each hash value: 2**26 bits (8 MB) at most."""
+    power = max(16, min(26, (10 * wanted.count()).bit_length()))
+    bit = F.pmod(F.xxhash64("rid"), F.lit(1 << power))
+    bits = np.zeros(1 << (power - 6), np.int64)
+    for r in wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("on")).toLocalIterator():
+        bits[r["word"]] = r["on"]
+    shared = texts.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+    return texts.withColumn("bit", bit).mapInArrow(_wanted(shared), "rid long, text string, bit long").select("rid", "text")
+
+
 def bitmaps(sets: list[np.ndarray], width: int) -> np.ndarray:
     """A row of ``width`` bits (a power of two, 64 at least) for each set: bit ``hash mod width`` of each shingle."""
     out = np.zeros((len(sets), width // 64), np.uint64)
@@ -169,32 +212,33 @@ def tile_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = N
     return out
 
 
-def _tiles(percent: int):
-    """Rows come sorted by tile (center, x, y); each tile is bounded."""
+def _tiles(n: int, percent: int):
+    """Rows come sorted by tile (center, x, y) and set; each tile is bounded."""
 
-    def links(ids, sets, blocks, x, y):
-        side = np.array(blocks) if x != y else None
+    def links(tile, ids, sets, blocks):
+        side = np.array(blocks) if tile[1] != tile[2] else None
         return [(ids[i], ids[j]) for i, j in tile_links(sets, percent, side)]
 
+    def pairs(got):
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], ["a", "b"])
+
     def run(batches):
         tile, ids, sets, blocks = None, [], [], []
-        for batch in batches:
+        for part, arrays in _sets(batches, n):
             got: list[tuple[int, int]] = []
-            heads = zip(*(batch.column(c).to_pylist() for c in ("center", "x", "y")), strict=True)
-            for head, i, block, s in zip(heads, batch.column("set_id").to_pylist(), batch.column("block").to_pylist(), batch.column("shingles"), strict=True):
+            heads = zip(*(part.column(c).to_pylist() for c in ("center", "x", "y")), strict=True)
+            for head, i, block, s in zip(heads, part.column("set_id").to_pylist(), part.column("block").to_pylist(), arrays, strict=True):
                 if head != tile:
                     if len(ids) > 1:
-                        got += links(ids, sets, blocks, *tile[1:])
+                        got += links(tile, ids, sets, blocks)
                     tile, ids, sets, blocks = head, [], [], []
-                ids.append(i)
-                blocks.append(block)
-                sets.append(np.frombuffer(s.as_py(), "<u8"))
+                if (not ids or ids[-1] != i) and len(s) and set_hash(s) == i:  # a rid may have other texts too
+                    ids.append(i)
+                    blocks.append(block)
+                    sets.append(s)
             yield pairs(got)
         if len(ids) > 1:
-            yield pairs(links(ids, sets, blocks, *tile[1:]))
-
-    def pairs(got):
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], ["a", "b"])
+            yield pairs(links(tile, ids, sets, blocks))
 
     return run
 
@@ -213,27 +257,25 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, tile_rows: int
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    freq = spark.sparkContext.broadcast(frequencies(texts, n).astype(np.uint32))
+    freq = spark.sparkContext.broadcast(frequencies(texts, n))
     rows = stage(texts.mapInArrow(_keys(n, percent, freq), "rid long, doc_id long, n_shingles long, set_id long, keys array<long>"), "keys")
+    full = rows.where("set_id is not null")
+    keys = full.select(F.explode("keys").alias("key"), F.col("n_shingles").alias("n"), "set_id").repartition("key").sortWithinPartitions("key", "n", "set_id")
+    members = stage(keys.mapInArrow(_bands(percent), "center long, set_id long").distinct(), "members")
 
-    keys = rows.where("set_id is not null").select("set_id", F.explode("keys").alias("key"))
-    tiles = keys.groupBy("key").agg(F.min("set_id").alias("center"), F.max("set_id").alias("last")).where("center < last").select("key", "center")
-    members = stage(keys.join(tiles, "key").select("center", "set_id").distinct(), "members")
-    one = rows.where("set_id is not null").groupBy("set_id").agg(F.min("rid").alias("rid"), F.max("n_shingles").alias("n"))
-    wanted = members.select("set_id").distinct().join(one, "set_id")
-    arrays = (
-        texts.join(wanted.select("rid").distinct(), "rid").select("text").mapInArrow(_arrays(n), "set_id long, shingles binary").groupBy("set_id").agg(F.first("shingles").alias("shingles"))
-    )
-    sized = members.join(wanted.select("set_id", "n"), "set_id")
+    one = full.groupBy("set_id").agg(F.min("rid").alias("rid"), F.max("n_shingles").alias("n"))
+    sized = stage(members.join(one, "set_id"), "sized")
     cuts = sized.groupBy("center").agg(F.count("*").alias("rows"), F.sum("n").alias("all"))
     cuts = cuts.select("center", F.greatest(F.ceil(F.col("rows") / tile_rows), F.ceil(F.col("all") / tile_shingles)).cast("int").alias("cut"))
-    placed = members.join(cuts, "center").withColumn("block", F.pmod(F.xxhash64("set_id", "center"), F.col("cut")).cast("int"))
+    placed = sized.join(cuts, "center").withColumn("block", F.pmod(F.xxhash64("set_id", "center"), F.col("cut")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-    placed = placed.select("center", "set_id", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    links = placed.join(arrays, "set_id").repartition("center", "x", "y").sortWithinPartitions("center", "x", "y").mapInArrow(_tiles(percent), "a long, b long")
+    placed = placed.select("center", "set_id", "rid", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    held = only(texts.select("rid", "text"), sized.select("rid").distinct())
+    tiles = placed.join(held, "rid").repartition("center", "x", "y").sortWithinPartitions("center", "x", "y", "set_id")
+    links = tiles.select("center", "x", "y", "block", "set_id", "text").mapInArrow(_tiles(n, percent), "a long, b long")
 
     roots = components(links.distinct())
-    least = rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    least = full.groupBy("set_id").agg(F.min("doc_id").alias("least"))
     joined = least.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id")
     shared = joined.select("set_id", "root").join(joined.groupBy("root").agg(F.min("least").alias("of_all")), "root").select("set_id", "of_all")
     known = least.join(shared, "set_id", "left").select("set_id", F.coalesce("of_all", "least").alias("component_id"))
