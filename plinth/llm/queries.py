@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id
+from .decontamination import contaminated
 from .jaccard_join import jaccard_join
 from .packing import pack_documents
 from .records import token_records
+from .resampling import resample
 from .tokens import default_path
+from .urls import filter_urls
+
+#: (host, path prefix, verdict); a rule holds for subdomains too.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +29,22 @@ def op1_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "score", "start_word", "end_word")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    remainder = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4, F.lit(0))
+    model = language_id.train(docs.where(remainder != 2))
+    return language_id.predict(docs, model).select("doc_id", (remainder == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _table(spark, sf_dir, "labels").where("quality = 1")
+    return resample(_table(spark, sf_dir, "documents"), good).select("doc_id", "log_weight", "gumbel_key", "selected")
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = token_records(_table(spark, sf_dir, "documents"), default_path(), end_id=2)
     return records.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -31,5 +54,9 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ffd_packing, op8_token_records, op9_ngram_jaccard_join)}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ffd_packing, op2_decontamination, op3_language_id, op4_importance_resampling, op8_token_records, op9_ngram_jaccard_join, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {}
