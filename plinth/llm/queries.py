@@ -14,7 +14,9 @@ from .packing import pack_documents
 from .records import token_records
 from .resampling import resample
 from .tokens import default_path
+from .topk import top_k
 from .urls import filter_urls
+from .warc import archive_pages
 
 #: (host, path prefix, verdict); a rule holds for subdomains too.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -45,6 +47,15 @@ def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_table(spark, sf_dir, "documents"), good).select("doc_id", "log_weight", "gumbel_key", "selected")
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op6_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = token_records(_table(spark, sf_dir, "documents"), default_path(), end_id=2)
     return records.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -58,5 +69,30 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ffd_packing, op2_decontamination, op3_language_id, op4_importance_resampling, op8_token_records, op9_ngram_jaccard_join, op10_url_filter)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ffd_packing, op2_decontamination, op3_language_id, op4_importance_resampling, op5_exact_topk, op6_warc_index_merge, op8_token_records, op9_ngram_jaccard_join, op10_url_filter)}
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, p.vec_id AS vec_id,
+                   CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * p.e[i])) AS BIGINT) AS score
+            FROM v q JOIN v p ON q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id AND len(p.e) = len(q.e)
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op6_warc_index_merge": """
+        WITH p AS (
+            SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+        ), l AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS last FROM p)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+                   (('0x' || substr(hex || '00', CAST(i * 5 // 4 + 1 AS INTEGER), 3))::BIGINT >> (7 - (i * 5) % 4)) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id = last OR last IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> last THEN last END AS refers_to
+        FROM l""",
+}

@@ -51,7 +51,7 @@ class ShardWriter:
     def __init__(self, path: str):
         self.path, self.offset, self.waiting, self.size, self.index = path, 0, [], 0, []
         self.fs, self.local = file_system(path)
-        self.out = self.fs.open_output_stream(self.local)
+        self.out = self.fs.open_output_stream(self.local, compression=None)
 
     def add(self, doc_id, ids: bytes, itemsize: int) -> None:
         self.waiting.append((HEAD.pack(doc_id or 0, doc_id is None, itemsize) + ids, len(ids) // itemsize))
