@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id
+from . import language_id, ngram_lm
 from .decontamination import contaminated
 from .jaccard_join import jaccard_join
 from .packing import pack_documents
@@ -56,6 +56,14 @@ def op6_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    remainder = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10, F.lit(1))
+    trie = ngram_lm.train(docs.where(remainder != 0), order=3)
+    held_out = (F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10, F.lit(1)) == 0).alias("held_out")
+    return ngram_lm.score(docs, trie).select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = token_records(_table(spark, sf_dir, "documents"), default_path(), end_id=2)
     return records.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -69,7 +77,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ffd_packing, op2_decontamination, op3_language_id, op4_importance_resampling, op5_exact_topk, op6_warc_index_merge, op8_token_records, op9_ngram_jaccard_join, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ffd_packing, op2_decontamination, op3_language_id, op4_importance_resampling, op5_exact_topk, op6_warc_index_merge, op7_ngram_lm, op8_token_records, op9_ngram_jaccard_join, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_topk": """
         WITH v AS (
