@@ -1,17 +1,74 @@
-"""A corpus pipeline: stages over the documents table, each written as Parquet and read again by the next."""
+"""A corpus pipeline: stages over the documents table, each written as Parquet and read again by the next.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and but for the last returns
+the columns of documents. Null and empty texts pass the quality stage with a weight of 0 and are rejected by language ID.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from plinth.llm import language_id, resampling
+from plinth.llm.decontamination import decontaminate
+from plinth.llm.jaccard_join import jaccard_join
+from plinth.llm.packing import pack_documents
+from plinth.llm.shared import prepare, slices, stage
+from plinth.llm.tokens import default_path
+
+#: Documents whose language is less likely than this are rejected.
+LEAST_LANGUAGE = 0.5
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the sample that importance resampling draws towards documents labelled good."""
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    return resampling.select_rows(docs, good)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a language that is recognised; learns from the languages they state."""
+    prepare(spark)
+    model = spark.sparkContext.broadcast(language_id.train(docs))
+
+    def known(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                langs, score = model.value.predict(part.column("text"))
+                yield part.filter(pa.array((np.array(langs, object) != "und") & (score >= LEAST_LANGUAGE)))
+
+    return docs.mapInArrow(known, docs.schema)
 
-STAGES = []
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of texts with five-word shingle sets of a Jaccard similarity of 0.8 or more: the one with the least doc_id.
+
+    Of repeated rows one stays. A document without a doc_id stays if its class has none, one for each distinct text.
+    """
+    heads = jaccard_join(docs, n=5, percent=80).where("doc_id <=> component_id").select(F.col("doc_id").alias("__head"), F.lit(1).alias("__one")).distinct()
+    kept = docs.join(heads, docs["doc_id"].cast("long").eqNullSafe(heads["__head"]), "left_semi")
+    one = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
+    return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a passage of the benchmark, copied or edited."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequences, as pieces of documents with their ids."""
+    return pack_documents(docs, default_path())
+
+
+STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("packing", packing)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from plinth.llm.shared import stage
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, f in STAGES:
+    for name, f in STAGES[:-1]:
         docs = stage(f(spark, docs, sf_dir), name)
-    return docs
+    return stage(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])

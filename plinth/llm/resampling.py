@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import prepare, slices, stage, text_offsets
@@ -123,14 +123,19 @@ def _weights(ratio):
     return run
 
 
+def _noise(rid: Column, seed: int) -> Column:
+    """Gumbel noise fixed by a hash."""
+    uniform = (F.pmod(F.xxhash64(rid, F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    return -F.log(-F.log(uniform))
+
+
 def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = 11) -> DataFrame:
     """(rid, doc_id, log_weight, gumbel_key) of all rows; rid: the row's hash. No token, or null text: weight 0."""
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = rows.mapInArrow(_weights(spark.sparkContext.broadcast(ratio)), "rid long, doc_id long, log_weight double")
-    uniform = (F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    return out.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
+    return out.withColumn("gumbel_key", F.col("log_weight") + _noise(F.col("rid"), seed))
 
 
 def kth_largest(rows: DataFrame, column: str, k: int, bits: int = 13) -> tuple[float, int]:
@@ -156,6 +161,30 @@ def kth_largest(rows: DataFrame, column: str, k: int, bits: int = 13) -> tuple[f
     return low, left
 
 
+def _least(rows: DataFrame, share: float | None, slack: float) -> float:
+    """The k-th largest key."""
+    n, alike = rows.agg(F.count("*"), F.count_if(F.col("log_weight") >= -slack)).first()
+    return float(kth_largest(rows, "gumbel_key", alike if share is None else round(share * n))[0] or 0.0)
+
+
+def select_rows(docs: DataFrame, good: DataFrame, share: float | None = None, slack: float = 8.0, most: int = 50_000, seed: int = 11) -> DataFrame:
+    """The rows of docs, with all their columns, that resample() selects; their weights are worked out once more, which moves no text."""
+    spark = docs.sparkSession
+    ratio = fit(docs, good, most)
+    least = _least(stage(weigh(docs, ratio, seed), "weights"), share, slack)
+    shared = spark.sparkContext.broadcast(ratio)
+
+    def chosen(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                at, own = buckets(*token_hashes(*text_offsets(part.column("text"))))
+                w = np.bincount(own, shared.value[at], minlength=part.num_rows)
+                yield part.filter(pa.array(w + part.column("__noise").to_numpy() >= least))
+
+    noisy = docs.withColumn("__noise", _noise(F.xxhash64("doc_id", "text"), seed))
+    return noisy.mapInArrow(chosen, noisy.schema).drop("__noise")
+
+
 def resample(docs: DataFrame, good: DataFrame, share: float | None = None, slack: float = 8.0, most: int = 50_000, seed: int = 11) -> DataFrame:
     """docs (doc_id, text, ...), good (doc_id of the target) -> (rid, doc_id, log_weight, gumbel_key, selected), a row for each of docs.
 
@@ -164,6 +193,4 @@ def resample(docs: DataFrame, good: DataFrame, share: float | None = None, slack
     are ignored; an empty table gives no rows.
     """
     rows = stage(weigh(docs, fit(docs, good, most), seed), "weights")
-    n, fit_ones = rows.agg(F.count("*"), F.count_if(F.col("log_weight") >= -slack)).first()
-    least, _ = kth_largest(rows, "gumbel_key", fit_ones if share is None else round(share * n))
-    return rows.withColumn("selected", F.col("gumbel_key") >= F.lit(float(least)))
+    return rows.withColumn("selected", F.col("gumbel_key") >= F.lit(_least(rows, share, slack)))
