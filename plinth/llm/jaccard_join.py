@@ -6,13 +6,15 @@
    wherever a size can't link with the one before; a band of several sets names a *tile* after its first set,
    and a set joins each of its tiles once. Tiles of over ``tile_rows`` sets are cut into blocks, and each
    pair of blocks is a tile of its own, so no task ever holds an unbounded group.
-3. In a tile, sets sorted by size are compared with those in their reach. ``common <= bits(x & y) + min(|x| -
+3. A share of 1 / SAMPLE of the shingles, as 32 bits each, bounds the overlap: ``common <= common of the shares +
+   min(|x| - |share of x|, |y| - |share of y|)``. A set stays in a tile if this lets it link with another there.
+4. In what is left of a tile, sets sorted by size are compared with those in their reach. ``common <= bits(x & y) + min(|x| -
    bits(x), |y| - bits(y))`` bounds the overlap from above; what passes and isn't already connected within the
    tile is verified by intersecting the sorted arrays. Only a spanning forest of verified links leaves the task.
-4. Components of these links are the classes. No link between different texts is lost, as only pairs that
+5. Components of these links are the classes. No link between different texts is lost, as only pairs that
    are already connected by verified links are skipped; no pair of copies is expanded.
 
-What is shuffled: prefix shingles of distinct sets, and the texts of sets that have a tile. Sets are told apart by
+What is shuffled: prefix shingles of distinct sets, shares of sets that have a tile, and texts of those that stay. Sets are told apart by
 a 64-bit hash.
 """
 
@@ -30,6 +32,7 @@ from .words import shingle_sets, word_hashes
 
 BITS = 24
 CHUNK = 1 << 17
+SAMPLE = 8
 
 
 def _buckets(s: np.ndarray) -> np.ndarray:
@@ -84,16 +87,17 @@ def set_hash(s: np.ndarray) -> int:
 
 
 def _keys(n: int, percent: int, freq):
-    """(rid, doc_id, n_shingles, set_id, keys): keys are the prefix in the global order; only the first of a task's equal sets has them."""
+    """(rid, doc_id, n_shingles, set_id, keys, share): keys are the prefix in the global order; only the first of a task's equal sets has these two."""
 
     def run(batches):
         counts, seen = freq.value, set()
         for part, sets in _sets(batches, n):
-            sizes, ids, keys = [], [], []
+            sizes, ids, keys, shares = [], [], [], []
             for s in sets:
                 sizes.append(len(s))
                 ids.append(set_hash(s) if len(s) else None)
                 most = len(s) - -(-percent * len(s) // 100) + 1 if len(s) and ids[-1] not in seen else 0
+                shares.append((s[s % np.uint64(SAMPLE) == 0] >> np.uint64(32)).astype("<u4").tobytes() if most else None)
                 seen.add(ids[-1])
                 if most < len(s):
                     s = s[np.lexsort((s, counts[_buckets(s)]))[:most]]
@@ -101,8 +105,8 @@ def _keys(n: int, percent: int, freq):
             ends = np.cumsum([0, *map(len, keys)])
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [part.column("rid"), part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
-                ["rid", "doc_id", "n_shingles", "set_id", "keys"],
+                [part.column("rid"), part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(shares, pa.binary())],
+                ["rid", "doc_id", "n_shingles", "set_id", "keys", "share"],
             )
 
     return run
@@ -176,6 +180,35 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def may_link(sizes: list[int], shares: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> np.ndarray:
+    """Whether each set may link with another of the tile (given sides: of the other side), by what shares of the sets allow."""
+    order = np.argsort(sizes, kind="stable")
+    size, shares = np.array(sizes, np.int64)[order], [shares[i] for i in order]
+    side = None if side is None else side[order]
+    part = np.array([len(s) for s in shares], np.int64)
+    out = np.zeros(len(size), bool)
+    for at in range(0, len(size), 128):
+        to = min(len(size), at + 128)
+        end = int(np.searchsorted(size, size[to - 1] * 100 // percent, side="right"))
+        maps = bitmaps(shares[at:end], 1 << max(6, min(15, int(8 * part[at:end].max() + 1).bit_length())))
+        bits = np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+        for i in range(at, to):
+            k, stop = i - at, int(np.searchsorted(size, size[i] * 100 // percent, side="right"))
+            if stop <= i + 1:
+                continue
+            j, m = slice(i + 1, stop), slice(k + 1, stop - at)
+            most = np.bitwise_count(maps[k] & maps[m]).sum(axis=1, dtype=np.int64) + np.minimum(part[i] - bits[k], part[j] - bits[m])
+            most += np.minimum(size[i] - part[i], size[j] - part[j])
+            may = (100 + percent) * most >= percent * (size[i] + size[j])
+            if side is not None:
+                may &= side[j] != side[i]
+            out[j] |= may
+            out[i] |= may.any()
+    back = np.empty(len(out), bool)
+    back[order] = out
+    return back
+
+
 def tile_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among sets, as index pairs. side: given, the two blocks whose cross pairs matter most; pairs within a block may be met elsewhere too."""
     size = np.array([len(s) for s in sets], np.int64)
@@ -212,37 +245,68 @@ def tile_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = N
     return out
 
 
-def _tiles(n: int, percent: int):
-    """Rows come sorted by tile (center, x, y) and set; each tile is bounded."""
+def _by_tile(batches, value):
+    """Rows sorted by tile (center, x, y) and set -> (tile, sets' ids, blocks, value(row number, part) of each), one bounded tile at a time."""
+    tile, ids, blocks, values = None, [], [], []
+    for part, get in batches:
+        heads = zip(*(part.column(c).to_pylist() for c in ("center", "x", "y")), strict=True)
+        for k, (head, i, block) in enumerate(zip(heads, part.column("set_id").to_pylist(), part.column("block").to_pylist(), strict=True)):
+            if head != tile:
+                if len(ids) > 1:
+                    yield tile, ids, blocks, values
+                tile, ids, blocks, values = head, [], [], []
+            if (not ids or ids[-1] != i) and (x := value(get, k, i)) is not None:
+                ids.append(i)
+                blocks.append(block)
+                values.append(x)
+    if len(ids) > 1:
+        yield tile, ids, blocks, values
+
+
+def _columns(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))], names)
+
+
+def _prune(percent: int):
+    """(center, set_id) of sets that may link within a tile."""
 
-    def links(tile, ids, sets, blocks):
-        side = np.array(blocks) if tile[1] != tile[2] else None
-        return [(ids[i], ids[j]) for i, j in tile_links(sets, percent, side)]
+    def value(part, k, _):
+        return part.column("n")[k].as_py(), np.frombuffer(part.column("share")[k].as_py(), "<u4").astype(np.uint64)
 
-    def pairs(got):
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], ["a", "b"])
+    def run(batches):
+        for tile, ids, blocks, values in _by_tile(((b, b) for b in batches), value):
+            stays = may_link([v[0] for v in values], [v[1] for v in values], percent, np.array(blocks) if tile[1] != tile[2] else None)
+            yield _columns([(tile[0], i) for i, x in zip(ids, stays, strict=True) if x], ["center", "set_id"])
+
+    return run
+
+
+def _tiles(n: int, percent: int):
+    """(a, b): verified links within tiles."""
+
+    def value(arrays, k, i):  # a rid may have other texts too
+        return arrays[k] if len(arrays[k]) and set_hash(arrays[k]) == i else None
 
     def run(batches):
-        tile, ids, sets, blocks = None, [], [], []
-        for part, arrays in _sets(batches, n):
-            got: list[tuple[int, int]] = []
-            heads = zip(*(part.column(c).to_pylist() for c in ("center", "x", "y")), strict=True)
-            for head, i, block, s in zip(heads, part.column("set_id").to_pylist(), part.column("block").to_pylist(), arrays, strict=True):
-                if head != tile:
-                    if len(ids) > 1:
-                        got += links(tile, ids, sets, blocks)
-                    tile, ids, sets, blocks = head, [], [], []
-                if (not ids or ids[-1] != i) and len(s) and set_hash(s) == i:  # a rid may have other texts too
-                    ids.append(i)
-                    blocks.append(block)
-                    sets.append(s)
-            yield pairs(got)
-        if len(ids) > 1:
-            yield pairs(links(tile, ids, sets, blocks))
+        for tile, ids, blocks, sets in _by_tile(_sets(batches, n), value):
+            yield _columns([(ids[i], ids[j]) for i, j in tile_links(sets, percent, np.array(blocks) if tile[1] != tile[2] else None)], ["a", "b"])
 
     return run
 
 
+def _placed(members: DataFrame, tile_rows: int, tile_shingles: int) -> DataFrame:
+    """members (center, set_id, n, ...) -> with block, x, y: tiles of bounded size, in which any two members of a center meet."""
+    cuts = members.groupBy("center").agg(F.count("*").alias("rows"), F.sum("n").alias("all")).where("rows > 1")
+    cuts = cuts.select("center", F.greatest(F.ceil(F.col("rows") / tile_rows), F.ceil(F.col("all") / tile_shingles)).cast("int").alias("cut"))
+    out = members.join(cuts, "center").withColumn("block", F.pmod(F.xxhash64("set_id", "center"), F.col("cut")).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+    return out.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("cut", "other")
+
+
+def _dealt(tiles: DataFrame) -> DataFrame:
+    return tiles.repartition("center", "x", "y").sortWithinPartitions("center", "x", "y", "set_id")
+
+
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, tile_rows: int = 1500, tile_shingles: int = 4_000_000) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, n_shingles, set_id, component_id), one row for each row of docs.
 
@@ -258,21 +322,18 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, tile_rows: int
     prepare(spark)
     texts = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     freq = spark.sparkContext.broadcast(frequencies(texts, n))
-    rows = stage(texts.mapInArrow(_keys(n, percent, freq), "rid long, doc_id long, n_shingles long, set_id long, keys array<long>"), "keys")
+    rows = stage(texts.mapInArrow(_keys(n, percent, freq), "rid long, doc_id long, n_shingles long, set_id long, keys array<long>, share binary"), "keys")
     full = rows.where("set_id is not null")
     keys = full.select(F.explode("keys").alias("key"), F.col("n_shingles").alias("n"), "set_id").repartition("key").sortWithinPartitions("key", "n", "set_id")
     members = stage(keys.mapInArrow(_bands(percent), "center long, set_id long").distinct(), "members")
 
     one = full.groupBy("set_id").agg(F.min("rid").alias("rid"), F.max("n_shingles").alias("n"))
-    sized = stage(members.join(one, "set_id"), "sized")
-    cuts = sized.groupBy("center").agg(F.count("*").alias("rows"), F.sum("n").alias("all"))
-    cuts = cuts.select("center", F.greatest(F.ceil(F.col("rows") / tile_rows), F.ceil(F.col("all") / tile_shingles)).cast("int").alias("cut"))
-    placed = sized.join(cuts, "center").withColumn("block", F.pmod(F.xxhash64("set_id", "center"), F.col("cut")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-    placed = placed.select("center", "set_id", "rid", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    held = only(texts.select("rid", "text"), sized.select("rid").distinct())
-    tiles = placed.join(held, "rid").repartition("center", "x", "y").sortWithinPartitions("center", "x", "y", "set_id")
-    links = tiles.select("center", "x", "y", "block", "set_id", "text").mapInArrow(_tiles(n, percent), "a long, b long")
+    shares = full.where("share is not null").groupBy("set_id").agg(F.max("n_shingles").alias("n"), F.first("share").alias("share"))
+    trial = _dealt(_placed(members.join(shares, "set_id"), tile_rows, tile_shingles)).select("center", "x", "y", "block", "set_id", "n", "share")
+    staying = stage(trial.mapInArrow(_prune(percent), "center long, set_id long").distinct().join(one, "set_id"), "staying")
+    held = only(texts.select("rid", "text"), staying.select("rid").distinct())
+    tiles = _dealt(_placed(staying, tile_rows, tile_shingles).join(held, "rid").select("center", "x", "y", "block", "set_id", "text"))
+    links = tiles.mapInArrow(_tiles(n, percent), "a long, b long")
 
     roots = components(links.distinct())
     least = full.groupBy("set_id").agg(F.min("doc_id").alias("least"))
