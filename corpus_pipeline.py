@@ -15,7 +15,7 @@ from plinth.llm import language_id, resampling
 from plinth.llm.decontamination import decontaminate
 from plinth.llm.jaccard_join import jaccard_join
 from plinth.llm.packing import pack_documents
-from plinth.llm.shared import prepare, slices, stage
+from plinth.llm.shared import prepare, slices, stage, unused
 from plinth.llm.tokens import default_path
 
 #: Documents whose language is less likely than this are rejected.
@@ -47,10 +47,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of repeated rows one stays. A document without a doc_id stays if its class has none, one for each distinct text.
     """
-    heads = jaccard_join(docs, n=5, percent=80).where("doc_id <=> component_id").select(F.col("doc_id").alias("__head"), F.lit(1).alias("__one")).distinct()
-    kept = docs.join(heads, docs["doc_id"].cast("long").eqNullSafe(heads["__head"]), "left_semi")
+    heads = jaccard_join(docs, n=5, percent=80).where("doc_id <=> component_id").select(F.col("doc_id").alias("head")).distinct()
+    kept = docs.join(heads, docs["doc_id"].cast("long").eqNullSafe(heads["head"]), "left_semi")
     one = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
-    return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(docs.columns)
+    number = unused(docs.columns, "number")
+    return kept.withColumn(number, F.row_number().over(one)).where(F.col(number) == 1).drop(number)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

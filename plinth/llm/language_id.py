@@ -85,6 +85,8 @@ class Model:
 
     def predict(self, col: pa.Array) -> tuple[list[str], np.ndarray]:
         """The likeliest language of each text and its posterior probability."""
+        if not self.langs:
+            return ["und"] * len(col), np.zeros(len(col))
         raw, offs = text_offsets(col)
         points, before = characters(raw, offs)
         score = np.zeros((len(col), len(self.langs))) + self.prior
@@ -98,8 +100,6 @@ class Model:
         letters = np.diff(ascii_letter[before]) > 0
         for k in np.flatnonzero(~letters):
             letters[k] = has_letter(col[k].as_py())
-        if not self.langs:
-            return ["und"] * len(col), np.zeros(len(col))
         best = score.argmax(axis=1)
         p = 1 / np.exp(score - score.max(axis=1, keepdims=True)).sum(axis=1)
         return [self.langs[b] if x else "und" for b, x in zip(best, letters, strict=True)], np.where(letters, p, 0.0)

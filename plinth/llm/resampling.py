@@ -2,8 +2,10 @@
 
 Texts are bags of hashed unigrams and bigrams of tokens (runs of letters and digits, runs of other signs). A
 generative model of the target (texts labelled good) and one of the raw corpus (all texts) are smoothed bucket
-frequencies; the log importance weight of a text is the sum of its buckets' log ratios. Gumbel noise, fixed by a
-hash of the row, added to it makes the k largest a sample without replacement in proportion to the weights.
+frequencies; the log importance weight of a text is the sum of its buckets' log ratios. What speaks against a text is
+lessened by its sampling error, ERRORS standard errors of a frequency among the target's texts for each n-gram, so
+that a small target rejects little. Gumbel noise, fixed by a hash of the row, added to the weight makes the k
+largest a sample without replacement in proportion to the weights.
 """
 
 from __future__ import annotations
@@ -13,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prepare, slices, stage, text_offsets
+from .shared import prepare, slices, stage, text_offsets, unused
 from .words import LOWER, ODD, SPACE, U, grams, mix, powers
 
 BITS = 14
+ERRORS = 3.0
 KIND = np.ones(256, np.uint8)
 KIND[[k for k in range(128) if not chr(k).isalnum()]] = 2
 KIND[SPACE] = 0
@@ -78,8 +81,8 @@ def _add(batches):
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["model", "counts"])
 
 
-def fit(docs: DataFrame, good: DataFrame, most: int = 50_000, smooth: float = 1.0) -> np.ndarray:
-    """log(P target / P raw) by bucket. docs (doc_id, text); good (doc_id): the target's documents.
+def fit(docs: DataFrame, good: DataFrame, most: int = 50_000, smooth: float = 1.0) -> tuple[np.ndarray, float]:
+    """log(P target / P raw) by bucket, and its sampling error for each n-gram. docs (doc_id, text); good (doc_id): the target's documents.
 
     The raw model counts all texts; the target's at most about ``most`` of its documents, those with the
     least hashes of doc_id. Null doc_ids are in no target. An empty target or corpus: all ratios are 0.
@@ -107,18 +110,23 @@ def fit(docs: DataFrame, good: DataFrame, most: int = 50_000, smooth: float = 1.
     for r in rows:
         total[r["model"]] += np.frombuffer(r["counts"], "<i8")
     if not total.sum(axis=1).all():
-        return np.zeros(1 << BITS)
+        return np.zeros(1 << BITS), 0.0
     p = (total + smooth) / (total.sum(axis=1, keepdims=True) + smooth * (1 << BITS))
-    return np.log(p[1]) - np.log(p[0])
+    return np.log(p[1]) - np.log(p[0]), ERRORS / max(1, len(picked)) ** 0.5
 
 
-def _weights(ratio):
+def log_weights(part: pa.RecordBatch, model: tuple[np.ndarray, float]) -> np.ndarray:
+    at, own = buckets(*token_hashes(*text_offsets(part.column("text"))))
+    ratio, error = model
+    w = np.bincount(own, ratio[at], minlength=part.num_rows)
+    return np.where(w < 0, np.minimum(0, w + error * np.bincount(own, minlength=part.num_rows)), w)
+
+
+def _weights(model):
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                at, own = buckets(*token_hashes(*text_offsets(part.column("text"))))
-                w = np.bincount(own, ratio.value[at], minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), pa.array(w)], ["rid", "doc_id", "log_weight"])
+                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), pa.array(log_weights(part, model.value))], ["rid", "doc_id", "log_weight"])
 
     return run
 
@@ -129,12 +137,12 @@ def _noise(rid: Column, seed: int) -> Column:
     return -F.log(-F.log(uniform))
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = 11) -> DataFrame:
+def weigh(docs: DataFrame, model: tuple[np.ndarray, float], seed: int = 11) -> DataFrame:
     """(rid, doc_id, log_weight, gumbel_key) of all rows; rid: the row's hash. No token, or null text: weight 0."""
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = rows.mapInArrow(_weights(spark.sparkContext.broadcast(ratio)), "rid long, doc_id long, log_weight double")
+    out = rows.mapInArrow(_weights(spark.sparkContext.broadcast(model)), "rid long, doc_id long, log_weight double")
     return out.withColumn("gumbel_key", F.col("log_weight") + _noise(F.col("rid"), seed))
 
 
@@ -170,19 +178,18 @@ def _least(rows: DataFrame, share: float | None, slack: float) -> float:
 def select_rows(docs: DataFrame, good: DataFrame, share: float | None = None, slack: float = 8.0, most: int = 50_000, seed: int = 11) -> DataFrame:
     """The rows of docs, with all their columns, that resample() selects; their weights are worked out once more, which moves no text."""
     spark = docs.sparkSession
-    ratio = fit(docs, good, most)
-    least = _least(stage(weigh(docs, ratio, seed), "weights"), share, slack)
-    shared = spark.sparkContext.broadcast(ratio)
+    model = fit(docs, good, most)
+    least = _least(stage(weigh(docs, model, seed), "weights"), share, slack)
+    shared = spark.sparkContext.broadcast(model)
 
     def chosen(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                at, own = buckets(*token_hashes(*text_offsets(part.column("text"))))
-                w = np.bincount(own, shared.value[at], minlength=part.num_rows)
-                yield part.filter(pa.array(w + part.column("__noise").to_numpy() >= least))
+                yield part.filter(pa.array(log_weights(part, shared.value) + part.column(noise).to_numpy() >= least))
 
-    noisy = docs.withColumn("__noise", _noise(F.xxhash64("doc_id", "text"), seed))
-    return noisy.mapInArrow(chosen, noisy.schema).drop("__noise")
+    noise = unused(docs.columns, "noise")
+    noisy = docs.withColumn(noise, _noise(F.xxhash64("doc_id", "text"), seed))
+    return noisy.mapInArrow(chosen, noisy.schema).drop(noise)
 
 
 def resample(docs: DataFrame, good: DataFrame, share: float | None = None, slack: float = 8.0, most: int = 50_000, seed: int = 11) -> DataFrame:

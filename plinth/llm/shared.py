@@ -73,6 +73,14 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(by_bytes, BATCH_BYTES)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """name, or with marks added until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """Consecutive pieces of a batch with about ``most`` bytes of ``column`` each; a longer text is a piece of its own."""
     import numpy as np
