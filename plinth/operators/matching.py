@@ -43,7 +43,7 @@ def assign(courses: list[tuple], need: list[int], fits: list[int]) -> list[int |
                     return True
         return False
 
-    for slot in sorted(range(len(need)), key=lambda s: (wide[s], s)):
+    for slot in sorted(range(len(need)), key=lambda s: (wide[s], need[s], s)):
         while len(taken[slot]) < need[slot] and free(slot, set()):
             pass
     return place
