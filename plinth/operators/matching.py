@@ -13,15 +13,20 @@ def shortfall(masks: DataFrame, need: list[int], plan: str = "plan", mask: str =
     """masks (plan, mask), a row for each course: bit i says that slot i may take it -> (plan, shortfall) in courses.
 
     By Hall's theorem the least total shortfall is the largest of need(S) - |courses that fit a slot of S| over sets S of
-    slots. Courses are first counted by mask, so each plan has at most 2**slots rows, whatever its size.
+    slots. Courses are counted by mask, so each plan has at most 2**slots counts, whatever its size; plans with equal counts
+    are solved once.
     """
     if len(need) > MOST_SLOTS:
         raise ValueError(f"more than {MOST_SLOTS} slots")
-    counted = masks.groupBy(plan, mask).agg(F.count("*").alias("n"))
+    counted = masks.groupBy(plan, F.col(mask).alias("mask")).agg(F.count("*").alias("n"))
+    by_plan = counted.groupBy(plan).agg(F.array_sort(F.collect_list(F.struct("mask", "n"))).alias("counts"))
     sets = [(s, sum(n for i, n in enumerate(need) if s >> i & 1)) for s in range(1 << len(need))]
     table = F.broadcast(masks.sparkSession.createDataFrame(sets, "slots int, need int"))
-    covered = F.sum(F.when(F.col(mask).bitwiseAND(F.col("slots")) != 0, F.col("n")).otherwise(0))
-    return counted.join(table).groupBy(plan, "slots", "need").agg((F.col("need") - covered).alias("short")).groupBy(plan).agg(F.max("short").alias("shortfall"))
+    kinds = by_plan.select("counts").distinct()
+    cells = kinds.select("counts", F.explode("counts").alias("c")).join(table)
+    covered = F.sum(F.when(F.col("c.mask").bitwiseAND(F.col("slots")) != 0, F.col("c.n")).otherwise(0))
+    short = cells.groupBy("counts", "slots", "need").agg((F.col("need") - covered).alias("short")).groupBy("counts").agg(F.max("short").alias("shortfall"))
+    return by_plan.join(short, "counts").select(plan, "shortfall")
 
 
 def assign(courses: list[tuple], need: list[int], fits: list[int]) -> list[int | None]:
