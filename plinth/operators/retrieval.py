@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bucket, glued, tokens
+from ..functions.text import bucket_udf, glued, tokens
 
 
 def term_frequencies(docs: DataFrame, key: str, text: str, size: int = 1024) -> DataFrame:
     """(key, bucket, tf). Equal tokens of a text are counted before they are hashed."""
     words = docs.select(key, F.explode(glued(tokens(F.col(text)))).alias("token")).where("token <> ''")
     counted = words.groupBy(key, "token").agg(F.count("*").alias("n"))
-    return counted.groupBy(key, bucket(F.col("token"), size).alias("bucket")).agg(F.sum("n").alias("tf"))
+    placed = counted.withColumn("bucket", bucket_udf(size)("token"))
+    return placed.groupBy(key, "bucket").agg(F.sum("n").alias("tf"))
 
 
 def inverse_frequencies(tf: DataFrame, key: str, n_docs: int, size: int = 1024) -> DataFrame:
