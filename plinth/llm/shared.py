@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
-_shipped: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,16 +53,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def prepare(spark: SparkSession) -> None:
     """Ships this package to the executors; Arrow batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes, whatever the length of the texts."""
-    sc = spark.sparkContext
-    if _shipped[:1] != [sc.applicationId]:
-        root = Path(__file__).resolve().parents[2]
-        at = tempfile.mkdtemp(prefix="plinth-code-")
-        atexit.register(shutil.rmtree, at, True)
-        with zipfile.ZipFile(f"{at}/plinth.zip", "w") as z:
-            for f in ["plinth/__init__.py", *(f"plinth/llm/{p.name}" for p in Path(__file__).parent.glob("*.py"))]:
-                z.write(root / f, f)
-        sc.addPyFile(f"{at}/plinth.zip")
-        _shipped[:] = [sc.applicationId]
+    ship(spark)
     conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(conf)) <= BATCH_ROWS:
         spark.conf.set(conf, BATCH_ROWS)
