@@ -1,11 +1,9 @@
-"""Text columns: white space, tokens, hashed buckets, phrase scores, codes and citations. JVM-side but for bucket_udf."""
+"""Text columns: white space, tokens, hashed buckets, phrase scores, codes and citations. JVM-side but for token_bucket."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,22 +38,17 @@ def bucket(token: Column, size: int = 1024, seed: int = 0) -> Column:
     return F.aggregate(chars, F.lit(start), lambda h, c: (h.bitwiseXOR(c) * factor).bitwiseAND(size - 1))
 
 
-def bucket_udf(size: int = 1024, seed: int = 0):
-    """The same as an Arrow-batched function, a character of all tokens at a time: for columns of many tokens."""
-    start, factor = (HASH_START ^ seed) % size, HASH_FACTOR % size
+def token_bucket(size: int = 1024, seed: int = 0):
+    """The same for one token in Python."""
+    start, factor, most = (HASH_START ^ seed) % size, HASH_FACTOR % size, size - 1
+
+    def place(token: str) -> int:
+        h = start
+        for c in token.encode():
+            h = (h ^ c) * factor & most
+        return h
 
-    @F.pandas_udf("int")
-    def hashed(tokens: pd.Series) -> pd.Series:
-        raw = np.frombuffer("".join(tokens).encode("ascii", "replace"), np.uint8).astype(np.int64)
-        length = tokens.str.len().to_numpy(np.int64)
-        begin = np.cumsum(length) - length
-        h = np.full(len(tokens), start, np.int64)
-        for k in range(int(length.max(initial=0))):
-            on = length > k
-            h[on] = (h[on] ^ raw[begin[on] + k]) * factor & (size - 1)
-        return pd.Series(h.astype(np.int32))
-
-    return hashed
+    return place
 
 
 def phrase_hits(text: Column, phrases: Sequence[str]) -> Column:

@@ -2,18 +2,49 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bucket_udf, glued, tokens
+from ..functions.text import token_bucket
+
+TOKEN = re.compile("[a-z]+|[0-9]{3}")
+
+
+REMEMBERED = 200_000
 
 
 def term_frequencies(docs: DataFrame, key: str, text: str, size: int = 1024) -> DataFrame:
-    """(key, bucket, tf). Equal tokens of a text are counted before they are hashed."""
-    words = docs.select(key, F.explode(glued(tokens(F.col(text)))).alias("token")).where("token <> ''")
-    counted = words.groupBy(key, "token").agg(F.count("*").alias("n"))
-    placed = counted.withColumn("bucket", bucket_udf(size)("token"))
-    return placed.groupBy(key, "bucket").agg(F.sum("n").alias("tf"))
+    """(key, bucket, tf): tokens of whole texts, with glued ones, counted by hash bucket.
+
+    One pass in Arrow batches keeps words out of the shuffle; a worker remembers the buckets of at most REMEMBERED tokens.
+    """
+    place = token_bucket(size)
+
+    def count(batches):
+        known: dict[str, int] = {}
+        for pdf in batches:
+            keys, buckets, counts = [], [], []
+            for k, low in zip(pdf["k"], pdf["x"], strict=True):
+                found = TOKEN.findall(low)
+                found += [a + b for a, b in zip(found, found[1:]) if a[0] > "9" >= b[0]]
+                if len(known) > REMEMBERED:
+                    known.clear()
+                for t in set(found).difference(known):
+                    known[t] = place(t)
+                b, n = np.unique(np.fromiter(map(known.__getitem__, found), np.int32, len(found)), return_counts=True)
+                keys += [k] * len(b)
+                buckets.append(b)
+                counts.append(n)
+            if keys:
+                yield pd.DataFrame({"k": keys, "bucket": np.concatenate(buckets), "tf": np.concatenate(counts)})
+
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("k"), F.lower(F.coalesce(text, F.lit(""))).alias("x")).mapInPandas(count, f"k {kind}, bucket int, tf long")
+    return rows.groupBy(F.col("k").alias(key), "bucket").agg(F.sum("tf").alias("tf"))
 
 
 def inverse_frequencies(tf: DataFrame, key: str, n_docs: int, size: int = 1024) -> DataFrame:

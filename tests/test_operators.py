@@ -20,9 +20,9 @@ def value(spark, column, **given):
 
 def test_hash_equals_the_64_bit_one(spark):
     tokens = ["cmput", "174", "a", "thntblere"]
-    df = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", text.bucket(F.col("t")).alias("b"), text.bucket(F.col("t"), 256, 5).alias("c"), text.bucket_udf()("t").alias("d"))
+    df = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", text.bucket(F.col("t")).alias("b"), text.bucket(F.col("t"), 256, 5).alias("c"))
     for r in df.collect():
-        assert r["b"] == r["d"]
+        assert r["b"] == text.token_bucket()(r["t"])
         for seed, size, got in ((0, 1024, r["b"]), (5, 256, r["c"])):
             h = text.HASH_START ^ seed
             for ch in r["t"].encode():
