@@ -33,13 +33,13 @@ def agg_by_type_stats(t: Tables) -> DataFrame:
 
 
 @query("""
-    SELECT user_id, round(avg(value) FILTER (WHERE event_type = 'purchase'), 4) AS purchase_mean,
+    SELECT user_id, round(avg(value) FILTER (WHERE event_type = 'purchase'), 8) AS purchase_mean,
            coalesce(round(sum(value) FILTER (WHERE event_type = 'error') / nullif(sum(value), 0), 4), 0.0) AS error_ratio
     FROM events GROUP BY user_id""")
 def agg_conditional_mean_ratio(t: Tables) -> DataFrame:
     kind = F.col("event_type")
     return t.events.groupBy("user_id").agg(
-        F.round(F.avg(F.when(kind == "purchase", F.col("value"))), 4).alias("purchase_mean"), ratio(F.sum(F.when(kind == "error", F.col("value"))), F.sum("value")).alias("error_ratio")
+        F.round(F.avg(F.when(kind == "purchase", F.col("value"))), 8).alias("purchase_mean"), ratio(F.sum(F.when(kind == "error", F.col("value"))), F.sum("value")).alias("error_ratio")
     )
 
 
