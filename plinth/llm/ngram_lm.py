@@ -4,7 +4,8 @@ Tokens are words (see ``words``) and one end for each text. Level 1 holds all wo
 64-bit hashes (an Elias-Fano sequence), with exact counts. Level k > 1 holds the n-grams of k words seen at least
 ``least`` times: under each parent a range of children, found by monotone pointers (Elias-Fano again); a child is
 stored as ``parent * words + word number``, one increasing sequence for the level, so a query is a successor search
-relative to its context. Smoothed log10 probabilities and back-off weights are 8-bit codes of a codebook for each level.
+relative to its context. Smoothed log10 probabilities and back-off weights are 8-bit codes of a codebook for each file, fitted
+on all its values when it is written.
 
 A listed n-gram has ``(c - d) / C + g * p(shorter context)``, any other word ``g * p(shorter context)``, where C counts the context and
 g gives what is left; single words have ``(c + 0.1) / (N + 0.1 (V + 1))``.
@@ -35,8 +36,6 @@ END = 0x5851F42D4C957F2D
 OPEN = 16
 FLUSH = 2_000_000
 SLICE = 4 << 20
-#: Codebooks are fitted on about so many n-grams, those of first words by hash; on all if there are fewer.
-CODEBOOK_ROWS = 2_000_000
 SHORT = U(16)
 _open: OrderedDict[str, dict] = OrderedDict()
 
@@ -110,7 +109,6 @@ class Trie:
     def __init__(self, bits: int, base: list[int], total: int, words: int):
         self.bits, self.base, self.total, self.words = bits, np.array(base, np.int64), total, words
         self.files: list[list[str | None]] = []
-        self.books: list[dict[str, list[float]]] = []
 
     def part(self, h: np.ndarray) -> np.ndarray:
         return (h >> U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
@@ -156,9 +154,8 @@ class Trie:
         """Decoded values: ``probs`` of a level's entries, ``backs`` of the entries above it; 0 where place is -1."""
         out = np.zeros(len(part))
         live = np.flatnonzero(place >= 0)
-        book = np.array(self.books[level].get(name, [0.0]))
         for _, at, x in self._parts(part[live], level):
-            out[live[at]] = book[x[name][place[live[at]]]]
+            out[live[at]] = x[f"{name}.book"][x[name][place[live[at]]]]
         return out
 
     def grams(self, h: np.ndarray, own: np.ndarray, order: int, logs: bool = True):
@@ -344,18 +341,6 @@ def _smoothed(trie: Trie, columns: list[np.ndarray], counts: np.ndarray, discoun
     return parent, numbers[k]["number"], np.log10(p), distinct, np.log10(back)
 
 
-def _smooth(order: int, trie, discount: float):
-    """Rows of n-grams (any order) -> rows with log10 probability, to choose a codebook; see _build."""
-
-    def run(batches):
-        for part, columns, counts in _rows(batches, order):
-            if len(counts):
-                _, _, p, _, back = _smoothed(trie.value, columns, counts, discount)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(p, back)), pa.array(np.append(np.zeros(len(p), np.int32), np.ones(len(back), np.int32)), pa.int32())], ["x", "kind"])
-
-    return run
-
-
 def _rows(batches, order: int):
     """All rows of each part, which come together."""
     now, held = None, []
@@ -374,11 +359,22 @@ def _rows(batches, order: int):
         yield now, [np.concatenate([x[k] for x in held]).view(U) for k in range(order)], np.concatenate([x[order] for x in held])
 
 
+def codebook(x: np.ndarray, codes: int = 256) -> np.ndarray:
+    """All values of x if there are at most ``codes``; else their least, their greatest, and those at even ranks of x, then of what is left."""
+    x = np.sort(x)
+    distinct = x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+    if len(distinct) <= codes:
+        return distinct
+    book = np.unique(x[np.linspace(0, len(x) - 1, codes).astype(np.int64)])
+    rest = np.setdiff1d(distinct, book, assume_unique=True)
+    return np.union1d(book, rest[np.linspace(0, len(rest) - 1, min(len(rest), codes - len(book))).astype(np.int64)])
+
+
 def _encode(book: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.searchsorted((book[1:] + book[:-1]) / 2, x).astype(np.uint8)
 
 
-def _build(order: int, trie, discount: float, folder: str, books: dict[str, list[float]]):
+def _build(order: int, trie, discount: float, folder: str):
     def run(batches):
         out = []
         for part, columns, counts in _rows(batches, order):
@@ -394,7 +390,9 @@ def _build(order: int, trie, discount: float, folder: str, books: dict[str, list
             arrays, numbers = _put("children", children)
             for more in _put("pointers", pointers):
                 (arrays if isinstance(next(iter(more.values())), np.ndarray) else numbers).update(more)
-            arrays |= {"probs": _encode(np.array(books["probs"]), p[sort]), "backs": _encode(np.array(books["backs"]), weights), "counts": counts[sort].astype(np.uint32 if counts.max() < 1 << 32 else np.int64)}
+            books = {"probs": codebook(p), "backs": np.append(codebook(backs, 255), 0.0)}
+            arrays |= {f"{name}.book": book for name, book in books.items()}
+            arrays |= {"probs": _encode(books["probs"], p[sort]), "backs": _encode(books["backs"], weights), "counts": counts[sort].astype(np.uint32 if counts.max() < 1 << 32 else np.int64)}
             path = f"{folder}/order{order}-{part:05d}-{TaskContext.get().taskAttemptId()}.lvl"
             save(path, arrays, numbers)
             out.append((part, path, len(p), int(counts.sum())))
@@ -421,26 +419,18 @@ def train(docs: DataFrame, order: int = 3, least: int = 2, discount: float = 0.7
         total += r["total"]
     trie = Trie(bits, (np.cumsum(entries) - entries).tolist(), total, int(entries.sum()))
     trie.files.append(files)
-    trie.books.append({})
     for k in range(2, order + 1):
         known = spark.sparkContext.broadcast(trie)
         names = ", ".join(f"w{j} long" for j in range(k)) + ", n long"
         blocks = texts.mapInArrow(_count(k, fine, known), BLOCK)
-        rows = stage(blocks.repartition("part").sortWithinPartitions("part").mapInArrow(_sum(k, least), names), "grams")
+        rows = blocks.repartition("part").sortWithinPartitions("part").mapInArrow(_sum(k, least), names)
         part = F.shiftrightunsigned("w0", 64 - bits) if bits else F.lit(0).cast("long")
         sorted_ = rows.withColumn("part", part).repartition("part").sortWithinPartitions("part")
-        some = sorted_.where(F.pmod(F.xxhash64("w0"), F.lit(1 << 20)) < (1 << 20) * CODEBOOK_ROWS / max(1, rows.count()))
-        books = {"probs": [0.0], "backs": [0.0]}
-        at = [x / 255 for x in range(256)]
-        for r in some.mapInArrow(_smooth(k, known, discount), "x double, kind int").groupBy("kind").agg(F.percentile_approx("x", at, 2000).alias("x")).collect():
-            books[("probs", "backs")[r["kind"]]] = sorted(set(r["x"]))
-        books["backs"] = sorted({0.0, *books["backs"][:-1]})
-        made = stage(sorted_.mapInArrow(_build(k, known, discount, folder, books), PART), "level")
+        made = stage(sorted_.mapInArrow(_build(k, known, discount, folder), PART), "level")
         files = [None] * (1 << bits)
         for r in made.collect():
             files[r["part"]] = r["path"]
         trie.files.append(files)
-        trie.books.append(books)
     return trie
 
 

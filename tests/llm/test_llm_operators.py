@@ -272,6 +272,45 @@ def test_language_model(spark, docs, empty):
     assert {(r["n_known"], r["train_tokens"]) for r in none} == {(0, 0)}
 
 
+def small_texts():
+    rng = random.Random(3)
+    return [(k, " ".join(rng.choice("a b b c c c d e f".split()) for _ in range(12))) for k in range(24)]
+
+
+def brute_scores(train, texts, least, d=0.75):
+    """log10 probabilities of texts by a trigram model of train; n-grams seen ``least`` times are listed."""
+    c = [collections.Counter() for _ in range(4)]
+    for t in train:
+        w = [*t.split(), "END"]
+        for k in (1, 2, 3):
+            c[k].update(zip(*(w[j:] for j in range(k)), strict=False))
+    listed = {k: {g: n for g, n in c[k].items() if n >= least} for k in (2, 3)}
+    used = collections.Counter()
+    for k in (2, 3):
+        for g, n in listed[k].items():
+            used[g[:-1]] += (n - d) / c[k - 1][g[:-1]]
+
+    def p(g):
+        if len(g) == 1:
+            return (c[1][g] + 0.1) / (sum(c[1].values()) + 0.1 * (len(c[1]) + 1))
+        own = (listed[len(g)][g] - d) / c[len(g) - 1][g[:-1]] if g in listed[len(g)] else 0
+        return own + (1 - used[g[:-1]]) * p(g[1:])
+
+    return [sum(math.log10(p(tuple(w[max(0, j - 2) : j + 1]))) for j in range(len(w))) for w in ([*t.split(), "END"] for t in texts)]
+
+
+def test_codebooks_are_of_all_values(spark, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "CODEBOOK_ROWS", 1, raising=False)
+    docs = spark.createDataFrame(small_texts(), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in ngram_lm.score(docs, ngram_lm.train(docs, least=2)).collect()}
+    texts = [t for _, t in small_texts()]
+    for k, want in enumerate(brute_scores(texts, texts, 2)):
+        assert math.isclose(got[k], want, rel_tol=1e-9)  # few values: each has a code
+    x = np.append(np.zeros(5000), np.random.default_rng(1).normal(size=5000))
+    book = ngram_lm.codebook(x)
+    assert len(book) == 256 and book[0] == x.min() and book[-1] == x.max()
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql_says_the_same(spark, sf_dir, duck, name):
     same_rows(queries.QUERIES[name](spark, sf_dir), duck, queries.ORACLE_SQL[name])
