@@ -194,13 +194,13 @@ def _distinct(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.n
 
 
 def _blocks(columns: list[np.ndarray], counts: np.ndarray, key: np.ndarray, parts: np.ndarray, width: int) -> pa.RecordBatch:
-    """A row for each part: the n-grams of that part, ``width`` bytes a word, and counts of 32 bits, laid end to end."""
+    """A row for each part: the n-grams of that part, ``width`` bytes a word, and counts of 32 bits (64 if one needs them), laid end to end."""
     order = np.lexsort((key, parts))
     cuts = np.flatnonzero(np.diff(parts[order])) + 1
     rows = []
     for some in np.split(order, cuts) if len(order) else []:
         words = [np.ascontiguousarray((c[some] >> U(64 - 8 * width)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes() for c in columns]
-        rows.append((int(parts[some[0]]), len(some), b"".join(words) + counts[some].astype("<u4").tobytes()))
+        rows.append((int(parts[some[0]]), len(some), b"".join(words) + counts[some].astype("<u4" if counts[some].max() < 1 << 32 else "<u8").tobytes()))
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["part", "n", "body"])
 
 
@@ -217,11 +217,11 @@ def _unblock(batches, words: int, width: int):
                 wide = np.zeros((n, 8), np.uint8)
                 wide[:, :width] = raw[k * n * width : (k + 1) * n * width].reshape(n, width)
                 columns.append(wide.view("<u8").ravel() << U(64 - 8 * width))
-            yield part, columns, np.frombuffer(raw[words * n * width :], "<u4").astype(np.int64)
+            yield part, columns, np.frombuffer(raw[words * n * width :], "<u4" if len(raw) == n * (words * width + 4) else "<u8").astype(np.int64)
 
 
-def _count(order: int, parts_bits: int, trie):
-    """Blocks of n-grams of ``order`` words; above 2 only those whose shorter n-grams are listed."""
+def _count(order: int, parts_bits: int, trie, least: int = 1):
+    """Blocks of n-grams of ``order`` words; above 2 only those whose shorter n-grams are listed, which all are if ``least`` is 1."""
     width = 8 if order == 1 else 6
 
     def made(held):
@@ -238,7 +238,7 @@ def _count(order: int, parts_bits: int, trie):
             for part in slices(batch, "text", SLICE):
                 h, own = tokens(*text_offsets(part.column("text")))
                 ok = own[order - 1 :] == own[: len(own) - order + 1]
-                if order > 2:
+                if order > 2 and least > 1:
                     place = trie.value.grams(h, own, order - 1, logs=False)[2][-1] >= 0
                     ok &= place[order - 1 :] & place[order - 2 : -1]
                 at = np.flatnonzero(ok)
@@ -261,15 +261,16 @@ def grams_of(columns: list[np.ndarray]) -> np.ndarray:
     return (out ^ (out >> U(29))) * ODD[5]
 
 
-def _sum(order: int, least: int):
-    """Blocks, part by part in order -> rows of the n-grams seen at least ``least`` times."""
-    names = [f"w{k}" for k in range(order)] + ["n"]
+def _sum(order: int, least: int, bits: int):
+    """Blocks, part by part in order -> blocks of the n-grams seen at least ``least`` times, a part for the first ``bits`` of the first word."""
 
     def rows(held):
         columns, counts = [np.concatenate([x[0][k] for x in held]) for k in range(order)], np.concatenate([x[1] for x in held])
         first, total = _distinct(grams_of(columns), counts)
         first, total = first[total >= least], total[total >= least]
-        return pa.RecordBatch.from_arrays([*(pa.array(c[first].view(np.int64)) for c in columns), pa.array(total)], names)
+        columns = [c[first] for c in columns]
+        parts = (columns[0] >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(first), np.int64)
+        return _blocks(columns, total, columns[0], parts, 6)
 
     def run(batches):
         now, held = None, []
@@ -341,22 +342,17 @@ def _smoothed(trie: Trie, columns: list[np.ndarray], counts: np.ndarray, discoun
     return parent, numbers[k]["number"], np.log10(p), distinct, np.log10(back)
 
 
-def _rows(batches, order: int):
-    """All rows of each part, which come together."""
+def _whole(batches, order: int):
+    """All n-grams of each part, whose blocks come together."""
     now, held = None, []
-    for batch in batches:
-        parts = batch.column("part").to_numpy()
-        cuts = np.flatnonzero(np.diff(parts)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(parts)], strict=True):
-            if a == b:
-                continue
-            if held and parts[a] != now:
-                yield now, [np.concatenate([x[k] for x in held]).view(U) for k in range(order)], np.concatenate([x[order] for x in held])
-                held = []
-            now = int(parts[a])
-            held.append([batch.column(c).to_numpy()[a:b] for c in [*(f"w{k}" for k in range(order)), "n"]])
+    for part, columns, counts in _unblock(batches, order, 6):
+        if part != now and held:
+            yield now, [np.concatenate([x[0][k] for x in held]) for k in range(order)], np.concatenate([x[1] for x in held])
+            held = []
+        now = part
+        held.append((columns, counts))
     if held:
-        yield now, [np.concatenate([x[k] for x in held]).view(U) for k in range(order)], np.concatenate([x[order] for x in held])
+        yield now, [np.concatenate([x[0][k] for x in held]) for k in range(order)], np.concatenate([x[1] for x in held])
 
 
 def codebook(x: np.ndarray, codes: int = 256) -> np.ndarray:
@@ -377,7 +373,7 @@ def _encode(book: np.ndarray, x: np.ndarray) -> np.ndarray:
 def _build(order: int, trie, discount: float, folder: str):
     def run(batches):
         out = []
-        for part, columns, counts in _rows(batches, order):
+        for part, columns, counts in _whole(batches, order):
             t = trie.value
             parent, number, p, parents, backs = _smoothed(t, columns, counts, discount)
             above = load(t.files[order - 2][part])
@@ -410,7 +406,7 @@ def train(docs: DataFrame, order: int = 3, least: int = 2, discount: float = 0.7
     fs.create_dir(local, recursive=True)
     texts = docs.select("text")
     tasks = max(1, texts.rdd.getNumPartitions())
-    bits, fine = max(0, (tasks // 8).bit_length()), max(4, (2 * tasks - 1).bit_length())
+    bits, fine = max(0, (tasks // 2).bit_length()), max(4, (2 * tasks - 1).bit_length())
     blocks = texts.mapInArrow(_count(1, bits, None), BLOCK)
     made = stage(blocks.repartition("part").sortWithinPartitions("part").mapInArrow(_build_words(folder, bits), PART), "words")
     files, entries, total = [None] * (1 << bits), np.zeros(1 << bits, np.int64), 0
@@ -421,11 +417,9 @@ def train(docs: DataFrame, order: int = 3, least: int = 2, discount: float = 0.7
     trie.files.append(files)
     for k in range(2, order + 1):
         known = spark.sparkContext.broadcast(trie)
-        names = ", ".join(f"w{j} long" for j in range(k)) + ", n long"
-        blocks = texts.mapInArrow(_count(k, fine, known), BLOCK)
-        rows = blocks.repartition("part").sortWithinPartitions("part").mapInArrow(_sum(k, least), names)
-        part = F.shiftrightunsigned("w0", 64 - bits) if bits else F.lit(0).cast("long")
-        sorted_ = rows.withColumn("part", part).repartition("part").sortWithinPartitions("part")
+        blocks = texts.mapInArrow(_count(k, fine, known, least), BLOCK)
+        summed = blocks.repartition("part").sortWithinPartitions("part").mapInArrow(_sum(k, least, bits), BLOCK)
+        sorted_ = summed.repartition("part").sortWithinPartitions("part")
         made = stage(sorted_.mapInArrow(_build(k, known, discount, folder), PART), "level")
         files = [None] * (1 << bits)
         for r in made.collect():

@@ -311,6 +311,14 @@ def test_codebooks_are_of_all_values(spark, monkeypatch):
     assert len(book) == 256 and book[0] == x.min() and book[-1] == x.max()
 
 
+def test_query_scores_by_ngrams_seen_once_too(spark, tmp_path):
+    spark.createDataFrame(small_texts(), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    train = [t for k, t in small_texts() if zlib.crc32(str(k).encode()) % 10]
+    got = {r["doc_id"]: r["score"] for r in queries.op7_ngram_lm(spark, str(tmp_path)).collect()}
+    for k, want in enumerate(brute_scores(train, [t for _, t in small_texts()], 1)):
+        assert abs(got[k] - want) < 0.01  # a few more values than codes
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql_says_the_same(spark, sf_dir, duck, name):
     same_rows(queries.QUERIES[name](spark, sf_dir), duck, queries.ORACLE_SQL[name])
