@@ -9,10 +9,9 @@
 3. A share of 1 / SAMPLE of the shingles, as 32 bits each, bounds the overlap: ``common <= common of the shares +
    min(|x| - |share of x|, |y| - |share of y|)``. A set stays in a tile if this lets it link with another there.
 4. In what is left of a tile, sets sorted by size are compared with those in their reach. ``common <= bits(x & y) + min(|x| -
-   bits(x), |y| - bits(y))`` bounds the overlap from above; what passes and isn't already connected within the
-   tile is verified by intersecting the sorted arrays. Only a spanning forest of verified links leaves the task.
-5. Components of these links are the classes. No link between different texts is lost, as only pairs that
-   are already connected by verified links are skipped; no pair of copies is expanded.
+   bits(x), |y| - bits(y))`` bounds the overlap from above; all that passes is verified by intersecting the sorted arrays, each
+   pair in the least tile of both. What leaves the task: for each set the number of rows it links with there, and a spanning forest.
+5. Components of the forests are the classes. No link between different texts is lost or counted twice; no pair of copies is expanded.
 
 What is shuffled: prefix shingles of distinct sets, shares of sets that have a tile, and texts of those that stay. Sets are told apart by
 a 64-bit hash.
@@ -171,13 +170,18 @@ def bitmaps(sets: list[np.ndarray], width: int) -> np.ndarray:
     return out
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted arrays of distinct values."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = len(b) - 1
-    return int((b[at] == a).sum())
+def commons(a: np.ndarray, others: list[np.ndarray], most: int = 1 << 18) -> np.ndarray:
+    """Sizes of the intersections of a sorted array of distinct values with others, worked on in pieces of about ``most`` values."""
+    ends = np.cumsum([0, *map(len, others)])
+    out = np.zeros(len(others), np.int64)
+    at = 0
+    while len(a) and at < len(others):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+        flat = np.concatenate(others[at:to])
+        hits = np.append(0, np.cumsum(a[np.minimum(np.searchsorted(a, flat), len(a) - 1)] == flat))
+        out[at:to] = hits[ends[at + 1 : to + 1] - ends[at]] - hits[ends[at:to] - ends[at]]
+        at = to
+    return out
 
 
 def may_link(sizes: list[int], shares: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> np.ndarray:
@@ -209,13 +213,18 @@ def may_link(sizes: list[int], shares: list[np.ndarray], percent: int, side: np.
     return back
 
 
-def tile_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets, as index pairs. side: given, the two blocks whose cross pairs matter most; pairs within a block may be met elsewhere too."""
+def tile_counts(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, copies: np.ndarray | None = None, earlier: list[np.ndarray] | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Of the links among sets: a spanning forest, as index pairs, and for each set the copies of those it links with.
+
+    side: given, only pairs of two blocks count; those within a block are met elsewhere. earlier: other tiles of each set; a pair with one in common counts there.
+    """
     size = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(size, kind="stable")
     size, sets = size[order], [sets[i] for i in order]
     side = None if side is None else side[order]
-    label, out = np.arange(len(sets)), []
+    copies = np.ones(len(sets), np.int64) if copies is None else copies[order]
+    earlier = None if earlier is None else [earlier[i] for i in order]
+    label, out, links = np.arange(len(sets)), [], np.zeros(len(sets), np.int64)
     step = 128
     for at in range(0, len(sets), step):
         to = min(len(sets), at + step)
@@ -230,19 +239,27 @@ def tile_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = N
                 continue
             both = np.bitwise_count(maps[k] & maps[k + 1 : stop - at]).sum(axis=1, dtype=np.int64)
             most = both + np.minimum(size[i] - bits[k], size[i + 1 : stop] - bits[k + 1 : stop - at])
-            total = size[i] + size[i + 1 : stop]
-            may = ((100 + percent) * most >= percent * total) & (label[i + 1 : stop] != label[i])
+            may = (100 + percent) * most >= percent * (size[i] + size[i + 1 : stop])
             if side is not None:
                 may &= side[i + 1 : stop] != side[i]
-            found = np.flatnonzero(may)
-            for j in found[np.argsort(-most[found] / total[found], kind="stable")] + i + 1:
-                if label[i] == label[j]:
-                    continue
-                c = common(sets[i], sets[j])
-                if (100 + percent) * c >= percent * (size[i] + size[j]):
-                    out.append((int(order[i]), int(order[j])))
-                    label[label == label[j]] = label[i]
-    return out
+            found = np.flatnonzero(may) + i + 1
+            if earlier is not None and len(earlier[i]):
+                found = found[commons(earlier[i], [earlier[j] for j in found]) == 0]
+            found = found[(100 + percent) * commons(sets[i], [sets[j] for j in found]) >= percent * (size[i] + size[found])]
+            links[i] += copies[found].sum()
+            links[found] += copies[i]
+            other = found[label[found] != label[i]]
+            near, first = np.unique(label[other], return_index=True)
+            out += [(int(order[i]), int(order[j])) for j in other[first]]
+            label[np.isin(label, near)] = label[i]
+    back = np.empty(len(links), np.int64)
+    back[order] = links
+    return out, back
+
+
+def tile_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets, as index pairs; see tile_counts."""
+    return tile_counts(sets, percent, side)[0]
 
 
 def _by_tile(batches, value):
@@ -282,14 +299,19 @@ def _prune(percent: int):
 
 
 def _tiles(n: int, percent: int):
-    """(a, b): verified links within tiles."""
+    """(a, b, n_links): a spanning forest of verified links within tiles, without n_links; without b, the rows that a set links with in a tile."""
 
-    def value(arrays, k, i):  # a rid may have other texts too
-        return arrays[k] if len(arrays[k]) and set_hash(arrays[k]) == i else None
+    def value(got, k, i):  # a rid may have other texts too
+        part, arrays = got
+        if not len(arrays[k]) or set_hash(arrays[k]) != i:
+            return None
+        return arrays[k], part.column("copies")[k].as_py(), np.array(part.column("earlier")[k].as_py(), np.int64)
 
     def run(batches):
-        for tile, ids, blocks, sets in _by_tile(_sets(batches, n), value):
-            yield _columns([(ids[i], ids[j]) for i, j in tile_links(sets, percent, np.array(blocks) if tile[1] != tile[2] else None)], ["a", "b"])
+        for tile, ids, blocks, values in _by_tile(((part, (part, sets)) for part, sets in _sets(batches, n)), value):
+            sets, copies, earlier = zip(*values, strict=True)
+            forest, links = tile_counts(list(sets), percent, np.array(blocks) if tile[1] != tile[2] else None, np.array(copies, np.int64), list(earlier))
+            yield _columns([(ids[i], ids[j], None) for i, j in forest] + [(i, None, int(x)) for i, x in zip(ids, links, strict=True) if x], ["a", "b", "n_links"])
 
     return run
 
@@ -308,11 +330,11 @@ def _dealt(tiles: DataFrame) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, tile_rows: int = 1500, tile_shingles: int = 4_000_000) -> DataFrame:
-    """docs (doc_id, text, ...) -> (doc_id, n_shingles, set_id, component_id), one row for each row of docs.
+    """docs (doc_id, text, ...) -> (doc_id, n_shingles, set_id, component_id, n_links), one row for each row of docs.
 
     A text's set holds its distinct n-word shingles; with fewer words, the whole sequence as one. Two texts
-    link when ``100 * common >= percent * union``; component_id is the least doc_id that links reach. Null or
-    wordless text: an empty set (n_shingles 0, set_id null), linked with nothing, component_id its own doc_id. Null doc_id:
+    link when ``100 * common >= percent * union``; component_id is the least doc_id that links reach, n_links the
+    number of other rows that the row links with, copies too. Null or wordless text: an empty set (n_shingles 0, set_id null), linked with nothing, component_id its own doc_id. Null doc_id:
     takes part, and is never the least of others (null if all of a component are). Repeated rows each get a
     row. Other columns are ignored; an empty table gives no rows.
     """
@@ -327,17 +349,22 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, tile_rows: int
     keys = full.select(F.explode("keys").alias("key"), F.col("n_shingles").alias("n"), "set_id").repartition("key").sortWithinPartitions("key", "n", "set_id")
     members = stage(keys.mapInArrow(_bands(percent), "center long, set_id long").distinct(), "members")
 
-    one = full.groupBy("set_id").agg(F.min("rid").alias("rid"), F.max("n_shingles").alias("n"))
+    one = full.groupBy("set_id").agg(F.min("rid").alias("rid"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"))
     shares = full.where("share is not null").groupBy("set_id").agg(F.max("n_shingles").alias("n"), F.first("share").alias("share"))
     trial = _dealt(_placed(members.join(shares, "set_id"), tile_rows, tile_shingles)).select("center", "x", "y", "block", "set_id", "n", "share")
-    staying = stage(trial.mapInArrow(_prune(percent), "center long, set_id long").distinct().join(one, "set_id"), "staying")
+    stays = stage(trial.mapInArrow(_prune(percent), "center long, set_id long").distinct(), "stays")
+    own = stays.groupBy("set_id").agg(F.array_sort(F.collect_list("center")).alias("centers")).join(one, "set_id")
+    staying = stage(stays.join(own, "set_id").withColumn("earlier", F.expr("filter(centers, c -> c < center)")).drop("centers"), "staying")
     held = only(texts.select("rid", "text"), staying.select("rid").distinct())
-    tiles = _dealt(_placed(staying, tile_rows, tile_shingles).join(held, "rid").select("center", "x", "y", "block", "set_id", "text"))
-    links = tiles.mapInArrow(_tiles(n, percent), "a long, b long")
+    tiles = _dealt(_placed(staying, tile_rows, tile_shingles).join(held, "rid").select("center", "x", "y", "block", "set_id", "copies", "earlier", "text"))
+    links = stage(tiles.mapInArrow(_tiles(n, percent), "a long, b long, n_links long"), "links")
 
-    roots = components(links.distinct())
-    least = full.groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    roots = components(links.where("b is not null").select("a", "b"))
+    linked = links.where("b is null").groupBy(F.col("a").alias("set_id")).agg(F.sum("n_links").alias("n_links"))
+    least = full.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     joined = least.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id")
     shared = joined.select("set_id", "root").join(joined.groupBy("root").agg(F.min("least").alias("of_all")), "root").select("set_id", "of_all")
-    known = least.join(shared, "set_id", "left").select("set_id", F.coalesce("of_all", "least").alias("component_id"))
-    return rows.select("doc_id", "n_shingles", "set_id").join(known, "set_id", "left").select("doc_id", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    known = least.join(shared, "set_id", "left").join(linked, "set_id", "left")
+    known = known.select("set_id", F.coalesce("of_all", "least").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return rows.select("doc_id", "n_shingles", "set_id").join(known, "set_id", "left").select("doc_id", "n_shingles", "set_id", component, F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -128,6 +128,21 @@ def test_jaccard_join(docs, empty, rows_in_tile):
     assert jaccard_join(empty).count() == 0
 
 
+@pytest.mark.parametrize("rows_in_tile", [1500, 2])
+def test_jaccard_join_counts_all_links(spark, rows_in_tile):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(3):
+        words = prose(rng, 120).split()
+        texts += [" ".join(f"x{v}" if v and k == v * 6 else w for k, w in enumerate(words)) for v in range(8)]
+    texts += [texts[0], texts[0], texts[9], "a b", None, prose(rng, 60)]
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) > 3 else {tuple(w)} if w else set() for w in ((t or "").split() for t in texts)]
+    want = {k: sum(j != k and 0 < len(a | b) * 85 <= 100 * len(a & b) for j, b in enumerate(sets)) for k, a in enumerate(sets)}
+    assert sorted(want.values())[len(want) // 2] >= 7
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["n_links"] for r in jaccard_join(docs, n=4, percent=85, tile_rows=rows_in_tile).collect()} == want
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(k, k + 1) for k in range(40)] + [(100 + rng.randint(0, 30), 100 + rng.randint(0, 30)) for _ in range(25)] + [(7, 7), (None, 3)]
