@@ -85,7 +85,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def markdown(df: DataFrame, most: int = 200) -> str:
-    """A small table as Markdown, of at most ``most`` rows."""
-    rows = df.limit(most).collect()
+    """A small table as Markdown, all its rows; ValueError if it has more than ``most``."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the table has more than {most} rows")
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
     return "\n".join([head, *("| " + " | ".join("" if x is None else str(x) for x in r) + " |" for r in rows)])

@@ -169,3 +169,9 @@ def test_incremental_ingestion(spark, tmp_path):
     run()
     run()
     assert sorted((r["k"], r["v"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "a"), (2, "b")]
+
+
+def test_markdown_cuts_nothing(spark):
+    assert len(readers.markdown(spark.range(5), most=5).splitlines()) == 7
+    with pytest.raises(ValueError, match="more than 4 rows"):
+        readers.markdown(spark.range(5), most=4)
