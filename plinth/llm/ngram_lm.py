@@ -1,18 +1,21 @@
-"""N-gram language model in an Elias-Fano trie.
+"""N-gram language model in an Elias-Fano trie, cut by context into parts that are built and asked one at a time.
 
 Tokens are words (see ``words``) and one end for each text. Level 1 holds all words of the training texts, in order of their
-64-bit hashes (an Elias-Fano sequence), with exact counts. Level k > 1 holds the n-grams of k words seen at least
-``least`` times: under each parent a range of children, found by monotone pointers (Elias-Fano again); a child is
-stored as ``parent * words + word number``, one increasing sequence for the level, so a query is a successor search
-relative to its context. Smoothed log10 probabilities and back-off weights are 8-bit codes of a codebook for each file, fitted
-on all its values when it is written.
-
-A listed n-gram has ``(c - d) / C + g * p(shorter context)``, any other word ``g * p(shorter context)``, where C counts the context and
-g gives what is left; single words have ``(c + 0.1) / (N + 0.1 (V + 1))``.
-
-The trie is cut by the first word's hash into files in the shared folder. Workers map them into memory (a file that isn't
-on a local path is copied to an unlinked temporary file first) and keep at most ``OPEN`` open; a batch looks up its
-distinct n-grams, file by file. In levels above 1 words are known by the first 48 bits of their hashes.
+64-bit hashes (an Elias-Fano sequence), with exact counts; a word's number is its place in that order. Level k > 1 holds
+the n-grams of k words seen at least ``least`` times: contexts of k - 1 words, an increasing sequence; under each a range of
+children, found by monotone pointers (Elias-Fano again); a child is stored as ``context's place * (words + 1) + word number``,
+one increasing sequence for a part, so a query is a successor search relative to its context. An n-gram seen c times below
+a context seen C times has the discounted probability ``(c - d) / C``, a context the weight g of what is left; their log10s
+are 8-bit codes of a codebook for each file, fitted on all its values when it is written. An n-gram's probability is ``(c - d) / C +
+g * p(shorter context)``, that of single words ``(c + 0.1) / (N + 0.1 (V + 1))``.
+
+How it is spread: texts become *pieces* of about ``PIECE`` tokens, written to the shared folder as numbers into a dictionary of
+the piece; a long text goes on in the next piece, which begins with the words before. Pieces send their distinct n-grams, summed, to
+*parts* chosen by the context's hash. A context of over a part's share of all tokens is *hot*: its n-grams are dealt by
+their own hash, and what they sum to is added up and broadcast (at most one hot context a part). A part is a file. To be
+asked, it is sent its path and the pieces' distinct n-grams, is mapped into memory once (first copied to an unlinked temporary file
+where the path isn't local), and sends back codes. So no task opens more than one part at a time, and none looks up an n-gram of a piece
+twice. Levels above 1 are built and asked in ``ROUNDS`` rounds over the parts, so that shuffles on disk stay small.
 """
 
 from __future__ import annotations
@@ -20,30 +23,35 @@ from __future__ import annotations
 import json
 import mmap
 import tempfile
-from collections import OrderedDict
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano
-from .shared import file_system, fresh_dir, prepare, slices, stage, text_offsets
-from .words import ODD, U, word_hashes
+from .shared import drop_dir, file_system, free, fresh_dir, prepare, slices, stage, text_offsets
+from .words import ODD, SPACE, U, mix, word_hashes
 
 END = 0x5851F42D4C957F2D
-OPEN = 16
-FLUSH = 2_000_000
-SLICE = 4 << 20
-SHORT = U(16)
-_open: OrderedDict[str, dict] = OrderedDict()
+ORDER_MOST = 3
+#: Tokens of a piece (the last text's segment may add SEGMENT / 2), of a part of a level above 1, and of a part of level 1.
+PIECE, PART, WORDS_PART = 1_000_000, 1_000_000, 8_000_000
+#: Bytes of text hashed at a time.
+SEGMENT = 1 << 20
+ROUNDS = 2
+#: More parts than this share tasks.
+TASKS_MOST = 20_000
 
 
-# ---- files of named arrays
+# ---- files and blocks of named arrays
 
 
 def save(path: str, arrays: dict[str, np.ndarray], numbers: dict) -> None:
+    """Arrays as they are, to be mapped into memory."""
     fs, local = file_system(path)
     at, parts = 0, {}
     for k, a in arrays.items():
@@ -58,9 +66,6 @@ def save(path: str, arrays: dict[str, np.ndarray], numbers: dict) -> None:
 
 def load(path: str) -> dict:
     """Arrays mapped into memory, and numbers."""
-    if path in _open:
-        _open.move_to_end(path)
-        return _open[path]
     fs, local = file_system(path)
     if fs.type_name == "local":
         with open(local, "rb") as f:
@@ -72,11 +77,7 @@ def load(path: str) -> dict:
             f.flush()
             raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
     head = json.loads(raw[:4096])
-    out = {k: np.frombuffer(raw, t, n, 4096 + at) for k, (at, t, n) in head["arrays"].items()} | head["numbers"]
-    while len(_open) >= OPEN:
-        _open.popitem(last=False)
-    _open[path] = out
-    return out
+    return {k: np.frombuffer(raw, t, n, 4096 + at) for k, (at, t, n) in head["arrays"].items()} | head["numbers"]
 
 
 def _put(name: str, e: EliasFano) -> tuple[dict, dict]:
@@ -87,272 +88,327 @@ def _get(name: str, x: dict) -> EliasFano:
     return EliasFano(x[f"{name}.n"], x[f"{name}.bits"], x[f"{name}.low"], x[f"{name}.high"], x[f"{name}.ones"])
 
 
-# ---- tokens of a batch
+def dump(**arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed block: all first bytes of an array, then all second ones, and so on."""
+    head = json.dumps([(k, a.dtype.str, len(a)) for k, a in arrays.items()]).encode()
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays.values())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([len(head).to_bytes(4, "little"), head, *planes]))
 
 
-def tokens(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, an END after each text's words; the text of each token."""
-    h, before = word_hashes(raw, offs)
-    n = len(offs) - 1
-    out = np.full(len(h) + n, END, U)
-    own = np.repeat(np.arange(n), np.diff(before))
-    out[np.arange(len(h)) + own] = h
-    return out, np.repeat(np.arange(n), np.diff(before) + 1)
+def undump(body: bytes) -> dict[str, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(body)
+    at = 4 + int.from_bytes(raw[:4], "little")
+    out = {}
+    for k, kind, n in json.loads(raw[4:at]):
+        wide = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * wide, at).reshape(wide, n)
+        out[k] = np.ascontiguousarray(planes.T).view(kind).ravel()
+        at += n * wide
+    return out
 
 
-# ---- the trie
+def _small(x: np.ndarray) -> np.ndarray:
+    """Counts in as many bytes as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
 
 
-class Trie:
-    """files[k][s]: path of level k + 1, part s; base[s]: words in the parts before s."""
+def _gaps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x.astype(U), prepend=U(0))
 
-    def __init__(self, bits: int, base: list[int], total: int, words: int):
-        self.bits, self.base, self.total, self.words = bits, np.array(base, np.int64), total, words
-        self.files: list[list[str | None]] = []
 
-    def part(self, h: np.ndarray) -> np.ndarray:
-        return (h >> U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
+def _rows(batches, *names: str):
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in names), strict=True)
 
-    def base_log(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 0.1) / (self.total + 0.1 * (self.words + 1)))
 
-    def _parts(self, parts: np.ndarray, level: int):
-        for s in np.unique(parts):
-            if path := self.files[level][s]:
-                yield int(s), np.flatnonzero(parts == s), load(path)
-
-    def look(self, h: np.ndarray, short: bool = False) -> dict[str, np.ndarray]:
-        """Words by hash (short: only its first 48 bits count): place in their part, -1 if unknown; number; count."""
-        parts = self.part(h)
-        out = {"part": parts, "place": np.full(len(h), -1, np.int64), "count": np.zeros(len(h), np.int64)}
-        for _, at, x in self._parts(parts, 0):
-            words, rest = _get("words", x), U((1 << (64 - self.bits)) - 1)
-            v = (h[at] >> SHORT << SHORT if short else h[at]) & rest
-            if short:
-                place = np.minimum(words.successor(v), words.n - 1)
-                place = np.where(words.get(place) >> SHORT == v >> SHORT, place, -1)
-            else:
-                place = words.find(v)
-            out["place"][at] = place
-            out["count"][at] = np.where(place >= 0, x["counts"][place], 0)
-        out["number"] = np.where(out["place"] >= 0, self.base[parts] + out["place"], -1)
-        return out
-
-    def child(self, level: int, part: np.ndarray, parent: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """Places at a level (1: pairs) of the words below parents; -1 for none."""
-        out = np.full(len(part), -1, np.int64)
-        live = np.flatnonzero((parent >= 0) & (number >= 0))
-        for _, at, x in self._parts(part[live], level):
-            at = live[at]
-            pointers = _get("pointers", x)
-            above, which = np.unique(parent[at], return_inverse=True)
-            begin, end = (pointers.get(above + k).astype(np.int64)[which] for k in (0, 1))
-            out[at] = _get("children", x).find(parent[at].astype(U) * U(self.words) + number[at].astype(U), begin, end)
-        return out
-
-    def code(self, level: int, name: str, part: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Decoded values: ``probs`` of a level's entries, ``backs`` of the entries above it; 0 where place is -1."""
-        out = np.zeros(len(part))
-        live = np.flatnonzero(place >= 0)
-        for _, at, x in self._parts(part[live], level):
-            out[live[at]] = x[f"{name}.book"][x[name][place[live[at]]]]
-        return out
-
-    def grams(self, h: np.ndarray, own: np.ndarray, order: int, logs: bool = True):
-        """Of the tokens of a batch: log10 probability (if logs) and count of each, and for each level the places of the n-grams that end there."""
-        distinct, which = np.unique(h, return_inverse=True)
-        word = self.look(distinct)
-        p = [self.base_log(word["count"])[which]]
-        place, part = [word["place"][which]], word["part"][which]
-        number = word["number"][which]
-        for k in range(1, order):  # n-grams of k + 1 tokens
-            ok = np.append(np.zeros(k, bool), own[k:] == own[:-k]) if len(own) > k else np.zeros(len(own), bool)
-            now = np.flatnonzero(ok & (np.roll(place[k - 1], 1) >= 0))
-            mine = np.full(len(h), -1, np.int64)
-            log = p[k - 1].copy() if logs else p[0]
-            if len(now):
-                first, parent, last = part[now - k], place[k - 1][now - 1], number[now]
-                key = (first.astype(U) * ODD[0] + parent.astype(U) + U(1)) * ODD[1] + last.astype(U)
-                _, one, back = np.unique(key, return_index=True, return_inverse=True)
-                found = self.child(k, first[one], parent[one], last[one])
-                mine[now] = found[back]
-                if logs:
-                    prob, weight = self.code(k, "probs", first[one], found), self.code(k, "backs", first[one], parent[one])
-                    log[now] = np.where(found[back] >= 0, prob[back], weight[back] + p[k - 1][now])
-            p.append(log)
-            place.append(mine)
-        return p, word["count"][which], place
-
-
-# ---- counting
-
-
-def _distinct(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """First places of equal keys, and their number or sum of weights."""
-    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-    return first, np.bincount(which, weights, minlength=len(first)).astype(np.int64)
-
-
-def _blocks(columns: list[np.ndarray], counts: np.ndarray, key: np.ndarray, parts: np.ndarray, width: int) -> pa.RecordBatch:
-    """A row for each part: the n-grams of that part, ``width`` bytes a word, and counts of 32 bits (64 if one needs them), laid end to end."""
-    order = np.lexsort((key, parts))
-    cuts = np.flatnonzero(np.diff(parts[order])) + 1
-    rows = []
-    for some in np.split(order, cuts) if len(order) else []:
-        words = [np.ascontiguousarray((c[some] >> U(64 - 8 * width)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes() for c in columns]
-        rows.append((int(parts[some[0]]), len(some), b"".join(words) + counts[some].astype("<u4" if counts[some].max() < 1 << 32 else "<u8").tobytes()))
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["part", "n", "body"])
-
-
-BLOCK = "part long, n long, body binary"
-
-
-def _unblock(batches, words: int, width: int):
-    """(part, columns, counts) of each row."""
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(fields)], [n for n, _ in fields])
+
+
+# ---- pieces
+
+
+PIECES = "piece long, path string, tokens long"
+
+
+def _segments(batches):
+    """(doc_ids, raw, offsets, whether the last text ends here): texts of about SEGMENT bytes; longer ones are cut after white space."""
     for batch in batches:
-        for part, n, body in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist(), batch.column("body"), strict=True):
-            raw = np.frombuffer(body.as_py(), np.uint8)
-            columns = []
-            for k in range(words):
-                wide = np.zeros((n, 8), np.uint8)
-                wide[:, :width] = raw[k * n * width : (k + 1) * n * width].reshape(n, width)
-                columns.append(wide.view("<u8").ravel() << U(64 - 8 * width))
-            yield part, columns, np.frombuffer(raw[words * n * width :], "<u4" if len(raw) == n * (words * width + 4) else "<u8").astype(np.int64)
-
-
-def _count(order: int, parts_bits: int, trie, least: int = 1):
-    """Blocks of n-grams of ``order`` words; above 2 only those whose shorter n-grams are listed, which all are if ``least`` is 1."""
-    width = 8 if order == 1 else 6
-
-    def made(held):
-        columns = [np.concatenate([x[k] for x in held]) for k in range(order)]
-        key = columns[0] if order == 1 else grams_of(columns)
-        first, counts = _distinct(key)
-        columns, key = [c[first] for c in columns], key[first]
-        parts = (key >> U(64 - parts_bits)).astype(np.int64) if parts_bits else np.zeros(len(key), np.int64)
-        return _blocks(columns, counts, key, parts, width)
+        for part in slices(batch, "text", SEGMENT):
+            raw, offs = text_offsets(part.column("text"))
+            ids = part.column("doc_id")
+            at = 0
+            while part.num_rows == 1 and len(raw) - at > SEGMENT:
+                space = np.flatnonzero(SPACE[raw[at : at + SEGMENT]])
+                if len(space):
+                    to = at + int(space[-1]) + 1
+                else:  # a word of more than a segment
+                    space = np.flatnonzero(SPACE[raw[at + SEGMENT :]])
+                    to = at + SEGMENT + int(space[0]) + 1 if len(space) else len(raw)
+                if to >= len(raw):
+                    break
+                yield ids, raw[at:to], np.array([0, to - at]), False
+                at = to
+            yield (ids, raw[at:], offs - at if part.num_rows > 1 else np.array([0, len(raw) - at]), True)
+
+
+def _pieces(folder: str):
+    """Writes pieces: of each text or part of one its row, doc_id and tokens; the tokens, as numbers into sorted hashes."""
 
     def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                h, own = tokens(*text_offsets(part.column("text")))
-                ok = own[order - 1 :] == own[: len(own) - order + 1]
-                if order > 2 and least > 1:
-                    place = trie.value.grams(h, own, order - 1, logs=False)[2][-1] >= 0
-                    ok &= place[order - 1 :] & place[order - 2 : -1]
-                at = np.flatnonzero(ok)
-                held.append([h[at + k] for k in range(order)])
-                size += len(at)
-                if size >= FLUSH:
-                    yield made(held)
-                    held, size = [], 0
+        task = TaskContext.get()
+        held, row, number, size, lead = [], task.partitionId() << 32, task.partitionId() << 20, 0, 0
+        before = np.zeros(0, U)  # the last words of a text that goes on
+
+        def write():
+            h = np.concatenate([x[0] for x in held])
+            words, local = np.unique(h, return_inverse=True)
+            row_, tokens, ids = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
+            path = f"{folder}/{number:012d}-{task.taskAttemptId()}.piece"
+            fs, at = file_system(path)
+            with fs.open_output_stream(at, compression=None) as f:
+                f.write(dump(words=_gaps(words), local=local.astype(np.uint32), row=row_, tokens=tokens, doc_id=ids["id"].copy(), null=ids["null"].copy(), lead=np.array([lead])))
+            return _batch([(number, path, len(h) - lead)], PIECES)
+
+        for ids, raw, offs, ends in _segments(batches):
+            h, word_offs = word_hashes(raw, offs)
+            n = len(offs) - 1
+            own = np.repeat(np.arange(n), np.diff(word_offs))
+            if ends:
+                out = np.full(len(h) + n, END, U)
+                out[np.arange(len(h)) + own] = h
+                h = out
+            keys = np.zeros(n, [("id", np.int64), ("null", np.uint8)])
+            keys["id"], keys["null"] = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
+            tokens = np.diff(word_offs) + int(ends)
+            tail = np.zeros(0, U) if ends else np.concatenate([before, h])[-(ORDER_MOST - 1) :]
+            if not held:
+                lead = len(before)
+                h = np.concatenate([before, h])
+                tokens[0] += lead
+            before = tail
+            held.append((h, row + np.arange(n), tokens, keys))
+            size += len(h)
+            row += n if ends else 0
+            if size >= PIECE:
+                yield write()
+                held, size, number = [], 0, number + 1
         if held:
-            yield made(held)
+            yield write()
 
     return run
 
 
-def grams_of(columns: list[np.ndarray]) -> np.ndarray:
-    """One hash for each row of n-grams."""
-    out = columns[0] >> SHORT
-    for k, c in enumerate(columns[1:]):
-        out = (out ^ (out >> U(31))) * ODD[k] + (c >> SHORT)
-    return (out ^ (out >> U(29))) * ODD[5]
+class _Piece:
+    def __init__(self, path: str, numbers: str | None = None):
+        x = self._read(path)
+        self.words, self.local, self.row, self.tokens = np.cumsum(x["words"], dtype=U), x["local"].astype(np.int64), x["row"], x["tokens"]
+        self.doc_id, self.null, self.lead = x["doc_id"], x["null"].astype(bool), int(x["lead"][0])
+        first = np.append(np.ones(min(1, len(self.row)), bool), self.row[1:] != self.row[:-1])  # a long text has several entries
+        self.own = np.repeat(np.cumsum(first) - 1, self.tokens)
+        self.row, self.doc_id, self.null = self.row[first], self.doc_id[first], self.null[first]
+        if numbers:
+            y = self._read(numbers)
+            self.number, self.count = y["number"].astype(np.int64) - 1, y["count"].astype(np.int64)
+
+    @staticmethod
+    def _read(path: str) -> dict[str, np.ndarray]:
+        fs, at = file_system(path)
+        with fs.open_input_file(at) as f:
+            return undump(f.read())
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct n-grams of k words whose context is known, as increasing keys; the tokens that end them, and the key of each."""
+        base, begin = len(self.words) + 1, max(self.lead, k - 1)
+        at = np.arange(begin, len(self.local))
+        ok = self.own[begin:] == self.own[begin - k + 1 : len(self.own) - k + 1]
+        known = self.number >= 0
+        for j in range(1, k):
+            ok &= known[self.local[begin - j : len(self.local) - j]]
+        at = at[ok]
+        key = np.zeros(len(at), np.int64)
+        for j in range(k - 1, 0, -1):
+            key = key * base + self.local[at - j]
+        last = self.local[at]
+        key = key * base + np.where(known[last], last, base - 1)
+        distinct, which = np.unique(key, return_inverse=True)
+        return distinct, at, which
+
+    def dealt(self, k: int, distinct: np.ndarray, trie: Trie):
+        """Of increasing keys: contexts and last words by their numbers, and parts."""
+        base = len(self.words) + 1
+        number = np.append(self.number, trie.words)
+        last, rest = number[distinct % base], distinct // base
+        ctx = number[rest] if k == 2 else number[rest // base] * (trie.words + 1) + number[rest % base]
+        spread = mix(ctx.astype(U) * ODD[k])
+        if len(hot := trie.hot[k - 1][0]):
+            is_hot = hot[np.minimum(np.searchsorted(hot, ctx), len(hot) - 1)] == ctx
+            spread[is_hot] = mix(spread[is_hot] + last[is_hot].astype(U) * ODD[0])
+        return ctx, last, (spread % U(trie.parts[k - 1])).astype(np.int64)
+
+
+def make_pieces(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The pieces of docs (doc_id, text), and the folder that holds them."""
+    spark = docs.sparkSession
+    folder = fresh_dir(spark, name)
+    fs, local = file_system(folder)
+    fs.create_dir(local, recursive=True)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return stage(texts.mapInArrow(_pieces(folder), PIECES), "pieces"), folder
+
+
+# ---- the trie
+
+
+class Trie:
+    """What is small: numbers of words and tokens, the parts' first word numbers, and for each level hot contexts (keys, counts, weights). files: of each level a table (part, path)."""
+
+    def __init__(self, order: int, discount: float):
+        self.order, self.discount, self.total, self.words = order, discount, 0, 0
+        self.parts: list[int] = []
+        self.base = np.zeros(1, np.int64)
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        self.hot = [none] * order
+        self.files: list[DataFrame] = []
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "files"}
+
+    def base_log(self, counts: np.ndarray) -> np.ndarray:
+        return np.log10((counts + 0.1) / (self.total + 0.1 * (self.words + 1)))
+
+
+BLOCK = "part long, piece long, body binary"
+BUILT = "kind long, part long, path string, entries long, total long, key long, value double"
+
+
+def _tasks(n: int) -> int:
+    return max(1, min(n, TASKS_MOST))
+
 
+def _by(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """Rows of a first key together, in order of all."""
+    return rows.repartition(_tasks(n), keys[0]).sortWithinPartitions(*keys)
 
-def _sum(order: int, least: int, bits: int):
-    """Blocks, part by part in order -> blocks of the n-grams seen at least ``least`` times, a part for the first ``bits`` of the first word."""
 
-    def rows(held):
-        columns, counts = [np.concatenate([x[0][k] for x in held]) for k in range(order)], np.concatenate([x[1] for x in held])
-        first, total = _distinct(grams_of(columns), counts)
-        first, total = first[total >= least], total[total >= least]
-        columns = [c[first] for c in columns]
-        parts = (columns[0] >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(first), np.int64)
-        return _blocks(columns, total, columns[0], parts, 6)
+def _word_part(h: np.ndarray, parts: int) -> np.ndarray:
+    """Even ranges of hashes."""
+    return ((h >> U(32)) * U(parts) >> U(32)).astype(np.int64)
 
+
+def _send_words(parts: int, counted: bool):
     def run(batches):
-        now, held = None, []
-        for part, columns, counts in _unblock(batches, order, 6):
-            if part != now and held:
-                yield rows(held)
-                held = []
-            now = part
-            held.append((columns, counts))
-        if held:
-            yield rows(held)
+        for number, path in _rows(batches, "piece", "path"):
+            p = _Piece(path)
+            part = _word_part(p.words, parts)
+            cuts = np.searchsorted(part, np.arange(parts + 1))
+            counts = np.bincount(p.local[p.lead :], minlength=len(p.words))
+            out = []
+            for s in np.flatnonzero(np.diff(cuts)):
+                own = slice(cuts[s], cuts[s + 1])
+                more = {"counts": _small(counts[own])} if counted else {}
+                out.append((int(s), number, dump(words=_gaps(p.words[own]), **more)))
+            yield _batch(out, BLOCK)
+
+    return run
+
+
+def _build_words(folder: str, hot: float):
+    """Level 1, part by part; words of more than ``hot`` tokens by part and place."""
+
+    def run(batches):
+        for part, rows in groupby(_rows(batches, "part", "body"), lambda r: r[0]):
+            held = [undump(r[1]) for r in rows]
+            words, which = np.unique(np.concatenate([np.cumsum(x["words"], dtype=U) for x in held]), return_inverse=True)
+            counts = np.bincount(which, np.concatenate([x["counts"] for x in held]), len(words)).astype(np.int64)
+            first = int(words[0]) if len(words) else 0
+            arrays, numbers = _put("words", EliasFano.build(words - U(first), max(1, int(words[-1]) - first + 1)))
+            path = f"{folder}/words-{part:08d}-{TaskContext.get().taskAttemptId()}.lvl"
+            save(path, arrays | {"counts": counts}, numbers | {"first": first})
+            out = [(0, part, path, len(words), int(counts.sum()), None, None)]
+            yield _batch(out + [(2, part, None, None, None, int(i), float(counts[i])) for i in np.flatnonzero(counts > hot)], BUILT)
 
     return run
 
 
-# ---- building
+def _answered(batches, answer):
+    """Rows sorted by part and piece, the part's path as piece -1 -> (piece, part, answer(file, block)), one file open at a time."""
+    now, x = None, None
+    for part, piece, body in _rows(batches, "part", "piece", "body"):
+        if piece < 0:
+            now, x = part, load(body.decode())
+        else:
+            yield _batch([(part, piece, answer(x if now == part else None, undump(body)))], BLOCK)
 
 
-def _build_words(folder: str, bits: int):
-    """Level 1: blocks of words, part by part."""
+def _answer_words(batches):
+    def answer(x, block):
+        h = np.cumsum(block["words"], dtype=U)
+        if x is None:
+            return dump(number=np.zeros(len(h), np.uint8), count=np.zeros(len(h), np.uint8))
+        first = U(x["first"])
+        place = np.where(h >= first, _get("words", x).find(np.where(h >= first, h - first, U(0))), -1)
+        return dump(number=_small(place + 1), count=_small(np.where(place >= 0, x["counts"][place], 0)))
 
-    def write(part, held):
-        h, c = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-        first, counts = _distinct(h, c)
-        e = EliasFano.build(h[first] & U((1 << (64 - bits)) - 1), 1 << (64 - bits))
-        arrays, numbers = _put("words", e)
-        path = f"{folder}/words-{part:05d}-{TaskContext.get().taskAttemptId()}.lvl"
-        save(path, arrays | {"counts": counts}, numbers)
-        return part, path, len(first), int(counts.sum())
+    return _answered(batches, answer)
+
+
+def _number(folder: str, trie):
+    """Rows sorted by piece and part, the piece's path as part -1 -> the piece with a file of its words' numbers (+ 1; 0: unknown) and counts."""
 
     def run(batches):
-        now, held, out = None, [], []
-        for part, columns, counts in _unblock(batches, 1, 8):
-            if part != now and held:
-                out.append(write(now, held))
-                held = []
-            now = part
-            held.append((columns[0], counts))
-        if held:
-            out.append(write(now, held))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["part", "path", "entries", "total"])
+        for piece, rows in groupby(_rows(batches, "piece", "part", "body"), lambda r: r[0]):
+            path, numbers, counts = None, [], []
+            for _, part, body in rows:
+                if part < 0:
+                    path = body.decode()
+                    continue
+                x = undump(body)
+                place = x["number"].astype(np.int64)
+                numbers.append(np.where(place > 0, place + trie.value.base[part], 0))
+                counts.append(x["count"].astype(np.int64))
+            at = f"{folder}/{piece:012d}-{TaskContext.get().taskAttemptId()}.words"
+            fs, local = file_system(at)
+            with fs.open_output_stream(local, compression=None) as f:
+                f.write(dump(number=_small(np.concatenate([np.zeros(0, np.int64), *numbers])), count=_small(np.concatenate([np.zeros(0, np.int64), *counts]))))
+            yield _batch([(piece, path, at)], "piece long, path string, numbers string")
 
     return run
 
 
-PART = "part long, path string, entries long, total long"
-
-
-def _smoothed(trie: Trie, columns: list[np.ndarray], counts: np.ndarray, discount: float):
-    """Of n-grams of one part: parent place, number of the last word, log10 probability; parents and their back-off weights."""
-    k = len(columns) - 1
-    numbers = []
-    for c in columns:
-        distinct, which = np.unique(c, return_inverse=True)
-        numbers.append({n: v[which] for n, v in trie.look(distinct, short=True).items()})
-    part, parent, size = numbers[0]["part"], numbers[0]["place"], numbers[0]["count"]
-    lower = trie.base_log(numbers[k]["count"])
-    if k == 2:
-        parent = trie.child(1, part, parent, numbers[1]["number"])
-        lower = trie.code(1, "probs", numbers[1]["part"], trie.child(1, numbers[1]["part"], numbers[1]["place"], numbers[2]["number"]))
-    distinct, which = np.unique(parent, return_inverse=True)
-    if k == 2:  # counts of pairs are kept with their entries
-        size = np.zeros(len(parent), np.int64)
-        for _, at, x in trie._parts(part, 1):
-            size[at] = x["counts"][parent[at]]
-    used = np.bincount(which, (counts - discount) / size)
-    back = np.maximum(1 - used, 1e-9)
-    p = (counts - discount) / size + back[which] * 10.0**lower
-    return parent, numbers[k]["number"], np.log10(p), distinct, np.log10(back)
-
-
-def _whole(batches, order: int):
-    """All n-grams of each part, whose blocks come together."""
-    now, held = None, []
-    for part, columns, counts in _unblock(batches, order, 6):
-        if part != now and held:
-            yield now, [np.concatenate([x[0][k] for x in held]) for k in range(order)], np.concatenate([x[1] for x in held])
-            held = []
-        now = part
-        held.append((columns, counts))
-    if held:
-        yield now, [np.concatenate([x[0][k] for x in held]) for k in range(order)], np.concatenate([x[1] for x in held])
+def _with_files(requests: DataFrame, files: DataFrame) -> DataFrame:
+    return requests.unionByName(files.select("part", F.lit(-1).cast("long").alias("piece"), F.col("path").cast("binary").alias("body")))
+
+
+def numbered(pieces: DataFrame, folder: str, trie: Trie, n: int) -> DataFrame:
+    """(piece, path, numbers): pieces with the numbers of their words."""
+    shared = pieces.sparkSession.sparkContext.broadcast(trie)
+    asked = pieces.repartition(_tasks(n)).mapInArrow(_send_words(trie.parts[0], False), BLOCK)
+    answers = _by(_with_files(asked, trie.files[0]), trie.parts[0], "part", "piece").mapInArrow(_answer_words, BLOCK)
+    paths = pieces.select(F.lit(-1).cast("long").alias("part"), "piece", F.col("path").cast("binary").alias("body"))
+    return stage(_by(answers.unionByName(paths), n, "piece", "part").mapInArrow(_number(folder, shared), "piece long, path string, numbers string"), "numbered")
+
+
+def _send_grams(k: int, trie, counted: bool, of_round: int):
+    def run(batches):
+        for number, path, numbers in _rows(batches, "piece", "path", "numbers"):
+            p, t = _Piece(path, numbers), trie.value
+            distinct, _, which = p.grams(k)
+            counts = np.bincount(which, minlength=len(distinct)) if counted else None
+            ctx, last, part = p.dealt(k, distinct, t)
+            mine = np.flatnonzero(part % ROUNDS == of_round)
+            order = mine[np.argsort(part[mine], kind="stable")]
+            cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
+            out = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                own = order[a:b]
+                more = {"counts": _small(counts[own])} if counted else {}
+                out.append((int(part[own[0]]), number, dump(ctx=_gaps(ctx[own]), last=_small(last[own]), **more)))
+            yield _batch(out, BLOCK)
+
+    return run
 
 
 def codebook(x: np.ndarray, codes: int = 256) -> np.ndarray:
@@ -370,75 +426,187 @@ def _encode(book: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.searchsorted((book[1:] + book[:-1]) / 2, x).astype(np.uint8)
 
 
-def _build(order: int, trie, discount: float, folder: str):
+def _build(k: int, trie, least: int, folder: str, next_hot: float):
+    """Level k, part by part. Of a part's n-grams with hot contexts: what they take of each; and which n-grams of over next_hot tokens are hot contexts themselves."""
+
     def run(batches):
-        out = []
-        for part, columns, counts in _whole(batches, order):
-            t = trie.value
-            parent, number, p, parents, backs = _smoothed(t, columns, counts, discount)
-            above = load(t.files[order - 2][part])
-            size = above["words.n"] if order == 2 else above["children.n"]
-            sort = np.lexsort((number, parent))
-            children = EliasFano.build(parent[sort].astype(U) * U(t.words) + number[sort].astype(U), size * t.words)
-            pointers = EliasFano.build(np.searchsorted(parent[sort], np.arange(size + 1)), len(parent) + 1)
-            weights = np.zeros(size)
-            weights[parents] = backs
-            arrays, numbers = _put("children", children)
-            for more in _put("pointers", pointers):
-                (arrays if isinstance(next(iter(more.values())), np.ndarray) else numbers).update(more)
-            books = {"probs": codebook(p), "backs": np.append(codebook(backs, 255), 0.0)}
-            arrays |= {f"{name}.book": book for name, book in books.items()}
-            arrays |= {"probs": _encode(books["probs"], p[sort]), "backs": _encode(books["backs"], weights), "counts": counts[sort].astype(np.uint32 if counts.max() < 1 << 32 else np.int64)}
-            path = f"{folder}/order{order}-{part:05d}-{TaskContext.get().taskAttemptId()}.lvl"
+        t = trie.value
+        hot, hot_counts, _ = t.hot[k - 1]
+        for part, rows in groupby(_rows(batches, "part", "body"), lambda r: r[0]):
+            held = [undump(r[1]) for r in rows]
+            contexts, which = np.unique(np.concatenate([np.cumsum(x["ctx"], dtype=U) for x in held]).astype(np.int64), return_inverse=True)
+            keys = which * (t.words + 1) + np.concatenate([x["last"] for x in held]).astype(np.int64)
+            counts = np.concatenate([x["counts"] for x in held])
+            del held
+            keys, which = np.unique(keys, return_inverse=True)
+            counts = np.bincount(which, counts, len(keys)).astype(np.int64)
+            above, last = keys // (t.words + 1), keys % (t.words + 1)
+            size = np.bincount(above, counts, len(contexts))
+            place = np.minimum(np.searchsorted(hot, contexts), max(0, len(hot) - 1))
+            is_hot = hot[place] == contexts if len(hot) else np.zeros(len(contexts), bool)
+            size[is_hot] = hot_counts[place[is_hot]] if len(hot) else 0
+            out = []
+            if k < t.order:
+                out += [(2, part, None, None, None, int(contexts[above[i]] * (t.words + 1) + last[i] if k > 1 else 0), float(counts[i])) for i in np.flatnonzero(counts > next_hot)]
+            listed = counts >= least
+            above, last, counts = above[listed], last[listed], counts[listed]
+            p = (counts - t.discount) / size[above]
+            used = np.bincount(above, p, len(contexts))
+            out += [(1, part, None, None, None, int(contexts[i]), float(used[i])) for i in np.flatnonzero(is_hot & (used > 0))]
+            live = np.flatnonzero(np.bincount(above, minlength=len(contexts)))
+            above = np.searchsorted(live, above)
+            logs, backs = np.log10(p), np.log10(np.maximum(1 - used[live], 1e-9))
+            backs[is_hot[live]] = 0.0  # in the table of hot contexts
+            arrays, numbers = {}, {}
+            values = (contexts[live], max(1, (t.words + 1) ** (k - 1))), (np.searchsorted(above, np.arange(len(live) + 1)), len(above) + 1), (above * (t.words + 1) + last, max(1, len(live) * (t.words + 1)))
+            for name, (v, universe) in zip(("contexts", "pointers", "children"), values, strict=True):
+                a, b = _put(name, EliasFano.build(v, universe))
+                arrays |= a
+                numbers |= b
+            for name, v in (("probs", logs), ("backs", backs)):
+                book = codebook(v)
+                arrays |= {f"{name}.book": book, name: _encode(book, v)}
+            path = f"{folder}/order{k}-{part:08d}-{TaskContext.get().taskAttemptId()}.lvl"
             save(path, arrays, numbers)
-            out.append((part, path, len(p), int(counts.sum())))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["part", "path", "entries", "total"])
+            yield _batch([(0, part, path, len(above), int(counts.sum()), None, None), *out], BUILT)
+
+    return run
+
+
+def _answer_grams(k: int, trie):
+    """Codes of each n-gram asked for: 0 or 1 + that of its probability; 0 or 1 + that of its context's weight; and the values they stand for."""
+
+    def run(batches):
+        t = trie.value
+        hot, _, weights = t.hot[k - 1]
+
+        def coded(name, place, x):
+            codes = np.where(place >= 0, x[name][place].astype(np.uint32) + 1, 0) if x is not None and len(x[name]) else np.zeros(len(place), np.uint32)
+            return codes, x[f"{name}.book"] if x is not None else np.zeros(0)
+
+        def answer(x, block):
+            ctx, last = np.cumsum(block["ctx"], dtype=U), block["last"].astype(U)
+            distinct, which = np.unique(ctx, return_inverse=True)
+            above, place = np.full(len(ctx), -1, np.int64), np.full(len(ctx), -1, np.int64)
+            if x is not None:
+                above = _get("contexts", x).find(distinct)
+                pointers = _get("pointers", x)
+                begin, end = (np.where(above >= 0, pointers.get(np.maximum(above, 0) + j).astype(np.int64), 0)[which] for j in (0, 1))
+                above = above[which]
+                place = _get("children", x).find(np.maximum(above, 0).astype(U) * U(t.words + 1) + last, begin, end)
+            out = {}
+            for name, where in (("probs", place), ("backs", above)):
+                codes, book = coded(name, where, x)
+                if name == "backs" and len(hot):
+                    at = np.minimum(np.searchsorted(hot, ctx.astype(np.int64)), len(hot) - 1)
+                    is_hot = hot[at] == ctx.astype(np.int64)
+                    mine, code = np.unique(at[is_hot], return_inverse=True)
+                    codes[is_hot] = len(book) + 1 + code
+                    book = np.append(book, weights[mine])
+                used, codes = np.unique(codes, return_inverse=True)
+                shift = int(not (len(used) and used[0] == 0))  # 0 stands for none
+                out[name], out[f"{name}.book"] = _small(codes + shift), book[used[1 - shift :].astype(np.int64) - 1] if len(used) else book[:0]
+            return dump(**out)
+
+        yield from _answered(batches, answer)
 
     return run
 
 
+def _collect_hot(built: DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and summed values, in order of keys; at most one for each part's share of all tokens."""
+    got = built.where(F.col("kind") == kind).groupBy("key").agg(F.sum("value").alias("value")).toPandas().sort_values("key")
+    return got["key"].to_numpy(np.int64), got["value"].to_numpy(float)
+
+
 def train(docs: DataFrame, order: int = 3, least: int = 2, discount: float = 0.75) -> Trie:
-    """A trie of the n-grams of docs (text, ...); null texts are empty ones, which have an end. order: 2 or 3."""
+    """A trie of the n-grams of docs (text, ...); null texts are empty ones, which have an end. order: 2 or 3. At most 2**31 distinct words."""
+    if not 2 <= order <= ORDER_MOST:
+        raise ValueError(f"order must be 2 to {ORDER_MOST}")
     spark = docs.sparkSession
     prepare(spark)
+    trie = Trie(order, discount)
     folder = fresh_dir(spark, "ngrams")
     fs, local = file_system(folder)
     fs.create_dir(local, recursive=True)
-    texts = docs.select("text")
-    tasks = max(1, texts.rdd.getNumPartitions())
-    bits, fine = max(0, (tasks // 2).bit_length()), max(4, (2 * tasks - 1).bit_length())
-    blocks = texts.mapInArrow(_count(1, bits, None), BLOCK)
-    made = stage(blocks.repartition("part").sortWithinPartitions("part").mapInArrow(_build_words(folder, bits), PART), "words")
-    files, entries, total = [None] * (1 << bits), np.zeros(1 << bits, np.int64), 0
-    for r in made.collect():
-        files[r["part"]], entries[r["part"]] = r["path"], r["entries"]
-        total += r["total"]
-    trie = Trie(bits, (np.cumsum(entries) - entries).tolist(), total, int(entries.sum()))
-    trie.files.append(files)
+    pieces, piece_folder = make_pieces(docs.select(F.lit(0).alias("doc_id"), "text"), "train")
+    n, tokens = pieces.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    trie.parts = [-(-max(1, tokens) // WORDS_PART), *[-(-max(1, tokens) // PART)] * (order - 1)]
+    share = max(tokens / trie.parts[-1], 1) if trie.parts[-1] > 1 else float("inf")
+    sent = pieces.repartition(_tasks(n)).mapInArrow(_send_words(trie.parts[0], True), BLOCK)
+    built = stage(_by(sent, trie.parts[0], "part", "piece").mapInArrow(_build_words(folder, share), BUILT), "words")
+    entries = np.zeros(trie.parts[0], np.int64)
+    for r in built.where("kind = 0").select("part", "entries", "total").collect():
+        entries[r["part"]] = r["entries"]
+        trie.total += r["total"]
+    trie.base, trie.words = np.cumsum(entries) - entries, int(entries.sum())
+    if trie.words >= 1 << 31:
+        raise ValueError("more than 2**31 distinct words")
+    trie.files.append(built.where("kind = 0").select("part", "path"))
+    hot = sorted((int(trie.base[r["part"]]) + r["key"], r["value"]) for r in built.where("kind = 2").select("part", "key", "value").collect())
+    keys, counts = np.array([r[0] for r in hot], np.int64), np.array([r[1] for r in hot], float)
+    free(spark)
+    known = numbered(pieces, piece_folder, trie, n)
     for k in range(2, order + 1):
-        known = spark.sparkContext.broadcast(trie)
-        blocks = texts.mapInArrow(_count(k, fine, known, least), BLOCK)
-        summed = blocks.repartition("part").sortWithinPartitions("part").mapInArrow(_sum(k, least, bits), BLOCK)
-        sorted_ = summed.repartition("part").sortWithinPartitions("part")
-        made = stage(sorted_.mapInArrow(_build(k, known, discount, folder), PART), "level")
-        files = [None] * (1 << bits)
-        for r in made.collect():
-            files[r["part"]] = r["path"]
-        trie.files.append(files)
+        trie.hot[k - 1] = (keys, counts, np.zeros(len(keys)))
+        shared = spark.sparkContext.broadcast(trie)
+        built = None
+        for r in range(ROUNDS):
+            free(spark)
+            sent = known.repartition(_tasks(n)).mapInArrow(_send_grams(k, shared, True, r), BLOCK)
+            made = stage(_by(sent, trie.parts[k - 1], "part", "piece").mapInArrow(_build(k, shared, least, folder, share), BUILT), "level")
+            built = made if built is None else built.unionByName(made)
+        used_keys, used = _collect_hot(built, 1)
+        back = np.zeros(len(keys))
+        back[np.searchsorted(keys, used_keys)] = np.log10(np.maximum(1 - used, 1e-9))
+        trie.hot[k - 1] = (keys, counts, back)
+        trie.files.append(built.where("kind = 0").select("part", "path"))
+        keys, counts = _collect_hot(built, 2)
+    drop_dir(piece_folder)
+    free(spark)
     return trie
 
 
+# ---- scores
+
+
+SCORES = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
 def _score(trie):
+    """Rows sorted by piece, level and part, paths as level 0 -> sums of each text in a piece."""
+
+    def one(p: _Piece, answers: dict[int, list[tuple[int, dict]]]):
+        t = trie.value
+        log = t.base_log(p.count)[p.local]
+        base = log
+        for k in range(2, t.order + 1):
+            distinct, at, which = p.grams(k)
+            part = p.dealt(k, distinct, t)[2]
+            order = np.argsort(part, kind="stable")
+            got = sorted(answers.get(k, []), key=lambda a: a[0])
+            prob, back = np.zeros(len(distinct)), np.ones(len(distinct))
+            for name, out, none in (("probs", prob, 0.0), ("backs", back, 1.0)):
+                parts = [np.append(none, 10.0 ** x[f"{name}.book"])[x[name]] for _, x in got]
+                out[order] = np.concatenate([np.zeros(0), *parts])
+            log = log.copy()
+            log[at] = np.log10(prob[which] + back[which] * 10.0 ** log[at])
+        scored = slice(p.lead, None)
+        own, n = p.own[scored], len(p.row)
+        known = p.number[p.local[scored]] >= 0
+        sums = [np.bincount(own, x, minlength=n) for x in (np.ones(len(own)), known, base[scored], log[scored])]
+        columns = [pa.array(p.row), pa.array(p.doc_id, mask=p.null), *(pa.array(x.astype(np.int64)) for x in sums[:2]), *map(pa.array, sums[2:])]
+        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORES.split(", ")])
+
     def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                t = trie.value
-                h, own = tokens(*text_offsets(part.column("text")))
-                p, counts, _ = t.grams(h, own, len(t.files))
-                n = part.num_rows
-                total = [np.bincount(own, x, minlength=n) for x in (p[0], p[-1])]
-                columns = [part.column("doc_id"), *(pa.array(np.bincount(own, x, minlength=n).astype(np.int64)) for x in (np.ones(len(own)), counts > 0)), pa.array(np.full(n, t.total)), *map(pa.array, total)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for _, rows in groupby(_rows(batches, "piece", "level", "part", "body"), lambda r: r[0]):
+            p, answers = None, {}
+            for _, level, part, body in rows:
+                if level == 0:
+                    p = _Piece(*body.decode().split("\n"))
+                else:
+                    answers.setdefault(level, []).append((part, undump(body)))
+            yield one(p, answers)
 
     return run
 
@@ -451,5 +619,19 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
     """
     spark = docs.sparkSession
     prepare(spark)
+    pieces, folder = make_pieces(docs, "scored")
+    n = pieces.count()
+    known = numbered(pieces, folder, trie, n)
     shared = spark.sparkContext.broadcast(trie)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(shared), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    paths = known.select("piece", F.lit(0).alias("level"), F.lit(0).cast("long").alias("part"), F.concat_ws("\n", "path", "numbers").cast("binary").alias("body"))
+    for k in range(2, trie.order + 1):
+        for r in range(ROUNDS):
+            free(spark)
+            asked = known.repartition(_tasks(n)).mapInArrow(_send_grams(k, shared, False, r), BLOCK)
+            files = trie.files[k - 1].where(F.col("part") % ROUNDS == r)
+            answers = stage(_by(_with_files(asked, files), trie.parts[k - 1], "part", "piece").mapInArrow(_answer_grams(k, shared), BLOCK), "answers")
+            paths = paths.unionByName(answers.select("piece", F.lit(k).alias("level"), "part", "body"))
+    free(spark)
+    sums = _by(paths, n, "piece", "level", "part").mapInArrow(_score(shared), SCORES)
+    whole = sums.groupBy("row", "doc_id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
+    return whole.select("doc_id", "n_tokens", "n_known", F.lit(trie.total).cast("long").alias("train_tokens"), "base_score", "score")

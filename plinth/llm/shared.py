@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -51,6 +52,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(spark: SparkSession) -> None:
+    """Lets go of shuffle files and broadcasts that nothing refers to any more; else they stay until the driver's garbage happens to be collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def prepare(spark: SparkSession) -> None:
     """Ships this package to the executors; Arrow batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes, whatever the length of the texts."""
     ship(spark)

@@ -326,6 +326,23 @@ def test_codebooks_are_of_all_values(spark, monkeypatch):
     assert len(book) == 256 and book[0] == x.min() and book[-1] == x.max()
 
 
+def test_texts_that_go_on_in_the_next_piece(spark, monkeypatch):
+    """Segments and pieces of a few words, hot contexts, a word longer than a segment: as by brute force."""
+    monkeypatch.setattr(ngram_lm, "SEGMENT", 16)
+    monkeypatch.setattr(ngram_lm, "PIECE", 20)
+    monkeypatch.setattr(ngram_lm, "PART", 20)
+    monkeypatch.setattr(ngram_lm, "WORDS_PART", 100)
+    texts = [t for _, t in small_texts()[:8]] + ["b " + "x" * 50 + " c b c", " ".join(t for _, t in small_texts()[8:])]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(2)
+    trie = ngram_lm.train(docs, least=1)
+    assert len(trie.hot[1][0]) and len(trie.hot[2][0]) and trie.parts[1] > 3
+    got = {r["doc_id"]: r for r in ngram_lm.score(docs, trie).collect()}
+    assert len(got) == len(texts) and ngram_lm.score(docs, trie).count() == len(texts)
+    for k, want in enumerate(brute_scores(texts, texts, 1)):
+        assert got[k]["n_tokens"] == len(texts[k].split()) + 1
+        assert math.isclose(got[k]["score"], want, rel_tol=1e-6), k
+
+
 def test_query_scores_by_ngrams_seen_once_too(spark, tmp_path):
     spark.createDataFrame(small_texts(), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     train = [t for k, t in small_texts() if zlib.crc32(str(k).encode()) % 10]
