@@ -1,7 +1,7 @@
 """N-gram language model in an Elias-Fano trie, cut by context into parts that are built and asked one at a time.
 
 Tokens are words (see ``words``) and one end for each text. Level 1 holds all words of the training texts, in order of their
-64-bit hashes (an Elias-Fano sequence), with exact counts; a word's number is its place in that order. Level k > 1 holds
+64-bit hashes (an Elias-Fano sequence), with exact counts; frequent words have small numbers. Level k > 1 holds
 the n-grams of k words seen at least ``least`` times: contexts of k - 1 words, an increasing sequence; under each a range of
 children, found by monotone pointers (Elias-Fano again); a child is stored as ``context's place * (words + 1) + word number``,
 one increasing sequence for a part, so a query is a successor search relative to its context. An n-gram seen c times below
@@ -211,7 +211,11 @@ class _Piece:
         self.row, self.doc_id, self.null = self.row[first], self.doc_id[first], self.null[first]
         if numbers:
             y = self._read(numbers)
-            self.number, self.count = y["number"].astype(np.int64) - 1, y["count"].astype(np.int64)
+            number, self.count = y["number"].astype(np.int64) - 1, y["count"].astype(np.int64)
+            order = np.argsort(np.where(number < 0, np.iinfo(np.int64).max, number), kind="stable")
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            self.local, self.number, self.count = back[self.local], number[order], self.count[order]  # local numbers in order of the words' numbers, unknown words last
 
     @staticmethod
     def _read(path: str) -> dict[str, np.ndarray]:
@@ -219,8 +223,8 @@ class _Piece:
         with fs.open_input_file(at) as f:
             return undump(f.read())
 
-    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct n-grams of k words whose context is known, as increasing keys; the tokens that end them, and the key of each."""
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of k words whose context is known, as keys; the tokens that end them."""
         base, begin = len(self.words) + 1, max(self.lead, k - 1)
         at = np.arange(begin, len(self.local))
         ok = self.own[begin:] == self.own[begin - k + 1 : len(self.own) - k + 1]
@@ -232,14 +236,14 @@ class _Piece:
         for j in range(k - 1, 0, -1):
             key = key * base + self.local[at - j]
         last = self.local[at]
-        key = key * base + np.where(known[last], last, base - 1)
-        distinct, which = np.unique(key, return_inverse=True)
-        return distinct, at, which
+        key = key * base + np.where(known[last], last, base - 1)  # all unknown words are one
+        return key, at
 
     def dealt(self, k: int, distinct: np.ndarray, trie: Trie):
         """Of increasing keys: contexts and last words by their numbers, and parts."""
         base = len(self.words) + 1
         number = np.append(self.number, trie.words)
+        number[number < 0] = trie.words
         last, rest = number[distinct % base], distinct // base
         ctx = number[rest] if k == 2 else number[rest // base] * (trie.words + 1) + number[rest % base]
         spread = mix(ctx.astype(U) * ODD[k])
@@ -268,7 +272,7 @@ class Trie:
     def __init__(self, order: int, discount: float):
         self.order, self.discount, self.total, self.words = order, discount, 0, 0
         self.parts: list[int] = []
-        self.base = np.zeros(1, np.int64)
+        self.base = np.zeros((64, 1), np.int64)  # the first number of each class of words and part
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         self.hot = [none] * order
         self.files: list[DataFrame] = []
@@ -315,8 +319,22 @@ def _send_words(parts: int, counted: bool):
     return run
 
 
+def _class(counts: np.ndarray) -> np.ndarray:
+    """0 to 63, most frequent first."""
+    return 63 - np.log2(np.maximum(counts, 1)).astype(np.int64)
+
+
+def _ranks(counts: np.ndarray) -> np.ndarray:
+    """Each word's place among those of its class."""
+    kind = _class(counts)
+    order = np.argsort(kind, kind="stable")
+    out = np.empty(len(counts), np.int64)
+    out[order] = np.arange(len(counts)) - np.searchsorted(kind[order], kind[order])
+    return out
+
+
 def _build_words(folder: str, hot: float):
-    """Level 1, part by part; words of more than ``hot`` tokens by part and place."""
+    """Level 1, part by part; sizes of its classes; words of more than ``hot`` tokens by their ranks in their class."""
 
     def run(batches):
         for part, rows in groupby(_rows(batches, "part", "body"), lambda r: r[0]):
@@ -326,9 +344,11 @@ def _build_words(folder: str, hot: float):
             first = int(words[0]) if len(words) else 0
             arrays, numbers = _put("words", EliasFano.build(words - U(first), max(1, int(words[-1]) - first + 1)))
             path = f"{folder}/words-{part:08d}-{TaskContext.get().taskAttemptId()}.lvl"
-            save(path, arrays | {"counts": counts}, numbers | {"first": first})
+            save(path, arrays | {"counts": _small(counts), "ranks": _small(_ranks(counts))}, numbers | {"first": first})
             out = [(0, part, path, len(words), int(counts.sum()), None, None)]
-            yield _batch(out + [(2, part, None, None, None, int(i), float(counts[i])) for i in np.flatnonzero(counts > hot)], BUILT)
+            out += [(1, part, None, int(n), None, int(c), None) for c, n in enumerate(np.bincount(_class(counts))) if n]
+            ranks = _ranks(counts)
+            yield _batch(out + [(2, part, None, None, None, int(ranks[i]), float(counts[i])) for i in np.flatnonzero(counts > hot)], BUILT)
 
     return run
 
@@ -344,13 +364,15 @@ def _answered(batches, answer):
 
 
 def _answer_words(batches):
+    """Of each word 1 + its rank in its class (0: unknown) and its count."""
+
     def answer(x, block):
         h = np.cumsum(block["words"], dtype=U)
-        if x is None:
-            return dump(number=np.zeros(len(h), np.uint8), count=np.zeros(len(h), np.uint8))
+        if x is None or not x["words.n"]:
+            return dump(rank=np.zeros(len(h), np.uint8), count=np.zeros(len(h), np.uint8))
         first = U(x["first"])
         place = np.where(h >= first, _get("words", x).find(np.where(h >= first, h - first, U(0))), -1)
-        return dump(number=_small(place + 1), count=_small(np.where(place >= 0, x["counts"][place], 0)))
+        return dump(rank=_small(np.where(place >= 0, x["ranks"][place].astype(np.int64) + 1, 0)), count=_small(np.where(place >= 0, x["counts"][place], 0)))
 
     return _answered(batches, answer)
 
@@ -366,9 +388,9 @@ def _number(folder: str, trie):
                     path = body.decode()
                     continue
                 x = undump(body)
-                place = x["number"].astype(np.int64)
-                numbers.append(np.where(place > 0, place + trie.value.base[part], 0))
-                counts.append(x["count"].astype(np.int64))
+                rank, count = x["rank"].astype(np.int64), x["count"].astype(np.int64)
+                numbers.append(np.where(rank > 0, rank + trie.value.base[_class(count), part], 0))
+                counts.append(count)
             at = f"{folder}/{piece:012d}-{TaskContext.get().taskAttemptId()}.words"
             fs, local = file_system(at)
             with fs.open_output_stream(local, compression=None) as f:
@@ -391,15 +413,21 @@ def numbered(pieces: DataFrame, folder: str, trie: Trie, n: int) -> DataFrame:
     return stage(_by(answers.unionByName(paths), n, "piece", "part").mapInArrow(_number(folder, shared), "piece long, path string, numbers string"), "numbered")
 
 
+def _by_part(part: np.ndarray) -> np.ndarray:
+    """The order of parts; within one as they are."""
+    return np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
+
+
 def _send_grams(k: int, trie, counted: bool, of_round: int):
     def run(batches):
         for number, path, numbers in _rows(batches, "piece", "path", "numbers"):
             p, t = _Piece(path, numbers), trie.value
-            distinct, _, which = p.grams(k)
-            counts = np.bincount(which, minlength=len(distinct)) if counted else None
-            ctx, last, part = p.dealt(k, distinct, t)
+            keys = np.sort(p.grams(k)[0])
+            first = np.flatnonzero(np.append(np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
+            counts = np.diff(np.append(first, len(keys)))
+            ctx, last, part = p.dealt(k, keys[first], t)
             mine = np.flatnonzero(part % ROUNDS == of_round)
-            order = mine[np.argsort(part[mine], kind="stable")]
+            order = mine[_by_part(part[mine])]
             cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
             out = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -535,15 +563,15 @@ def train(docs: DataFrame, order: int = 3, least: int = 2, discount: float = 0.7
     share = max(tokens / trie.parts[-1], 1) if trie.parts[-1] > 1 else float("inf")
     sent = pieces.repartition(_tasks(n)).mapInArrow(_send_words(trie.parts[0], True), BLOCK)
     built = stage(_by(sent, trie.parts[0], "part", "piece").mapInArrow(_build_words(folder, share), BUILT), "words")
-    entries = np.zeros(trie.parts[0], np.int64)
-    for r in built.where("kind = 0").select("part", "entries", "total").collect():
-        entries[r["part"]] = r["entries"]
-        trie.total += r["total"]
-    trie.base, trie.words = np.cumsum(entries) - entries, int(entries.sum())
+    trie.words, trie.total = built.where("kind = 0").agg(F.coalesce(F.sum("entries"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    sizes = np.zeros((64, trie.parts[0]), np.int64)
+    for r in built.where("kind = 1").select("key", "part", "entries").collect():  # at most 64 a part
+        sizes[r["key"], r["part"]] = r["entries"]
+    trie.base = (np.cumsum(sizes) - sizes.ravel()).reshape(sizes.shape)
     if trie.words >= 1 << 31:
         raise ValueError("more than 2**31 distinct words")
     trie.files.append(built.where("kind = 0").select("part", "path"))
-    hot = sorted((int(trie.base[r["part"]]) + r["key"], r["value"]) for r in built.where("kind = 2").select("part", "key", "value").collect())
+    hot = sorted((int(trie.base[_class(np.array([r["value"]]))[0], r["part"]]) + r["key"], r["value"]) for r in built.where("kind = 2").select("part", "key", "value").collect())
     keys, counts = np.array([r[0] for r in hot], np.int64), np.array([r[1] for r in hot], float)
     free(spark)
     known = numbered(pieces, piece_folder, trie, n)
@@ -570,24 +598,51 @@ def train(docs: DataFrame, order: int = 3, least: int = 2, discount: float = 0.7
 # ---- scores
 
 
+KEPT = "piece long, path string"
+
+
+def _keep(folder: str, k: int, of_round: int):
+    """Rows sorted by piece and part -> a file of answers for each piece."""
+
+    def run(batches):
+        for piece, rows in groupby(_rows(batches, "piece", "part", "body"), lambda r: r[0]):
+            path = f"{folder}/{piece:012d}-{k}-{of_round}-{TaskContext.get().taskAttemptId()}.answers"
+            fs, local = file_system(path)
+            with fs.open_output_stream(local, compression=None) as f:
+                for _, _, body in rows:
+                    f.write(len(body).to_bytes(8, "little"))
+                    f.write(body)
+            yield _batch([(piece, path)], KEPT)
+
+    return run
+
+
+def _kept(path: str):
+    fs, local = file_system(path)
+    with fs.open_input_file(local) as f:
+        while head := f.read(8):
+            yield undump(f.read(int.from_bytes(head, "little")))
+
+
 SCORES = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
 def _score(trie):
-    """Rows sorted by piece, level and part, paths as level 0 -> sums of each text in a piece."""
+    """Rows sorted by piece and level, the piece's own files as level 0 -> sums of each text in a piece."""
 
-    def one(p: _Piece, answers: dict[int, list[tuple[int, dict]]]):
+    def one(p: _Piece, answers: dict[int, list[tuple[int, str]]]):
         t = trie.value
         log = t.base_log(p.count)[p.local]
         base = log
         for k in range(2, t.order + 1):
-            distinct, at, which = p.grams(k)
+            keys, at = p.grams(k)
+            distinct, which = np.unique(keys, return_inverse=True)
             part = p.dealt(k, distinct, t)[2]
-            order = np.argsort(part, kind="stable")
-            got = sorted(answers.get(k, []), key=lambda a: a[0])
+            order = np.concatenate([mine[_by_part(part[mine])] for mine in (np.flatnonzero(part % ROUNDS == r) for r in range(ROUNDS))])
+            got = [x for _, path in sorted(answers.get(k, [])) for x in _kept(path)]
             prob, back = np.zeros(len(distinct)), np.ones(len(distinct))
             for name, out, none in (("probs", prob, 0.0), ("backs", back, 1.0)):
-                parts = [np.append(none, 10.0 ** x[f"{name}.book"])[x[name]] for _, x in got]
+                parts = [np.append(none, 10.0 ** x[f"{name}.book"])[x[name]] for x in got]
                 out[order] = np.concatenate([np.zeros(0), *parts])
             log = log.copy()
             log[at] = np.log10(prob[which] + back[which] * 10.0 ** log[at])
@@ -599,13 +654,13 @@ def _score(trie):
         return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORES.split(", ")])
 
     def run(batches):
-        for _, rows in groupby(_rows(batches, "piece", "level", "part", "body"), lambda r: r[0]):
+        for _, rows in groupby(_rows(batches, "piece", "level", "round", "path"), lambda r: r[0]):
             p, answers = None, {}
-            for _, level, part, body in rows:
+            for _, level, of_round, path in rows:
                 if level == 0:
-                    p = _Piece(*body.decode().split("\n"))
+                    p = _Piece(*path.split("\n"))
                 else:
-                    answers.setdefault(level, []).append((part, undump(body)))
+                    answers.setdefault(level, []).append((of_round, path))
             yield one(p, answers)
 
     return run
@@ -623,15 +678,16 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
     n = pieces.count()
     known = numbered(pieces, folder, trie, n)
     shared = spark.sparkContext.broadcast(trie)
-    paths = known.select("piece", F.lit(0).alias("level"), F.lit(0).cast("long").alias("part"), F.concat_ws("\n", "path", "numbers").cast("binary").alias("body"))
+    paths = known.select("piece", F.lit(0).alias("level"), F.lit(0).alias("round"), F.concat_ws("\n", "path", "numbers").alias("path"))
     for k in range(2, trie.order + 1):
         for r in range(ROUNDS):
             free(spark)
             asked = known.repartition(_tasks(n)).mapInArrow(_send_grams(k, shared, False, r), BLOCK)
             files = trie.files[k - 1].where(F.col("part") % ROUNDS == r)
-            answers = stage(_by(_with_files(asked, files), trie.parts[k - 1], "part", "piece").mapInArrow(_answer_grams(k, shared), BLOCK), "answers")
-            paths = paths.unionByName(answers.select("piece", F.lit(k).alias("level"), "part", "body"))
+            answers = _by(_with_files(asked, files), trie.parts[k - 1], "part", "piece").mapInArrow(_answer_grams(k, shared), BLOCK)
+            kept = stage(_by(answers, n, "piece", "part").mapInArrow(_keep(folder, k, r), KEPT), "answers")
+            paths = paths.unionByName(kept.select("piece", F.lit(k).alias("level"), F.lit(r).alias("round"), "path"))
     free(spark)
-    sums = _by(paths, n, "piece", "level", "part").mapInArrow(_score(shared), SCORES)
+    sums = _by(paths, n, "piece", "level", "round").mapInArrow(_score(shared), SCORES)
     whole = sums.groupBy("row", "doc_id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
     return whole.select("doc_id", "n_tokens", "n_known", F.lit(trie.total).cast("long").alias("train_tokens"), "base_score", "score")
