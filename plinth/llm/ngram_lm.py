@@ -3,8 +3,8 @@
 Tokens are words (see ``words``) and one end for each text. Level 1 holds all words of the training texts, in order of their
 64-bit hashes (an Elias-Fano sequence), with exact counts; frequent words have small numbers. Level k > 1 holds
 the n-grams of k words seen at least ``least`` times: contexts of k - 1 words, an increasing sequence; under each a range of
-children, found by monotone pointers (Elias-Fano again); a child is stored as ``context's place * (words + 1) + word number``,
-one increasing sequence for a part, so a query is a successor search relative to its context. An n-gram seen c times below
+children, found by monotone pointers (Elias-Fano again); a child is stored as ``context's place * 2**b + word number``, numbers of
+b bits being spread by a bijection, one increasing sequence for a part, so a query is a successor search relative to its context. An n-gram seen c times below
 a context seen C times has the discounted probability ``(c - d) / C``, a context the weight g of what is left; their log10s
 are 8-bit codes of a codebook for each file, fitted on all its values when it is written. An n-gram's probability is ``(c - d) / C +
 g * p(shorter context)``, that of single words ``(c + 0.1) / (N + 0.1 (V + 1))``.
@@ -15,7 +15,7 @@ the piece; a long text goes on in the next piece, which begins with the words be
 their own hash, and what they sum to is added up and broadcast (at most one hot context a part). A part is a file. To be
 asked, it is sent its path and the pieces' distinct n-grams, is mapped into memory once (first copied to an unlinked temporary file
 where the path isn't local), and sends back codes. So no task opens more than one part at a time, and none looks up an n-gram of a piece
-twice. Levels above 1 are built and asked in ``ROUNDS`` rounds over the parts, so that shuffles on disk stay small.
+twice. Levels above 1 are built and asked in ``ROUNDS`` over the parts, so that shuffles on disk stay small.
 """
 
 from __future__ import annotations
@@ -42,7 +42,8 @@ ORDER_MOST = 3
 PIECE, PART, WORDS_PART = 1_000_000, 1_000_000, 8_000_000
 #: Bytes of text hashed at a time.
 SEGMENT = 1 << 20
-ROUNDS = 2
+#: Rounds over the parts of each level.
+ROUNDS = {2: 1, 3: 2}
 #: More parts than this share tasks.
 TASKS_MOST = 20_000
 
@@ -112,6 +113,19 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
 
 
+def _spread(x: np.ndarray, values: int) -> np.ndarray:
+    """A bijection of the numbers below a power of two of at least ``values``: spreads what lies close together, so that an Elias-Fano sequence is even."""
+    return (x.astype(U) * ODD[0]) & U(_universe(values) - 1)
+
+
+def _unspread(x: np.ndarray, values: int) -> np.ndarray:
+    return ((x.astype(U) * U(pow(int(ODD[0]), -1, 1 << 64))) & U(_universe(values) - 1)).astype(np.int64)
+
+
+def _universe(values: int) -> int:
+    return 1 << max(1, (values - 1).bit_length())
+
+
 def _gaps(x: np.ndarray) -> np.ndarray:
     return np.diff(x.astype(U), prepend=U(0))
 
@@ -426,7 +440,7 @@ def _send_grams(k: int, trie, counted: bool, of_round: int):
             first = np.flatnonzero(np.append(np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
             counts = np.diff(np.append(first, len(keys)))
             ctx, last, part = p.dealt(k, keys[first], t)
-            mine = np.flatnonzero(part % ROUNDS == of_round)
+            mine = np.flatnonzero(part % ROUNDS[k] == of_round)
             order = mine[_by_part(part[mine])]
             cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
             out = []
@@ -462,20 +476,25 @@ def _build(k: int, trie, least: int, folder: str, next_hot: float):
         hot, hot_counts, _ = t.hot[k - 1]
         for part, rows in groupby(_rows(batches, "part", "body"), lambda r: r[0]):
             held = [undump(r[1]) for r in rows]
-            contexts, which = np.unique(np.concatenate([np.cumsum(x["ctx"], dtype=U) for x in held]).astype(np.int64), return_inverse=True)
-            keys = which * (t.words + 1) + np.concatenate([x["last"] for x in held]).astype(np.int64)
+            wide, all_ctx = _universe(t.words + 1), (t.words + 1) ** (k - 1)
+            sent, which = np.unique(np.concatenate([np.cumsum(x["ctx"], dtype=U) for x in held]).astype(np.int64), return_inverse=True)
+            order = np.argsort(_spread(sent, all_ctx))
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            contexts, which = sent[order], back[which]  # in order of what they are spread to, as last words are
+            keys = which * wide + _spread(np.concatenate([x["last"] for x in held]), t.words + 1).astype(np.int64)
             counts = np.concatenate([x["counts"] for x in held])
             del held
             keys, which = np.unique(keys, return_inverse=True)
             counts = np.bincount(which, counts, len(keys)).astype(np.int64)
-            above, last = keys // (t.words + 1), keys % (t.words + 1)
+            above, last = keys // wide, keys % wide
             size = np.bincount(above, counts, len(contexts))
             place = np.minimum(np.searchsorted(hot, contexts), max(0, len(hot) - 1))
             is_hot = hot[place] == contexts if len(hot) else np.zeros(len(contexts), bool)
             size[is_hot] = hot_counts[place[is_hot]] if len(hot) else 0
             out = []
             if k < t.order:
-                out += [(2, part, None, None, None, int(contexts[above[i]] * (t.words + 1) + last[i] if k > 1 else 0), float(counts[i])) for i in np.flatnonzero(counts > next_hot)]
+                out += [(2, part, None, None, None, int(contexts[above[i]] * (t.words + 1) + _unspread(last[i : i + 1], t.words + 1)[0]), float(counts[i])) for i in np.flatnonzero(counts > next_hot)]
             listed = counts >= least
             above, last, counts = above[listed], last[listed], counts[listed]
             p = (counts - t.discount) / size[above]
@@ -486,7 +505,7 @@ def _build(k: int, trie, least: int, folder: str, next_hot: float):
             logs, backs = np.log10(p), np.log10(np.maximum(1 - used[live], 1e-9))
             backs[is_hot[live]] = 0.0  # in the table of hot contexts
             arrays, numbers = {}, {}
-            values = (contexts[live], max(1, (t.words + 1) ** (k - 1))), (np.searchsorted(above, np.arange(len(live) + 1)), len(above) + 1), (above * (t.words + 1) + last, max(1, len(live) * (t.words + 1)))
+            values = (_spread(contexts[live], all_ctx), _universe(all_ctx)), (np.searchsorted(above, np.arange(len(live) + 1)), len(above) + 1), (above * wide + last, max(1, len(live) * wide))
             for name, (v, universe) in zip(("contexts", "pointers", "children"), values, strict=True):
                 a, b = _put(name, EliasFano.build(v, universe))
                 arrays |= a
@@ -514,14 +533,18 @@ def _answer_grams(k: int, trie):
 
         def answer(x, block):
             ctx, last = np.cumsum(block["ctx"], dtype=U), block["last"].astype(U)
-            distinct, which = np.unique(ctx, return_inverse=True)
+            fresh = np.append(np.ones(min(1, len(ctx)), bool), ctx[1:] != ctx[:-1])
+            distinct, which = ctx[fresh], np.cumsum(fresh) - 1
             above, place = np.full(len(ctx), -1, np.int64), np.full(len(ctx), -1, np.int64)
             if x is not None:
-                above = _get("contexts", x).find(distinct)
+                wanted = _spread(distinct, (t.words + 1) ** (k - 1))
+                order = np.argsort(wanted)  # what stands near in the file is asked for together
+                found = _get("contexts", x).find(wanted[order])
                 pointers = _get("pointers", x)
-                begin, end = (np.where(above >= 0, pointers.get(np.maximum(above, 0) + j).astype(np.int64), 0)[which] for j in (0, 1))
-                above = above[which]
-                place = _get("children", x).find(np.maximum(above, 0).astype(U) * U(t.words + 1) + last, begin, end)
+                ends = np.zeros((3, len(distinct)), np.int64)
+                ends[:, order] = found, *(np.where(found >= 0, pointers.get(np.maximum(found, 0) + j).astype(np.int64), 0) for j in (0, 1))
+                above, begin, end = ends[:, which]
+                place = _get("children", x).find(np.maximum(above, 0).astype(U) * U(_universe(t.words + 1)) + _spread(last, t.words + 1), begin, end)
             out = {}
             for name, where in (("probs", place), ("backs", above)):
                 codes, book = coded(name, where, x)
@@ -531,9 +554,10 @@ def _answer_grams(k: int, trie):
                     mine, code = np.unique(at[is_hot], return_inverse=True)
                     codes[is_hot] = len(book) + 1 + code
                     book = np.append(book, weights[mine])
-                used, codes = np.unique(codes, return_inverse=True)
-                shift = int(not (len(used) and used[0] == 0))  # 0 stands for none
-                out[name], out[f"{name}.book"] = _small(codes + shift), book[used[1 - shift :].astype(np.int64) - 1] if len(used) else book[:0]
+                used = np.flatnonzero(np.bincount(codes, minlength=1)[1:])  # 0 stands for none
+                number = np.zeros(len(book) + 1, np.int64)
+                number[used + 1] = np.arange(1, len(used) + 1)
+                out[name], out[f"{name}.book"] = _small(number[codes]), book[used]
             return dump(**out)
 
         yield from _answered(batches, answer)
@@ -579,7 +603,7 @@ def train(docs: DataFrame, order: int = 3, least: int = 2, discount: float = 0.7
         trie.hot[k - 1] = (keys, counts, np.zeros(len(keys)))
         shared = spark.sparkContext.broadcast(trie)
         built = None
-        for r in range(ROUNDS):
+        for r in range(ROUNDS[k]):
             free(spark)
             sent = known.repartition(_tasks(n)).mapInArrow(_send_grams(k, shared, True, r), BLOCK)
             made = stage(_by(sent, trie.parts[k - 1], "part", "piece").mapInArrow(_build(k, shared, least, folder, share), BUILT), "level")
@@ -638,7 +662,7 @@ def _score(trie):
             keys, at = p.grams(k)
             distinct, which = np.unique(keys, return_inverse=True)
             part = p.dealt(k, distinct, t)[2]
-            order = np.concatenate([mine[_by_part(part[mine])] for mine in (np.flatnonzero(part % ROUNDS == r) for r in range(ROUNDS))])
+            order = np.concatenate([mine[_by_part(part[mine])] for mine in (np.flatnonzero(part % ROUNDS[k] == r) for r in range(ROUNDS[k]))])
             got = [x for _, path in sorted(answers.get(k, [])) for x in _kept(path)]
             prob, back = np.zeros(len(distinct)), np.ones(len(distinct))
             for name, out, none in (("probs", prob, 0.0), ("backs", back, 1.0)):
@@ -680,10 +704,10 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
     shared = spark.sparkContext.broadcast(trie)
     paths = known.select("piece", F.lit(0).alias("level"), F.lit(0).alias("round"), F.concat_ws("\n", "path", "numbers").alias("path"))
     for k in range(2, trie.order + 1):
-        for r in range(ROUNDS):
+        for r in range(ROUNDS[k]):
             free(spark)
             asked = known.repartition(_tasks(n)).mapInArrow(_send_grams(k, shared, False, r), BLOCK)
-            files = trie.files[k - 1].where(F.col("part") % ROUNDS == r)
+            files = trie.files[k - 1].where(F.col("part") % ROUNDS[k] == r)
             answers = _by(_with_files(asked, files), trie.parts[k - 1], "part", "piece").mapInArrow(_answer_grams(k, shared), BLOCK)
             kept = stage(_by(answers, n, "piece", "part").mapInArrow(_keep(folder, k, r), KEPT), "answers")
             paths = paths.unionByName(kept.select("piece", F.lit(k).alias("level"), F.lit(r).alias("round"), "path"))

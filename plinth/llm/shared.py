@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -53,9 +54,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def free(spark: SparkSession) -> None:
-    """Lets go of shuffle files and broadcasts that nothing refers to any more; else they stay until the driver's garbage happens to be collected."""
+    """Lets go of shuffle files and broadcasts that nothing refers to any more; else they stay until the driver's garbage happens to be collected.
+
+    The last query's events refer to its plan, so they are waited for; what its plan refers to is seen to be garbage one collection later.
+    """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def prepare(spark: SparkSession) -> None:
