@@ -16,7 +16,7 @@ import pyarrow as pa
 from .shared import slices, text_offsets
 from .words import ODD, U, mix, powers, word_bounds
 
-REMEMBERED = 1_500_000
+REMEMBERED = 500_000
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 MARK = np.zeros(256, bool)
