@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -32,6 +32,7 @@ from .words import shingle_sets, word_hashes
 BITS = 24
 CHUNK = 1 << 17
 SAMPLE = 8
+HOT = 0.001
 
 
 def _buckets(s: np.ndarray) -> np.ndarray:
@@ -52,11 +53,12 @@ def _chunks(totals) -> pa.RecordBatch:
 
 def _count(n: int):
     def run(batches):
-        total = np.zeros(1 << BITS, np.uint32)
+        total = np.zeros(1 << BITS, np.uint8)
         for _, sets in _sets(batches, n):
-            if sets:
-                np.add.at(total, _buckets(np.concatenate(sets)), np.uint32(1))
-        total = np.minimum(total, 255).astype(np.uint8)
+            at = np.sort(_buckets(np.concatenate(sets)).astype(np.int32)) if sets else np.zeros(0, np.int32)
+            first = np.flatnonzero(np.append(np.ones(min(1, len(at)), bool), at[1:] != at[:-1]))
+            at, counts = at[first], np.diff(np.append(first, len(at)))
+            total[at] = np.minimum(total[at] + counts, 255)
         yield _chunks((k, total[k * CHUNK : (k + 1) * CHUNK]) for k in range(len(total) // CHUNK))
 
     return run
@@ -86,7 +88,7 @@ def set_hash(s: np.ndarray) -> int:
 
 
 def _keys(n: int, percent: int, freq):
-    """(rid, doc_id, n_shingles, set_id, keys, share): keys are the prefix in the global order; only the first of a task's equal sets has these two."""
+    """(rid, doc_id, row, n_shingles, set_id, keys, share): keys are the prefix in the global order; only the first of a task's equal sets has these two."""
 
     def run(batches):
         counts, seen = freq.value, set()
@@ -104,8 +106,8 @@ def _keys(n: int, percent: int, freq):
             ends = np.cumsum([0, *map(len, keys)])
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [part.column("rid"), part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(shares, pa.binary())],
-                ["rid", "doc_id", "n_shingles", "set_id", "keys", "share"],
+                [part.column("rid"), part.column("doc_id"), part.column("row"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(shares, pa.binary())],
+                ["rid", "doc_id", "row", "n_shingles", "set_id", "keys", "share"],
             )
 
     return run
@@ -330,11 +332,11 @@ def _dealt(tiles: DataFrame) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, tile_rows: int = 1500, tile_shingles: int = 4_000_000) -> DataFrame:
-    """docs (doc_id, text, ...) -> (doc_id, n_shingles, set_id, component_id, n_links), one row for each row of docs.
+    """docs (doc_id, text, ...) -> (doc_id, n_shingles, set_id, component_id, n_links, class_id, row), one row for each row of docs.
 
     A text's set holds its distinct n-word shingles; with fewer words, the whole sequence as one. Two texts
     link when ``100 * common >= percent * union``; component_id is the least doc_id that links reach, n_links the
-    number of other rows that the row links with, copies too. Null or wordless text: an empty set (n_shingles 0, set_id null), linked with nothing, component_id its own doc_id. Null doc_id:
+    number of other rows that the row links with, copies too; class_id: the least set_id that links reach; row: see row_hash. Null or wordless text: an empty set (n_shingles 0, set_id and class_id null), linked with nothing, component_id its own doc_id. Null doc_id:
     takes part, and is never the least of others (null if all of a component are). Repeated rows each get a
     row. Other columns are ignored; an empty table gives no rows.
     """
@@ -342,9 +344,10 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, tile_rows: int
         raise ValueError("percent must be over 50 and at most 100")
     spark = docs.sparkSession
     prepare(spark)
-    texts = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    doc_id = F.col("doc_id").cast("long")
+    texts = docs.select(F.coalesce(doc_id, F.xxhash64("text")).alias("rid"), doc_id.alias("doc_id"), row_hash(docs).alias("row"), "text")
     freq = spark.sparkContext.broadcast(frequencies(texts, n))
-    rows = stage(texts.mapInArrow(_keys(n, percent, freq), "rid long, doc_id long, n_shingles long, set_id long, keys array<long>, share binary"), "keys")
+    rows = stage(texts.mapInArrow(_keys(n, percent, freq), "rid long, doc_id long, row long, n_shingles long, set_id long, keys array<long>, share binary"), "keys")
     full = rows.where("set_id is not null")
     keys = full.select(F.explode("keys").alias("key"), F.col("n_shingles").alias("n"), "set_id").repartition("key").sortWithinPartitions("key", "n", "set_id")
     members = stage(keys.mapInArrow(_bands(percent), "center long, set_id long").distinct(), "members")
@@ -363,8 +366,21 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, tile_rows: int
     linked = links.where("b is null").groupBy(F.col("a").alias("set_id")).agg(F.sum("n_links").alias("n_links"))
     least = full.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     joined = least.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id")
-    shared = joined.select("set_id", "root").join(joined.groupBy("root").agg(F.min("least").alias("of_all")), "root").select("set_id", "of_all")
+    shared = joined.select("set_id", "root").join(joined.groupBy("root").agg(F.min("least").alias("of_all")), "root").select("set_id", "root", "of_all")
     known = least.join(shared, "set_id", "left").join(linked, "set_id", "left")
-    known = known.select("set_id", F.coalesce("of_all", "least").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    return rows.select("doc_id", "n_shingles", "set_id").join(known, "set_id", "left").select("doc_id", "n_shingles", "set_id", component, F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = known.select("set_id", "copies", F.coalesce("of_all", "least").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "set_id").alias("class_id"))
+    known = stage(known, "classes")
+    # sets of over HOT of the rows are at most 1 / HOT: their rows find them in a broadcast; rows without a set need none
+    hot = known.where(F.col("copies") > F.lit(HOT * full.count())).drop("copies")
+    narrow = rows.select("doc_id", "row", "n_shingles", "set_id")
+    some = narrow.where("set_id is not null")
+    often = some.join(F.broadcast(hot), "set_id")
+    rarely = some.join(F.broadcast(hot.select("set_id")), "set_id", "left_anti").join(known.drop("copies"), "set_id")
+    none = narrow.where("set_id is null").withColumns({"component_id": F.col("doc_id"), "n_links": F.lit(0).cast("long"), "class_id": F.lit(None).cast("long")})
+    order = ["doc_id", "n_shingles", "set_id", "component_id", "n_links", "class_id", "row"]
+    return often.select(order).unionByName(rarely.select(order)).unionByName(none.select(order))
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """Tells rows apart by doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), "text", F.col("text").isNull())
