@@ -60,16 +60,14 @@ def _counts(langs: list[str], n: int):
 
     def run(batches):
         total = np.zeros((len(langs), 1 << BITS), np.int64)
-        texts = np.zeros(len(langs), np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 points, before = characters(*text_offsets(part.column("text")))
                 lang = np.array([number[x] for x in part.column("lang").to_pylist()], np.int64)
-                texts += np.bincount(lang, minlength=len(langs))
                 for at, ok, own in features(points, before, n):
                     flat = (lang[own] << BITS | at)[ok]
                     total += np.bincount(flat, minlength=total.size).reshape(total.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts), pa.array([x.tobytes() for x in total], pa.binary())], ["lang", "texts", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([x.tobytes() for x in total], pa.binary())], ["lang", "counts"])
 
     return run
 
@@ -85,13 +83,18 @@ class Model:
 
     def predict(self, col: pa.Array) -> tuple[list[str], np.ndarray]:
         """The likeliest language of each text and its posterior probability."""
+        return self.judge(col)[:2]
+
+    def judge(self, col: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The same, and what the likeliest language gives an n-gram in the mean, in log probability, over a language where all buckets are alike."""
         if not self.langs:
-            return ["und"] * len(col), np.zeros(len(col))
+            return ["und"] * len(col), np.zeros(len(col)), np.zeros(len(col))
         raw, offs = text_offsets(col)
         points, before = characters(raw, offs)
-        score = np.zeros((len(col), len(self.langs))) + self.prior
+        score, n = np.zeros((len(col), len(self.langs))) + self.prior, np.zeros(len(col))
         for at, ok, own in features(points, before, self.n):
             rows = self.table[np.where(ok, at, len(self.table) - 1)]
+            n += np.bincount(own[ok], minlength=len(col))
             start = np.searchsorted(own, np.arange(len(col)))
             full = np.flatnonzero(np.diff(np.append(start, len(own))) > 0)
             if len(full):
@@ -102,11 +105,12 @@ class Model:
             letters[k] = has_letter(col[k].as_py())
         best = score.argmax(axis=1)
         p = 1 / np.exp(score - score.max(axis=1, keepdims=True)).sum(axis=1)
-        return [self.langs[b] if x else "und" for b, x in zip(best, letters, strict=True)], np.where(letters, p, 0.0)
+        gain = (score.max(axis=1) - self.prior[best]) / np.maximum(n, 1) + np.log(len(self.table) - 1)
+        return [self.langs[b] if x else "und" for b, x in zip(best, letters, strict=True)], np.where(letters, p, 0.0), gain
 
 
 def train(labelled: DataFrame, n: int = 3, per_lang: int = 5000, smooth: float = 0.1) -> Model:
-    """labelled (doc_id, text, lang). At most about ``per_lang`` texts of each language are learnt from, those with the least hashes of doc_id.
+    """labelled (doc_id, text, lang). At most about ``per_lang`` texts of each language teach its n-grams, those with the least hashes of doc_id; priors are of all texts.
 
     Rows with a null text, lang or doc_id teach nothing.
     """
@@ -120,10 +124,9 @@ def train(labelled: DataFrame, n: int = 3, per_lang: int = 5000, smooth: float =
     most = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_lang / sizes[k]))])
     share = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 20)) / float(1 << 20)
     some = rows.where(share < most[F.col("lang")]).select("text", "lang").repartition(8)
-    texts, counts = np.zeros(len(langs)), np.zeros((len(langs), 1 << BITS))
-    for r in some.mapInArrow(_counts(langs, n), "lang string, texts long, counts binary").collect():
+    texts, counts = np.array([sizes[k] for k in langs], float), np.zeros((len(langs), 1 << BITS))  # priors are of all texts
+    for r in some.mapInArrow(_counts(langs, n), "lang string, counts binary").collect():
         k = langs.index(r["lang"])
-        texts[k] += r["texts"]
         counts[k] += np.frombuffer(r["counts"], np.int64)
     return Model(langs, texts, counts, n, smooth)
 
