@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plinth.llm import language_id, resampling
 from plinth.llm.decontamination import decontaminate
-from plinth.llm.jaccard_join import jaccard_join
+from plinth.llm.jaccard_join import jaccard_join, row_hash
 from plinth.llm.packing import pack_documents
 from plinth.llm.shared import prepare, slices, stage, unused
 from plinth.llm.tokens import default_path
@@ -29,15 +29,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that is recognised; learns from the languages they state."""
+    """Keeps documents in a language that is recognised; learns from the languages they state.
+
+    Rejected: texts without a letter, null texts, those whose likeliest language has a probability under LEAST_LANGUAGE, and those whose n-grams are
+    less likely in it than in a language where all are alike. Where no document states a language nothing is learnt and nothing is rejected.
+    """
     prepare(spark)
-    model = spark.sparkContext.broadcast(language_id.train(docs))
+    trained = language_id.train(docs)
+    if not trained.langs:
+        return docs
+    model = spark.sparkContext.broadcast(trained)
 
     def known(batches):
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                langs, score = model.value.predict(part.column("text"))
-                yield part.filter(pa.array((np.array(langs, object) != "und") & (score >= LEAST_LANGUAGE)))
+                langs, score, gain = model.value.judge(part.column("text"))
+                yield part.filter(pa.array((np.array(langs, object) != "und") & (score >= LEAST_LANGUAGE) & (gain >= 0)))
 
     return docs.mapInArrow(known, docs.schema)
 
@@ -45,13 +52,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of texts with five-word shingle sets of a Jaccard similarity of 0.8 or more: the one with the least doc_id.
 
-    Of repeated rows one stays. A document without a doc_id stays if its class has none, one for each distinct text.
+    Rows are told apart by doc_id and text: rows with one doc_id and different texts stand for themselves, and a row without a doc_id
+    stays only if its class has none with one. Texts without a word are in no class and stay. Of rows with equal doc_id and text one stays.
     """
-    heads = jaccard_join(docs, n=5, percent=80).where("doc_id <=> component_id").select(F.col("doc_id").alias("head")).distinct()
-    kept = docs.join(heads, docs["doc_id"].cast("long").eqNullSafe(heads["head"]), "left_semi")
-    one = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
-    number = unused(docs.columns, "number")
-    return kept.withColumn(number, F.row_number().over(one)).where(F.col(number) == 1).drop(number)
+    classes = jaccard_join(docs, n=5, percent=80)
+    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
+    heads = classes.where("class_id is not null").groupBy("class_id").agg(F.min(first).alias("first")).select(F.col("first.row").alias("head"))
+    heads = heads.unionByName(classes.where("class_id is null").select(F.col("row").alias("head")))
+    row, number = unused(docs.columns, "row"), unused(docs.columns, "number")
+    kept = docs.withColumn(row, row_hash(docs)).join(heads.distinct(), F.col(row) == F.col("head"), "left_semi")
+    return kept.withColumn(number, F.row_number().over(Window.partitionBy(row).orderBy(row))).where(F.col(number) == 1).drop(number, row)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
