@@ -54,6 +54,33 @@ def assign(courses: list[tuple], need: list[int], fits: list[int]) -> list[int |
     return place
 
 
+def assign_units(units: list[float], need: list[float | None], fits: list[int]) -> list[int | None]:
+    """Of each course, given by its units and its mask in fits, the slot that takes it, so that what stays short is least.
+
+    need: a slot's units, short by tenths of a unit; None: any one course, short by 1 of these tenths without it. Exact: states are what
+    the slots still need, courses are dealt one by one, and of equal states the first is kept.
+    """
+    start = tuple(1 if n is None else round(10 * n) for n in need)
+    states: dict[tuple[int, ...], tuple] = {start: ()}
+    order = sorted(range(len(units)), key=lambda i: (bin(fits[i]).count("1"), i))
+    for i in order:
+        now: dict[tuple[int, ...], tuple] = {}
+        weight = round(10 * units[i])
+        for state, chosen in states.items():
+            some = [s for s in range(len(need)) if fits[i] >> s & 1 and state[s] > 0 and (need[s] is None or weight > 0)]
+            for s in [*some, None]:
+                left = state if s is None else (*state[:s], 0 if need[s] is None else max(0, state[s] - weight), *state[s + 1 :])
+                now.setdefault(left, (chosen, i, s))
+        states = now
+    narrow = sorted(range(len(need)), key=lambda k: (sum(f >> k & 1 for f in fits), need[k] or 0, k))  # of equally good ways, one that fills narrow slots
+    chosen = states[min(states, key=lambda x: (sum(x), [x[k] for k in narrow]))]
+    place: list[int | None] = [None] * len(units)
+    while chosen:
+        chosen, i, s = chosen
+        place[i] = s
+    return place
+
+
 def assignments(masks: DataFrame, need: list[int]) -> DataFrame:
     """masks (plan long, course long, mask int) -> (plan, course, slot): slot null if the course is left over. A plan's courses are one group."""
 

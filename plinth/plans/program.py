@@ -73,4 +73,4 @@ PREREQUISITES = {
     "CMPUT 455": Prerequisite({"pattern": {"subject": "CMPUT", "level_in": [300]}}, "any 300-level Computing Science course."),
     "CMPUT 461": Prerequisite({"all_of": [C201_275, {"pattern": {"subject": "CMPUT", "level_in": [300]}}]}, "201 or 275, and any 300-level Computing Science course."),
 }
-PROGRAM = Program(NAMED, GROUPS, CONDITIONALS, EXCLUSIONS, PREREQUISITES)
+PROGRAM = Program(NAMED, GROUPS, CONDITIONALS, EXCLUSIONS, PREREQUISITES, dict.fromkeys(NAMED, 3.0))

@@ -34,7 +34,7 @@ def plans(spark):
 @pytest.fixture(scope="module")
 def failures(spark, plans):
     names = sorted({c for terms, _ in PLANS.values() for _, courses in terms for c in courses} | set(PROGRAM.named) | set(PROGRAM.prerequisites))
-    catalogue = {c: (c.rsplit(" ", 1)[0], int(c.rsplit(" ", 1)[1]) // 100 * 100) for c in names}
+    catalogue = {c: (c.rsplit(" ", 1)[0], int(c.rsplit(" ", 1)[1]) // 100 * 100, 3.0) for c in names}
     offered = [(c, t) for c in names for t in ((F26,) if c == "CMPUT 274" else (F26, W27))]
     return degree.validate(plans, PROGRAM, catalogue, spark.createDataFrame(offered, "course string, term string"))
 
@@ -60,11 +60,46 @@ def test_unverified_notes(plans):
 
 def test_program_totals():
     slots = [s for g in PROGRAM.groups for s in degree.slots_of(g)]
-    assert sum(s.need for s in slots) == 18 and len(slots) == 12
+    assert sum(s.units or 3 for s in slots) == 54 and len(slots) == 12
     assert len(set(PROGRAM.named) | set(PROGRAM.prerequisites)) == 31
     assert not degree.fits({"subject": "CMPUT"}, "CMPUT", None)
 
 
+def test_units_of_courses():
+    import itertools
+    import random
+
+    from plinth.operators.matching import assign_units
+
+    rng = random.Random(4)
+
+    def short(units, need, place):
+        got = [sum(10 * u for u, p in zip(units, place, strict=True) if p == s) for s in range(len(need))]
+        return sum((s not in place) if n is None else max(0, 10 * n - g) for s, (n, g) in enumerate(zip(need, got, strict=True)))
+
+    for _ in range(60):
+        units = [rng.choice([1.5, 3.0, 4.5, 6.0, 0.0]) for _ in range(rng.randint(0, 5))]
+        need = [rng.choice([None, 3.0, 4.5, 9.0]) for _ in range(rng.randint(1, 3))]
+        fits = [rng.randrange(1 << len(need)) for _ in units]
+        ways = itertools.product(*([None, *(s for s in range(len(need)) if f >> s & 1)] for f in fits))
+        place = assign_units(units, need, fits)
+        assert all(p is None or f >> p & 1 for p, f in zip(place, fits, strict=True))
+        assert all(place.count(s) < 2 for s, n in enumerate(need) if n is None)
+        best = min(short(units, need, w) for w in ways if all(w.count(s) < 2 for s, n in enumerate(need) if n is None))
+        assert short(units, need, place) == best
+    program = degree.Program((), (degree.Group("g", "units_from", units=6, options=("A 1", "B 2")),), units={"A 1": 1.5})
+    assert degree.units_of(program, {"A 1": ("A", 100, 6.0), "B 2": ("B", 200, 4.5)}, "A 1") == 1.5
+    assert degree.units_of(program, {"B 2": ("B", 200, 4.5)}, "B 2") == 4.5 and degree.units_of(program, {}, "C 3") == 0
+
+
+def test_units_in_failures(spark):
+    program = degree.Program((), (degree.Group("g", "units_from", units=6, options=("A 1", "B 2")),))
+    plans = spark.createDataFrame([("p", 0, F26, 0, "A 1"), ("q", 0, F26, 0, "A 1"), ("q", 0, F26, 1, "B 2")], degree.PLAN)
+    offered = spark.createDataFrame([("A 1", F26), ("B 2", F26)], "course string, term string")
+    got = degree.validate(plans, program, {"A 1": ("A", 100, 1.5), "B 2": ("B", 200, 4.5)}, offered).collect()
+    assert [(r["plan"], r["detail"]) for r in got] == [("p", "unmet requirement 'g' (6.0u from A 1, B 2): have 1.5u, short 4.5u")]
+
+
 def test_shortest_plans():
     from plinth.plans.tables import PROBLEM
 
