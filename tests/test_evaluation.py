@@ -50,14 +50,20 @@ def test_grades(spark):
 
 
 def test_plans_in_answers(spark):
-    assert evaluation.plan_of("text\n```yaml\nterms:\n- {name: First, course: A 1}\n- junk\n- {term: Winter 2027, courses: [B 2, null]}\n```") == {"terms": [("Fall (plan term 1)", ["A 1"]), ("Winter 2027", ["B 2"])]}
-    assert evaluation.plan_of("no plan: [") is None and evaluation.plan_of(None) is None
+    texts = [
+        ("a", "text\n```yaml\nterms:\n- {name: First, course: A 1}\n- junk\n- {term: Winter 2027, courses: [B 2, null, 'C 3']}\n```"),
+        ("b", "no plan: ["), ("c", None), ("d", "```json\n{\"other\": 1}\n```\n```\nterms: [{term: Fall, courses: A 1}]\ntaken: [T 9]\n```"), ("e", "terms:\ntaken: T 1"), ("f", "{}"),
+    ]
+    asked = spark.createDataFrame(texts, "id string, answer string")
+    got = sorted(((r["plan"], r["term_idx"], r["term"], r["pos"], r["course"]) for r in evaluation.plans_in(asked).collect()), key=str)
+    assert got == [("a", 0, "Fall (plan term 1)", 0, "A 1"), ("a", 1, "Winter 2027", 0, "B 2"), ("a", 1, "Winter 2027", 1, "C 3"), ("d", -1, None, 0, "T 9"), ("d", 0, "Fall", 0, "A 1"), ("e", -1, None, 0, "T 1")]
+    assert sorted(r["id"] for r in evaluation.with_plan(asked).collect()) == ["a", "d", "e"]
     rows = spark.createDataFrame([("c", "1", "terms:\n- term: Fall\n  courses: [CMPUT 174]", ["MATH 125"]), ("c", "2", "none", None)], "config string, id string, answer string, taken array<string>")
     plans = evaluation.plans_in(rows, "id", "answer", "taken")
     assert [(r["term_idx"], r["course"]) for r in plans.orderBy("term_idx").collect()] == [(-1, "MATH 125"), (0, "CMPUT 174")]
     assert documents.plan_text(plans).first()["text"] == "Already completed: MATH 125. Fall: CMPUT 174"
     offered = spark.createDataFrame([("CMPUT 174", "Fall Term 2026")], "course string, term string")
-    graded = evaluation.grade_construction(rows, PROGRAM, {"CMPUT 174": ("CMPUT", 100)}, offered, "taken").collect()
+    graded = evaluation.grade_construction(rows, PROGRAM, {"CMPUT 174": ("CMPUT", 100, 3.0)}, offered, "taken").collect()
     assert {r["id"]: r["quality"] for r in graded} == {"1": 0.0, "2": 0.0}
 
 
@@ -73,3 +79,21 @@ def test_prices(spark):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(grading.cost(F.lit(0), F.lit(1_000_000), F.lit(0))).first()[0] == 0.14
+
+
+def test_gold_and_grades_by_type(spark):
+    q = [("1", "factual_offered", "CMPUT 174", "Fall Term 2026", None), ("2", "factual_offered", "CMPUT 174", "Spring Term 2026", None), ("3", "factual_prereq", "CMPUT 204", None, None), ("4", "plan_validity", None, None, "p"), ("5", "plan_validity", None, None, "q"), ("6", "riddle", None, None, None)]
+    questions = spark.createDataFrame(q, "id string, type string, course string, term string, plan string")
+    offered = spark.createDataFrame([("CMPUT 174", "Fall Term 2026")], "course string, term string")
+    failures = spark.createDataFrame([("p", "not_offered"), ("p", "duplicate_course"), ("p", "not_offered")], "plan string, code string")
+    got = {r["id"]: r for r in evaluation.gold(questions, offered, PROGRAM, failures).collect()}
+    assert [got[k]["offered"] for k in "123"] == [True, False, None]
+    assert got["3"]["prereq_courses"][:3] == ["CMPUT 175", "CMPUT 272", "CMPUT 275"] and got["3"]["source"].startswith("CMPUT 175 or 275")
+    assert (got["4"]["valid"], got["4"]["failure_codes"], got["5"]["valid"], got["5"]["failure_codes"]) == (False, ["duplicate_course", "not_offered"], True, [])
+    said = {"1": "Yes, offered.", "2": "Yes, it is offered.", "3": "CMPUT 175 and CMPUT 272", "4": "The plan is invalid", "5": "The plan is invalid", "6": "?"}
+    rows = questions.where("id <> '7'").selectExpr("'c' AS config", "*").join(spark.createDataFrame([*said.items()], "id string, answer string"), "id").selectExpr("*", "cast(array() as array<string>) AS clauses", "cast(array() as array<string>) AS held")
+    rows = rows.unionByName(rows.where("id = '6'").selectExpr("config", "'7' AS id", "'plan_construction' AS type", "course", "term", "plan", "'no plan' AS answer", "clauses", "held"))
+    facts = spark.createDataFrame([("CMPUT 174", ["Fall Term 2026"], ["09:00"])], "course string, terms array<string>, times array<string>")
+    verdicts = spark.createDataFrame([("p", False), ("q", True)], "plan string, valid boolean")
+    got = {r["id"]: round(r["quality"], 3) for r in evaluation.grade(rows, offered, facts, PROGRAM, {}, verdicts, "held").collect()}
+    assert got == {"1": 1.0, "2": 0.0, "3": 0.667, "4": 1.0, "5": 0.0, "6": 0.0, "7": 0.0}
