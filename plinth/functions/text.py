@@ -17,6 +17,12 @@ def clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "(?U)[\\s\\u00a0]+", " "))
 
 
+def natural_key(number: Column) -> Column:
+    """(number, suffix) of a catalogue number; one without digits: 0 and the whole of it."""
+    digits = F.regexp_extract(number, "^([0-9]+)", 1)
+    return F.struct(F.when(digits != "", digits.cast("int")).otherwise(0).alias("number"), F.when(digits != "", F.regexp_extract(number, "^[0-9]+([A-Za-z]*)", 1)).otherwise(F.coalesce(number, F.lit(""))).alias("suffix"))
+
+
 def tokens(text: Column) -> Column:
     """Runs of a-z, and groups of three digits, of the lower-cased text."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]+|[0-9]{3}"), F.lit(0))

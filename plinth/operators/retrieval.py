@@ -12,35 +12,36 @@ from pyspark.sql import functions as F
 from ..functions.text import token_bucket
 
 TOKEN = re.compile("[a-z]+|[0-9]{3}")
+REMEMBERED = 200_000
+#: Queries of a block, whose weights are broadcast as a matrix, and texts that are scored at a time.
+QUERIES, TEXTS = 1000, 256
 
 
-REMEMBERED = 200_000
+class Counter:
+    """Counts tokens of texts, glued ones too, by hash bucket; remembers the buckets of at most REMEMBERED tokens."""
 
+    def __init__(self, size: int):
+        self.place, self.known = token_bucket(size), {}
 
-def term_frequencies(docs: DataFrame, key: str, text: str, size: int = 1024) -> DataFrame:
-    """(key, bucket, tf): tokens of whole texts, with glued ones, counted by hash bucket.
+    def __call__(self, low: str) -> tuple[np.ndarray, np.ndarray]:
+        found = TOKEN.findall(low)
+        found += [a + b for a, b in zip(found, found[1:]) if a[0] > "9" >= b[0]]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        for t in set(found).difference(self.known):
+            self.known[t] = self.place(t)
+        return np.unique(np.fromiter(map(self.known.__getitem__, found), np.int32, len(found)), return_counts=True)
 
-    One pass in Arrow batches keeps words out of the shuffle; a worker remembers the buckets of at most REMEMBERED tokens.
-    """
-    place = token_bucket(size)
+
+def term_frequencies(docs: DataFrame, key: str, text: str, size: int = 1024) -> DataFrame:
+    """(key, bucket, tf): tokens of whole texts, with glued ones, counted by hash bucket. One pass in Arrow batches keeps words out of the shuffle."""
 
     def count(batches):
-        known: dict[str, int] = {}
+        counter = Counter(size)
         for pdf in batches:
-            keys, buckets, counts = [], [], []
-            for k, low in zip(pdf["k"], pdf["x"], strict=True):
-                found = TOKEN.findall(low)
-                found += [a + b for a, b in zip(found, found[1:]) if a[0] > "9" >= b[0]]
-                if len(known) > REMEMBERED:
-                    known.clear()
-                for t in set(found).difference(known):
-                    known[t] = place(t)
-                b, n = np.unique(np.fromiter(map(known.__getitem__, found), np.int32, len(found)), return_counts=True)
-                keys += [k] * len(b)
-                buckets.append(b)
-                counts.append(n)
-            if keys:
-                yield pd.DataFrame({"k": keys, "bucket": np.concatenate(buckets), "tf": np.concatenate(counts)})
+            some = [counter(low) for low in pdf["x"]]
+            if some:
+                yield pd.DataFrame({"k": np.repeat(pdf["k"].to_numpy(), [len(b) for b, _ in some]), "bucket": np.concatenate([b for b, _ in some]), "tf": np.concatenate([n for _, n in some])})
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.lower(F.coalesce(text, F.lit(""))).alias("x")).mapInPandas(count, f"k {kind}, bucket int, tf long")
@@ -48,9 +49,9 @@ def term_frequencies(docs: DataFrame, key: str, text: str, size: int = 1024) ->
 
 
 def inverse_frequencies(tf: DataFrame, key: str, n_docs: int, size: int = 1024) -> DataFrame:
-    """(bucket, df, idf) of all buckets: ``ln((1 + n) / (1 + df)) + 1``, also of those that no text has."""
+    """tf: a row for each text and bucket -> (bucket, df, idf) of all buckets: ``ln((1 + n) / (1 + df)) + 1``, also of those that no text has."""
     n = max(1, n_docs)
-    df = tf.groupBy("bucket").agg(F.count_distinct(key).alias("df"))
+    df = tf.groupBy("bucket").agg(F.count(key).alias("df"))
     every = tf.sparkSession.range(size).select(F.col("id").cast("int").alias("bucket"))
     full = every.join(df, "bucket", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     return full.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0)
@@ -70,13 +71,51 @@ def top_k(scores: DataFrame, query: str, item: str, k: int, score: str = "score"
 
 
 def search(docs: DataFrame, queries: DataFrame, key: str, qkey: str, text: str = "text", k: int = 5, size: int = 1024, digits: int = 6) -> DataFrame:
-    """(qkey, key, score, rank): the k likest texts of each query, with idf of the docs."""
-    tf = term_frequencies(docs, key, text, size)
-    idf = inverse_frequencies(tf, key, docs.count(), size)
-    d = weights(tf, idf, key)
-    q = weights(term_frequencies(queries, qkey, text, size), idf, qkey).withColumnRenamed("w", "qw")
-    scores = q.join(d, "bucket").groupBy(qkey, key).agg(F.round(F.sum(F.col("w") * F.col("qw")), digits).alias("score"))
-    return top_k(scores, qkey, key, k)
+    """(qkey, key, score, rank): the k likest texts of each query, with idf of the docs; texts that share no bucket with it are not listed.
+
+    Weights of queries are broadcast, at most QUERIES at a time, as a matrix of ``size`` columns; each block goes over the texts once, and each task keeps
+    the best k of its batches, so what is shuffled doesn't grow with the buckets that texts share. Keys are told apart by row: of repeated keys each row is scored.
+    """
+    idf = inverse_frequencies(term_frequencies(docs, key, text, size), key, docs.count(), size)
+    weight = np.zeros(size)
+    for r in idf.select("bucket", "idf").collect():
+        weight[r["bucket"]] = r["idf"]
+    asked = weights(term_frequencies(queries, qkey, text, size), idf, qkey)
+    kind, qkind = (df.schema[c].dataType.simpleString() for df, c in ((docs, key), (queries, qkey)))
+    rows = docs.select(F.col(key).alias("k"), F.lower(F.coalesce(text, F.lit(""))).alias("x"))
+    cut, out = max(1, -(-queries.select(qkey).distinct().count() // QUERIES)), None
+    for b in range(cut):
+        some = asked.where(F.pmod(F.xxhash64(qkey), F.lit(cut)) == b).toPandas()
+        names, row = np.unique(some[qkey].to_numpy(), return_inverse=True)
+        matrix = np.zeros((len(names), size))
+        matrix[row, some["bucket"]] = some["w"]
+        best = rows.mapInPandas(_best(docs.sparkSession.sparkContext.broadcast((weight, names, matrix)), k, size, digits), f"q {qkind}, k {kind}, score double")
+        out = best if out is None else out.unionByName(best)
+    return top_k(out.select(F.col("q").alias(qkey), F.col("k").alias(key), "score"), qkey, key, k)
+
+
+def _best(shared, k: int, size: int, digits: int):
+    def run(batches):
+        weight, names, matrix = shared.value
+        counter = Counter(size)
+        for pdf in batches:
+            for at in range(0, len(pdf), TEXTS):
+                keys = pdf["k"].to_numpy()[at : at + TEXTS]
+                w = np.zeros((len(keys), size))
+                for i, low in enumerate(pdf["x"].iloc[at : at + TEXTS]):
+                    bucket, n = counter(low)
+                    w[i, bucket] = n
+                shares = (matrix > 0).astype(np.float32) @ (w > 0).astype(np.float32).T > 0
+                w *= weight
+                w /= np.maximum(np.sqrt((w * w).sum(axis=1, keepdims=True)), 1e-300)
+                scores = np.where(shares, np.round(matrix @ w.T, digits), -1)
+                order = np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)[:, :k] if len(names) else np.zeros((0, 0), np.int64)
+                q = np.repeat(np.arange(len(order)), order.shape[1])
+                i = order.ravel()
+                ok = scores[q, i] >= 0 if len(q) else np.zeros(0, bool)
+                yield pd.DataFrame({"q": names[q[ok]], "k": keys[i[ok]], "score": scores[q[ok], i[ok]]})
+
+    return run
 
 
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, digits: int = 5, block: int = 10_000) -> DataFrame:
