@@ -67,9 +67,10 @@ def manifest_latest_ok(t: Tables) -> DataFrame:
     return latest(rows, "user_id", F.col("event_id")).select("user_id", "event_id", "event_type")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 400000)")
 def manifest_skip_anti(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey").join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    done = t.orders.where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    return t.customer.select("c_custkey").join(done, "c_custkey", "left_anti")
 
 
 @query("""
@@ -268,15 +269,24 @@ def term_load_cap(t: Tables) -> DataFrame:
     return rows.agg(F.round(F.sum("l_quantity"), 2).alias("load"), (F.sum("l_quantity") <= 60).alias("fits"))
 
 
+def ineligible(lines: DataFrame) -> DataFrame:
+    """(plan, course): courses of class 7 (their number modulo 11) of plans that hold one of class 5."""
+    cls = F.pmod("course", F.lit(11))
+    held = lines.groupBy("plan").agg(F.bool_or(cls == 5).alias("active"), F.collect_set(F.when(cls == 7, F.col("course"))).alias("some"))
+    return held.where("active").select("plan", F.explode("some").alias("course"))
+
+
 def failures(t: Tables) -> DataFrame:
     lines = plan_lines(t)
     text = lambda template, *cols: F.format_string(template, *cols)
     sets = t.part.select(F.floor(F.col("p_partkey") / 2).alias("set_id"), F.col("p_partkey").alias("course"))
     return validation.report(
         duplicate_course=validation.duplicates(lines).select("plan", text("course %d credited more than once", F.col("course")).alias("detail")),
+        ineligible_course=ineligible(lines).select("plan", text("course %d is ineligible", F.col("course")).alias("detail")),
         credit_exclusion=validation.exclusion_clashes(lines, sets).select("plan", text("at most one of set %d may earn credit", F.col("set_id")).alias("detail")),
         not_offered=judged(t).where("not is_offered").select("plan", text("%d is not offered in %s", F.col("course"), F.col("term")).alias("detail")),
         prereq_unsatisfied=earlier(t, False).where("not ok").select("plan", text("line %d prereq not met", F.col("line")).alias("detail")),
+        coreq_unsatisfied=earlier(t, True).where("not ok").select("plan", text("line %d coreq not met", F.col("line")).alias("detail")),
         requirement_shortfall=matching.shortfall(masks(t), NEED).where("shortfall > 0").select("plan", text("short %d", F.col("shortfall")).alias("detail")),
     )
 
@@ -286,10 +296,14 @@ def failures(t: Tables) -> DataFrame:
     s AS (SELECT s AS slots, {' + '.join(f'{n} * (s >> {k} & 1)' for k, n in enumerate(NEED))} AS need FROM range(64) r(s)),
     f AS (
     SELECT l_orderkey AS plan, 0 AS seq, 'duplicate_course' AS code, 'course ' || l_partkey || ' credited more than once' AS detail FROM lineitem GROUP BY l_orderkey, l_partkey HAVING count(*) > 1
+    UNION ALL SELECT DISTINCT plan, 1, 'ineligible_course', 'course ' || course || ' is ineligible' FROM lines
+        WHERE course % 11 = 7 AND plan IN (SELECT plan FROM lines WHERE course % 11 = 5)
     UNION ALL SELECT plan, 2, 'credit_exclusion', 'at most one of set ' || set_id || ' may earn credit' FROM ({CLASHES})
     UNION ALL SELECT plan, 3, 'not_offered', course || ' is not offered in ' || term FROM judged WHERE NOT is_offered
     UNION ALL SELECT plan, 4, 'prereq_unsatisfied', 'line ' || line || ' prereq not met' FROM k a
         WHERE class <> 0 AND NOT EXISTS (SELECT 1 FROM k b WHERE b.plan = a.plan AND b.term_idx < a.term_idx AND b.class = (a.class + 4) % 5)
+    UNION ALL SELECT plan, 5, 'coreq_unsatisfied', 'line ' || line || ' coreq not met' FROM k a
+        WHERE class <> 0 AND NOT EXISTS (SELECT 1 FROM k b WHERE b.plan = a.plan AND b.term_idx <= a.term_idx AND b.class = (a.class + 4) % 5)
     UNION ALL SELECT plan, 6, 'requirement_shortfall', 'short ' || max(short) FROM (
         SELECT plan, slots, any_value(need) - count(*) FILTER (WHERE mask & slots <> 0) AS short FROM m, s GROUP BY plan, slots) GROUP BY plan HAVING max(short) > 0)
     SELECT plan, seq, code, detail FROM f""")
@@ -299,11 +313,11 @@ def validate_union(t: Tables) -> DataFrame:
 
 @query("""
     (SELECT p_partkey FROM part WHERE p_size < 10 UNION SELECT p_partkey FROM part WHERE p_retailprice > 1500)
-    INTERSECT SELECT p_partkey FROM part WHERE p_partkey % 2 = 0 EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'""")
+    INTERSECT SELECT p_partkey FROM part WHERE p_partkey % 2 = 0 EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45""")
 def program_universe_setops(t: Tables) -> DataFrame:
     either = t.part.where("p_size < 10").select("p_partkey").union(t.part.where("p_retailprice > 1500").select("p_partkey"))
     both = either.intersect(t.part.where("p_partkey % 2 = 0").select("p_partkey"))
-    return both.subtract(t.lineitem.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")))
+    return both.subtract(t.lineitem.where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")))
 
 
 @query("""
