@@ -23,6 +23,7 @@ import re
 import uuid
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -226,16 +227,33 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 64 << 20)
     return stage(rows.join(last, "sha").select("page_id", "url", "html", "last").mapInArrow(_write(folder, archive_bytes), "run string, piece long, entries long, first binary, body binary"), "runs")
 
 
-def merge_runs(runs: DataFrame, range_entries: int = 100_000, sample: int = 20_000) -> DataFrame:
-    """The capture index: (range, position, url_key, captured, page_id, path, offset, length), ordered by range and position. A null page_id is -1 here."""
+def _some(share: float):
+    """A share of all entries, each as likely as any other; the same ones whenever a piece is read."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for name, piece, body in zip(*(batch.column(c) for c in ("run", "piece", "body")), strict=True):
+                entries = pickle.loads(body.as_py())
+                picked = np.random.default_rng([zlib.crc32(name.as_py().encode()), piece.as_py()]).random(len(entries)) < share
+                out += [pickle.dumps(entries[k]) for k in np.flatnonzero(picked)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["entry"])
+
+    return run
+
+
+def merge_runs(runs: DataFrame, range_entries: int = 100_000, sample: int = 32) -> DataFrame:
+    """The capture index: (range, position, url_key, captured, page_id, path, offset, length), ordered by range and position. A null page_id is -1 here.
+
+    Ranges of about ``range_entries`` entries are cut at entries drawn evenly from all runs, about ``sample`` for each range; these are what the driver gets.
+    """
     spark = runs.sparkSession
     prepare(spark)
-    n, pieces = runs.agg(F.sum("entries"), F.count("*")).first()
-    share = min(1.0, sample / max(1, pieces))
-    firsts = runs.where(F.pmod(F.xxhash64("run", "piece"), F.lit(1 << 20)) < share * (1 << 20)).select("first", "piece")
-    keys = sorted(pickle.loads(r["first"]) for r in firsts.collect())
-    ranges = max(1, min(len(keys), -(-(n or 0) // range_entries)))
-    cuts = sorted({keys[len(keys) * k // ranges] for k in range(1, ranges)})
+    n = runs.agg(F.sum("entries")).first()[0] or 0
+    ranges = max(1, -(-n // range_entries))
+    drawn = runs.select("run", "piece", "body").mapInArrow(_some(min(1.0, sample / range_entries)), "entry binary") if ranges > 1 else None
+    keys = sorted(pickle.loads(r["entry"]) for r in drawn.collect()) if drawn is not None else []
+    cuts = sorted({keys[len(keys) * k // ranges] for k in range(1, ranges)} if keys else ())
     cut = runs.select("run", "piece", "body").mapInArrow(_cut(spark.sparkContext.broadcast(cuts)), "range long, run string, piece long, body binary")
     return stage(cut.repartition("range").sortWithinPartitions("range", "run", "piece").mapInArrow(_merge, ENTRY), "index")
 
