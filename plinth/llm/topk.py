@@ -146,7 +146,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block_bytes: int =
     all_vectors = sound(vectors).withColumn("square", F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
     asked = stage(sound(queries).where("vec_id is not null").groupBy("vec_id").agg(F.min("vec").alias("vec")), "queries")
     top = [(r["vec_id"], r["vec"]) for r in all_vectors.orderBy(F.desc("square")).limit(seeds).collect()]
-    dealt = all_vectors.repartitionByRange(F.desc("square")).select("vec_id", "vec")
+    by_length = F.desc("square"), F.col("vec_id")  # vec_id parts equal lengths, as of unit vectors
+    dealt = all_vectors.repartitionByRange(*by_length).sortWithinPartitions(*by_length).select("vec_id", "vec")
     rows, size = asked.agg(F.count("*"), F.sum(8 * F.size("vec") + 64)).first()
     cut = max(1, -(-(size or 0) // block_bytes))
     out = spark.createDataFrame([], "query_id long, vec_id long, score long")
