@@ -2,7 +2,7 @@
 
 Words are runs of letters and digits, with A-Z lower-cased. Corpus counts of all n-grams of the items choose the
 seeds: in each window of ``window`` consecutive n-grams of an item the rarest, and all that are rarer than one in
-``rare`` texts; so any run of ``window + n - 1`` words shared with an item holds a seed. Each seed found in a text joins the
+``rare`` texts (of an item of fewer than SHORT words, one in ``rare / 10``); so any run of ``window + n - 1`` words shared with an item holds a seed. Each seed found in a text joins the
 passage around it to the item; overlapping passages of one item are one. A local alignment (match 1, mismatch and
 gap -1) scores each passage, relative to the item's length; the best passage of a text and item counts.
 
@@ -24,6 +24,8 @@ from .shared import prepare, slices, text_offsets
 from .words import U, grams
 
 FILTER = 20
+#: Items of fewer words than this have ten times as frequent n-grams as seeds too.
+SHORT = 40
 KIND = "doc_id long, rid long, item_id long, score double, start_word long, end_word long"
 
 
@@ -51,6 +53,8 @@ class Items:
         chosen = {g for g, c in count.items() if c <= few}
         for _, _, h in self.parts:
             gs = grams(h, self.n).tolist()
+            if len(h) < SHORT:
+                chosen.update(g for g in gs if count[g] <= 10 * few)
             for at in range(max(1, len(gs) - window + 1)):
                 if some := gs[at : at + window]:
                     chosen.add(min(some, key=lambda g: (count[g], g)))
