@@ -16,7 +16,7 @@ import pyarrow as pa
 from .shared import slices, text_offsets
 from .words import ODD, U, mix, powers, word_bounds
 
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 MARK = np.zeros(256, bool)
@@ -86,7 +86,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.at, self.size, self.pool = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        self.known, self.at, self.size, self.pool = np.zeros(0, U), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, self.dtype)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -95,8 +95,8 @@ class Encoder:
         if len(self.known) + len(hashes) > REMEMBERED:
             self.forget()
         got = self.whole([p.decode() for p in pieces])
-        size = np.array([len(g) for g in got], np.int64)
-        at = len(self.pool) + np.cumsum(size) - size
+        size = np.array([len(g) for g in got], np.int32)
+        at = (len(self.pool) + np.cumsum(size, dtype=np.int64) - size).astype(np.int32)
         self.pool = np.concatenate([self.pool, *got])
         known = np.concatenate([self.known, hashes])
         order = np.argsort(known, kind="stable")
@@ -126,7 +126,7 @@ class Encoder:
             self.learn(distinct[new], [raw[starts[i] : ends[i]].tobytes() for i in first[new]])
         place = place[which]
         size = self.size[place]
-        stop = np.cumsum(size)
+        stop = np.cumsum(size, dtype=np.int64)
         ids = self.pool[np.repeat(self.at[place] - (stop - size), size) + np.arange(stop[-1])]
         cuts = np.concatenate([[0], stop])[np.searchsorted(starts, offs)]
         out = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
