@@ -147,20 +147,20 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 PIECES = "piece long, path string, tokens long"
 
 
-def _segments(batches):
-    """(doc_ids, raw, offsets, whether the last text ends here): texts of about SEGMENT bytes; longer ones are cut after white space."""
+def _segments(batches, most: int):
+    """(doc_ids, raw, offsets, whether the last text ends here): texts of about ``most`` bytes; longer ones are cut after white space."""
     for batch in batches:
-        for part in slices(batch, "text", SEGMENT):
+        for part in slices(batch, "text", most):
             raw, offs = text_offsets(part.column("text"))
             ids = part.column("doc_id")
             at = 0
-            while part.num_rows == 1 and len(raw) - at > SEGMENT:
-                space = np.flatnonzero(SPACE[raw[at : at + SEGMENT]])
+            while part.num_rows == 1 and len(raw) - at > most:
+                space = np.flatnonzero(SPACE[raw[at : at + most]])
                 if len(space):
                     to = at + int(space[-1]) + 1
                 else:  # a word of more than a segment
-                    space = np.flatnonzero(SPACE[raw[at + SEGMENT :]])
-                    to = at + SEGMENT + int(space[0]) + 1 if len(space) else len(raw)
+                    space = np.flatnonzero(SPACE[raw[at + most :]])
+                    to = at + most + int(space[0]) + 1 if len(space) else len(raw)
                 if to >= len(raw):
                     break
                 yield ids, raw[at:to], np.array([0, to - at]), False
@@ -186,7 +186,7 @@ def _pieces(folder: str):
                 f.write(dump(words=_gaps(words), local=local.astype(np.uint32), row=row_, tokens=tokens, doc_id=ids["id"].copy(), null=ids["null"].copy(), lead=np.array([lead])))
             return _batch([(number, path, len(h) - lead)], PIECES)
 
-        for ids, raw, offs, ends in _segments(batches):
+        for ids, raw, offs, ends in _segments(batches, SEGMENT):
             h, word_offs = word_hashes(raw, offs)
             n = len(offs) - 1
             own = np.repeat(np.arange(n), np.diff(word_offs))

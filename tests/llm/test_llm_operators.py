@@ -382,3 +382,12 @@ def test_pipeline_stages_on_odd_rows(spark, sf_dir, docs, empty):
         out.count()
     left = corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()
     assert sorted((r["doc_id"] for r in left if r["doc_id"] is not None)) == [0, 4, 5, 6, 8, 9, 10, 11, 12, 13, 14]
+
+
+def test_ranges_of_many_short_runs(spark):
+    """No range is much larger than the others, however short the runs are."""
+    pages = spark.range(2400).selectExpr("id AS page_id", "concat('http://h', id % 7, '.org/', id) AS url", "cast(id % 50 as string) AS html").repartition(8)
+    runs = warc.write_archives(pages, fresh_dir(spark, "short"), 300)
+    assert runs.count() > 300
+    sizes = [r["count"] for r in warc.merge_runs(runs, range_entries=200).groupBy("range").count().collect()]
+    assert sum(sizes) == 2400 and len(sizes) >= 11 and max(sizes) < 2 * 200
