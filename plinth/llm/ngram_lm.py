@@ -15,7 +15,7 @@ the piece; a long text goes on in the next piece, which begins with the words be
 their own hash, and what they sum to is added up and broadcast (at most one hot context a part). A part is a file. To be
 asked, it is sent its path and the pieces' distinct n-grams, is mapped into memory once (first copied to an unlinked temporary file
 where the path isn't local), and sends back codes. So no task opens more than one part at a time, and none looks up an n-gram of a piece
-twice. Levels above 1 are built and asked in ``ROUNDS`` over the parts, so that shuffles on disk stay small.
+twice. Levels above 1 are built in ``ROUNDS`` and asked in ``ASKING`` rounds over the parts, so that shuffles on disk stay small.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -40,10 +41,12 @@ END = 0x5851F42D4C957F2D
 ORDER_MOST = 3
 #: Tokens of a piece (the last text's segment may add SEGMENT / 2), of a part of a level above 1, and of a part of level 1.
 PIECE, PART, WORDS_PART = 1_000_000, 1_000_000, 8_000_000
+#: Words or n-grams that a part is asked for at a time.
+ASKED = 200_000
 #: Bytes of text hashed at a time.
 SEGMENT = 1 << 20
-#: Rounds over the parts of each level.
-ROUNDS = {2: 1, 3: 2}
+#: Rounds over the parts of each level, when it is built and when it is asked.
+ROUNDS, ASKING = {2: 1, 3: 2}, {2: 1, 3: 3}
 #: More parts than this share tasks.
 TASKS_MOST = 20_000
 
@@ -89,15 +92,25 @@ def _get(name: str, x: dict) -> EliasFano:
     return EliasFano(x[f"{name}.n"], x[f"{name}.bits"], x[f"{name}.low"], x[f"{name}.high"], x[f"{name}.ones"])
 
 
+_zstd: list = []
+
+
+def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One for each process."""
+    if not _zstd:
+        _zstd.extend((zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()))
+    return tuple(_zstd)
+
+
 def dump(**arrays: np.ndarray) -> bytes:
     """Arrays as one compressed block: all first bytes of an array, then all second ones, and so on."""
     head = json.dumps([(k, a.dtype.str, len(a)) for k, a in arrays.items()]).encode()
     planes = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays.values())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([len(head).to_bytes(4, "little"), head, *planes]))
+    return _codec()[0].compress(b"".join([len(head).to_bytes(4, "little"), head, *planes]))
 
 
 def undump(body: bytes) -> dict[str, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(body)
+    raw = _codec()[1].decompress(body)
     at = 4 + int.from_bytes(raw[:4], "little")
     out = {}
     for k, kind, n in json.loads(raw[4:at]):
@@ -182,8 +195,10 @@ def _pieces(folder: str):
             row_, tokens, ids = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
             path = f"{folder}/{number:012d}-{task.taskAttemptId()}.piece"
             fs, at = file_system(path)
+            with fs.open_output_stream(f"{at}.dictionary", compression=None) as f:
+                f.write(dump(words=_gaps(words)))
             with fs.open_output_stream(at, compression=None) as f:
-                f.write(dump(words=_gaps(words), local=local.astype(np.uint32), row=row_, tokens=tokens, doc_id=ids["id"].copy(), null=ids["null"].copy(), lead=np.array([lead])))
+                f.write(dump(size=np.array([len(words)]), local=local.astype(np.uint32), row=row_, tokens=tokens, doc_id=ids["id"].copy(), null=ids["null"].copy(), lead=np.array([lead])))
             return _batch([(number, path, len(h) - lead)], PIECES)
 
         for ids, raw, offs, ends in _segments(batches, SEGMENT):
@@ -217,14 +232,14 @@ def _pieces(folder: str):
 
 class _Piece:
     def __init__(self, path: str, numbers: str | None = None):
-        x = self._read(path)
-        self.words, self.local, self.row, self.tokens = np.cumsum(x["words"], dtype=U), x["local"].astype(np.int64), x["row"], x["tokens"]
+        x = self.read(path)
+        self.size, self.local, self.row, self.tokens = int(x["size"][0]), x["local"].astype(np.int64), x["row"], x["tokens"]
         self.doc_id, self.null, self.lead = x["doc_id"], x["null"].astype(bool), int(x["lead"][0])
         first = np.append(np.ones(min(1, len(self.row)), bool), self.row[1:] != self.row[:-1])  # a long text has several entries
         self.own = np.repeat(np.cumsum(first) - 1, self.tokens)
         self.row, self.doc_id, self.null = self.row[first], self.doc_id[first], self.null[first]
         if numbers:
-            y = self._read(numbers)
+            y = self.read(numbers)
             number, self.count = y["number"].astype(np.int64) - 1, y["count"].astype(np.int64)
             order = np.argsort(np.where(number < 0, np.iinfo(np.int64).max, number), kind="stable")
             back = np.empty(len(order), np.int64)
@@ -232,14 +247,14 @@ class _Piece:
             self.local, self.number, self.count = back[self.local], number[order], self.count[order]  # local numbers in order of the words' numbers, unknown words last
 
     @staticmethod
-    def _read(path: str) -> dict[str, np.ndarray]:
+    def read(path: str) -> dict[str, np.ndarray]:
         fs, at = file_system(path)
         with fs.open_input_file(at) as f:
             return undump(f.read())
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The n-grams of k words whose context is known, as keys; the tokens that end them."""
-        base, begin = len(self.words) + 1, max(self.lead, k - 1)
+        base, begin = self.size + 1, max(self.lead, k - 1)
         at = np.arange(begin, len(self.local))
         ok = self.own[begin:] == self.own[begin - k + 1 : len(self.own) - k + 1]
         known = self.number >= 0
@@ -255,7 +270,7 @@ class _Piece:
 
     def dealt(self, k: int, distinct: np.ndarray, trie: Trie):
         """Of increasing keys: contexts and last words by their numbers, and parts."""
-        base = len(self.words) + 1
+        base = self.size + 1
         number = np.append(self.number, trie.words)
         number[number < 0] = trie.words
         last, rest = number[distinct % base], distinct // base
@@ -319,15 +334,17 @@ def _word_part(h: np.ndarray, parts: int) -> np.ndarray:
 def _send_words(parts: int, counted: bool):
     def run(batches):
         for number, path in _rows(batches, "piece", "path"):
-            p = _Piece(path)
-            part = _word_part(p.words, parts)
+            words = np.cumsum(_Piece.read(f"{path}.dictionary")["words"], dtype=U)
+            part = _word_part(words, parts)
             cuts = np.searchsorted(part, np.arange(parts + 1))
-            counts = np.bincount(p.local[p.lead :], minlength=len(p.words))
+            if counted:
+                p = _Piece(path)
+                counts = np.bincount(p.local[p.lead :], minlength=len(words))
             out = []
             for s in np.flatnonzero(np.diff(cuts)):
                 own = slice(cuts[s], cuts[s + 1])
                 more = {"counts": _small(counts[own])} if counted else {}
-                out.append((int(s), number, dump(words=_gaps(p.words[own]), **more)))
+                out.append((int(s), number, dump(words=_gaps(words[own]), **more)))
             yield _batch(out, BLOCK)
 
     return run
@@ -368,19 +385,26 @@ def _build_words(folder: str, hot: float):
 
 
 def _answered(batches, answer):
-    """Rows sorted by part and piece, the part's path as piece -1 -> (piece, part, answer(file, block)), one file open at a time."""
-    now, x = None, None
-    for part, piece, body in _rows(batches, "part", "piece", "body"):
-        if piece < 0:
-            now, x = part, load(body.decode())
-        else:
-            yield _batch([(part, piece, answer(x if now == part else None, undump(body)))], BLOCK)
+    """Rows sorted by part and piece, the part's path as piece -1 -> (part, piece, answer): answer(file, blocks) for some blocks of a part, one file open at a time."""
+    for part, rows in groupby(_rows(batches, "part", "piece", "body"), lambda r: r[0]):
+        x, held, size = None, [], 0
+        for _, piece, body in rows:
+            if piece < 0:
+                x = load(body.decode())
+                continue
+            held.append((piece, undump(body)))
+            size += len(next(iter(held[-1][1].values())))
+            if size >= ASKED:
+                yield _batch([(part, p, a) for (p, _), a in zip(held, answer(x, [b for _, b in held]), strict=True)], BLOCK)
+                held, size = [], 0
+        if held:
+            yield _batch([(part, p, a) for (p, _), a in zip(held, answer(x, [b for _, b in held]), strict=True)], BLOCK)
 
 
 def _answer_words(batches):
     """Of each word 1 + its rank in its class (0: unknown) and its count."""
 
-    def answer(x, block):
+    def one(x, block):
         h = np.cumsum(block["words"], dtype=U)
         if x is None or not x["words.n"]:
             return dump(rank=np.zeros(len(h), np.uint8), count=np.zeros(len(h), np.uint8))
@@ -388,6 +412,9 @@ def _answer_words(batches):
         place = np.where(h >= first, _get("words", x).find(np.where(h >= first, h - first, U(0))), -1)
         return dump(rank=_small(np.where(place >= 0, x["ranks"][place].astype(np.int64) + 1, 0)), count=_small(np.where(place >= 0, x["counts"][place], 0)))
 
+    def answer(x, blocks):
+        return [one(x, b) for b in blocks]
+
     return _answered(batches, answer)
 
 
@@ -424,7 +451,18 @@ def numbered(pieces: DataFrame, folder: str, trie: Trie, n: int) -> DataFrame:
     asked = pieces.repartition(_tasks(n)).mapInArrow(_send_words(trie.parts[0], False), BLOCK)
     answers = _by(_with_files(asked, trie.files[0]), trie.parts[0], "part", "piece").mapInArrow(_answer_words, BLOCK)
     paths = pieces.select(F.lit(-1).cast("long").alias("part"), "piece", F.col("path").cast("binary").alias("body"))
-    return stage(_by(answers.unionByName(paths), n, "piece", "part").mapInArrow(_number(folder, shared), "piece long, path string, numbers string"), "numbered")
+    out = stage(_by(answers.unionByName(paths), n, "piece", "part").mapInArrow(_number(folder, shared), "piece long, path string, numbers string"), "numbered")
+    pieces.mapInArrow(_drop_dictionaries, "piece long").agg(F.count("piece")).first()
+    return out
+
+
+def _drop_dictionaries(batches):
+    """Numbers stand for the words from here on."""
+    for number, path in _rows(batches, "piece", "path"):
+        fs, at = file_system(f"{path}.dictionary")
+        if fs.get_file_info(at).type == pafs.FileType.File:
+            fs.delete_file(at)
+        yield _batch([(number,)], "piece long")
 
 
 def _by_part(part: np.ndarray) -> np.ndarray:
@@ -432,7 +470,7 @@ def _by_part(part: np.ndarray) -> np.ndarray:
     return np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
 
 
-def _send_grams(k: int, trie, counted: bool, of_round: int):
+def _send_grams(k: int, trie, counted: bool, of_round: int, rounds: int):
     def run(batches):
         for number, path, numbers in _rows(batches, "piece", "path", "numbers"):
             p, t = _Piece(path, numbers), trie.value
@@ -440,7 +478,7 @@ def _send_grams(k: int, trie, counted: bool, of_round: int):
             first = np.flatnonzero(np.append(np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
             counts = np.diff(np.append(first, len(keys)))
             ctx, last, part = p.dealt(k, keys[first], t)
-            mine = np.flatnonzero(part % ROUNDS[k] == of_round)
+            mine = np.flatnonzero(part % rounds == of_round)
             order = mine[_by_part(part[mine])]
             cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
             out = []
@@ -531,8 +569,9 @@ def _answer_grams(k: int, trie):
             codes = np.where(place >= 0, x[name][place].astype(np.uint32) + 1, 0) if x is not None and len(x[name]) else np.zeros(len(place), np.uint32)
             return codes, x[f"{name}.book"] if x is not None else np.zeros(0)
 
-        def answer(x, block):
-            ctx, last = np.cumsum(block["ctx"], dtype=U), block["last"].astype(U)
+        def answer(x, blocks):
+            ctx, last = np.concatenate([np.cumsum(b["ctx"], dtype=U) for b in blocks]), np.concatenate([b["last"].astype(U) for b in blocks])
+            ends_of = np.cumsum([len(b["last"]) for b in blocks])
             fresh = np.append(np.ones(min(1, len(ctx)), bool), ctx[1:] != ctx[:-1])
             distinct, which = ctx[fresh], np.cumsum(fresh) - 1
             above, place = np.full(len(ctx), -1, np.int64), np.full(len(ctx), -1, np.int64)
@@ -545,7 +584,7 @@ def _answer_grams(k: int, trie):
                 ends[:, order] = found, *(np.where(found >= 0, pointers.get(np.maximum(found, 0) + j).astype(np.int64), 0) for j in (0, 1))
                 above, begin, end = ends[:, which]
                 place = _get("children", x).find(np.maximum(above, 0).astype(U) * U(_universe(t.words + 1)) + _spread(last, t.words + 1), begin, end)
-            out = {}
+            out = [{} for _ in blocks]
             for name, where in (("probs", place), ("backs", above)):
                 codes, book = coded(name, where, x)
                 if name == "backs" and len(hot):
@@ -554,11 +593,12 @@ def _answer_grams(k: int, trie):
                     mine, code = np.unique(at[is_hot], return_inverse=True)
                     codes[is_hot] = len(book) + 1 + code
                     book = np.append(book, weights[mine])
-                used = np.flatnonzero(np.bincount(codes, minlength=1)[1:])  # 0 stands for none
-                number = np.zeros(len(book) + 1, np.int64)
-                number[used + 1] = np.arange(1, len(used) + 1)
-                out[name], out[f"{name}.book"] = _small(number[codes]), book[used]
-            return dump(**out)
+                for o, own in zip(out, np.split(codes, ends_of[:-1]), strict=True):
+                    used = np.flatnonzero(np.bincount(own, minlength=1)[1:])  # 0 stands for none
+                    number = np.zeros(len(book) + 1, np.int64)
+                    number[used + 1] = np.arange(1, len(used) + 1)
+                    o[name], o[f"{name}.book"] = _small(number[own]), book[used]
+            return [dump(**o) for o in out]
 
         yield from _answered(batches, answer)
 
@@ -605,7 +645,7 @@ def train(docs: DataFrame, order: int = 3, least: int = 2, discount: float = 0.7
         built = None
         for r in range(ROUNDS[k]):
             free(spark)
-            sent = known.repartition(_tasks(n)).mapInArrow(_send_grams(k, shared, True, r), BLOCK)
+            sent = known.repartition(_tasks(n)).mapInArrow(_send_grams(k, shared, True, r, ROUNDS[k]), BLOCK)
             made = stage(_by(sent, trie.parts[k - 1], "part", "piece").mapInArrow(_build(k, shared, least, folder, share), BUILT), "level")
             built = made if built is None else built.unionByName(made)
         used_keys, used = _collect_hot(built, 1)
@@ -662,7 +702,7 @@ def _score(trie):
             keys, at = p.grams(k)
             distinct, which = np.unique(keys, return_inverse=True)
             part = p.dealt(k, distinct, t)[2]
-            order = np.concatenate([mine[_by_part(part[mine])] for mine in (np.flatnonzero(part % ROUNDS[k] == r) for r in range(ROUNDS[k]))])
+            order = np.concatenate([mine[_by_part(part[mine])] for mine in (np.flatnonzero(part % ASKING[k] == r) for r in range(ASKING[k]))])
             got = [x for _, path in sorted(answers.get(k, [])) for x in _kept(path)]
             prob, back = np.zeros(len(distinct)), np.ones(len(distinct))
             for name, out, none in (("probs", prob, 0.0), ("backs", back, 1.0)):
@@ -704,10 +744,10 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
     shared = spark.sparkContext.broadcast(trie)
     paths = known.select("piece", F.lit(0).alias("level"), F.lit(0).alias("round"), F.concat_ws("\n", "path", "numbers").alias("path"))
     for k in range(2, trie.order + 1):
-        for r in range(ROUNDS[k]):
+        for r in range(ASKING[k]):
             free(spark)
-            asked = known.repartition(_tasks(n)).mapInArrow(_send_grams(k, shared, False, r), BLOCK)
-            files = trie.files[k - 1].where(F.col("part") % ROUNDS[k] == r)
+            asked = known.repartition(_tasks(n)).mapInArrow(_send_grams(k, shared, False, r, ASKING[k]), BLOCK)
+            files = trie.files[k - 1].where(F.col("part") % ASKING[k] == r)
             answers = _by(_with_files(asked, files), trie.parts[k - 1], "part", "piece").mapInArrow(_answer_grams(k, shared), BLOCK)
             kept = stage(_by(answers, n, "piece", "part").mapInArrow(_keep(folder, k, r), KEPT), "answers")
             paths = paths.unionByName(kept.select("piece", F.lit(k).alias("level"), F.lit(r).alias("round"), "path"))
