@@ -84,7 +84,7 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 512 << 10):
     """Consecutive pieces of a batch with about ``most`` bytes of ``column`` each; a longer text is a piece of its own."""
     import numpy as np
 

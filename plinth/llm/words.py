@@ -20,7 +20,7 @@ ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 
 def powers(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
-        n = max(n, 1 << 20)
+        n = max(n, 1 << 19)
         for k, p in enumerate((BASE, pow(BASE, -1, 1 << 64))):
             step = np.full(n, p, U)
             step[0] = 1
