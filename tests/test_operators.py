@@ -175,3 +175,17 @@ def test_markdown_cuts_nothing(spark):
     assert len(readers.markdown(spark.range(5), most=5).splitlines()) == 7
     with pytest.raises(ValueError, match="more than 4 rows"):
         readers.markdown(spark.range(5), most=4)
+
+
+def test_exclusive_quantiles_of_ties_and_slices(spark):
+    import random
+    import statistics
+
+    from plinth.functions.stats import exclusive_quantiles
+
+    rng = random.Random(2)
+    groups = {"many": [rng.gauss(0, 5) for _ in range(900)], "ties": [1.0] * 500 + [2.0] * 3 + [-1.0], "two": [3.0, 8.0], "one": [4.0], "three": [1.0, 5.0, 5.0]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("none", None), ("two", None)]
+    got = {r["k"]: (r["p50"], r["p95"]) for r in exclusive_quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", [50, 95]).collect()}
+    want = {k: tuple(round(statistics.quantiles(vs, n=100)[p - 1], 4) if len(vs) > 1 else vs[0] for p in (50, 95)) for k, vs in groups.items()}
+    assert got.keys() == want.keys() and all(abs(a - b) < 2e-4 for k in want for a, b in zip(got[k], want[k], strict=True))
