@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,31 @@ def decay(rows: DataFrame, key: str, capacity: str, percent: int = 40, seed: int
     most = F.greatest(F.floor(F.col(capacity) / 3), F.lit(1))
     loss = F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), most) + 1
     return rows.withColumn("decayed", F.when((F.col(capacity) > 0) & (h < percent), F.greatest(F.col(capacity) - loss, F.lit(0))).otherwise(F.col(capacity)))
+
+
+CHANGE = "course string, kind string, term string, component string, new_capacity int, new_time_start string, new_time_end string"
+
+
+def apply(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
+    """A snapshot (course_id, terms, sections, ...) after changes (CHANGE, and place: their order), each on one course.
+
+    seats_full: the first section of the term (and component, if one is named) has new_capacity seats, 0 by default. time_move: the first meeting of that section
+    begins and ends at the new times. term_drop: the term and its sections go. term_add: the term is appended, if it isn't there. A change without such a
+    section, and one of a course that the snapshot doesn't hold, changes nothing; other kinds are passed over.
+    """
+    listed = changes.groupBy(F.col("course").alias("course_id")).agg(F.array_sort(F.collect_list(F.struct("place", "kind", "term", "component", "new_capacity", "new_time_start", "new_time_end"))).alias("__changes"))
+    out = snapshot.join(listed, "course_id", "left")
+    sections_type, terms_type = (snapshot.schema[c].dataType.simpleString() for c in ("sections", "terms"))
+
+    def step(s: Column, c: Column) -> Column:
+        fits = lambda x: F.coalesce((x["term"] == c["term"]) & (c["component"].isNull() | (x["component"] == c["component"])), F.lit(False))
+        first = F.array_position(F.transform(s["sections"], fits), True)
+        moved = lambda x: x.withField("meetings", F.transform(x["meetings"], lambda m, j: F.when(j == 0, m.withField("time_start", c["new_time_start"]).withField("time_end", c["new_time_end"])).otherwise(m)))
+        changed = F.transform(s["sections"], lambda x, i: F.when((i + 1 == first) & (c["kind"] == "seats_full"), x.withField("capacity", F.coalesce(c["new_capacity"], F.lit(0)))).when((i + 1 == first) & (c["kind"] == "time_move"), moved(x)).otherwise(x))
+        sections = F.when(c["kind"] == "term_drop", F.filter(s["sections"], lambda x: ~x["term"].eqNullSafe(c["term"]))).otherwise(changed)
+        terms = F.when(c["kind"] == "term_drop", F.filter(s["terms"], lambda t: ~t.eqNullSafe(c["term"]))).when((c["kind"] == "term_add") & ~F.array_contains(s["terms"], c["term"]), F.array_append(s["terms"], c["term"])).otherwise(s["terms"])
+        return F.struct(terms.cast(terms_type).alias("terms"), sections.cast(sections_type).alias("sections"))
+
+    start = F.struct(F.coalesce("terms", F.array().cast(terms_type)).alias("terms"), F.coalesce("sections", F.array().cast(sections_type)).alias("sections"))
+    folded = F.when(F.col("__changes").isNull(), start).otherwise(F.aggregate("__changes", start, step))
+    return out.withColumn("__after", folded).withColumns({"terms": F.col("__after.terms"), "sections": F.col("__after.sections")}).select(snapshot.columns)
