@@ -103,21 +103,27 @@ def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
 
 
 def dump(**arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed block: all first bytes of an array, then all second ones, and so on."""
-    head = json.dumps([(k, a.dtype.str, len(a)) for k, a in arrays.items()]).encode()
-    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays.values())
-    return _codec()[0].compress(b"".join([len(head).to_bytes(4, "little"), head, *planes]))
+    """Arrays as one compressed block: all lowest bytes of an array, then all next ones, as far as any is set."""
+    head, planes = [], []
+    for name, a in arrays.items():
+        bits = a.view(f"u{a.itemsize}")
+        used = (int(bits.max()).bit_length() + 7) // 8 if len(a) else 0
+        head.append((name, a.dtype.str, len(a), used))
+        planes += [(bits >> bits.dtype.type(8 * j)).astype(np.uint8).tobytes() for j in range(used)]
+    first = json.dumps(head).encode()
+    return _codec()[0].compress(b"".join([len(first).to_bytes(4, "little"), first, *planes]))
 
 
 def undump(body: bytes) -> dict[str, np.ndarray]:
     raw = _codec()[1].decompress(body)
     at = 4 + int.from_bytes(raw[:4], "little")
     out = {}
-    for k, kind, n in json.loads(raw[4:at]):
-        wide = np.dtype(kind).itemsize
-        planes = np.frombuffer(raw, np.uint8, n * wide, at).reshape(wide, n)
-        out[k] = np.ascontiguousarray(planes.T).view(kind).ravel()
-        at += n * wide
+    for name, kind, n, used in json.loads(raw[4:at]):
+        bits = np.zeros(n, f"u{np.dtype(kind).itemsize}")
+        for j in range(used):
+            bits |= np.frombuffer(raw, np.uint8, n, at).astype(bits.dtype) << bits.dtype.type(8 * j)
+            at += n
+        out[name] = bits.view(kind)
     return out
 
 
@@ -126,6 +132,22 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
 
 
+def _unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, none negative, and the place of each of x among them: as np.unique, by a sort of values with their places in the low bits."""
+    place = max(1, (len(x) - 1).bit_length())
+    over = max(0, (int(x.max()).bit_length() if len(x) else 0) + place - 64)
+    keys = x.astype(U)
+    order = np.sort(keys >> U(over) << U(place) | np.arange(len(x), dtype=U)) & U((1 << place) - 1)
+    order = order.astype(np.int64)
+    keys = keys[order]
+    if over and (keys[1:] < keys[:-1]).any():  # values that differ only in bits that had no room
+        return np.unique(x, return_inverse=True)
+    fresh = np.append(np.ones(min(1, len(x)), bool), keys[1:] != keys[:-1])
+    which = np.empty(len(x), np.int64)
+    which[order] = np.cumsum(fresh) - 1
+    return keys[fresh].astype(x.dtype), which
+
+
 def _spread(x: np.ndarray, values: int) -> np.ndarray:
     """A bijection of the numbers below a power of two of at least ``values``: spreads what lies close together, so that an Elias-Fano sequence is even."""
     return (x.astype(U) * ODD[0]) & U(_universe(values) - 1)
@@ -191,7 +213,7 @@ def _pieces(folder: str):
 
         def write():
             h = np.concatenate([x[0] for x in held])
-            words, local = np.unique(h, return_inverse=True)
+            words, local = _unique(h)
             row_, tokens, ids = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
             path = f"{folder}/{number:012d}-{task.taskAttemptId()}.piece"
             fs, at = file_system(path)
@@ -254,7 +276,7 @@ class _Piece:
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The n-grams of k words whose context is known, as keys; the tokens that end them."""
-        base, begin = self.size + 1, max(self.lead, k - 1)
+        bits, begin = self.size.bit_length(), max(self.lead, k - 1)
         at = np.arange(begin, len(self.local))
         ok = self.own[begin:] == self.own[begin - k + 1 : len(self.own) - k + 1]
         known = self.number >= 0
@@ -263,18 +285,19 @@ class _Piece:
         at = at[ok]
         key = np.zeros(len(at), np.int64)
         for j in range(k - 1, 0, -1):
-            key = key * base + self.local[at - j]
+            key = key << bits | self.local[at - j]
         last = self.local[at]
-        key = key * base + np.where(known[last], last, base - 1)  # all unknown words are one
+        key = key << bits | np.where(known[last], last, self.size)  # all unknown words are one
         return key, at
 
     def dealt(self, k: int, distinct: np.ndarray, trie: Trie):
         """Of increasing keys: contexts and last words by their numbers, and parts."""
-        base = self.size + 1
+        bits = self.size.bit_length()
+        low = (1 << bits) - 1
         number = np.append(self.number, trie.words)
         number[number < 0] = trie.words
-        last, rest = number[distinct % base], distinct // base
-        ctx = number[rest] if k == 2 else number[rest // base] * (trie.words + 1) + number[rest % base]
+        last, rest = number[distinct & low], distinct >> bits
+        ctx = number[rest] if k == 2 else number[rest >> bits] * (trie.words + 1) + number[rest & low]
         spread = mix(ctx.astype(U) * ODD[k])
         if len(hot := trie.hot[k - 1][0]):
             is_hot = hot[np.minimum(np.searchsorted(hot, ctx), len(hot) - 1)] == ctx
@@ -700,7 +723,7 @@ def _score(trie):
         base = log
         for k in range(2, t.order + 1):
             keys, at = p.grams(k)
-            distinct, which = np.unique(keys, return_inverse=True)
+            distinct, which = _unique(keys)
             part = p.dealt(k, distinct, t)[2]
             order = np.concatenate([mine[_by_part(part[mine])] for mine in (np.flatnonzero(part % ASKING[k] == r) for r in range(ASKING[k]))])
             got = [x for _, path in sorted(answers.get(k, [])) for x in _kept(path)]

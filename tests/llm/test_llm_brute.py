@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from plinth.llm import decontamination, language_id, queries, resampling, urls
+from plinth.llm import decontamination, language_id, ngram_lm, queries, resampling, urls
 from plinth.llm.jaccard_join import jaccard_join
 from plinth.llm.tokens import default_path
 from plinth.llm.words import ODD
@@ -69,6 +69,24 @@ def test_op8_query(spark, sf_dir, ids):
     assert len(got) == len(ids)
 
 
+# ---- op7: blocks and sorts
+
+
+def test_blocks_come_back():
+    rng = np.random.default_rng(3)
+    arrays = {"a": rng.integers(0, 1 << 63, 50).astype(np.uint64), "b": np.array([-5, 0, 7]), "c": np.zeros(0, np.uint32), "d": rng.normal(size=9), "e": np.zeros(4, np.uint8), "f": np.array([255, 3], np.uint16)}
+    got = ngram_lm.undump(ngram_lm.dump(**arrays))
+    assert got.keys() == arrays.keys() and all((got[k] == v).all() and got[k].dtype == v.dtype for k, v in arrays.items())
+
+
+def test_unique_values_and_places():
+    rng = np.random.default_rng(4)
+    close = np.array([(5 << 40) + k for k in (3, 1, 2, 3, 1)] * 30, np.uint64) << np.uint64(18)
+    for x in (np.zeros(0, np.int64), np.array([7]), rng.integers(0, 9, 100), rng.integers(0, 1 << 62, 999), (rng.integers(0, 1 << 62, 300).astype(np.uint64) << np.uint64(2))[rng.integers(0, 300, 2000)], close, close + np.arange(150, dtype=np.uint64) % np.uint64(2)):
+        want, got = np.unique(x, return_inverse=True), ngram_lm._unique(x)
+        assert (want[0] == got[0]).all() and (want[1] == got[1]).all() and got[0].dtype == x.dtype
+
+
 # ---- op2
 
 
