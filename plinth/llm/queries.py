@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, ngram_lm
+from . import alignment, language_id, ngram_lm
 from .decontamination import contaminated
+from .divergence import divergences
 from .jaccard_join import jaccard_join
 from .packing import pack_documents
 from .records import token_records
 from .resampling import resample
+from .square_packing import square_pack_documents
 from .tokens import default_path
 from .topk import top_k
 from .urls import filter_urls
@@ -77,7 +79,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ffd_packing, op2_decontamination, op3_language_id, op4_importance_resampling, op5_exact_topk, op6_warc_index_merge, op7_ngram_lm, op8_token_records, op9_ngram_jaccard_join, op10_url_filter)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergences(_table(spark, sf_dir, "documents"), least=30, top=50)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignment.aligned_documents(_table(spark, sf_dir, "documents"), *alignment.default_paths())
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_square_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = square_pack_documents(_table(spark, sf_dir, "documents"), default_path(), end_id=2, size=1024)
+    return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ffd_packing, op2_decontamination, op3_language_id, op4_importance_resampling, op5_exact_topk, op6_warc_index_merge, op7_ngram_lm, op8_token_records, op9_ngram_jaccard_join, op10_url_filter, op11_source_divergence, op12_token_alignment, op13_square_packing)}
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_topk": """
         WITH v AS (
@@ -115,4 +131,25 @@ ORACLE_SQL: dict[str, str] = {
         e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
         reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT x, b FROM reach JOIN e ON y = a)
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) LEFT JOIN n USING (doc_id)""",
+    "op11_source_divergence": """
+        WITH d AS (
+            SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents
+        ), t AS (SELECT row, lang, source, unnest(w) AS term FROM d),
+        k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+        b AS (SELECT lang, source, coalesce(sum(n), 0) + 5 * coalesce(any_value(v), 0) AS base FROM g LEFT JOIN c USING (lang, source) LEFT JOIN v USING (lang) GROUP BY lang, source),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // base::HUGEINT AS p
+              FROM g JOIN k USING (lang) JOIN b USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (m + 5)) // (sum(m) OVER (PARTITION BY lang) + 5 * v)::HUGEINT AS q
+              FROM (SELECT lang, term, sum(n)::HUGEINT AS m FROM c GROUP BY lang, term) JOIN v USING (lang)),
+        pairs AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(sum(abs(f.p - h.p)), 0) AS value
+                  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN p f ON f.lang = x.lang AND f.source = x.source
+                  LEFT JOIN p h ON h.lang = y.lang AND h.source = y.source AND h.term = f.term GROUP BY x.lang, x.source, y.source),
+        words AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+        every AS (SELECT * FROM pairs UNION ALL SELECT * FROM words)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every) WHERE part = 'pair' OR rank <= 50""",
 }
