@@ -150,25 +150,33 @@ UNMET = "plan string, place int, group_id string, label string, exactly_one bool
 
 
 def unmet(held: DataFrame, program: Program, catalogue: Catalogue) -> DataFrame:
-    """held (plan, course), distinct -> (plan, place, group_id, label, exactly_one, earned, short, assigned) of slots that stay short, in units (exactly_one: in courses)."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        courses = sorted(set(pdf["course"]))
-        slots, ineligible, _ = requirements(program, set(courses))
-        courses = [c for c in courses if c not in ineligible]
-        masks = [sum((c in s.options or fits(s.pattern, *catalogue.get(c, (None, None))[:2])) << k for k, s in enumerate(slots)) for c in courses]
-        units = [units_of(program, catalogue, c) for c in courses]
-        place = assign_units(units, [s.units for s in slots], masks)
-        rows = []
-        for k, s in enumerate(slots):
-            own = [i for i, p in enumerate(place) if p == k]
-            earned = sum(units[i] for i in own)
-            short = float(not own) if s.units is None else max(0.0, s.units - earned)
-            if short > 1e-9:
-                rows.append((pdf["plan"].iloc[0], k, s.group, s.label, s.units is None, earned, short, [courses[i] for i in own]))
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in UNMET.split(", ")])
-
-    return held.groupBy("plan").applyInPandas(one, UNMET)
+    """held (plan, course), distinct -> (plan, place, group_id, label, exactly_one, earned, short, assigned) of slots that stay short, in units (exactly_one: in courses).
+
+    Plans that hold the same courses are matched once.
+    """
+    kind = held.schema["plan"].dataType.simpleString()
+    sets = held.groupBy("plan").agg(F.array_sort(F.collect_set("course")).alias("courses")).withColumn("key", F.to_json("courses"))
+
+    def one(batches):
+        for pdf in batches:
+            rows = []
+            for key, courses in zip(pdf["key"], pdf["courses"], strict=True):
+                slots, ineligible, _ = requirements(program, set(courses))
+                own = [c for c in courses if c not in ineligible]
+                masks = [sum((c in s.options or fits(s.pattern, *catalogue.get(c, (None, None))[:2])) << k for k, s in enumerate(slots)) for c in own]
+                units = [units_of(program, catalogue, c) for c in own]
+                place = assign_units(units, [s.units for s in slots], masks)
+                for k, s in enumerate(slots):
+                    there = [i for i, p in enumerate(place) if p == k]
+                    earned = sum(units[i] for i in there)
+                    short = float(not there) if s.units is None else max(0.0, s.units - earned)
+                    if short > 1e-9:
+                        rows.append((key, k, s.group, s.label, s.units is None, earned, short, [own[i] for i in there]))
+            yield pd.DataFrame(rows, columns=["key", *(x.split()[0] for x in UNMET.split(", ")[1:])])
+
+    tasks = held.sparkSession.sparkContext.defaultParallelism
+    short = sets.select("key", "courses").distinct().repartition(tasks, "key").mapInPandas(one, UNMET.replace("plan string", "key string"))
+    return sets.select("plan", "key").join(short, "key").select(F.col("plan").cast(kind).alias("plan"), *(x.split()[0] for x in UNMET.split(", ")[1:]))
 
 
 def _number(x: Column) -> Column:

@@ -6,31 +6,84 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_SLOTS = 14
+#: Up to so many slots the shortfall is read off a table of all sets of slots; beyond, it is found by flow.
+HALL_SLOTS = 14
+
+
+def least_shortfall(need: list[int], supply: dict[int, int]) -> int:
+    """What stays unfilled of need when supply (mask of the slots it fits -> amount) is dealt out as well as can be.
+
+    The largest flow from masks to slots, by shortest augmenting paths in phases (Dinic): paths end at slots with room and may move what was
+    dealt before.
+    """
+    masks = [m for m in supply if m]
+    left, room = [supply[m] for m in masks], list(need)
+    dealt = [[0] * len(need) for _ in masks]
+    slots = [[k for k in range(len(need)) if m >> k & 1] for m in masks]
+    while True:
+        level: dict[tuple[bool, int], int] = {(True, i): 0 for i, x in enumerate(left) if x}
+        queue = list(level)
+        for node in queue:
+            is_mask, i = node
+            for j in slots[i] if is_mask else [j for j in range(len(masks)) if dealt[j][i]]:
+                if (not is_mask, j) not in level:
+                    level[not is_mask, j] = level[node] + 1
+                    queue.append((not is_mask, j))
+        if not any(room[k] for is_mask, k in level if not is_mask):
+            return sum(room)
+        spent: set[tuple[bool, int]] = set()
+
+        def push(is_mask: bool, i: int, most: int) -> int:
+            """Pushes up to ``most`` from a node on towards slots with room."""
+            if not is_mask and room[i]:
+                got = min(most, room[i])
+                room[i] -= got
+                return got
+            for j in slots[i] if is_mask else range(len(masks)):
+                limit = most if is_mask else min(most, dealt[j][i])
+                if limit and (not is_mask, j) not in spent and level.get((not is_mask, j)) == level[is_mask, i] + 1:
+                    got = push(not is_mask, j, limit)
+                    if got:
+                        dealt[i if is_mask else j][j if is_mask else i] += got if is_mask else -got
+                        return got
+            spent.add((is_mask, i))
+            return 0
+
+        for i in [i for i, x in enumerate(left) if x]:
+            while left[i] and (got := push(True, i, left[i])):
+                left[i] -= got
 
 
 def shortfall(masks: DataFrame, need: list[int], plan: str = "plan", mask: str = "mask") -> DataFrame:
     """masks (plan, mask), a row for each course: bit i says that slot i may take it -> (plan, shortfall) in courses.
 
-    By Hall's theorem the least total shortfall is the largest of need(S) - |courses that fit a slot of S| over sets S of
-    slots. Courses are counted by mask, so each plan has at most 2**slots counts, whatever its size; plans with equal counts
-    are solved once.
+    Courses are counted by mask, so that a plan has at most as many counts as there are masks; plans with equal counts are solved once. By Hall's
+    theorem the least total shortfall is the largest of need(S) - |courses that fit a slot of S| over sets S of slots: up to HALL_SLOTS slots, a table of
+    2**slots rows is joined. Beyond, each distinct list of counts is solved by flow.
     """
-    if len(need) > MOST_SLOTS:
-        raise ValueError(f"more than {MOST_SLOTS} slots")
     counted = masks.groupBy(plan, F.col(mask).alias("mask")).agg(F.count("*").alias("n"))
     by_plan = counted.groupBy(plan).agg(F.array_sort(F.collect_list(F.struct("mask", "n"))).alias("counts"))
+    kinds = by_plan.select("counts").distinct()
+    if len(need) > HALL_SLOTS:
+
+        def flows(batches):
+            for pdf in batches:
+                short = [least_shortfall(need, {c["mask"]: c["n"] for c in counts}) for counts in pdf["counts"]]
+                yield pd.DataFrame({"key": pdf["key"], "shortfall": pd.Series(short, dtype="int64")})
+
+        keyed = kinds.select(F.to_json("counts").alias("key"), "counts")
+        short = keyed.mapInPandas(flows, "key string, shortfall long")
+        return by_plan.withColumn("key", F.to_json("counts")).join(short, "key").select(plan, "shortfall")
     sets = [(s, sum(n for i, n in enumerate(need) if s >> i & 1)) for s in range(1 << len(need))]
     table = F.broadcast(masks.sparkSession.createDataFrame(sets, "slots int, need int"))
-    kinds = by_plan.select("counts").distinct()
     cells = kinds.select("counts", F.explode("counts").alias("c")).join(table)
     covered = F.sum(F.when(F.col("c.mask").bitwiseAND(F.col("slots")) != 0, F.col("c.n")).otherwise(0))
     short = cells.groupBy("counts", "slots", "need").agg((F.col("need") - covered).alias("short")).groupBy("counts").agg(F.max("short").alias("shortfall"))
     return by_plan.join(short, "counts").select(plan, "shortfall")
 
 
-def assign(courses: list[tuple], need: list[int], fits: list[int]) -> list[int | None]:
-    """Of each course (given by its mask in fits) the slot that takes it, by augmenting paths; narrow slots are filled first."""
+def assign(courses: list[tuple], need: list[int], fits: list[int], later: set[int] = frozenset()) -> list[int | None]:
+    """Of each course (given by its mask in fits) the slot that takes it, by augmenting paths; slots of ``later`` are filled after others, narrow ones first."""
     taken: list[list[int]] = [[] for _ in need]
     place: list[int | None] = [None] * len(courses)
     wide = [sum(f >> s & 1 for f in fits) for s in range(len(need))]
@@ -48,7 +101,7 @@ def assign(courses: list[tuple], need: list[int], fits: list[int]) -> list[int |
                     return True
         return False
 
-    for slot in sorted(range(len(need)), key=lambda s: (wide[s], need[s], s)):
+    for slot in sorted(range(len(need)), key=lambda s: (s in later, wide[s], need[s], s)):
         while len(taken[slot]) < need[slot] and free(slot, set()):
             pass
     return place
@@ -57,9 +110,13 @@ def assign(courses: list[tuple], need: list[int], fits: list[int]) -> list[int |
 def assign_units(units: list[float], need: list[float | None], fits: list[int]) -> list[int | None]:
     """Of each course, given by its units and its mask in fits, the slot that takes it, so that what stays short is least.
 
-    need: a slot's units, short by tenths of a unit; None: any one course, short by 1 of these tenths without it. Exact: states are what
-    the slots still need, courses are dealt one by one, and of equal states the first is kept.
+    need: a slot's units, short by tenths of a unit; None: any one course, short by 1 of these tenths without it. Exact. Where all courses have the same
+    units and all slots need whole courses, paths of ``assign`` give it: places that paths can fill form a matroid, so dearer ones are filled first.
+    Else states are what the slots still need, courses are dealt one by one, and of equal states the first is kept.
     """
+    same = {round(10 * u) for u, f in zip(units, fits, strict=True) if f}
+    if len(same) == 1 and (one := same.pop()) > 0 and all(n is None or round(10 * n) % one == 0 for n in need):
+        return assign(list(units), [1 if n is None else round(10 * n) // one for n in need], fits, {k for k, n in enumerate(need) if n is None})
     start = tuple(1 if n is None else round(10 * n) for n in need)
     states: dict[tuple[int, ...], tuple] = {start: ()}
     order = sorted(range(len(units)), key=lambda i: (bin(fits[i]).count("1"), i))

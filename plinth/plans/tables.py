@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import exclusive_quantiles, ratio
 from ..functions.terms import level, season_of, season_rank, term_code, term_label, term_year
-from ..operators import drift, matching, rules, solve, validation
+from ..operators import drift, matching, rules, validation
 from ..sources.readers import first_per_key, latest
 from .registry import Tables, query
 
@@ -366,19 +366,3 @@ def drift_changed_share(t: Tables) -> DataFrame:
           FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events))""")
 def synthetic_drift(t: Tables) -> DataFrame:
     return drift.perturb(t.events.select("user_id", "event_id", "value"), "user_id", "event_id", "value").select("user_id", "event_id", "kind", "new_value")
-
-
-#: A small program: courses by season, two slots, prerequisites and an exclusion.
-PROBLEM = solve.Problem(
-    seasons={"0": frozenset({"Fall"}), "1": frozenset({"Winter"}), "2": frozenset({"Fall", "Winter"}), "3": frozenset({"Winter"}), "4": frozenset({"Fall", "Winter"}), "5": frozenset({"Fall"})},
-    slots=[frozenset("012"), frozenset("2345")],
-    need=[2, 2],
-    prereq={"1": "0", "3": {"one_of": ["2", "4"]}, "5": {"all_of": ["3", "4"]}},
-    exclusions=[frozenset("45")],
-)
-
-
-@query()
-def solve_shortest(t: Tables) -> DataFrame:
-    sets = plan_lines(t).groupBy("plan").agg(F.collect_set(F.pmod("course", F.lit(19)).cast("string")).alias("taken"))
-    return solve.solve_all(sets, PROBLEM)
