@@ -59,8 +59,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
     heads = classes.where("class_id is not null").groupBy("class_id").agg(F.min(first).alias("first")).select(F.col("first.row").alias("head"))
     heads = heads.unionByName(classes.where("class_id is null").select(F.col("row").alias("head")))
-    row, number = unused(docs.columns, "row"), unused(docs.columns, "number")
-    kept = docs.withColumn(row, row_hash(docs)).join(heads.distinct(), F.col(row) == F.col("head"), "left_semi")
+    row, number, head = (unused(docs.columns, x) for x in ("row", "number", "head"))
+    kept = docs.withColumn(row, row_hash(docs)).join(heads.distinct().withColumnRenamed("head", head), F.col(row) == F.col(head), "left_semi")
     return kept.withColumn(number, F.row_number().over(Window.partitionBy(row).orderBy(row))).where(F.col(number) == 1).drop(number, row)
 
 
