@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,9 @@ from .shared import prepare, slices, stage
 from .tokens import load
 
 #: Pieces that a worker remembers, and bytes of their groups; characters of a text that are cut at a time.
-REMEMBERED, REMEMBERED_BYTES, LONG = 150_000, 32 << 20, 4 << 20
+REMEMBERED, REMEMBERED_BYTES, LONG = 400_000, 64 << 20, 4 << 20
+#: Pieces that are encoded as one text.
+RUN = 64
 #: Pairs that each worker holds: the most frequent ones. All others are joined.
 HOT = 1 << 18
 PIECE = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")
@@ -50,53 +51,37 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class Groups:
-    """Union-find with path halving; the root of a set is its least member."""
+def components(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ends of tokens that cover the same bytes, none empty -> of each token of A and B the root of its component: the first token of A in it.
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-
-
-def component_groups(ends_a: list[int], ends_b: list[int]) -> list[tuple[list[int], list[int]]]:
-    """Byte ends of tokens that cover the same bytes, none empty -> components of (tokens of A, tokens of B), in order.
-
-    An edge for each two tokens that overlap: at most len(a) + len(b) - 1, found in one walk along both.
+    Union-find on arrays: an edge for each two tokens that overlap; the larger root of an edge's ends is hung below the smaller one, then paths
+    are halved until every token points at its root, until no edge has two.
     """
-    sets, i, j, start = Groups(len(ends_a) + len(ends_b)), 0, 0, len(ends_a)
-    while i < len(ends_a) and j < len(ends_b):
-        sets.join(i, start + j)
-        a, b = ends_a[i], ends_b[j]
-        i += a <= b
-        j += b <= a
-    found: dict[int, tuple[list[int], list[int]]] = {}
-    for k in range(start):
-        found.setdefault(sets.root(k), ([], []))[0].append(k)
-    for k in range(len(ends_b)):
-        found[sets.root(start + k)][1].append(k)
-    return list(found.values())
-
-
-def expand_links(group: tuple[list[int], list[int]], ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
-    """The pairs of a component whose ranges end together."""
-    at: dict[int, list[int]] = {}
-    for j in group[1]:
-        at.setdefault(ends_b[j], []).append(j)
-    return [(i, j) for i in group[0] for j in at.get(ends_a[i], ())]
+    n = len(ends_a)
+    first = np.searchsorted(ends_b, np.append(0, ends_a[:-1])[:n], side="right")  # the tokens of B that each one of A overlaps
+    last = np.searchsorted(ends_b, ends_a, side="left")
+    size = last - first + 1
+    a = np.repeat(np.arange(n), size)
+    b = n + np.repeat(first - (np.cumsum(size) - size), size) + np.arange(len(a))
+    root = np.arange(n + len(ends_b))
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root[:n], root[n:]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != (up := root[root])).any():
+            root = up
+
+
+def expand_links(roots_a: np.ndarray, roots_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of A, tokens of B): the pairs of members of one component whose ranges end together. No token is empty, so an end has one token of each."""
+    at = np.minimum(np.searchsorted(ends_b, ends_a), max(0, len(ends_b) - 1))
+    i = np.flatnonzero((ends_b[at] == ends_a) & (roots_b[at] == roots_a)) if len(ends_b) else np.zeros(0, np.int64)
+    return i, at[i]
 
 
 class Aligner:
-    """Pieces that are remembered have a number each: their counts of tokens, groups and links, their groups as text, and their links as numbers of pairs."""
+    """Pieces that are remembered have a number each: their counts of tokens and groups, their groups as text, and their links as a << 32 | b."""
 
     def __init__(self, definition_a: str, model_b: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -105,67 +90,113 @@ class Aligner:
 
         self.a = Tokenizer.from_str(definition_a)
         self.a.encode_special_tokens = True
-        alphabet = byte_alphabet()
-        self.bytes_a = {i: bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        alphabet, entries = byte_alphabet(), self.a.get_vocab()
+        self.bytes_a = [b""] * (1 + max(entries.values()))
+        for t, i in entries.items():
+            self.bytes_a[i] = bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode()
         self.b = SentencePieceProcessor(model_proto=model_b)
         vocabulary = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(vocabulary)]
         self.space = self.b.piece_to_id("\u2581")
         self.separable = not any("\u2581" in p.lstrip("\u2581") for p in vocabulary)
+        self.len_a, self.len_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        ended = lambda n, mark: np.array([f"{i}{mark}" for i in range(n)], object)
+        self.text_a, self.text_b = [ended(len(self.bytes_a), m) for m in ",|"], [ended(len(vocabulary), m) for m in ",;\n"]
         self.forget()
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
         self.ok, self.groups, self.size = [], [], 0
-        self.pairs: dict[tuple[int, int], int] = {}
         self.sums, self.link_at, self.links = np.zeros((0, 3), np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
-    def align(self, pieces: list[str]) -> None:
-        """Numbers the pieces, each given without the space that it begins with, from len(self.ok) on."""
-        sums, links, counts = [], [], []
-        ids_a = self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)
-        for p, x, y in zip(pieces, ids_a, self.b.encode(pieces, num_threads=1), strict=True):
-            a, b, want = x.ids, y if p else [self.space], (" " + p).encode()
-            bytes_a, bytes_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-            ok = b"".join(bytes_a) == want == b"".join(bytes_b)
-            groups, own = [], []
-            if ok:
-                ends_a, ends_b = list(accumulate(map(len, bytes_a))), list(accumulate(map(len, bytes_b)))
-                groups = component_groups(ends_a, ends_b)
-                own = [self.pairs.setdefault((a[i], b[j]), len(self.pairs)) for g in groups for i, j in expand_links(g, ends_a, ends_b)]
-            text = ";".join(",".join(str(a[i]) for i in g) + "|" + ",".join(str(b[j]) for j in h) for g, h in groups).encode()
-            self.ok.append(ok)
-            self.groups.append(text)
-            self.size += len(text)
-            sums.append((len(a), len(b), len(groups)))
-            links += own
-            counts.append(len(own))
-        self.sums = np.concatenate([self.sums, np.array(sums, np.int64).reshape(-1, 3)])
-        self.link_at = np.concatenate([self.link_at, self.link_at[-1] + np.cumsum(counts, dtype=np.int64)])
-        self.links = np.concatenate([self.links, np.array(links, np.int64)])
+    def encode(self, runs: list[list[str]]):
+        """(run, bytes of its text, ids by A, ids by B) of runs of pieces, each encoded as one text; ids are None where they don't give the bytes back."""
+        texts = [" ".join(r) for r in runs]
+        ids_a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        for r, t, x, y in zip(runs, texts, ids_a, self.b.encode(texts, num_threads=1), strict=True):
+            x, y, want = x.ids, y if t else [self.space], (" " + t).encode()
+            same = b"".join(map(self.bytes_a.__getitem__, x)) == want == b"".join(map(self.bytes_b.__getitem__, y))
+            yield (r, want, x, y) if same else (r, want, None, None)
+
+    def align(self, pieces: list[str]) -> list[str]:
+        """Numbers the pieces, each given without the space that it begins with, from len(self.ok) on; returns them in the order of their numbers.
+
+        Pieces that don't end with white space are encoded RUN at a time as one text; where that text isn't given back, they are encoded alone.
+        """
+        solid = [p for p in pieces if p and not p[-1].isspace()]
+        alone = [[p] for p in pieces if not p or p[-1].isspace()]
+        good, bad = [], []
+        for r, want, x, y in self.encode([solid[k : k + RUN] for k in range(0, len(solid), RUN)]):
+            if x is not None:
+                good.append((r, want, x, y))
+            else:
+                alone += [[p] for p in r]
+        for r, want, x, y in self.encode(alone):
+            if x is None:
+                bad += r
+            else:
+                good.append((r, want, x, y))
+        done = [p for r, *_ in good for p in r]
+        sizes = np.array([len(p.encode()) + 1 for p in done], np.int64)
+        self._add(sizes, np.array([i for _, _, x, _ in good for i in x], np.int64), np.array([i for *_, y in good for i in y], np.int64))
+        self.ok += [True] * len(done) + [False] * len(bad)
+        self.groups += [b""] * len(bad)
+        self.sums = np.concatenate([self.sums, np.zeros((len(bad), 3), np.int64)])
+        self.link_at = np.concatenate([self.link_at, np.full(len(bad), self.link_at[-1])])
+        return done + bad
+
+    def _add(self, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        """Pieces of so many bytes, and the ids of all of them together."""
+        n, to = len(sizes), np.cumsum(sizes)
+        ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
+        roots_a, roots_b = components(ends_a, ends_b)
+        of_a, of_b = np.searchsorted(to, ends_a), np.searchsorted(to, ends_b)  # the piece of each token
+        opens = np.append(True, np.diff(roots_a) > 0)[: len(a)]
+        group_a = np.cumsum(opens) - 1
+        group_b = np.searchsorted(roots_a[opens], roots_b)
+        last_a, last_b = np.append(np.diff(group_a) > 0, True)[: len(a)], np.append(np.diff(group_b) > 0, True)[: len(b)]
+        some_a, some_b = np.bincount(group_a), np.bincount(group_b)
+        parts = np.empty(len(a) + len(b), object)
+        parts[np.arange(len(a)) + (np.cumsum(some_b) - some_b)[group_a]] = np.where(last_a, self.text_a[1][a], self.text_a[0][a])
+        ends_piece = np.append(np.diff(of_b) > 0, True)[: len(b)]
+        parts[np.arange(len(b)) + np.cumsum(some_a)[group_b]] = np.where(ends_piece, self.text_b[2][b], np.where(last_b, self.text_b[1][b], self.text_b[0][b]))
+        texts = "".join(parts.tolist()).encode().split(b"\n")[:-1]
+        i, j = expand_links(roots_a, roots_b, ends_a, ends_b)
+        self.groups += texts
+        self.size += sum(map(len, texts))
+        self.sums = np.concatenate([self.sums, np.stack([np.bincount(x, minlength=n) for x in (of_a, of_b, of_a[opens])], axis=1)])
+        self.link_at = np.concatenate([self.link_at, self.link_at[-1] + np.cumsum(np.bincount(of_a[i], minlength=n))])
+        self.links = np.concatenate([self.links, a[i] << 32 | b[j]])
 
     def numbers(self, pieces: list[str]) -> np.ndarray:
         new = list(dict.fromkeys(p for p in pieces if p not in self.at))
         if new:
-            self.at |= {p: len(self.ok) + k for k, p in enumerate(new)}
-            self.align(new)
+            first = len(self.ok)
+            self.at |= {p: first + k for k, p in enumerate(self.align(new))}
         return np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
 
-    def document(self, text: str | None) -> np.ndarray:
-        """Numbers of the text's pieces in order; none for a text without tokens."""
-        if not text:
-            return np.zeros(0, np.int64)
-        which = np.concatenate([self.numbers(pieces(t)) for t in chunks(text)]) if self.separable else np.array([-1])
-        if self.separable and all(map(self.ok.__getitem__, np.unique(which).tolist())):
-            return which
-        self.align([text])  # as the whole may make up for what a piece lacks
-        return np.array([len(self.ok) - 1]) if self.ok[-1] else np.zeros(0, np.int64)
+    def documents(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Numbers of the pieces of each text in order; none for a text without tokens."""
+        if self.separable:
+            cut = [pieces(t) if t and len(t) <= LONG else [] for t in texts]
+            out = np.split(self.numbers([p for x in cut for p in x]), np.cumsum([len(x) for x in cut])[:-1])
+            for k, t in enumerate(texts):
+                if t and len(t) > LONG:
+                    out[k] = np.concatenate([self.numbers(pieces(c)) for c in chunks(t)])
+        else:
+            out = [np.zeros(0, np.int64)] * len(texts)
+        ok = np.array(self.ok, bool)
+        for k, t in enumerate(texts):
+            if t and not (self.separable and ok[out[k]].all()):
+                self.align([t])  # as the whole may make up for what a piece lacks
+                out[k] = np.array([len(self.ok) - 1]) if self.ok[-1] else np.zeros(0, np.int64)
+        return out
 
     def batch(self, part: pa.RecordBatch, with_groups: bool) -> pa.RecordBatch:
         """A slice of doc_id and text -> ALIGNED."""
         if len(self.ok) > REMEMBERED or self.size > REMEMBERED_BYTES:
             self.forget()
-        docs = [self.document(t) for t in part.column("text").to_pylist()]
+        docs = self.documents(part.column("text").to_pylist())
         which, offs = np.concatenate([*docs, np.zeros(0, np.int64)]), np.append(0, np.cumsum([len(d) for d in docs], dtype=np.int64))
         totals = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(self.sums[which], axis=0)])
         totals = totals[offs[1:]] - totals[offs[:-1]]
@@ -173,9 +204,10 @@ class Aligner:
         to = np.cumsum(n)
         links = self.links[np.repeat(self.link_at[which] - (to - n), n) + np.arange(to[-1] if len(to) else 0)]
         of = np.repeat(np.repeat(np.arange(len(docs)), np.diff(offs)), n)
-        key, times = np.unique(of * max(1, len(self.pairs)) + links, return_counts=True)
-        of, links = np.divmod(key, max(1, len(self.pairs)))
-        ids = np.array(list(self.pairs), np.int32).reshape(-1, 2)[links]
+        pairs, links = np.unique(links, return_inverse=True)
+        key, times = np.unique(of * max(1, len(pairs)) + links, return_counts=True)
+        of, links = np.divmod(key, max(1, len(pairs)))
+        pairs = pairs[links]
         cuts = pa.array(np.searchsorted(of, np.arange(len(docs) + 1)).astype(np.int32))
         n_links = np.bincount(of, times, len(docs)).astype(np.int64)
         sums, texts = [], []
@@ -186,7 +218,7 @@ class Aligner:
             sums.append(digest.hexdigest() if len(d) else "")
             if with_groups:
                 texts.append(b";".join(map(self.groups.__getitem__, d.tolist())).decode())
-        lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (ids[:, 0], ids[:, 1], times)]
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (pairs >> 32, pairs & 0xFFFFFFFF, times)]
         columns = [part.column("doc_id"), *map(pa.array, totals.T.copy()), pa.array(n_links), pa.array(sums, pa.string()), *lists]
         return pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.string())] * with_groups, NAMES + ["groups"] * with_groups)
 

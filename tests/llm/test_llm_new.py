@@ -98,6 +98,9 @@ def test_alignment_of_odd_texts_and_rare_pairs(spark, tokenizers, monkeypatch):
     assert [r["groups"] for r in groups] == [p[0] for p in plain]
     assert alignment.aligned_documents(docs.limit(0), *alignment.default_paths()).collect() == []
     monkeypatch.setattr(alignment, "LONG", 40)
+    own = alignment.Aligner(*(f(p) for f, p in zip((lambda p: open(p).read(), lambda p: open(p, "rb").read()), alignment.default_paths(), strict=True)))
+    got = [b";".join(own.groups[k] for k in d).decode() for d in own.documents(texts)]
+    assert got == [p[0] for p in plain]
     for t in texts[1:]:
         assert [p for c in alignment.chunks(t) for p in alignment.pieces(c)] == alignment.pieces(t)
 
@@ -106,12 +109,15 @@ def test_components_are_the_smallest_groups():
     rng = random.Random(2)
     for _ in range(200):
         n = rng.randint(1, 30)
-        a, b = (sorted({*rng.sample(range(1, n + 1), rng.randint(0, n)), n}) for _ in range(2))
-        groups = alignment.component_groups(a, b)
+        a, b = (np.array(sorted({*rng.sample(range(1, n + 1), rng.randint(0, n)), n})) for _ in range(2))
+        roots_a, roots_b = alignment.components(a, b)
         common = sorted(set(a) & set(b))
-        assert [(a[g[-1]], b[h[-1]]) for g, h in groups] == [(c, c) for c in common]
-        assert [k for g, _ in groups for k in g] == list(range(len(a))) and [k for _, h in groups for k in h] == list(range(len(b)))
-        assert [alignment.expand_links(g, a, b) for g in groups] == [[(g[0][-1], g[1][-1])] for g in groups]
+        which = [np.searchsorted(common, x) for x in (a, b)]  # the group of a token: the first common end that isn't before its own
+        first = [int(np.flatnonzero(which[0] == g)[0]) for g in range(len(common))]
+        assert roots_a.tolist() == [first[g] for g in which[0]] and roots_b.tolist() == [first[g] for g in which[1]]
+        i, j = alignment.expand_links(roots_a, roots_b, a, b)
+        assert a[i].tolist() == b[j].tolist() == common
+    assert [x.tolist() for x in alignment.components(np.zeros(0, int), np.zeros(0, int))] == [[], []]
 
 
 # ---- packing
