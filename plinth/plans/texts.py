@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import extract, grading, retrieval, routing
+from ..operators import extract, grading, inverted, retrieval, routing
+from ..sources.scratch import scratch
 from .registry import Tables, query
 
 
@@ -102,17 +103,28 @@ def hash_df_idf(t: Tables) -> DataFrame:
     return idf.select("bucket", "df", F.round("idf", 6).alias("idf"))
 
 
-@query(f"""
+LIKEST = f"""
     WITH {HASHED}, {IDF},
     d AS (SELECT doc_id, bucket, tf * idf AS w FROM {tf_sql('documents', 'doc_id')} JOIN idf USING (bucket)),
     q AS (SELECT item_id, bucket, tf * idf AS w FROM {tf_sql('benchmark', 'item_id')} JOIN idf USING (bucket)),
     dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM d GROUP BY doc_id), qn AS (SELECT item_id, sqrt(sum(w * w)) AS n FROM q GROUP BY item_id),
     s AS (SELECT item_id, doc_id, round(sum((d.w / dn.n) * (q.w / qn.n)), 5) AS score FROM q JOIN d USING (bucket) JOIN dn USING (doc_id) JOIN qn USING (item_id) GROUP BY ALL)
-    SELECT item_id, doc_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 3""")
+    SELECT item_id, doc_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 3"""
+
+
+@query(LIKEST)
 def tfidf_topk_lexical(t: Tables) -> DataFrame:
     return retrieval.search(t.documents, t.benchmark, "doc_id", "item_id", k=3, digits=5).select("item_id", "doc_id", "score", "rank")
 
 
+@query(LIKEST)
+def tfidf_topk_kept_index(t: Tables) -> DataFrame:
+    """As tfidf_topk_lexical, from an index that is built once and then searched without a look at the texts."""
+    path = scratch(t.spark, "index")
+    inverted.build(t.documents, "doc_id", "text", path)
+    return inverted.search(t.spark, path, t.benchmark, "item_id", "doc_id", k=3, digits=5).select("item_id", "doc_id", "score", "rank")
+
+
 @query("""
     SELECT query_id, vec_id, score, rank::INTEGER AS rank FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
