@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The columns of the results, in this order.
@@ -22,8 +22,18 @@ def row_log(rows: DataFrame, answer: str = "answer", most: int = ANSWER_MOST) ->
 
 
 def failure_queue(failures: DataFrame, scope: str, message: Column, most: int) -> DataFrame:
-    """(scope, total, first): of each scope the number of failures and the first ``most`` messages, in order."""
-    return failures.groupBy(scope).agg(F.count("*").alias("total"), F.slice(F.array_sort(F.collect_list(message)), 1, most).alias("first"))
+    """(scope, total, first): of each scope the number of failures and the first ``most`` messages, in order; a null message counts, but isn't listed.
+
+    Places are limited within each task before they are shuffled, so a scope of any size is a few messages where they meet.
+    """
+    rows = failures.select(scope, message.alias("message"))
+    totals = rows.groupBy(scope).agg(F.count("*").alias("total"))
+    order = Window.partitionBy(scope).orderBy("message")
+    few = rows.where("message is not null").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    first = few.groupBy(scope).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "message"))), lambda s: s["message"]).alias("first"))
+    both = totals.alias("t").join(first.withColumnRenamed(scope, "scope_"), F.col(f"t.{scope}").eqNullSafe(F.col("scope_")), "left")
+    kind = failures.select(message.alias("m")).schema["m"].dataType.simpleString()
+    return both.select(F.col(f"t.{scope}").alias(scope), "total", F.coalesce("first", F.array().cast(f"array<{kind}>")).alias("first"))
 
 
 def markdown_lines(title: str, counts: DataFrame, queue: DataFrame) -> DataFrame:

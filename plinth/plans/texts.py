@@ -187,35 +187,42 @@ PARAPHRASES = [
 ]
 QUESTIONS = list(dict.fromkeys(x for pair in PARAPHRASES for x in pair))
 quoted = lambda x: "'" + x.replace("'", "''") + "'"
-QUESTION_VALUES = "(VALUES " + ", ".join(f"({quoted(q)})" for q in QUESTIONS) + ") v(question)"
 LEXICON = {"offer": routing.OFFERING_PHRASES, "rule": routing.RULES_PHRASES, "build": routing.CONSTRUCTION_PHRASES}
 
 
-def questions(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(q,) for q in QUESTIONS], "question string")
+def after_sql(*lists: list, where: str = "true") -> str:
+    """conversations as (id, a, b, ...): each text with a value of each list behind it, the one whose turn it is; a null value gives null."""
+    pick = ["coalesce(text, '') || ' ' || [" + ", ".join("NULL" if x is None else quoted(x) for x in values) + f"][(conv_id + turn) % {len(values)} + 1] AS {name}" for name, values in zip("ab", lists, strict=False)]
+    return f"(SELECT conv_id * 1000 + turn AS id, {', '.join(pick)} FROM conversations WHERE {where})"
 
 
-@query(route_sql("question", QUESTION_VALUES, "question", **LEXICON))
+def after(t: Tables, *lists: list) -> DataFrame:
+    """As after_sql."""
+    turn = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(lists[0]))).cast("int") + 1
+    pick = [F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.element_at(F.array(*map(F.lit, values)), turn)).alias(name) for name, values in zip("ab", lists, strict=False)]
+    return t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), *pick)
+
+
+@query(route_sql("a", after_sql(QUESTIONS), "id", **LEXICON))
 def keyword_route_literal(t: Tables) -> DataFrame:
-    return routing.classify(questions(t), "question")
+    return routing.classify(after(t, QUESTIONS), "a").drop("a")
 
 
 @query(f"""
     SELECT margin, round(avg((route = 'compound')::INTEGER), 3) AS compound_share
-    FROM ({route_sql('question', f'(SELECT * FROM {QUESTION_VALUES}, (VALUES (0), (1), (2)) m(margin))', 'margin, question', 'margin', **LEXICON)}) GROUP BY margin""")
+    FROM ({route_sql('a', f'(SELECT * FROM {after_sql(QUESTIONS)} q, (VALUES (0), (1), (2)) m(margin))', 'margin, id', 'margin', **LEXICON)}) GROUP BY margin""")
 def route_margin_sweep(t: Tables) -> DataFrame:
-    return routing.margin_sweep(questions(t), "question")
+    return routing.margin_sweep(after(t, QUESTIONS), "a")
 
 
-PAIR_VALUES = "(VALUES " + ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in PARAPHRASES) + ") p(base, text)"
+BASES, OTHERS = ([p[k] for p in PARAPHRASES] for k in (0, 1))
 
 
 @query(f"""
-    SELECT base, text, b.route AS base_route, r.route AS route, b.route <> r.route AS flipped FROM {PAIR_VALUES}
-    JOIN ({route_sql('question', QUESTION_VALUES, 'question', **LEXICON)}) b ON b.question = base
-    JOIN ({route_sql('question', QUESTION_VALUES, 'question', **LEXICON)}) r ON r.question = text""")
+    SELECT id, b.route AS base_route, r.route AS route, b.route <> r.route AS flipped
+    FROM ({route_sql('a', after_sql(BASES, OTHERS), 'id', **LEXICON)}) b JOIN ({route_sql('b', after_sql(BASES, OTHERS), 'id', **LEXICON)}) r USING (id)""")
 def paraphrase_flips(t: Tables) -> DataFrame:
-    return routing.paraphrase_flips(t.spark.createDataFrame(PARAPHRASES, "base string, text string"))
+    return routing.paraphrase_flips(after(t, BASES, OTHERS), "a", "b").drop("a", "b")
 
 
 NEGATIVE, POSITIVE = ["thh", "enst", "no. "], ["and", "ter"]
@@ -229,19 +236,19 @@ def polarity_grade(t: Tables) -> DataFrame:
 
 
 ANSWERS = [
-    (1, "CMPUT 174 runs in Fall Term 2026 at 9:00 and CMPUT174 again at 14:00."), (2, "CMPUT 174 runs in Winter Term 2031."), (3, "It starts at 23:15, says CMPUT 291 [group:core] [note:] [group:core]."),
-    (4, "No course is named here, Fall Term 2040 at 7:00."), (5, "MATH 125 and CMPUT 291: Winter Term 2027, 11:00 [prereq:CMPUT 204][exclusion]."), (6, None),
-]
+    "CMPUT 174 runs in Fall Term 2026 at 9:00 and CMPUT174 again at 14:00.", "CMPUT 174 runs in Winter Term 2031.", "It starts at 23:15, says CMPUT 291 [group:core] [note:] [group:core].",
+    "No course is named here, Fall Term 2040 at 7:00.", "MATH 125 and CMPUT 291: Winter Term 2027, 11:00 [prereq:CMPUT 204][exclusion].", None,
+]
 FACTS = [("CMPUT 174", ["Fall Term 2026", "Winter Term 2027"], ["09:00", "14:00"]), ("CMPUT 291", ["Winter Term 2027"], ["11:00"])]
-ANSWER_VALUES = "(VALUES " + ", ".join(f"({i}, {quoted(a) if a else 'NULL'})" for i, a in ANSWERS) + ") a(id, answer)"
+ANSWER_VALUES = after_sql(ANSWERS)
 
 
 def answers(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(ANSWERS, "id int, answer string")
+    return after(t, ANSWERS).withColumnRenamed("a", "answer")
 
 
-CODES_SQL = """list_transform(range(1, len(regexp_extract_all(answer, '\\b([A-Z]{2,5})\\s?([0-9]{3})\\b', 1)) + 1), lambda i:
-    regexp_extract_all(answer, '\\b([A-Z]{2,5})\\s?([0-9]{3})\\b', 1)[i] || ' ' || regexp_extract_all(answer, '\\b([A-Z]{2,5})\\s?([0-9]{3})\\b', 2)[i])"""
+CODES_SQL = """list_transform(range(1, len(regexp_extract_all(a, '\\b([A-Z]{2,5})\\s?([0-9]{3})\\b', 1)) + 1), lambda i:
+    regexp_extract_all(a, '\\b([A-Z]{2,5})\\s?([0-9]{3})\\b', 1)[i] || ' ' || regexp_extract_all(a, '\\b([A-Z]{2,5})\\s?([0-9]{3})\\b', 2)[i])"""
 
 
 @query(f"SELECT id, coalesce(array_to_string(list_sort(list_distinct({CODES_SQL})), '|'), '') AS codes FROM {ANSWER_VALUES}")
@@ -250,19 +257,19 @@ def course_codes_literal(t: Tables) -> DataFrame:
 
 
 @query(f"""
-    SELECT id, coalesce(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(answer, '\\[((?:group|note|prereq|exclusion):?[^\\]]*)\\]', 1),
+    SELECT id, coalesce(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(a, '\\[((?:group|note|prereq|exclusion):?[^\\]]*)\\]', 1),
         lambda x: regexp_replace(x, ':+$', '')))), '|'), '') AS citations FROM {ANSWER_VALUES}""")
 def clause_citations_literal(t: Tables) -> DataFrame:
     return answers(t).select("id", F.array_join(F.array_sort(tx.clause_citations(F.col("answer"))), "|").alias("citations"))
 
 
 @query(f"""
-    WITH a AS (SELECT * FROM {ANSWER_VALUES}), f AS (SELECT * FROM (VALUES {', '.join(f"({quoted(c)}, {terms}, {times})" for c, terms, times in FACTS)}) f(course, terms, times)),
+    WITH a AS (SELECT * FROM {ANSWER_VALUES} x), f AS (SELECT * FROM (VALUES {', '.join(f"({quoted(c)}, {terms}, {times})" for c, terms, times in FACTS)}) f(course, terms, times)),
     c AS (SELECT DISTINCT id, unnest({CODES_SQL}) AS course FROM a),
     b AS (SELECT id, count(*) AS n_courses, flatten(list(terms)) AS ok_terms, flatten(list(times)) AS ok_times FROM c JOIN f USING (course) GROUP BY id),
     x AS (SELECT a.id, coalesce(n_courses, 0) AS n_courses, ok_terms, ok_times,
-                 list_distinct(regexp_extract_all(coalesce(answer, ''), '\\b((?:Fall|Winter|Spring|Summer)\\s+Term\\s+[0-9]{{4}})\\b', 1)) AS t,
-                 list_distinct(list_transform(regexp_extract_all(coalesce(answer, ''), '\\b(?:[01]?[0-9]|2[0-3]):[0-5][0-9]\\b'), lambda s: lpad(s, 5, '0'))) AS m FROM a LEFT JOIN b USING (id)),
+                 list_distinct(regexp_extract_all(coalesce(a, ''), '\\b((?:Fall|Winter|Spring|Summer)\\s+Term\\s+[0-9]{{4}})\\b', 1)) AS t,
+                 list_distinct(list_transform(regexp_extract_all(coalesce(a, ''), '\\b(?:[01]?[0-9]|2[0-3]):[0-5][0-9]\\b'), lambda s: lpad(s, 5, '0'))) AS m FROM a LEFT JOIN b USING (id)),
     y AS (SELECT id, n_courses, CASE WHEN n_courses > 0 THEN len(list_filter(t, lambda s: NOT list_contains(ok_terms, s))) ELSE 0 END AS bad_terms,
                  CASE WHEN n_courses > 0 THEN len(list_filter(m, lambda s: NOT list_contains(ok_times, s))) ELSE 0 END AS bad_times FROM x)
     SELECT *, bad_terms + bad_times = 0 AS ok FROM y""")
@@ -318,11 +325,19 @@ def evaluation_latency(t: Tables) -> DataFrame:
 
 
 CLAUSES = [
-    (1, "An introduction. Prerequisite: CMPUT 174. Corequisite: MATH 125. Credit cannot be obtained for both CMPUT 174 and 274."),
-    (2, "Prerequisite or corequisite: STAT 151 or 235. See Note."), (3, "Prerequisites CMPUT 204; Antirequisite: CMPUT 304. Notes: closed."), (4, "Nothing at all."), (5, None),
-]
+    "An introduction. Prerequisite: CMPUT 174. Corequisite: MATH 125. Credit cannot be obtained for both CMPUT 174 and 274.",
+    "Prerequisite or corequisite: STAT 151 or 235. See Note.", "Prerequisites CMPUT 204; Antirequisite: CMPUT 304. Notes: closed.", "Nothing at all.", None,
+]
+LEADS = [(kind, p.replace("'", "''")) for kind, p in extract.LEAD_INS]
 
 
-@query()
+@query(f"""
+    WITH m AS (SELECT id, string_split(regexp_replace(trim(regexp_replace(a, {SPACES}, ' ', 'g')), '(?i){'|'.join(f'({p})' for _, p in LEADS)}', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS x FROM {after_sql(CLAUSES)}),
+    p AS (SELECT id, pos, split_part(x[pos], chr(2), 1) AS lead, trim(split_part(x[pos], chr(2), 2)) AS body FROM (SELECT id, x, unnest(range(2, len(x) + 1)) AS pos FROM m)),
+    k AS (SELECT *, CASE {' '.join(f"WHEN regexp_full_match(lead, '(?i){p}') THEN '{kind}'" for kind, p in LEADS)} END AS kind FROM p),
+    v AS (SELECT id, pos, kind, CASE WHEN kind = 'credit' THEN trim(lead || ' ' || body) ELSE body END AS value FROM k),
+    f AS (SELECT id, arg_min(value, pos) FILTER (WHERE kind IN ('prereq', 'combined')) AS prereq_raw, arg_min(value, pos) FILTER (WHERE kind IN ('coreq', 'combined')) AS coreq_raw,
+                 arg_min(value, pos) FILTER (WHERE kind = 'credit') AS credit_exclusion_raw, bool_or(kind = 'combined') AS combined FROM v WHERE value <> '' GROUP BY id)
+    SELECT id, prereq_raw, coreq_raw, credit_exclusion_raw, coalesce(combined, false) AS combined FROM m LEFT JOIN f USING (id)""")
 def clause_split(t: Tables) -> DataFrame:
-    return extract.clauses(t.spark.createDataFrame(CLAUSES, "id int, description string"), "id", "description")
+    return extract.clauses(after(t, CLAUSES), "id", "a")
