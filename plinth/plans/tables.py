@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import exclusive_quantiles, ratio
 from ..functions.terms import level, season_of, season_rank, term_code, term_label, term_year
-from ..operators import drift, matching, rules, validation
+from ..operators import closure, drift, matching, rules, validation
 from ..sources.readers import first_per_key, latest
 from .registry import Tables, query
 
@@ -366,3 +366,27 @@ def drift_changed_share(t: Tables) -> DataFrame:
           FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events))""")
 def synthetic_drift(t: Tables) -> DataFrame:
     return drift.perturb(t.events.select("user_id", "event_id", "value"), "user_id", "event_id", "value").select("user_id", "event_id", "kind", "new_value")
+
+
+EDGES = """(SELECT l_partkey AS course, min(l_suppkey) AS needs FROM lineitem GROUP BY l_partkey UNION SELECT l_partkey, max(l_suppkey) FROM lineitem GROUP BY l_partkey)"""
+
+
+@query(f"WITH RECURSIVE e AS {EDGES}, r AS (SELECT * FROM e UNION SELECT r.course, e.needs FROM r JOIN e ON r.needs = e.course) SELECT course, needs, course = needs AS on_cycle FROM r")
+def prerequisite_closure(t: Tables) -> DataFrame:
+    """A part needs the least and the largest of its suppliers, whose numbers are parts too."""
+    ends = t.lineitem.groupBy(F.col("l_partkey").alias("course")).agg(F.array(F.min("l_suppkey"), F.max("l_suppkey")).alias("n"))
+    return closure.closure(ends.select("course", F.explode("n").alias("needs"))).select("course", "needs", (F.col("course") == F.col("needs")).alias("on_cycle"))
+
+
+@query(f"""
+    WITH m AS (SELECT l_orderkey AS plan, {MASK_SQL} AS mask FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)),
+    s AS (SELECT s AS slots, {' + '.join(f'{n} * (s >> {k} & 1)' for k, n in enumerate(NEED))} AS need FROM range(64) r(s))
+    SELECT plan, {sum(NEED)} - max(short)::BIGINT AS n_placed, CAST(0 AS BIGINT) AS n_over, CAST(0 AS BIGINT) AS n_unfit
+    FROM (SELECT plan, slots, any_value(need) - count(*) FILTER (WHERE mask & slots <> 0) AS short FROM m, s GROUP BY plan, slots) GROUP BY plan""")
+def match_assignment_judged(t: Tables) -> DataFrame:
+    """Assignments are as large as Hall's theorem allows, no slot takes more than it needs, and none a course that doesn't fit."""
+    rows = matching.assignments(masks(t), NEED).join(masks(t), ["plan", "course"])
+    need = F.element_at(F.array(*map(F.lit, NEED)), F.col("slot") + 1)
+    slots = rows.groupBy("plan", "slot").agg(F.count("*").alias("n"), F.count_if(F.shiftright(F.col("mask"), 0).bitwiseAND(F.expr("shiftleft(1, slot)")) == 0).alias("unfit"))
+    over = F.when(F.col("slot").isNotNull() & (F.col("n") > need), F.col("n") - need).otherwise(0)
+    return slots.groupBy("plan").agg(F.sum(F.when(F.col("slot").isNotNull(), F.col("n")).otherwise(0)).alias("n_placed"), F.sum(over).alias("n_over"), F.sum(F.when(F.col("slot").isNotNull(), F.col("unfit")).otherwise(0)).alias("n_unfit"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import seams
 from ..functions import text as tx
-from ..operators import extract, grading, inverted, retrieval, routing
+from ..operators import extract, grading, inverted, retrieval, routing, tree
+from ..operators.programs import VOID
 from ..sources.scratch import scratch
 from .registry import Tables, query
 
@@ -153,6 +155,28 @@ def dom_outline(t: Tables) -> DataFrame:
     return extract.outline(t.pages)
 
 
+VOIDS = ", ".join(f"'{v}'" for v in sorted(VOID))
+TAG = """'<(/?)([a-zA-Z][a-zA-Z0-9]*)(?:[^>"'']|"[^"]*"|''[^'']*'')*>'"""
+
+
+@query(f"""
+    WITH RECURSIVE p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '(?is)(<script[^>]*>).*?</script>', '\\1</script>', 'g'), '(?is)(<style[^>]*>).*?</style>', '\\1</style>', 'g') AS h FROM pages),
+    k AS (SELECT page_id, regexp_extract_all(h, {TAG}, 1) AS ends, list_transform(regexp_extract_all(h, {TAG}, 2), lambda x: lower(x)) AS tags FROM p),
+    r(page_id, i, stack, pre, tag, path) AS (
+        SELECT page_id, 0, []::VARCHAR[], -1, NULL::VARCHAR, NULL::VARCHAR FROM k
+        UNION ALL
+        SELECT r.page_id, i + 1,
+               CASE WHEN ends[i + 1] = '/' AND list_contains(stack, tags[i + 1]) THEN stack[1:len(stack) - list_position(list_reverse(stack), tags[i + 1])]
+                    WHEN ends[i + 1] = '/' OR tags[i + 1] IN ({VOIDS}) THEN stack ELSE list_append(stack, tags[i + 1]) END,
+               pre + (ends[i + 1] = '')::INTEGER, CASE WHEN ends[i + 1] = '' THEN tags[i + 1] END, CASE WHEN ends[i + 1] = '' THEN array_to_string(stack, '>') END
+        FROM r JOIN k ON k.page_id = r.page_id WHERE i < len(tags))
+    SELECT page_id, pre, tag, path FROM r WHERE tag IS NOT NULL""")
+def dom_paths(t: Tables) -> DataFrame:
+    """Every element of every page with the tags above it, by intervals."""
+    every = tree.nodes(t.pages)
+    return every.select("row", "page_id", "pre", "tag").join(tree.paths(every, every), ["row", "pre"]).select("page_id", "pre", "tag", "path")
+
+
 #: Frequent words of the invented languages, in the place of a lexicon.
 OFFER_WORDS, RULE_WORDS, BUILD_WORDS = ["the", "tion", "ing ", "der", "les "], ["and", "with", "ent", "ung", "que "], ["thent", "enschung"]
 
@@ -288,6 +312,27 @@ def stub_model_usage_cost(t: Tables) -> DataFrame:
     return t.conversations.where("role = 'user'").select("conv_id", "turn", grading.stub_answer(text).alias("answer"), n.alias("prompt_tokens"), grading.cost(F.lit(0), n, F.lit(0)).alias("cost_usd"))
 
 
+@query("""
+    SELECT conv_id * 1000 + turn AS id, '[stub:' || left(sha1(text), 8) || '] ' || coalesce(trim(list_filter(string_split(text, chr(10)), lambda x: starts_with(ltrim(x), '['))[1]), '') AS answer,
+           greatest(1, length(text)) // 4 AS prompt_tokens
+    FROM conversations WHERE role = 'user'""")
+def provider_answers(t: Tables) -> DataFrame:
+    """Prompts answered through the table function that providers are plugged into."""
+    seams.register(t.spark)
+    asked = t.conversations.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("prompt"))
+    return t.spark.sql("SELECT id, answer, prompt_tokens FROM plinth_answer(TABLE({asked}))", asked=asked)
+
+
+@query(f"""
+    WITH {HASHED}, f AS (SELECT item_id, bucket, tf FROM {tf_sql('benchmark', 'item_id')}), n AS (SELECT item_id, sqrt(sum(tf * tf)) AS n FROM f GROUP BY item_id)
+    SELECT item_id, coalesce(count(bucket), 0) AS n_buckets, coalesce(round(sum(tf / n * bucket), 5), 0.0) AS weighed FROM benchmark LEFT JOIN f USING (item_id) LEFT JOIN n USING (item_id) GROUP BY item_id""")
+def embedder_vectors(t: Tables) -> DataFrame:
+    """Vectors of the embedder that is plugged in, asked for from SQL."""
+    seams.register(t.spark)
+    vectors = t.spark.sql("SELECT item_id, plinth_embed(text) AS v FROM {items}", items=t.benchmark)
+    return vectors.select("item_id", F.size(F.filter("v", lambda x: x > 0)).cast("long").alias("n_buckets"), F.round(F.aggregate(F.transform("v", lambda x, i: x * i), F.lit(0.0), lambda s, x: s + x), 5).alias("weighed"))
+
+
 RESULTS = """(
     SELECT CASE user_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS config, CASE event_type WHEN 'click' THEN 'factual_offered' WHEN 'view' THEN 'factual_prereq' ELSE 'plan_validity' END AS type,
            (event_id % 5) / 4.0 AS quality, event_id % 7 > 0 AS citation_ok, event_id % 97 / 1000000.0 AS cost_usd, event_id % 11 AS hit_tokens, 11 + event_id % 13 AS prompt_tokens, value AS latency_s FROM events)"""
