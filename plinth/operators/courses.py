@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import level, season_of, season_rank, term_code, term_year
 from ..functions.text import clean
+from ..sources.scratch import kept
 from .extract import clauses, date_column, expand_days, section_cell, time_column
 
-NODE = "url string, pos int, tag string, text string, name string, times array<struct<kind:string,text:string>>, capacity string"
+NODE = "page long, url string, pos int, tag string, text string, name string, times array<struct<kind:string,text:string>>, capacity string"
+NODE_NAMES = ["page", "url", "pos", "tag", "text", "name", "times", "capacity"]
 TERM = "^(Winter|Spring|Summer|Fall)\\s+Term\\s+[0-9]{4}$"
 NO_DESCRIPTION = "There is no available course description"
 
@@ -31,6 +33,7 @@ class _Nodes(HTMLParser):
         self.row: dict | None = None
         self.column: list | None = None
         self.depth = 0
+        self.undescribed = False  # the page says that it has no description
 
     def add(self, tag, text="", name=""):
         self.rows.append([len(self.rows), tag, text, name, [], None])
@@ -90,6 +93,7 @@ class _Nodes(HTMLParser):
     def handle_data(self, data):
         if self.mute:
             return
+        self.undescribed |= NO_DESCRIPTION in " ".join(data.split())
         if self.row is not None:
             if self.row["cell"]:
                 self.row["parts"][self.row["cell"]].append(data)
@@ -100,17 +104,26 @@ class _Nodes(HTMLParser):
 
 
 def nodes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """Node rows of pages. page: a number of each row of pages, so that repeated or null urls don't mix; its first node, 'page', has what the page says of itself."""
+
     def walk(batches):
         for pdf in batches:
             rows = []
-            for u, text in zip(pdf["url"], pdf["html"], strict=True):
+            for page, u, text in zip(pdf["page"], pdf["url"], pdf["html"], strict=True):
                 p = _Nodes()
                 p.feed(text or "")
                 p.close()
-                rows += [(u, pos, tag, x, name, [{"kind": k, "text": t} for k, t in times], cap) for pos, tag, x, name, times, cap in p.rows]
-            yield pd.DataFrame(rows, columns=["url", "pos", "tag", "text", "name", "times", "capacity"])
+                rows.append((page, u, -1, "page", NO_DESCRIPTION if p.undescribed else "", "", [], None))
+                rows += [(page, u, pos, tag, x, name, [{"kind": k, "text": t} for k, t in times], cap) for pos, tag, x, name, times, cap in p.rows]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in NODE_NAMES])
+
+    return pages.select(F.monotonically_increasing_id().alias("page"), F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(walk, NODE)
 
-    return pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(walk, NODE)
+
+def quoted(x: Column) -> Column:
+    """A text within the quotes that it doesn't hold itself: single ones, if it can be."""
+    q = F.when(F.contains(x, F.lit("'")) & ~F.contains(x, F.lit('"')), '"').otherwise("'")
+    return F.concat(q, x, q)
 
 
 def _kinds(times: Column) -> Column:
@@ -120,60 +133,103 @@ def _kinds(times: Column) -> Column:
 
 
 def sections(rows: DataFrame) -> DataFrame:
-    """Nodes -> (url, pos, section): a struct for each table row, under the term heading that stands before it."""
-    order = Window.partitionBy("url").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Nodes -> (page, pos, section, flags): a struct for each table row, under the term heading that stands before it; flags: what of the row could not be read."""
+    order = Window.partitionBy("page").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     term = F.coalesce(F.last(F.when((F.col("tag") == "h2") & clean(F.col("text")).rlike(TERM), clean(F.col("text"))), ignorenulls=True).over(order), F.lit("Unknown"))
     own = rows.withColumn("term", term).where("tag = 'row' and text is not null").withColumn("cell", section_cell(F.col("text"))).withColumn("cols", _kinds(F.col("times")))
+    times_of = lambda i: time_column(F.get(F.col("cols"), i)["text"])
+    paired = lambda i: F.coalesce(F.get(F.col("cols"), i + 1)["kind"] == "time", F.lit(False))
 
     def one(c: Column, i: Column) -> Column:
         """The meeting that begins at column i, null if none does."""
-        nxt = F.get(F.col("cols"), i + 1)
-        d, t = date_column(c["text"]), time_column(nxt["text"])
+        d, t = date_column(c["text"]), times_of(i + 1)
         days = F.when(d["days"].isNull(), F.array().cast("array<string>")).otherwise(expand_days(d["days"])["days"])
-        ok = (c["kind"] == "date") & d["date_start"].isNotNull() & (nxt["kind"] == "time") & t["time_start"].isNotNull()
+        ok = (c["kind"] == "date") & d["date_start"].isNotNull() & paired(i) & t["time_start"].isNotNull()
         fields = F.struct(d["date_start"].alias("date_start"), d["date_end"].alias("date_end"), days.alias("days"), t["time_start"].alias("time_start"), t["time_end"].alias("time_end"))
         return F.when(F.coalesce(ok, F.lit(False)), fields)
 
+    def used(c: Column, i: Column) -> Column:
+        """A time that belongs to the date before it."""
+        before = F.when(i > 0, F.get(F.col("cols"), i - 1))
+        return F.coalesce((c["kind"] == "time") & (before["kind"] == "date") & date_column(before["text"])["date_start"].isNotNull(), F.lit(False))
+
     def left(c: Column, i: Column) -> Column:
         """The text of a column that is in no meeting."""
-        before = F.when(i > 0, F.get(F.col("cols"), i - 1))
-        used = F.coalesce((c["kind"] == "time") & (before["kind"] == "date"), F.lit(False))
-        return F.when(~used & F.get(F.col("found"), i).isNull(), c["text"])
+        return F.when(~used(c, i) & F.get(F.col("found"), i).isNull(), c["text"])
+
+    def wrong(c: Column, i: Column) -> Column:
+        """What of a column can't be read (fixed wording)."""
+        d, none = date_column(c["text"]), F.array().cast("array<string>")
+        days = F.transform(expand_days(d["days"])["unknown"], lambda u: F.concat(F.lit("unknown-day-code:"), quoted(u), F.lit(" in "), quoted(c["text"])))
+        after = F.get(F.col("cols"), i + 1)["text"]
+        time = F.when(paired(i) & times_of(i + 1)["time_start"].isNull(), F.array(F.concat(F.lit("unparseable-time-col:"), quoted(after)))).otherwise(none)
+        date = F.when(d["date_start"].isNull(), F.array(F.concat(F.lit("unparseable-date-col:"), quoted(c["text"])))).otherwise(F.concat(F.coalesce(days, none), time))
+        return F.when(c["kind"] == "date", date).when(~used(c, i), F.array(F.concat(F.lit("orphan-time-col:"), quoted(c["text"])))).otherwise(none)
 
     out = own.withColumn("found", F.transform("cols", one)).withColumn("meetings", F.array_distinct(F.array_compact("found")))
     rest = F.array_join(F.array_compact(F.transform("cols", left)), " | ")
     note = F.when(rest != "", rest).when(F.size("meetings") == 0, F.coalesce(F.nullif(clean(F.col("name")), F.lit("")), F.lit("No scheduled meeting times")))
-    code = term_code(F.col("term")).cast("string")
+    code, seats = term_code(F.col("term")).cast("string"), clean(F.col("capacity"))
     section = F.struct(
         "term", code.alias("term_code"), F.col("cell.component").alias("component"), F.col("cell.section").alias("section"), F.col("cell.class_id").alias("class_id"),
-        clean(F.col("capacity")).try_cast("int").alias("capacity"), "meetings", note.alias("schedule_note"), F.lit(None).cast("string").alias("instructor"), F.lit(None).cast("string").alias("location"),
+        seats.try_cast("int").alias("capacity"), "meetings", note.alias("schedule_note"), F.lit(None).cast("string").alias("instructor"), F.lit(None).cast("string").alias("location"),
     )
-    kept = out.where("cell.component is not null or size(meetings) > 0")
-    return kept.select("url", "pos", section.alias("section"))
+    cell = clean(F.col("text"))
+    some = F.array_compact(F.array(
+        F.when(F.col("cell.class_id").isNull(), F.concat(F.lit("section-cell-no-classid:"), quoted(cell))).when(F.col("cell.section").isNull(), F.concat(F.lit("section-cell-no-section-label:"), quoted(cell))),
+        F.when((seats != "") & seats.try_cast("int").isNull(), F.concat(F.lit("unparseable-capacity:"), quoted(seats))),
+        F.when(F.col("name").isNull(), F.lit("missing-class-times-cell")),
+    ))
+    all_ = F.concat(some, F.flatten(F.transform("cols", wrong)))
+    where = F.trim(F.concat(F.coalesce("cell.component", F.lit("")), F.lit(" "), F.coalesce("cell.section", F.lit("")), F.lit(" ("), F.coalesce("cell.class_id", F.lit("None")), F.lit(")")))
+    named = F.transform(all_, lambda x: F.concat(F.lit("["), F.col("term"), F.lit(" "), where, F.lit("] "), x))
+    kept_ = out.where("cell.component is not null or size(meetings) > 0")
+    return kept_.select("page", "pos", section.alias("section"), named.alias("flags"))
+
+
+def term_notes(rows: DataFrame, described: DataFrame) -> DataFrame:
+    """(page, term_notes, flags): of each term the first paragraph of over 60 characters below its heading, before a table or a smaller heading, where it isn't the course's description."""
+    order = Window.partitionBy("page").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    text = clean(F.col("text"))
+    is_term = (F.col("tag") == "h2") & text.rlike(TERM)
+    below = rows.withColumn("heading", F.sum(is_term.cast("int")).over(order)).where("heading > 0")
+    first = lambda what: F.min(F.when(what, F.col("pos")))
+    long = (F.col("tag") == "p") & (F.length(text) > 60)
+    by_term = below.groupBy("page", "heading").agg(F.min_by(text, "pos").alias("term"), first(F.col("tag").isin("h3", "table")).alias("shut"), first(long).alias("at"), F.min_by(text, F.when(long, F.col("pos"))).alias("note"))
+    told = by_term.where("at is not null and (shut is null or at < shut)").join(described.select("page", clean(F.col("description_raw")).alias("top")), "page", "left").where("not (note <=> top)")
+    last = told.groupBy("page", "term").agg(F.max_by("note", "heading").alias("note"), F.min("heading").alias("heading"))
+    pairs = last.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("heading", "term", "note"))).alias("x"))
+    changed = F.transform("x", lambda s: F.concat(F.lit("["), s["term"], F.lit("] per-term-description differs from top description (course-is-changing block)")))
+    return pairs.select("page", F.map_from_entries(F.transform("x", lambda s: F.struct(s["term"], s["note"]))).alias("term_notes"), changed.alias("term_flags"))
 
 
 def descriptions(rows: DataFrame) -> DataFrame:
-    """(url, description): the first paragraph after the faculty's, before any block of another kind; else the longest of over 40 characters."""
-    order = Window.partitionBy("url").orderBy("pos")
+    """(page, description_raw): the first paragraph after the faculty's, before any block of another kind; else the longest of over 40 characters."""
+    order = Window.partitionBy("page").orderBy("pos")
     after = order.rowsBetween(Window.unboundedPreceding, -1)
     marked = rows.withColumn("stage", F.last(F.when((F.col("tag") == "p") & (F.col("name") == "faculty"), "open").when(F.col("tag").isin("div", "table", "h2", "h3"), "shut"), ignorenulls=True).over(after))
     p = (F.col("tag") == "p") & (F.col("name") != "faculty") & (F.col("text") != "")
     near = F.min_by("text", F.when(p & (F.col("stage") == "open"), F.col("pos")))
     free = p & ~F.contains("name", F.lit("breadcrumb")) & (F.length("text") > 40)
-    return marked.groupBy("url").agg(F.coalesce(near, F.max_by("text", F.when(free, F.struct(F.length("text"), -F.col("pos"))))).alias("description_raw"))
+    return marked.groupBy("page").agg(F.coalesce(near, F.max_by("text", F.when(free, F.struct(F.length("text"), -F.col("pos"))))).alias("description_raw"))
 
 
 def parse_courses(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Course rows of course pages, with ``flags``: what could not be read. Meta tags come first, the first heading stands in."""
-    rows = nodes(pages, url, html)
-    meta = rows.where("tag = 'meta' and startswith(name, 'ua__cat')").groupBy("url").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "text")))).alias("meta"))
-    head = rows.groupBy("url").agg(F.min_by("text", F.when(F.col("tag") == "h1", F.col("pos"))).alias("h1"), F.min_by("text", F.when((F.col("tag") == "h2") & F.contains("name", F.lit("fs-5")), F.col("pos"))).alias("units_string"))
-    found = sections(rows).groupBy("url").agg(F.array_sort(F.collect_list(F.struct("pos", "section"))).alias("s")).select("url", F.transform("s", lambda x: x["section"]).alias("sections"))
+    """Course rows of course pages, a row for each row of pages, with ``flags``: what could not be read. Meta tags come first, the first heading stands in.
+
+    Pages are walked once, into a kept table of nodes. Repeated and null urls stand for themselves; null html is an empty page.
+    """
+    rows = kept(nodes(pages, url, html), "nodes")
+    meta = rows.where("tag = 'meta' and startswith(name, 'ua__cat')").groupBy("page", "name").agg(F.max_by("text", "pos").alias("text"))
+    meta = meta.groupBy("page").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "text")))).alias("meta"))
+    head = rows.groupBy("page").agg(F.min_by("text", F.when(F.col("tag") == "h1", F.col("pos"))).alias("h1"), F.min_by("text", F.when((F.col("tag") == "h2") & F.contains("name", F.lit("fs-5")), F.col("pos"))).alias("units_string"))
+    found = sections(rows).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("pos", "section", "flags"))).alias("s"))
+    found = found.select("page", F.transform("s", lambda x: x["section"]).alias("sections"), F.flatten(F.transform("s", lambda x: x["flags"])).alias("section_flags"))
     text = descriptions(rows)
-    split = clauses(text, "url", "description_raw")
-    df = pages.select(F.col(url).alias("url")).distinct()
-    for part in (meta, head, text, split, found):
-        df = df.join(part, "url", "left")
+    split = clauses(text, "page", "description_raw")
+    df = rows.where("tag = 'page'").select("page", "url", (F.col("text") != "").alias("undescribed"))
+    for part in (meta, head, text, split, found, term_notes(rows, text)):
+        df = df.join(part, "page", "left")
     m = lambda k: F.try_element_at("meta", F.lit(f"ua__cat_{k}"))
     h = lambda k: F.nullif(F.regexp_extract("h1", "^\\s*([A-Z][A-Z &]*?)\\s+([0-9][0-9A-Za-z]*)\\b", k), F.lit(""))
     subject, number = F.coalesce(m("subject"), h(1), F.lit("")), F.coalesce(m("catalog"), h(2), F.lit(""))
@@ -181,17 +237,21 @@ def parse_courses(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
     terms = F.filter(F.transform(F.split(F.coalesce(m("term"), F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != "")
     n = F.coalesce(F.size("sections"), F.lit(0))
     listed = m("sections").try_cast("int")
-    flags = F.array_compact(F.array(
-        F.when(m("course").isNull() | m("subject").isNull() | m("catalog").isNull(), F.concat(F.lit("missing-course-meta:"), "url")),
-        F.when(F.col("description_raw").isNull(), F.lit("missing-description")),
-        F.when(F.col("combined"), F.lit("combined-prereq/coreq")),
-        F.when(listed.isNotNull() & (listed != n), F.format_string("section-count-mismatch: parsed=%d meta=%d", n, listed)),
+    at = F.concat(F.lit("["), course, F.lit("] "))
+    none = F.array().cast("array<string>")
+    before = F.array_compact(F.array(  # fixed wording
+        F.when(m("course").isNull() | m("subject").isNull() | m("catalog").isNull(), F.concat(F.lit("missing-course-meta:"), F.coalesce("url", F.lit("")))),
+        F.when(F.col("description_raw").isNull() & ~F.col("undescribed"), F.concat(F.lit("missing-description:"), course)),
+        F.when(F.col("combined"), F.concat(at, F.lit("combined-prereq/coreq clause captured into both fields"))),
+        F.when(F.contains("description_raw", F.lit("Prerequisite")) & F.col("prereq_raw").isNull(), F.concat(at, F.lit("prereq-leadin-present-but-unparsed"))),
     ))
+    after = F.array_compact(F.array(F.when(listed.isNotNull() & (listed != n), F.concat(at, F.format_string("section-count-mismatch: parsed=%d meta=%d", n, listed)))))
+    flags = F.concat(before, F.coalesce("section_flags", none), F.coalesce("term_flags", none), after)
     return df.select(
         course.alias("course_id"), subject.alias("subject"), number.alias("catalog_number"), m("coursetitle").alias("title"), m("credits").try_cast("double").alias("credits"), m("faculty").alias("faculty"),
         m("career").alias("career"), "units_string", "description_raw", "prereq_raw", "coreq_raw", "credit_exclusion_raw", terms.alias("terms_offered"), F.col("url").alias("source_url"),
         F.coalesce("sections", F.array().cast(df.schema["sections"].dataType.simpleString())).alias("sections"),
-        F.nullif(clean(F.regexp_extract("description_raw", "(?s)(See Note.*|Note:.*)", 1)), F.lit("")).alias("note_raw"), listed.alias("meta_sections"), flags.alias("flags"),
+        F.nullif(clean(F.regexp_extract("description_raw", "(?s)(See Note.*|Note:.*)", 1)), F.lit("")).alias("note_raw"), "term_notes", listed.alias("meta_sections"), m("sections_online").try_cast("int").alias("meta_sections_online"), flags.alias("flags"),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean
+from ..sources.scratch import kept
 
 # Beginnings of program names and their degrees, in this order.
 DEGREES = [
@@ -30,7 +31,7 @@ CODE = r"^([A-Z][A-Z&/]*(?:\s[A-Z&/]+)*)\s+(\d+[A-Z]*)\b"
 RULE = r"(?i)(\d+\s*units?\b|\bfrom\b|★|\bone of\b|\beach of\b|\bunits? from\b)"
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 VOID = {"br", "img", "meta", "link", "input", "hr", "area", "base", "col", "embed", "source", "track", "wbr"}
-CORE = "poid string, pos int, path array<string>, heading string, kind string, text string, content boolean, title string"
+CORE = "page long, poid string, pos int, path array<string>, heading string, kind string, text string, content boolean, title string"
 
 
 def degree_of(name: Column) -> Column:
@@ -116,47 +117,47 @@ class _Cores(HTMLParser):
             if e["text"] is not None:
                 e["text"].append(data)
 
-    def rows(self, poid):
+    def rows(self):
         title = self.name if self.name is not None else "".join(self.title) or None
-        yield poid, -1, [], None, "page", None, self.content, title
+        yield -1, [], None, "page", None, self.content, title
         for k, b in enumerate(self.blocks):
-            yield poid, k, [h for h in b["path"] if h], b["heading"], "block", None, self.content, title
+            yield k, [h for h in b["path"] if h], b["heading"], "block", None, self.content, title
             for i in b["items"]:
-                yield poid, k, [], None, "course" if i["course"] else "prose", i["link"] if i["course"] and i["link"] is not None else i["text"], self.content, title
+                yield k, [], None, "course" if i["course"] else "prose", i["link"] if i["course"] and i["link"] is not None else i["text"], self.content, title
 
 
 def cores(pages: DataFrame) -> DataFrame:
-    """pages (poid, html) -> flat rows of their requirement blocks, in document order within pos."""
+    """pages (poid, html) -> flat rows of their requirement blocks, in document order within pos. page: a number of each row of pages."""
 
     def walk(batches):
         for pdf in batches:
             rows = []
-            for poid, html in zip(pdf["poid"], pdf["html"], strict=True):
+            for page, poid, html in zip(pdf["page"], pdf["poid"], pdf["html"], strict=True):
                 p = _Cores()
                 p.feed(html or "")
                 p.close()
-                rows += [(*r, n) for n, r in enumerate(p.rows(poid))]
+                rows += [(page, poid, *r, n) for n, r in enumerate(p.rows())]
             yield pd.DataFrame(rows, columns=[*(x.split()[0] for x in CORE.split(", ")), "n"])
 
-    return pages.select("poid", "html").mapInPandas(walk, CORE + ", n int")
+    return pages.select(F.monotonically_increasing_id().alias("page"), F.col("poid").cast("string").alias("poid"), "html").mapInPandas(walk, CORE + ", n int")
 
 
 def parse_programs(pages: DataFrame) -> DataFrame:
     """pages (poid, html) -> (poid, program_name, degree, requirement_blocks_raw, parse_confidence, flags).
 
     A block has its path of headings, its rule (its heading, if that states one, and the prose of its own items) and the courses of
-    its own items. needs_review: no container, no block, a code that can't be read, or a rule without anything below it. Null html: an empty page.
+    its own items. A row for each row of pages: repeated and null poids stand for themselves; pages are walked once. needs_review: no container, no block, a code that can't be read, or a rule without anything below it. Null html: an empty page.
     """
-    rows = cores(pages)
-    heads = rows.where("kind = 'block'").select("poid", "pos", clean(F.col("heading")).alias("own"), F.transform("path", lambda h: clean(h)).alias("above"))
+    rows = kept(cores(pages), "cores")
+    heads = rows.where("kind = 'block'").select("page", "pos", clean(F.col("heading")).alias("own"), F.transform("path", lambda h: clean(h)).alias("above"))
     items = rows.where("kind in ('course', 'prose')").withColumn("text", clean(F.col("text"))).withColumn("code", F.when(F.col("kind") == "course", code_of(F.col("text"))))
     listed = F.array_sort(F.collect_list(F.when(F.col("kind") == "course", F.struct("n", F.coalesce("code", "text").alias("x")))))
     prose = F.array_sort(F.collect_list(F.when((F.col("kind") == "prose") & (F.col("text") != ""), F.struct("n", F.col("text").alias("x")))))
-    inside = items.groupBy("poid", "pos").agg(listed.alias("c"), prose.alias("p"), F.count_if((F.col("kind") == "course") & F.col("code").isNull()).alias("bad"))
-    below = heads.where(F.size("above") > 0).select("poid", F.concat_ws(" / ", "above").alias("parent")).distinct().withColumn("nested", F.lit(True))
+    inside = items.groupBy("page", "pos").agg(listed.alias("c"), prose.alias("p"), F.count_if((F.col("kind") == "course") & F.col("code").isNull()).alias("bad"))
+    below = heads.where(F.size("above") > 0).select("page", F.concat_ws(" / ", "above").alias("parent")).distinct().withColumn("nested", F.lit(True))
     full = F.concat_ws(" / ", F.concat("above", F.when(F.coalesce("own", F.lit("")) != "", F.array("own")).otherwise(F.array().cast("array<string>"))))
-    b = heads.join(inside, ["poid", "pos"], "left").withColumn("heading", full)
-    b = b.join(below.withColumnRenamed("parent", "heading"), ["poid", "heading"], "left")
+    b = heads.join(inside, ["page", "pos"], "left").withColumn("heading", full)
+    b = b.join(below.withColumnRenamed("parent", "heading"), ["page", "heading"], "left")
     xs = lambda c: F.transform(F.coalesce(c, F.array().cast("array<struct<n:int,x:string>>")), lambda s: s["x"])
     b = b.withColumns({"courses": xs(F.col("c")), "prose": xs(F.col("p")), "own": F.coalesce("own", F.lit("")), "bad": F.coalesce("bad", F.lit(0))}).withColumn("ruled", (F.col("own") != "") & is_rule(F.col("own")))
     said = F.array_join("prose", "; ")
@@ -166,9 +167,9 @@ def parse_programs(pages: DataFrame) -> DataFrame:
     b = b.withColumns({"rule_text_raw": rule, "flags": flags})
     block = F.struct("pos", "heading", "rule_text_raw", "courses")
     keep = (F.col("own") != "") | (F.size("courses") > 0)
-    by_page = b.groupBy("poid").agg(F.array_sort(F.collect_list(F.when(keep, block))).alias("b"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "flags"))), lambda s: s["flags"])).alias("some"))
+    by_page = b.groupBy("page").agg(F.array_sort(F.collect_list(F.when(keep, block))).alias("b"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "flags"))), lambda s: s["flags"])).alias("some"))
     name = clean(F.regexp_replace(F.regexp_replace("title", " - University of Alberta.*$", ""), "Program: ", ""))
-    out = rows.where("kind = 'page'").select("poid", "content", name.alias("program_name")).join(by_page, "poid", "left")
+    out = rows.where("kind = 'page'").select("page", "poid", "content", name.alias("program_name")).join(by_page, "page", "left")
     flags = F.concat(F.array_compact(F.array(F.when(~F.col("content"), "no-block_content-container"), F.when(F.col("content") & F.col("some").isNull(), "no-acalog-core-blocks"))), F.coalesce("some", F.array().cast("array<string>")))
     blocks = F.when(F.col("content"), F.transform("b", lambda s: s.dropFields("pos")))
     out = out.withColumns({"flags": flags, "requirement_blocks_raw": F.coalesce(blocks, F.array().cast("array<struct<heading:string,rule_text_raw:string,courses:array<string>>>"))})

@@ -47,10 +47,10 @@ def test_fields(rows):
     assert [river[k] for k in ("course_id", "subject", "catalog_number", "title", "credits", "units_string")] == ["GEOL 341", "GEOL", "341", "River Sediments", 1.5, "1.5 units"]
     assert river["terms_offered"] == ["Summer Term 2027", "Spring Term 2027"]
     assert river["prereq_raw"].startswith("GEOL 201 or consent") and river["coreq_raw"].startswith("PHYS 130") and river["note_raw"] == "Note: boots are needed."
-    assert river["flags"] == ["section-count-mismatch: parsed=4 meta=7"]
+    assert river["flags"] == ["[Spring Term 2027 SEMINAR Z (3903)] unparseable-capacity:'eighteen'", "[Spring Term 2027 SEMINAR Z (3903)] orphan-time-col:'10:00 - 11:00'", "[GEOL 341] section-count-mismatch: parsed=4 meta=7"]
     assert (clay["course_id"], clay["catalog_number"], clay["sections"], clay["flags"]) == ("ART 88B", "88B", [], ["missing-course-meta:clay"])
     assert clay["description_raw"].startswith("Clay from the river bank")
-    assert got["nothing"]["course_id"] == "UNKNOWN" and "missing-description" in got["nothing"]["flags"]
+    assert got["nothing"]["course_id"] == "UNKNOWN" and "missing-description:UNKNOWN" in got["nothing"]["flags"] and river["term_notes"] is None
 
 
 def test_sections(rows):
@@ -77,3 +77,34 @@ def test_snapshot_and_spans(rows):
     spring = got["GEOL 341::Spring Term 2027"]
     assert spring["text"] == "[GEOL 341::Spring Term 2027] GEOL 341 in Spring Term 2027: FIELD SCHOOL Q7 TR 08:30-16:05; W 13:00-15:20 (capacity 12); SEMINAR Z time TBA. Total capacity 12."
     assert got["GEOL 341::Summer Term 2027"]["total_capacity"] == 6 and spring["embed_text"].startswith("GEOL 341 GEOL 341 [")
+
+
+ODD = [
+    ("Winter Term 2028", [
+        ("LECTURE", 1, "5", [("calendar", "2028-01-05 (MXQ)"), ("clock", "9:00 - 9:50"), ("calendar", "soon"), ("clock", "10:00 - 11:00"), ("calendar", "2028-01-06"), ("clock", "noon"), ("calendar", "2028-01-07")]),
+    ]),
+]
+
+
+def test_flags_and_term_notes(spark):
+    top = "How rivers carry and sort what they carry, and how we may know it from what they leave."
+    changed = "From Winter 2028 on the course is about lakes, and what they keep of what rivers bring them."
+    table = "".join(row(*s) for s in ODD[0][1]) + '<tr><td data-card-title="Section">LAB B2</td><td data-card-title="Capacity">7</td></tr>'
+    head = "".join(f'<meta name="ua__cat_{k}" content="{v}">' for k, v in (META | {"sections": "2", "sections_online": "1"}).items())
+    body = f"<h1>GEOL 341</h1><p><a href='/catalogue/faculty/eas'>E</a></p><p>{top} Prerequisite or corequisite: GEOL 201.</p><h2>Fall Term 2027</h2><p>short</p><h3>x</h3><p>{changed}</p>"
+    body += f"<h2>Winter Term 2028</h2><p>{changed}</p><table><tbody>{table}</tbody></table><h2>Spring Term 2028</h2><p>{top} Prerequisite or corequisite: GEOL 201.</p>"
+    html = f"<html><head>{head}</head><body>{body}</body></html>"
+    silent = "<html><body><h1>ART 9</h1><div>There is no available\n course description.</div></body></html>"
+    pages = spark.createDataFrame([("a", html), ("a", html), (None, html), (None, silent)], "url string, html string").repartition(2)
+    got = courses.parse_courses(pages).collect()
+    assert sorted((r["source_url"] or "", r["course_id"], len(r["sections"]), r["meta_sections_online"]) for r in got) == [("", "ART 9", 0, None), ("", "GEOL 341", 2, 1), ("a", "GEOL 341", 2, 1), ("a", "GEOL 341", 2, 1)]
+    r = next(r for r in got if r["source_url"] == "a")
+    at, lab = "[Winter Term 2028 LECTURE  (1)] ", "[Winter Term 2028 LAB B2 (None)] "
+    assert r["flags"] == [
+        "[GEOL 341] combined-prereq/coreq clause captured into both fields", f"{at}section-cell-no-section-label:'LECTURE (1)'", f"{at}unknown-day-code:'X' in '2028-01-05 (MXQ)'", f"{at}unknown-day-code:'Q' in '2028-01-05 (MXQ)'",
+        f"{at}unparseable-date-col:'soon'", f"{at}orphan-time-col:'10:00 - 11:00'", f"{at}unparseable-time-col:'noon'", f"{lab}section-cell-no-classid:'LAB B2'", f"{lab}missing-class-times-cell",
+        "[Winter Term 2028] per-term-description differs from top description (course-is-changing block)",
+    ]
+    assert r["term_notes"] == {"Winter Term 2028": changed} and [x["schedule_note"] for x in r["sections"]] == ["soon | 10:00 - 11:00 | 2028-01-06 | 2028-01-07", "No scheduled meeting times"]
+    assert next(r for r in got if r["course_id"] == "ART 9")["flags"] == ["missing-course-meta:"]
+    assert courses.parse_courses(pages.limit(0)).collect() == []

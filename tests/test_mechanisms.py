@@ -184,7 +184,7 @@ def test_yaml_source(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     files = {
         "a.plan.yaml": "plan_id: x\nextra: {1: 2026-01-01}\ntaken: [T 1]\nterms:\n- term: Fall\n  courses: [A 1, B 2]\n", "b.plan.yaml": "expected: valid\n", "broken.yaml": "terms: [\n", "date.yml": "terms: 2026-13-45\n",
-        "empty.yaml": "", "sub/q.yaml": "- {id: 1, type: factual_offered, text: Is A 1 offered?, course: A 1, term: Fall}\n- {id: 2, type: plan_validity, plan_id: x}\n", "note.txt": "no yaml",
+        "empty.yaml": "", "sub/q.yaml": "- {id: 1, type: factual_offered, text: 'Is A 1 offered?', course: A 1, term: Fall}\n- {id: 2, type: plan_validity, plan_id: x}\n", "note.txt": "no yaml",
     }
     for name, text in files.items():
         (tmp_path / name).write_text(text)

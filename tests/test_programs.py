@@ -29,6 +29,13 @@ def test_program_page(spark):
     assert (got["10"]["degree"], got["10"]["flags"]) == ("M?", ["no-acalog-core-blocks"])
 
 
+def test_repeated_pages(spark):
+    pages = spark.createDataFrame([("7", PAGE), ("7", PAGE), (None, PAGE), (None, None)], "poid string, html string").repartition(2)
+    got = programs.parse_programs(pages).collect()
+    assert sorted((r["poid"] or "", len(r["requirement_blocks_raw"]), len(r["flags"])) for r in got) == [("", 0, 1), ("", 5, 2), ("7", 5, 2), ("7", 5, 2)]
+    assert programs.parse_programs(pages.limit(0)).collect() == []
+
+
 def test_discovery_and_tiers(spark):
     links = [("p", 0, "x?poid=12&a", " Late\n name "), ("p", 1, "x?poid=3", "Three"), ("a", 5, "x?poid=12", "Twelve"), ("a", 6, "none", "x"), ("a", 7, None, "y")]
     rows = spark.createDataFrame(links, "page string, pos int, href string, text string")
