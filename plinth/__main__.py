@@ -29,7 +29,7 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import functions as F
 
     from .operators import degree, routing
-    from .plans import degrees, records, tables, texts  # noqa: F401  they register the queries
+    from .plans import degrees, pages, records, tables, texts  # noqa: F401  they register the queries
     from .plans.program import PROGRAM
     from .plans.registry import QUERIES
     from .session import build
