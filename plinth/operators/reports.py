@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The columns of the results, in this order.
-RESULTS = ("config", "n", "quality", "citation_pass_rate", "cost_total", "cost_mean", "latency_p50", "latency_p95", "cache_hit_rate", "prompt_tokens", "completion_tokens")
 ANSWER_MOST = 500
 
 

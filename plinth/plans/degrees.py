@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import degree, solve
+from ..functions.terms import term_label
+from ..operators import degree, eval_run, solve
 from .program import PROGRAM
 from .registry import Tables, query
+from .tables import TERM
 
 SCOPE = tuple(sorted(set(PROGRAM.named) | set(PROGRAM.prerequisites)))
 CATALOGUE = {c: (c.rsplit(" ", 1)[0], int(c.rsplit(" ", 1)[1]) // 100 * 100, 3.0) for c in SCOPE}
@@ -42,3 +44,83 @@ def solve_round_trip(t: Tables) -> DataFrame:
     offered = t.spark.createDataFrame([(c, f"{s} Term 2026") for c, seasons in SEASONS.items() for s in sorted(seasons)], "course string, term string")
     failures = degree.validate(plans, PROGRAM, CATALOGUE, offered).groupBy("plan").agg(F.count("*").alias("n"))
     return plans.select("plan").distinct().join(failures, "plan", "left").select("plan", F.coalesce("n", F.lit(0)).alias("n_failures"))
+
+
+def picked(number, names: tuple[str, ...]):
+    """The name whose turn it is."""
+    return F.element_at(F.array(*map(F.lit, names)), (F.pmod(number, F.lit(len(names))) + 1).cast("int"))
+
+
+def picked_sql(number: str, names: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in names) + f"][{number} % {len(names)} + 1]"
+
+
+OFFERED_SQL = f"SELECT l_orderkey * 10 + l_linenumber AS n, l_partkey, {picked_sql('l_partkey', SCOPE)} AS course, {TERM.format('l_shipdate')} AS term, l_shipdate, l_orderkey, l_linenumber FROM lineitem"
+
+
+def scheduled(t: Tables) -> DataFrame:
+    """Orders as plans (degree.PLAN and n): lines are courses of PROGRAM in the months they ship, in order of line and part."""
+    d = F.col("l_shipdate")
+    place = F.struct("l_linenumber", "l_partkey")
+    rows = t.lineitem.select(F.col("l_orderkey").cast("string").alias("plan"), ((F.year(d) - 1990) * 12 + F.month(d)).alias("month"), term_label(d).alias("term"), place.alias("place"), picked(F.col("l_partkey"), SCOPE).alias("course"), F.col("l_orderkey").alias("n"))
+    months = rows.groupBy("plan", "n", F.col("month").alias("term_idx"), "term").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "course"))), lambda s: s["course"]).alias("c"))
+    return months.select("plan", "term_idx", "term", F.posexplode("c").alias("pos", "course"), "n")
+
+
+@query(f"""
+    WITH l AS ({OFFERED_SQL}),
+    m AS (SELECT l_orderkey, (year(l_shipdate) - 1990) * 12 + month(l_shipdate) AS month, term, string_agg(course, ', ' ORDER BY l_linenumber, l_partkey) AS c FROM l GROUP BY ALL),
+    p AS (SELECT l_orderkey, string_agg(term || ': ' || c, ' | ' ORDER BY month) AS text FROM m GROUP BY l_orderkey),
+    h AS (SELECT l_orderkey, array_to_string(list_sort(list_distinct(list({picked_sql('l_partkey', OPENING)}))), ', ') AS held FROM lineitem GROUP BY l_orderkey)
+    SELECT format('factual_offered_{{:03d}}', n) AS id, 'factual_offered' AS type, 'Is ' || course || ' offered in ' || term || '?' AS text FROM l
+    UNION ALL SELECT format('factual_prereq_{{:03d}}', p_partkey), 'factual_prereq', 'What is the prerequisite for ' || {picked_sql('p_partkey', SCOPE)} || '?' FROM part
+    UNION ALL SELECT format('plan_validity_{{:03d}}', l_orderkey), 'plan_validity', '{eval_run.VALID}' || text FROM p
+    UNION ALL SELECT format('plan_construction_{{:03d}}', l_orderkey), 'plan_construction', '{eval_run.BUILD}' || ' I have already completed: ' || held || '.' || '{eval_run.HOW.replace("'", "''")}' FROM h""")
+def query_set_types(t: Tables) -> DataFrame:
+    """Questions of all four types, made from the tables."""
+    n = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    offered = t.lineitem.select(n.alias("n"), picked(F.col("l_partkey"), SCOPE).alias("course"), term_label(F.col("l_shipdate")).alias("term"))
+    prereq = t.part.select(F.col("p_partkey").alias("n"), picked(F.col("p_partkey"), SCOPE).alias("course"))
+    had = t.lineitem.groupBy(F.col("l_orderkey").alias("n")).agg(F.array_sort(F.collect_set(picked(F.col("l_partkey"), OPENING))).alias("taken"))
+    return eval_run.query_set(offered, prereq, scheduled(t), had).select("id", "type", "text")
+
+
+def rule_sql(rule, has) -> str:
+    """A rule as SQL; has(course): whether it is held."""
+    if rule is None or (isinstance(rule, dict) and "hs" in rule):
+        return "true"
+    if isinstance(rule, str):
+        return has(rule)
+    if "pattern" in rule:
+        some = [c for c in SCOPE if degree.fits(rule["pattern"], *CATALOGUE[c][:2])]
+        return "(" + " OR ".join(map(has, some)) + ")" if some else "false"
+    key = "one_of" if "one_of" in rule else "all_of"
+    return "(" + (" OR " if key == "one_of" else " AND ").join(rule_sql(r, has) for r in rule[key]) + ")"
+
+
+def failing_sql(same: bool) -> str:
+    """Lines whose rule isn't met by what is held before (or by then)."""
+    held = lambda c: f"list_contains({'upto' if same else 'before'}, '{c}')" if c in SCOPE else "true"
+    cases = [(c, p.coreq if same else p.rule) for c, p in PROGRAM.prerequisites.items()]
+    return "NOT (CASE course " + " ".join(f"WHEN '{c}' THEN {rule_sql(r, held)}" for c, r in cases if r is not None) + " ELSE true END)"
+
+
+CLASH_SQL = " UNION ALL ".join(f"SELECT plan, 'credit_exclusion' AS code FROM h WHERE len(list_filter(held, lambda x: list_contains({list(e)!r}, x))) > 1" for e in PROGRAM.exclusions)
+BARRED_SQL = " UNION ALL ".join(f"SELECT plan, 'ineligible_course' FROM h WHERE list_contains(held, '{c.trigger}') AND list_contains(held, '{c.ineligible}')" for c in PROGRAM.conditionals if c.ineligible)
+
+
+@query(f"""
+    WITH l AS (SELECT l_orderkey::VARCHAR AS plan, (year(l_shipdate) - 1990) * 12 + month(l_shipdate) AS month, {TERM.format('l_shipdate')} AS term, {picked_sql('l_partkey', SCOPE)} AS course FROM lineitem),
+    s AS (SELECT *, CASE WHEN course = 'CMPUT 274' THEN contains(term, 'Fall') WHEN course = 'CMPUT 275' THEN contains(term, 'Winter') ELSE contains(term, 'Fall') OR contains(term, 'Winter') END AS is_offered FROM l),
+    h AS (SELECT plan, list_distinct(list(course)) AS held FROM l GROUP BY plan),
+    w AS (SELECT *, list(course) OVER (PARTITION BY plan ORDER BY month RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+                 coalesce(list(course) OVER (PARTITION BY plan ORDER BY month RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS before FROM l),
+    f AS (SELECT plan, 'duplicate_course' AS code FROM (SELECT plan FROM l GROUP BY plan, course HAVING count(*) > 1) GROUP BY plan
+          UNION ALL {BARRED_SQL} UNION ALL {CLASH_SQL} UNION ALL SELECT plan, 'not_offered' FROM s WHERE NOT is_offered
+          UNION ALL SELECT plan, 'prereq_unsatisfied' FROM w WHERE {failing_sql(False)} UNION ALL SELECT plan, 'coreq_unsatisfied' FROM w WHERE {failing_sql(True)})
+    SELECT plan, code, count(*) AS n FROM f GROUP BY plan, code""")
+def degree_failures(t: Tables) -> DataFrame:
+    """Orders judged as plans for the whole program: how many failures of each code, but for what slots lack (see solve_round_trip and the tests)."""
+    offered = t.spark.createDataFrame([(c, f"{s} Term 1990") for c, seasons in SEASONS.items() for s in sorted(seasons)], "course string, term string")
+    failures = degree.validate(scheduled(t).drop("n"), PROGRAM, CATALOGUE, offered)
+    return failures.where("code <> 'requirement_shortfall'").groupBy("plan", "code").agg(F.count("*").alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seams
 from ..functions import text as tx
-from ..operators import extract, grading, inverted, retrieval, routing, tree
+from ..operators import eval_run, extract, grading, inverted, retrieval, routing, tree
 from ..operators.programs import VOID
 from ..sources.scratch import scratch
 from .registry import Tables, query
@@ -386,3 +386,24 @@ LEADS = [(kind, p.replace("'", "''")) for kind, p in extract.LEAD_INS]
     SELECT id, prereq_raw, coreq_raw, credit_exclusion_raw, coalesce(combined, false) AS combined FROM m LEFT JOIN f USING (id)""")
 def clause_split(t: Tables) -> DataFrame:
     return extract.clauses(after(t, CLAUSES), "id", "a")
+
+
+WAITS = f"""
+    SELECT config, round(CASE WHEN n = 1 THEN d[1] ELSE (d[j50] * (100 - s50) + d[j50 + 1] * s50) / 100 END, 4) AS p50,
+           round(CASE WHEN n = 1 THEN d[1] ELSE (d[j95] * (100 - s95) + d[j95 + 1] * s95) / 100 END, 4) AS p95
+    FROM (SELECT *, 50 * (n + 1) - j50 * 100 AS s50, 95 * (n + 1) - j95 * 100 AS s95 FROM (
+        SELECT config, count(*) AS n, list_sort(list(latency_s)) AS d, least(greatest(50 * (count(*) + 1) // 100, 1), greatest(count(*) - 1, 1)) AS j50,
+               least(greatest(95 * (count(*) + 1) // 100, 1), greatest(count(*) - 1, 1)) AS j95
+        FROM {RESULTS} WHERE latency_s IS NOT NULL GROUP BY config))"""
+
+
+@query(f"""
+    SELECT config, quality_overall, factual_offered, factual_prereq, plan_validity, plan_construction, citation_pass_rate, cost_usd_total, p50 AS latency_p50, p95 AS latency_p95, cache_hit_rate, n FROM (
+        SELECT config, round(avg(quality), 4) AS quality_overall, round(avg(quality) FILTER (WHERE type = 'factual_offered'), 4) AS factual_offered, round(avg(quality) FILTER (WHERE type = 'factual_prereq'), 4) AS factual_prereq,
+               round(avg(quality) FILTER (WHERE type = 'plan_validity'), 4) AS plan_validity, round(avg(quality) FILTER (WHERE type = 'plan_construction'), 4) AS plan_construction,
+               round(avg(citation_ok::INTEGER) FILTER (WHERE type = 'factual_offered'), 4) AS citation_pass_rate, round(sum(cost_usd), 6) AS cost_usd_total,
+               coalesce(round(sum(hit_tokens)::DOUBLE / nullif(sum(prompt_tokens), 0), 4), 0.0) AS cache_hit_rate, count(*) AS n FROM {RESULTS} GROUP BY config)
+    LEFT JOIN ({WAITS}) USING (config)""")
+def evaluation_results(t: Tables) -> DataFrame:
+    """The table that results.csv holds."""
+    return eval_run.results(results(t)).drop("cost_usd_mean")
