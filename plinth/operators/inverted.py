@@ -12,17 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .retrieval import QUERIES, Counter, term_frequencies, top_k, weights
+from .retrieval import QUERIES, Best, Counter, bounded_batches, term_frequencies, top_k, weights
 
 BLOCK = 512
-BATCH_BYTES = 16 << 20
-
-
-def _bounded_batches(spark: SparkSession) -> None:
-    """A row of blocks may have megabytes, so batches are cut by bytes too."""
-    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(conf).rstrip("bB")) <= BATCH_BYTES:
-        spark.conf.set(conf, BATCH_BYTES)
 
 
 def _lists(values: list[np.ndarray], kind) -> pa.Array:
@@ -77,7 +69,7 @@ def build(docs: DataFrame, key: str, text: str, path: str, size: int = 1024, blo
     An index that is there is replaced. Repeated keys: each row counts for itself.
     """
     spark = docs.sparkSession
-    _bounded_batches(spark)
+    bounded_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("x"))
     rows.mapInArrow(_count(size, block), f"keys array<{kind}>, ends array<int>, place array<int>, tf array<int>").write.mode("overwrite").parquet(f"{path}/counts")
@@ -99,22 +91,6 @@ def _idf(spark: SparkSession, path: str, size: int) -> np.ndarray:
     return out
 
 
-class Best:
-    """The k best of each query so far, ties to the smaller key."""
-
-    def __init__(self, queries: int, k: int):
-        self.k, self.scores, self.keys = k, [np.zeros(0)] * queries, [None] * queries
-        self.least = np.full(queries, -1.0)
-
-    def add(self, q: int, scores: np.ndarray, keys: np.ndarray) -> None:
-        if self.keys[q] is not None:
-            scores, keys = np.concatenate([self.scores[q], scores]), np.concatenate([self.keys[q], keys])
-        order = np.lexsort((keys, -scores))[: self.k]
-        self.scores[q], self.keys[q] = scores[order], keys[order]
-        if len(order) == self.k:
-            self.least[q] = self.scores[q][-1]
-
-
 def _find(shared, k: int, digits: int):
     def run(batches):
         names, matrix = shared.value
@@ -124,7 +100,7 @@ def _find(shared, k: int, digits: int):
             tops = batch.column("top").values.to_numpy()
             size = matrix.shape[1]
             for r in range(batch.num_rows):
-                first = (batch.column("top").offsets[r].as_py()) * 1
+                first = batch.column("top").offsets[r].as_py()
                 bound = matrix @ tops[first : first + size]
                 asked = np.flatnonzero((bound > 0) & (bound + step >= best.least))
                 if not len(asked):
@@ -161,7 +137,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, qkey: str, key: s
     Rows are those of retrieval.search. Queries are broadcast as a matrix, at most QUERIES at a time; a task keeps the best k of its blocks. Null keys of
     documents aren't found.
     """
-    _bounded_batches(spark)
+    bounded_batches(spark)
     meta = spark.read.parquet(f"{path}/meta").first()
     asked = weights(term_frequencies(queries, qkey, text, meta["size"]), spark.read.parquet(f"{path}/idf"), qkey)
     blocks = spark.read.parquet(f"{path}/blocks")

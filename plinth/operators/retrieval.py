@@ -6,7 +6,8 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_bucket
@@ -15,6 +16,7 @@ TOKEN = re.compile("[a-z]+|[0-9]{3}")
 REMEMBERED = 200_000
 #: Queries of a block, whose weights are broadcast as a matrix, and texts that are scored at a time.
 QUERIES, TEXTS = 1000, 256
+BATCH_BYTES = 16 << 20
 
 
 class Counter:
@@ -118,16 +120,70 @@ def _best(shared, k: int, size: int, digits: int):
     return run
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, digits: int = 5, block: int = 10_000) -> DataFrame:
-    """(query_id, vec_id, score, rank) of the k best other vectors of each query, by inner products accumulated in double.
+class Best:
+    """The k best of each query so far, ties to the smaller key."""
 
-    Queries are broadcast, a block of at most about ``block`` at a time, each against all vectors.
+    def __init__(self, queries: int, k: int):
+        self.k, self.scores, self.keys = k, [np.zeros(0)] * queries, [None] * queries
+        self.least = np.full(queries, -np.inf)
+
+    def add(self, q: int, scores: np.ndarray, keys: np.ndarray) -> None:
+        if self.keys[q] is not None:
+            scores, keys = np.concatenate([self.scores[q], scores]), np.concatenate([self.keys[q], keys])
+        order = np.lexsort((keys, -scores))[: self.k]
+        self.scores[q], self.keys[q] = scores[order], keys[order]
+        if len(order) == self.k:
+            self.least[q] = self.scores[q][-1]
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows may have megabytes, so Arrow batches are cut by bytes too."""
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(conf).rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(conf, BATCH_BYTES)
+
+
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, digits: int = 5, block: int = 32 << 20) -> DataFrame:
+    """queries (query_id, q), vectors (vec_id, v) -> (query_id, vec_id, score, rank) of the k best other vectors of each query, by inner products in double.
+
+    Queries are broadcast as matrices of at most about ``block`` bytes; each is multiplied with the vectors an Arrow batch at a time, and a task keeps
+    the best k of its batches. Vectors of another length than a query's, null ones and such with null components take no part.
     """
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    blocks, out = max(1, -(-queries.count() // block)), None
-    for b in range(blocks):
-        some = F.broadcast(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))
-        scores = vectors.join(some, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot, digits).alias("score"))
-        best = top_k(scores, "query_id", "vec_id", k)
-        out = best if out is None else out.unionByName(best)
-    return out
+    spark = queries.sparkSession
+    bounded_batches(spark)
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
+    asked = queries.where(whole("q")).select("query_id", F.col("q").cast("array<double>").alias("q"))
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (vectors, "vec_id"))}
+    rows, out = vectors.where(whole("v")).select("vec_id", "v"), None
+    for r in asked.groupBy(F.size("q").alias("size")).agg(F.count("*").alias("n")).orderBy("size").collect():  # a row for each length of vector
+        cut = -(-r["n"] * 8 * max(1, r["size"]) // block)
+        for b in range(cut):
+            some = asked.where((F.size("q") == r["size"]) & (F.pmod(F.xxhash64("query_id"), F.lit(cut)) == b)).toPandas()
+            shared = spark.sparkContext.broadcast((some["query_id"].to_numpy(), np.array(some["q"].tolist(), float).reshape(len(some), r["size"])))
+            best = rows.where(F.size("v") == r["size"]).mapInArrow(_nearest(shared, k, digits), f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, score double")
+            out = best if out is None else out.unionByName(best)
+    if out is None:
+        return spark.createDataFrame([], f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, score double, rank int")
+    return top_k(out, "query_id", "vec_id", k)
+
+
+def _nearest(shared, k: int, digits: int):
+    def run(batches):
+        names, matrix = shared.value
+        best = Best(len(names), k)
+        for batch in batches:
+            keys, v = batch.column("vec_id").to_numpy(zero_copy_only=False), batch.column("v")
+            for at in range(0, len(keys), TEXTS):
+                some = v.slice(at, TEXTS)
+                own = keys[at : at + TEXTS]
+                scores = np.round(matrix @ some.flatten().to_numpy().astype(float).reshape(len(some), matrix.shape[1]).T, digits)
+                scores[names[:, None] == own[None, :]] = np.nan
+                for q in np.flatnonzero((scores >= best.least[:, None]).any(axis=1)):
+                    hit = np.flatnonzero(scores[q] >= best.least[q])
+                    best.add(q, scores[q, hit], own[hit])
+        full = [q for q in range(len(names)) if best.keys[q] is not None]
+        if full:
+            n = [len(best.keys[q]) for q in full]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[full], n)), pa.array(np.concatenate([best.keys[q] for q in full])), pa.array(np.concatenate([best.scores[q] for q in full]))], ["query_id", "vec_id", "score"])
+
+    return run

@@ -67,6 +67,14 @@ def test_plans_in_answers(spark):
     assert {r["id"]: r["quality"] for r in graded} == {"1": 0.0, "2": 0.0}
 
 
+def test_odd_answers_stop_nothing(spark):
+    loop = "a: &a [*a]\nterms: *a"
+    said = ["terms: 2026-13-45", "terms:\n- {2026-01-01: x, term: Fall, courses: [A 1, 2026-01-02]}", "```yaml\nterms: 2026-13-45\n```\n```yaml\nterms: [{term: Fall, course: B 2}]\n```", loop, "? [a, b]\n: terms", "terms: !!python/object:x {}", "\x00", "1: 2\nterms: {1: 2}"]
+    rows = spark.createDataFrame([(str(k), x) for k, x in enumerate(said)], "id string, answer string")
+    got = sorted((r["plan"], r["course"]) for r in evaluation.plans_in(rows).collect())
+    assert got == [("1", "2026-01-02"), ("1", "A 1"), ("2", "B 2")]
+
+
 def test_plan_files(spark, tmp_path):
     (tmp_path / "a.plan.yaml").write_text("plan_id: x\nextra: 1\ntaken: [T 1]\nterms:\n- term: Fall\n  courses: [A 1, B 2]\n")
     (tmp_path / "b.plan.yaml").write_text("expected: valid\n")

@@ -83,12 +83,27 @@ def test_kept_index_gives_the_same_rows(spark):
 
 
 def test_blocks_without_hope_are_not_opened():
-    best = inverted.Best(1, 2)
+    best = retrieval.Best(1, 2)
     best.add(0, np.array([0.5, 0.9]), np.array([3, 1]))
     best.add(0, np.array([0.5, 0.1]), np.array([2, 9]))
     assert best.keys[0].tolist() == [1, 2] and best.least[0] == 0.5
 
 
+def test_dense_top_k(spark):
+    rng = np.random.default_rng(2)
+    v = rng.integers(-3, 4, (60, 4)).astype(float)
+    rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(100, None), (101, [1.0, None, 2.0, 3.0]), (102, [1.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "vec_id int, v array<double>").repartition(3)
+    queries = vectors.where("vec_id % 7 = 0 or vec_id > 99").selectExpr("vec_id AS query_id", "v AS q")
+    want = set()
+    for q in range(0, 60, 7):
+        others = sorted((-round(float(v[q] @ v[k]), 5), k) for k in range(60) if k != q)[:5]
+        want |= {(q, k, -s, r + 1) for r, (s, k) in enumerate(others)}
+    for block in (1, 32 << 20):
+        assert {tuple(r) for r in retrieval.dense_top_k(queries, vectors, 5, block=block).select("query_id", "vec_id", "score", "rank").collect()} == want
+    assert retrieval.dense_top_k(queries.limit(0), vectors).collect() == []
+
+
 # ---- reports
 
 
