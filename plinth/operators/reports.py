@@ -55,3 +55,30 @@ def write_markdown(lines: DataFrame, path: str, most: int = 100_000) -> None:
 def needs_review(programs: DataFrame, blocks: DataFrame) -> DataFrame:
     """(poid, pos, html) of the blocks of programs whose parse isn't sure, to be looked at by hand."""
     return blocks.join(programs.where("parse_confidence <> 'high'").select("poid"), "poid", "left_semi").select("poid", "pos", "html")
+
+
+def run_lines(courses: DataFrame, most: int = 100, samples: int = 3) -> DataFrame:
+    """Courses of parse_courses -> (part, key, line) of a run report: counts, sections that don't match what pages state, samples, and failures by kind.
+
+    All mismatches are listed; of each kind of failure the number and the first ``most``. Samples are the first courses by id, those with sections before others.
+    """
+    spark, n = courses.sparkSession, F.size("sections")
+    fixed = spark.createDataFrame([(0, "", "# Run report"), (1, "", "## Counts"), (3, "", "## Section counts that differ from the page's"), (5, "", "## Samples"), (7, "", "## Failures")], "part int, key string, line string")
+    sums = courses.agg(
+        F.count("*").alias("Courses"), F.count_if(F.col("career") == "UGRD").alias("of these UGRD"), F.count_if(F.col("career").isNotNull() & (F.col("career") != "UGRD")).alias("of other careers"),
+        F.count_distinct("subject").alias("Subjects"), F.coalesce(F.sum(n), F.lit(0)).alias("Sections"), F.count_if(F.size("flags") > 0).alias("Courses with flags"),
+    )
+    rows = sums.select(F.inline(F.array(*(F.struct(F.lit(f"{k}").alias("key"), F.lit(c).alias("name"), F.col(f"`{c}`").alias("n")) for k, c in enumerate(sums.columns)))))
+    out = fixed.unionByName(rows.select(F.lit(2).alias("part"), "key", F.format_string("- %s: %d", "name", "n").alias("line")))
+    differ = courses.where(F.col("meta_sections").isNotNull() & (F.col("meta_sections") != n))
+    out = out.unionByName(differ.select(F.lit(4).alias("part"), F.col("course_id").alias("key"), F.format_string("- %s: parsed %d, stated %d", "course_id", n, "meta_sections").alias("line")))
+    first = courses.select("course_id", (n == 0).alias("bare"), F.to_json(F.struct(*courses.columns)).alias("x")).orderBy("bare", "course_id", "x").limit(samples)
+    out = out.unionByName(first.select(F.lit(6).alias("part"), F.concat(F.col("bare").cast("string"), "course_id").alias("key"), F.col("x").alias("line")))
+    kind = F.regexp_extract(F.regexp_replace("flag", "^\\[[^\\]]*\\] ", ""), "^[^:]*", 0)
+    flags = courses.select("course_id", F.explode("flags").alias("flag")).withColumn("scope", kind)
+    queue = failure_queue(flags, "scope", F.concat("course_id", F.lit(": "), "flag"), most)
+    return out.unionByName(queue.select(F.lit(8).alias("part"), F.col("scope").alias("key"), F.concat(F.lit("- "), "scope", F.lit(" ("), F.col("total").cast("string"), F.lit("): "), F.array_join("first", "; ")).alias("line")))
+
+
+def write_run_report(courses: DataFrame, path: str, most: int = 100) -> None:
+    write_markdown(run_lines(courses, most), path)
