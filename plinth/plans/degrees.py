@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import term_label
-from ..operators import degree, eval_run, solve
+from ..operators import degree, eval_run, evaluation, solve
 from .program import PROGRAM
 from .registry import Tables, query
 from .tables import TERM
@@ -124,3 +124,86 @@ def degree_failures(t: Tables) -> DataFrame:
     offered = t.spark.createDataFrame([(c, f"{s} Term 1990") for c, seasons in SEASONS.items() for s in sorted(seasons)], "course string, term string")
     failures = degree.validate(scheduled(t).drop("n"), PROGRAM, CATALOGUE, offered)
     return failures.where("code <> 'requirement_shortfall'").groupBy("plan", "code").agg(F.count("*").alias("n"))
+
+
+KNOWN_SQL = f"SELECT DISTINCT course, term FROM ({OFFERED_SQL}) WHERE l_linenumber <= 3"
+NAMED_SQL = "CASE course " + " ".join(f"WHEN '{c}' THEN {sorted(set(evaluation.named(p.rule)))!r}" for c, p in PROGRAM.prerequisites.items() if p.rule is not None and evaluation.named(p.rule)) + " ELSE [] END"
+SOURCE_SQL = "CASE course " + " ".join(f"WHEN '{c}' THEN '{p.source}'" for c, p in PROGRAM.prerequisites.items() if p.source) + " END"
+
+
+def known(t: Tables) -> DataFrame:
+    """(course, term) that the snapshot has: of an order's first three lines."""
+    return t.lineitem.where("l_linenumber <= 3").select(picked(F.col("l_partkey"), SCOPE).alias("course"), term_label(F.col("l_shipdate")).alias("term")).distinct()
+
+
+def asked(t: Tables) -> DataFrame:
+    """(id, type, course, term, plan, k): about each line's offering, each part's prerequisite and each order as a plan; k picks an answer."""
+    none = F.lit(None).cast("string")
+    n = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", F.date_format("l_shipdate", "yyyyMMdd"))
+    lines = t.lineitem.select(F.concat(F.lit("o"), n).alias("id"), F.lit("factual_offered").alias("type"), picked(F.col("l_partkey"), SCOPE).alias("course"), term_label(F.col("l_shipdate")).alias("term"), none.alias("plan"), F.col("l_orderkey").alias("k")).distinct()
+    parts = t.part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.lit("factual_prereq").alias("type"), picked(F.col("p_partkey"), SCOPE).alias("course"), none.alias("term"), none.alias("plan"), F.col("p_size").cast("long").alias("k"))
+    orders = t.lineitem.select(F.concat(F.lit("v"), F.col("l_orderkey").cast("string")).alias("id"), F.lit("plan_validity").alias("type"), none.alias("course"), none.alias("term"), F.col("l_orderkey").cast("string").alias("plan"), F.col("l_orderkey").alias("k")).distinct()
+    return lines.unionByName(parts).unionByName(orders)
+
+
+ASKED_SQL = f"""asked AS (
+    SELECT DISTINCT 'o' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || strftime(l_shipdate, '%Y%m%d') AS id, 'factual_offered' AS type, course, term, NULL::VARCHAR AS plan, l_orderkey AS k FROM ({OFFERED_SQL})
+    UNION ALL SELECT 'p' || p_partkey, 'factual_prereq', {picked_sql('p_partkey', SCOPE)}, NULL, NULL, p_size FROM part
+    UNION ALL SELECT DISTINCT 'v' || l_orderkey, 'plan_validity', NULL, NULL, l_orderkey::VARCHAR, l_orderkey FROM lineitem),
+    known AS ({KNOWN_SQL}),
+    twice AS (SELECT DISTINCT l_orderkey::VARCHAR AS plan FROM ({OFFERED_SQL}) GROUP BY l_orderkey, course HAVING count(*) > 1)"""
+
+
+def repeated(t: Tables) -> DataFrame:
+    """(plan, code) of orders that hold a course twice: the failures that the gold answers of these queries go by."""
+    return scheduled(t).groupBy("plan", "course").count().where("count > 1").select("plan", F.lit("duplicate_course").alias("code"))
+
+
+@query(f"""
+    WITH {ASKED_SQL}
+    SELECT id, type, CASE WHEN type = 'factual_offered' THEN (course, term) IN (SELECT (course, term) FROM known) END AS offered, CASE WHEN type = 'factual_prereq' THEN array_to_string({NAMED_SQL}, ',') END AS prereq_courses,
+           CASE WHEN type = 'factual_prereq' THEN {SOURCE_SQL} END AS source, CASE WHEN type = 'plan_validity' THEN plan NOT IN (SELECT plan FROM twice) END AS valid,
+           CASE WHEN type = 'plan_validity' THEN CASE WHEN plan IN (SELECT plan FROM twice) THEN 'duplicate_course' ELSE '' END END AS failure_codes FROM asked""")
+def evaluation_gold(t: Tables) -> DataFrame:
+    """What is right, by type of question."""
+    rows = evaluation.gold(asked(t), known(t), PROGRAM, repeated(t))
+    return rows.withColumns({c: F.when(F.col(c).isNotNull(), F.array_join(c, ",")) for c in ("prereq_courses", "failure_codes")})
+
+
+def met_sql(course: str, rule) -> str:
+    """The share of a rule's clauses that the courses in list codes meet."""
+    clauses = rule["all_of"] if isinstance(rule, dict) and "all_of" in rule else [rule]
+    has = lambda c: f"list_contains(codes, '{c}')"
+
+    def said(r) -> str:
+        if isinstance(r, str):
+            return has(r)
+        if "hs" in r:
+            return "true"
+        if "pattern" in r:
+            return "len(codes) > 0"
+        key = "one_of" if "one_of" in r else "all_of"
+        return "(" + (" OR " if key == "one_of" else " AND ").join(map(said, r[key])) + ")"
+
+    return f"WHEN '{course}' THEN (" + " + ".join(f"({said(c)})::INTEGER" for c in clauses) + f") / {len(clauses)}.0"
+
+
+MET_SQL = "CASE course " + " ".join(met_sql(c, p.rule) for c, p in PROGRAM.prerequisites.items() if p.rule is not None) + " ELSE CASE WHEN len(codes) = 0 THEN 1.0 ELSE 0.5 END END"
+
+
+@query(f"""
+    WITH {ASKED_SQL}, q AS (SELECT *, [{picked_sql('k', SCOPE)}, {picked_sql('(k * 7)', SCOPE)}] AS codes, (course, term) IN (SELECT (course, term) FROM known) AS yes FROM asked)
+    SELECT id, type, round(CASE type WHEN 'factual_offered' THEN CASE k % 3 WHEN 0 THEN yes::INTEGER WHEN 1 THEN (NOT yes)::INTEGER ELSE 0 END
+                          WHEN 'factual_prereq' THEN {MET_SQL} ELSE ((k % 2 = 0) = (plan NOT IN (SELECT plan FROM twice)))::INTEGER END, 6)::DOUBLE AS quality,
+           type <> 'factual_offered' OR k % 3 = 2 OR yes OR course NOT IN (SELECT course FROM known) AS citation_ok FROM q""")
+def evaluation_grades(t: Tables) -> DataFrame:
+    """Answers to all these questions, some right and some wrong, graded by the grader of their type."""
+    k, term = F.col("k"), F.coalesce("term", F.lit(""))
+    offered = F.when(k % 3 == 0, F.concat(F.lit("Yes, it is offered in "), term, F.lit("."))).when(k % 3 == 1, F.concat(F.lit("It is not offered in "), term, F.lit("."))).otherwise("I can't say.")
+    prereq = F.concat(picked(k, SCOPE), F.lit(" and "), picked(k * 7, SCOPE))
+    answer = F.when(F.col("type") == "factual_offered", offered).when(F.col("type") == "factual_prereq", prereq).otherwise(F.when(k % 2 == 0, "The plan is valid.").otherwise("The plan is invalid."))
+    none = F.array().cast("array<string>")
+    rows = asked(t).select(F.lit("c").alias("config"), "*", answer.alias("answer"), none.alias("clauses"), none.alias("held"))
+    facts = known(t).groupBy("course").agg(F.collect_set("term").alias("terms")).withColumn("times", none)
+    verdicts = asked(t).where("type = 'plan_validity'").select("plan").join(repeated(t), "plan", "left").groupBy("plan").agg(F.bool_and(F.col("code").isNull()).alias("valid"))
+    return evaluation.grade(rows, known(t), facts, PROGRAM, CATALOGUE, verdicts, "held").select("id", "type", F.round("quality", 6).alias("quality"), "citation_ok")
