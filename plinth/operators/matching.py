@@ -139,11 +139,13 @@ def assign_units(units: list[float], need: list[float | None], fits: list[int])
 
 
 def assignments(masks: DataFrame, need: list[int]) -> DataFrame:
-    """masks (plan long, course long, mask int) -> (plan, course, slot): slot null if the course is left over. A plan's courses are one group."""
+    """masks (plan long, course long, mask int) -> (plan, course, slot): slot null if the course is left over. A plan is a row with its courses in order."""
+    plans = masks.groupBy("plan").agg(F.array_sort(F.collect_list(F.struct("course", "mask"))).alias("c")).select("plan", F.col("c.course").alias("courses"), F.col("c.mask").alias("fits"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("course", ignore_index=True)
-        slots = assign(pdf["course"].tolist(), need, pdf["mask"].tolist())
-        return pd.DataFrame({"plan": pdf["plan"], "course": pdf["course"], "slot": pd.array(slots, "Int32")})
+    def deal(batches):
+        for pdf in batches:
+            slots = [assign(list(c), need, list(f)) for c, f in zip(pdf["courses"], pdf["fits"], strict=True)]
+            yield pd.DataFrame({"plan": pdf["plan"], "courses": pdf["courses"], "slots": slots})
 
-    return masks.select("plan", "course", "mask").groupBy("plan").applyInPandas(one, "plan long, course long, slot int")
+    dealt = plans.mapInPandas(deal, "plan long, courses array<long>, slots array<int>")
+    return dealt.select("plan", F.inline(F.arrays_zip(F.col("courses").alias("course"), F.col("slots").alias("slot"))))
