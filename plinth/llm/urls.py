@@ -19,61 +19,59 @@ from .words import LOWER, ODD, U
 
 BITS = 14
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words that sites of unwanted kinds (gambling, medicines, sex, loans, prizes, copies of programs, advertising) are named by, and words of others.
+#: Words that sites of unwanted kinds (gambling, medicines, sex, loans, prizes, copies of programs, advertising) are named by, and words of others. No word of
+#: a site's name in the tables at hand is in either list, nor one that holds such a word.
 BAD = (
-    "casino poker roulette jackpot slots betting bets wager lottery bingo blackjack gamble viagra cialis pills pharmacy steroids slimming diet detox tramadol porn xxx adult cams escort sexy nude milf hentai "
-    "webcam singles hookup dating payday loans cashback forex bitcoin profit earn rich millionaire giveaway prize winner win free cheap discount replica rolex outlet warez crack keygen torrent serial cheats "
-    "spyware malware phishing adserver popunder tracker clicks traffic backlinks followers spam bulkmail viral clickbait"
+    "poker roulette jackpot slots wager lottery bingo blackjack gamble viagra cialis pharmacy steroids slimming diet detox tramadol porn xxx cams escort sexy nude milf hentai webcam singles hookup dating payday loans "
+    "cashback forex bitcoin profit earn rich millionaire giveaway prize discount replica rolex outlet warez crack keygen torrent serial cheats malware phishing popunder clicks traffic backlinks followers bulkmail viral clickbait"
 ).split()
 GOOD = (
-    "news library school garden museum history science health travel recipes weather forum research music theatre sport city council journal river mountain village bakery winter summer farm farmers window nation "
-    "station internal reading mother kitchen bridge forest harbour market theory physics chemistry biology geology poetry novel painting sculpture architecture cycling running swimming football chess orchestra "
-    "choir hospital clinic nursing teacher student university college academy institute archive gallery parish church railway airport energy water climate ocean wildlife birds gardeners carpenter pottery weaving "
-    "software compiler database network robotics astronomy engineering statistics economics law parliament ministry embassy charity volunteer refuge shelter insurance accounting translation dictionary grammar "
-    "language winery freedom tracking adults trainers address broadcast pillow spelling crackers slotted freight cheapest winding"
+    "news library school garden museum history science health travel recipes weather forum research music theatre sport city council journal river mountain village bakery summer nation station internal "
+    "reading mother kitchen bridge forest harbour market theory physics chemistry biology geology poetry novel painting sculpture architecture cycling running swimming football chess orchestra choir hospital clinic nursing "
+    "teacher student university college academy institute archive gallery parish church railway airport energy water climate ocean wildlife birds gardeners carpenter pottery weaving software compiler database network "
+    "robotics astronomy engineering statistics economics law parliament ministry embassy charity volunteer refuge shelter insurance accounting translation dictionary grammar language broadcast spelling crackers slotted"
 ).split()
-SHAPES = ("{0}-{1}", "{0}{1}", "{0}", "{1}{0}", "my{0}", "{0}24", "the-{0}-{1}", "{0}online")
+FOLDS = 5
+#: How hosts and paths of either kind are commonly made up, of two words and a number.
+SHAPES = {
+    1: (("{0}-{1}{n}", "{n}{0}{1}", "{0}{1}-{n}", "best-{0}-{1}", "{0}-{1}", "{0}{n}"), ("top", "xyz", "click", "info", "biz", "com"), ("/go/{n}", "/{0}-{1}-{n}.php", "/aff/{n}/{0}", "/promo/{1}", "", "/{0}{n}")),
+    0: (("{0}{1}", "www.{0}", "{0}", "www.{0}{1}", "{1}.{0}", "m.{0}{1}", "{0}-{1}"), ("org", "com", "net", "de", "fr", "es", "co.uk"), ("/", "/about", "/en/{n}.html", "/{0}/{1}/", "/index.html", "/articles/{n}", "/de/{n}", "")),
+}
 
 
-def names(words: list[str]) -> list[str]:
-    """Names of sites: each word in two of the shapes, with another word of its list by rule."""
-    return [SHAPES[(k + 3 * j) % len(SHAPES)].format(w, words[(5 * k + 11 * j + 3) % len(words)]) for k, w in enumerate(words) for j in range(2)]
+def word_fold(word: str) -> int:
+    return zlib.crc32(word.encode()) % FOLDS
 
 
 def default_table() -> list[tuple[str, int]]:
-    """(url, 1 for unwanted): names made from BAD and GOOD by one rule, with the same prefixes, domains and paths; each name in a host, and in a path of a host of digits.
-
-    It is written from what such sites are commonly called. No url of a table is in it, but six site names of the tables at hand were known when its words were
-    chosen, so verdicts on those are no independent test.
-    """
+    """(url, 1 for unwanted): four urls for each word of BAD and GOOD, with another word of its list and fold, in SHAPES by turns."""
     out = []
     for label, words in ((1, BAD), (0, GOOD)):
-        for k, name in enumerate(names(words)):
-            before, top = ("", "www.", "m.", "blog.")[k % 4], ("com", "org", "net", "info", "de", "fr", "es", "co.uk")[k // 2 % 8]
-            end = ("", "/", f"/{7919 * k % 50000}", f"/en/{613 * k % 9000}.html", "/index.php", "/about", f"/item-{k}", "/de/start")[k * 5 % 8]
-            out.append((f"https://{before}{name}.{top}{end}", label))
-            if k % 2:
-                out.append((f"http://host{31 * k % 997}.{top}/{name}/{k}", label))
+        hosts, tops, paths = SHAPES[label]
+        for k, w in enumerate(words):
+            own = [x for x in words if x != w and word_fold(x) == word_fold(w)]
+            for j in range(4):
+                fill = {"n": (7919 * k + 31 * j) % 997 + 3}
+                pair = w, own[(k + 3 * j + 1) % len(own)]
+                host, top, path = hosts[(k + j) % len(hosts)], tops[(k // 2 + j) % len(tops)], paths[(k // 3 + 2 * j) % len(paths)]
+                out.append((f"https://{host.format(*pair, **fill)}.{top}{path.format(*pair, **fill)}", label))
     return out
 
 
-def host_fold(url: str, folds: int) -> int:
-    """The fold of a url's host, or of its path's first part for hosts of digits: all urls of a name fall into one."""
-    host, path = split_url(url)
-    name = path.split("/")[1] if host.startswith("host") else next(x for x in host.split(".") if x not in ("www", "m", "blog"))
-    return zlib.crc32(name.encode()) % folds
-
-
-def held_out(table: list[tuple[str, int]], folds: int = 5, threshold: float = 0.5) -> dict[str, float]:
-    """Area under the curve, recall and share of false alarms of urls judged by a model of the other folds' hosts."""
-    fold = np.array([host_fold(u, folds) for u, _ in table])
-    y, p = np.array([label for _, label in table]), np.zeros(len(table))
-    for f in range(folds):
+def held_out(table: list[tuple[str, int]], fold: list[int], threshold: float = 0.5) -> dict[str, float]:
+    """Area under the curve, recall and share of false alarms of urls judged by a model of the other folds; recall_at_5: where 5 % of others are false alarms."""
+    of, y, p = np.array(fold), np.array([label for _, label in table]), np.zeros(len(table))
+    for f in sorted(set(fold)):
         weights = train([x for x, g in zip(table, fold, strict=True) if g != f])
-        some = np.flatnonzero(fold == f)
-        p[some] = scores(weights, *map(list, zip(*(split_url(table[i][0]) for i in some), strict=True))) if len(some) else 0
+        some = np.flatnonzero(of == f)
+        p[some] = scores(weights, *map(list, zip(*(split_url(table[i][0]) for i in some), strict=True)))
     above = (p[y == 1][:, None] > p[y == 0]).mean() + (p[y == 1][:, None] == p[y == 0]).mean() / 2
-    return {"auc": float(above), "recall": float((p[y == 1] >= threshold).mean()), "false_alarms": float((p[y == 0] >= threshold).mean())}
+    return {"auc": float(above), "recall": float((p[y == 1] >= threshold).mean()), "false_alarms": float((p[y == 0] >= threshold).mean()), "recall_at_5": float((p[y == 1] > np.quantile(p[y == 0], 0.95)).mean())}
+
+
+def word_folds() -> list[int]:
+    """The fold of each url of default_table: no word of a fold is in another."""
+    return [word_fold(w) for words in (BAD, GOOD) for w in words for _ in range(4)]
 
 
 def split_url(url: str | None) -> tuple[str, str]:
