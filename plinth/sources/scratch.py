@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +25,9 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def _drop(spark: SparkSession, path: str) -> None:
+    if path.startswith("file://"):
+        shutil.rmtree(path.removeprefix("file://"), True)
+        return
     try:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)

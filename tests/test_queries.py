@@ -1,7 +1,7 @@
 import pytest
 
 from conftest import same_rows
-from plinth.plans import records, tables, texts  # noqa: F401
+from plinth.plans import degrees, pages, records, tables, texts  # noqa: F401
 from plinth.plans.registry import QUERIES, SQL
 
 
