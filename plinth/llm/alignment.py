@@ -4,9 +4,9 @@ Tokens of A and B that share a byte are joined in a graph; its connected compone
 that cover the same bytes. Members of a component are expanded to links: pairs whose byte ranges end together. How often each pair of ids is linked
 is counted over the whole corpus, and each document's links are judged by these counts.
 
-Both tokenizers treat what stands before a space alone, if nothing but a single character other than white space goes before it (byte-level BPE by its
-pattern, the other where no entry of its vocabulary has a space after another character). So a text is cut there, and a distinct piece is encoded and
-aligned once while a worker remembers it.
+A space after a character that isn't white space begins a token of either tokenizer: byte-level BPE cuts there by its pattern, and the other one joins
+nothing across it, as no entry of its vocabulary has a space after another character (else texts are encoded whole). So a text is cut there, and a
+distinct piece is encoded and aligned once while a worker remembers it.
 """
 
 from __future__ import annotations
