@@ -99,7 +99,7 @@ def test_dense_top_k(spark):
     for q in range(0, 60, 7):
         others = sorted((-round(float(v[q] @ v[k]), 5), k) for k in range(60) if k != q)[:5]
         want |= {(q, k, -s, r + 1) for r, (s, k) in enumerate(others)}
-    for block in (1, 32 << 20):
+    for block in (160, 32 << 20):
         assert {tuple(r) for r in retrieval.dense_top_k(queries, vectors, 5, block=block).select("query_id", "vec_id", "score", "rank").collect()} == want
     assert retrieval.dense_top_k(queries.limit(0), vectors).collect() == []
 

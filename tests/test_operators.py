@@ -64,16 +64,19 @@ def test_routes(spark):
 
 
 def test_sweep_and_flips(spark):
-    from plinth.plans.registry import QUERIES
+    from plinth.operators import routing
+    from plinth.plans.texts import PARAPHRASES, QUESTIONS
 
-    assert {r["margin"]: r["compound_share"] for r in QUERIES["route_margin_sweep"](spark, "").collect()} == {0: 0.182, 1: 0.273, 2: 0.273}
-    assert not any(r["flipped"] for r in QUERIES["paraphrase_flips"](spark, "").collect())
+    questions = spark.createDataFrame([(q,) for q in QUESTIONS], "question string")
+    assert {r["margin"]: r["compound_share"] for r in routing.margin_sweep(questions, "question").collect()} == {0: 0.182, 1: 0.273, 2: 0.273}
+    assert not any(r["flipped"] for r in routing.paraphrase_flips(spark.createDataFrame(PARAPHRASES, "base string, text string")).collect())
 
 
 def test_clauses(spark):
-    from plinth.plans.registry import QUERIES
+    from plinth.plans.texts import CLAUSES
 
-    got = {r["id"]: r for r in QUERIES["clause_split"](spark, "").collect()}
+    rows = spark.createDataFrame(list(enumerate(CLAUSES, 1)), "id int, description string")
+    got = {r["id"]: r for r in extract.clauses(rows, "id", "description").collect()}
     assert got[1]["prereq_raw"] == "CMPUT 174." and got[1]["coreq_raw"] == "MATH 125." and got[1]["credit_exclusion_raw"] == "Credit cannot be obtained for both CMPUT 174 and 274."
     assert got[2]["prereq_raw"] == got[2]["coreq_raw"] == "STAT 151 or 235." and got[2]["combined"]
     assert got[3]["prereq_raw"] == "CMPUT 204;" and got[3]["coreq_raw"] is None
