@@ -230,3 +230,15 @@ def test_divergence_of_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(divergence, "BYTES", 3)
     text = "Ab cde é fghijkl. M日本語n o".encode()
     assert [w for c in divergence.terms(text) for w in c] == text.translate(divergence.LETTERS).split()
+
+
+# ---- the pipeline
+
+
+def test_near_duplicates_with_its_own_names_as_columns(spark, sf_dir):
+    import corpus_pipeline
+
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(k, t, 1, 2, 3, 4) for k, t in enumerate([text, text, text + " eleven", "quite another text of its own"])], "doc_id long, text string, head int, row int, number int, class_id int")
+    left = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [0, 3]
