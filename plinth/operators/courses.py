@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.terms import level, season_of, season_rank, term_code, term_year
 from ..functions.text import clean
+from ..sources.batches import bounded_batches, dealt, frames
 from ..sources.scratch import kept
 from .extract import clauses, date_column, expand_days, section_cell, time_column
 
@@ -106,18 +106,23 @@ class _Nodes(HTMLParser):
 def nodes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Node rows of pages. page: a number of each row of pages, so that repeated or null urls don't mix; its first node, 'page', has what the page says of itself."""
 
-    def walk(batches):
+    bounded_batches(pages.sparkSession)
+
+    def rows(batches):
         for pdf in batches:
-            rows = []
             for page, u, text in zip(pdf["page"], pdf["url"], pdf["html"], strict=True):
                 p = _Nodes()
                 p.feed(text or "")
                 p.close()
-                rows.append((page, u, -1, "page", NO_DESCRIPTION if p.undescribed else "", "", [], None))
-                rows += [(page, u, pos, tag, x, name, [{"kind": k, "text": t} for k, t in times], cap) for pos, tag, x, name, times, cap in p.rows]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in NODE_NAMES])
+                yield page, u, -1, "page", NO_DESCRIPTION if p.undescribed else "", "", [], None
+                for pos, tag, x, name, times, cap in p.rows:
+                    yield page, u, pos, tag, x, name, [{"kind": k, "text": t} for k, t in times], cap
+
+    def walk(batches):
+        yield from frames(rows(batches), NODE_NAMES)
 
-    return pages.select(F.monotonically_increasing_id().alias("page"), F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(walk, NODE)
+    some = dealt(pages.select(F.col(url).alias("url"), F.col(html).alias("html")), F.xxhash64("url", "html"))
+    return some.select(F.monotonically_increasing_id().alias("page"), "url", "html").mapInPandas(walk, NODE)
 
 
 def quoted(x: Column) -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean
+from ..sources.batches import bounded_batches, frames
 
 # Lead-ins of requirement clauses, without regard to case; of those that begin together the longest counts.
 LEAD_INS = [
@@ -134,15 +134,19 @@ class _Outline(HTMLParser):
 def outline(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, pos, tag, text, heading) of headings, paragraphs, items and cells, in document order, by a DOM walk on the executors."""
 
-    def walk(batches):
+    bounded_batches(pages.sparkSession)
+
+    def rows(batches):
         for pdf in batches:
-            rows = []
             for k, text in zip(pdf["k"], pdf["html"], strict=True):
                 parser = _Outline()
                 parser.feed(text or "")
                 parser.close()
-                rows += [(k, *r) for r in parser.rows]
-            yield pd.DataFrame(rows, columns=["k", "pos", "tag", "text", "heading"])
+                for r in parser.rows:
+                    yield k, *r
+
+    def walk(batches):
+        yield from frames(rows(batches), ["k", "pos", "tag", "text", "heading"])
 
     out = pages.select(F.col(key).cast("long").alias("k"), F.col(html).alias("html")).mapInPandas(walk, "k long, pos int, tag string, text string, heading string")
     return out.withColumnRenamed("k", key)
