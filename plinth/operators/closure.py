@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.batches import dealt
 from ..sources.scratch import kept
 from .degree import Program
 from .rules import leaves
@@ -19,10 +20,20 @@ def program_edges(spark: SparkSession, program: Program) -> DataFrame:
 def closure(edges: DataFrame, most: int = 10_000) -> DataFrame:
     """edges (course, needs) -> (course, needs, steps): all that a course leads to, by the least number of steps; (x, x) where x is on a cycle.
 
-    Semi-naive: each round follows only the pairs that the round before was the first to find, so it ends with or without cycles; a round's pairs are
-    written, which cuts lineage. Null ends lead nowhere and are dropped; no edges, no rows. More than ``most`` rounds are an error.
+    Rounds go over courses that something needs, the only ones that can stand within a path; those that nothing needs are one step before them, and are added
+    by one join at the end. Null ends lead nowhere and are dropped; no edges, no rows. More than ``most`` rounds are an error.
     """
     edges = kept(edges.select("course", "needs").where("course is not null and needs is not null").distinct(), "edges")
+    needed = edges.select(F.col("needs").alias("course")).distinct()
+    within = _rounds(kept(edges.join(needed, "course", "left_semi"), "within"), most)
+    first = edges.join(needed, "course", "left_anti")
+    on = within.select(F.col("course").alias("needs"), F.col("needs").alias("next"), "steps")
+    reached = dealt(first, "needs").join(on, "needs").select("course", F.col("next").alias("needs"), (F.col("steps") + 1).alias("steps"))
+    return within.unionByName(first.withColumn("steps", F.lit(1)).unionByName(reached).groupBy("course", "needs").agg(F.min("steps").alias("steps")))
+
+
+def _rounds(edges: DataFrame, most: int) -> DataFrame:
+    """The closure of a kept table of edges. Semi-naive: each round follows only the pairs that the round before was the first to find, so it ends with or without cycles; a round's pairs are written, which cuts lineage."""
     found = last = edges.withColumn("steps", F.lit(1))
     step = edges.select(F.col("course").alias("needs"), F.col("needs").alias("next"))
     for k in range(2, most + 2):

@@ -38,6 +38,21 @@ def test_closure_and_cycles(spark):
         closure.closure(spark.createDataFrame(rows, "course int, needs int"), most=1)
 
 
+def test_rounds_of_the_closure_go_over_needed_courses_only(spark, monkeypatch):
+    written, keep = [], closure.kept
+
+    def count(df, name):
+        out = keep(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(closure, "kept", count)
+    rows = [(0, 1), (1, 2), (2, 3), *((100 + k, 0) for k in range(50))]
+    closed = {(r["course"], r["needs"]): r["steps"] for r in closure.closure(spark.createDataFrame(rows, "course int, needs int")).collect()}
+    assert closed == {(a, b): b - a for a in range(3) for b in range(a + 1, 4)} | {(100 + k, b): b + 1 for k in range(50) for b in range(4)}
+    assert sum(n for name, n in written if name == "reached") <= 3
+
+
 def test_closure_of_the_program(spark):
     closed = closure.closure(closure.program_edges(spark, PROGRAM))
     needs = {r["needs"] for r in closed.where("course = 'CMPUT 401'").collect()}
