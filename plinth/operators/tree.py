@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.batches import bounded_batches, frames
 from .programs import VOID
 
 NODE = "pre int, post int, depth int, tag string, text string"
@@ -55,14 +55,18 @@ def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
     """
     kind = pages.schema[key].dataType.simpleString()
 
-    def walk(batches):
+    bounded_batches(pages.sparkSession)
+
+    def rows(batches):
         for pdf in batches:
-            rows = []
             for k, row, page in zip(pdf["k"], pdf["row"], pdf["html"], strict=True):
                 p = _Nodes()
                 p.feed(page or "")
-                rows += [(k, row, *r[:4], "".join(r[4])) for r in p.finish()]
-            yield pd.DataFrame(rows, columns=["k", "row", *(x.split()[0] for x in NODE.split(", "))])
+                for r in p.finish():
+                    yield (k, row, *r[:4], "".join(r[4]))
+
+    def walk(batches):
+        yield from frames(rows(batches), ["k", "row", *(x.split()[0] for x in NODE.split(", "))])
 
     out = pages.select(F.col(key).alias("k"), F.monotonically_increasing_id().alias("row"), F.col(html).alias("html")).mapInPandas(walk, f"k {kind}, row long, {NODE}")
     return out.withColumnRenamed("k", key)
