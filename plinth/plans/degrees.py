@@ -132,17 +132,19 @@ SOURCE_SQL = "CASE course " + " ".join(f"WHEN '{c}' THEN '{p.source}'" for c, p
 
 
 def known(t: Tables) -> DataFrame:
-    """(course, term) that the snapshot has: of an order's first three lines."""
-    return t.lineitem.where("l_linenumber <= 3").select(picked(F.col("l_partkey"), SCOPE).alias("course"), term_label(F.col("l_shipdate")).alias("term")).distinct()
+    """(course, term) that the snapshot has: of an order's first three lines. At most SCOPE times the terms there are, so it is broadcast."""
+    return F.broadcast(t.lineitem.where("l_linenumber <= 3").select(picked(F.col("l_partkey"), SCOPE).alias("course"), term_label(F.col("l_shipdate")).alias("term")).distinct())
 
 
 def asked(t: Tables) -> DataFrame:
     """(id, type, course, term, plan, k): about each line's offering, each part's prerequisite and each order as a plan; k picks an answer."""
     none = F.lit(None).cast("string")
+    once = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_shipdate").cast("date").alias("l_shipdate")).distinct()  # numbers are shuffled, not texts
     n = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", F.date_format("l_shipdate", "yyyyMMdd"))
-    lines = t.lineitem.select(F.concat(F.lit("o"), n).alias("id"), F.lit("factual_offered").alias("type"), picked(F.col("l_partkey"), SCOPE).alias("course"), term_label(F.col("l_shipdate")).alias("term"), none.alias("plan"), F.col("l_orderkey").alias("k")).distinct()
+    lines = once.select(F.concat(F.lit("o"), n).alias("id"), F.lit("factual_offered").alias("type"), picked(F.col("l_partkey"), SCOPE).alias("course"), term_label(F.col("l_shipdate")).alias("term"), none.alias("plan"), F.col("l_orderkey").alias("k"))
     parts = t.part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.lit("factual_prereq").alias("type"), picked(F.col("p_partkey"), SCOPE).alias("course"), none.alias("term"), none.alias("plan"), F.col("p_size").cast("long").alias("k"))
-    orders = t.lineitem.select(F.concat(F.lit("v"), F.col("l_orderkey").cast("string")).alias("id"), F.lit("plan_validity").alias("type"), none.alias("course"), none.alias("term"), F.col("l_orderkey").cast("string").alias("plan"), F.col("l_orderkey").alias("k")).distinct()
+    plan = F.col("l_orderkey").cast("string")
+    orders = t.lineitem.select("l_orderkey").distinct().select(F.concat(F.lit("v"), plan).alias("id"), F.lit("plan_validity").alias("type"), none.alias("course"), none.alias("term"), plan.alias("plan"), F.col("l_orderkey").alias("k"))
     return lines.unionByName(parts).unionByName(orders)
 
 
@@ -156,7 +158,8 @@ ASKED_SQL = f"""asked AS (
 
 def repeated(t: Tables) -> DataFrame:
     """(plan, code) of orders that hold a course twice: the failures that the gold answers of these queries go by."""
-    return scheduled(t).groupBy("plan", "course").count().where("count > 1").select("plan", F.lit("duplicate_course").alias("code"))
+    twice = t.lineitem.groupBy("l_orderkey", picked(F.col("l_partkey"), SCOPE).alias("course")).count().where("count > 1")
+    return twice.select(F.col("l_orderkey").cast("string").alias("plan"), F.lit("duplicate_course").alias("code"))
 
 
 @query(f"""
