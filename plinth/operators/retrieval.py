@@ -7,16 +7,16 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_bucket
+from ..sources.batches import bounded_batches
 
 TOKEN = re.compile("[a-z]+|[0-9]{3}")
 REMEMBERED = 200_000
 #: Queries of a block, whose weights are broadcast as a matrix, and texts that are scored at a time.
 QUERIES, TEXTS = 1000, 256
-BATCH_BYTES = 16 << 20
 
 
 class Counter:
@@ -41,10 +41,11 @@ def term_frequencies(docs: DataFrame, key: str, text: str, size: int = 1024) ->
     def count(batches):
         counter = Counter(size)
         for pdf in batches:
-            some = [counter(low) for low in pdf["x"]]
-            if some:
-                yield pd.DataFrame({"k": np.repeat(pdf["k"].to_numpy(), [len(b) for b, _ in some]), "bucket": np.concatenate([b for b, _ in some]), "tf": np.concatenate([n for _, n in some])})
+            for at in range(0, len(pdf), TEXTS):
+                some = [counter(low) for low in pdf["x"].iloc[at : at + TEXTS]]
+                yield pd.DataFrame({"k": np.repeat(pdf["k"].to_numpy()[at : at + TEXTS], [len(b) for b, _ in some]), "bucket": np.concatenate([b for b, _ in some]), "tf": np.concatenate([n for _, n in some])})
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.lower(F.coalesce(text, F.lit(""))).alias("x")).mapInPandas(count, f"k {kind}, bucket int, tf long")
     return rows.groupBy(F.col("k").alias(key), "bucket").agg(F.sum("tf").alias("tf"))
@@ -136,13 +137,6 @@ class Best:
             self.least[q] = self.scores[q][-1]
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Rows may have megabytes, so Arrow batches are cut by bytes too."""
-    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(conf).rstrip("bB")) <= BATCH_BYTES:
-        spark.conf.set(conf, BATCH_BYTES)
-
-
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, digits: int = 5, block: int = 32 << 20) -> DataFrame:
     """queries (query_id, q), vectors (vec_id, v) -> (query_id, vec_id, score, rank) of the k best other vectors of each query, by inner products in double.
 
