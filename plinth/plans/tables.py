@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import exclusive_quantiles, ratio
 from ..functions.terms import level, season_of, season_rank, term_code, term_label, term_year
 from ..operators import closure, drift, matching, rules, validation
+from ..sources.batches import dealt
 from ..sources.readers import first_per_key, latest
 from .registry import Tables, query
 
@@ -240,7 +241,7 @@ def masks(t: Tables) -> DataFrame:
     mask = F.lit(0)
     for k, classes in enumerate(FITS):
         mask = mask.bitwiseOR(F.when(F.pmod("course", F.lit(12)).isin(*classes), 1 << k).otherwise(0))
-    return plan_lines(t).select("plan", "course").distinct().select("plan", "course", mask.alias("mask"))
+    return dealt(plan_lines(t).select("plan", "course"), "plan").distinct().select("plan", "course", mask.alias("mask"))
 
 
 MASK_SQL = " | ".join(f"(CASE WHEN l_partkey % 12 IN ({', '.join(map(str, c))}) THEN {1 << k} ELSE 0 END)" for k, c in enumerate(FITS))

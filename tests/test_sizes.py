@@ -1,8 +1,8 @@
 """What is shuffled and judged grows no faster than what is told apart."""
 
 from plinth.operators import degree, evaluation, grading, rules
-from plinth.plans import degrees
-from plinth.plans.registry import QUERIES
+from plinth.plans import degrees, tables
+from plinth.plans.registry import QUERIES, Tables
 
 
 def test_gold_joins_each_type_alone(spark):
@@ -38,3 +38,9 @@ def test_nodes_without_children(spark):
     sets = spark.createDataFrame([(1, "x"), (2, "y")], "k int, course string")
     got = {(r["k"], r["expr_id"]): r["ok"] for r in rules.evaluate_nodes(sets, tree, "k").collect()}
     assert got == {(1, "e"): False, (1, "a"): True, (1, "c"): True, (2, "e"): False, (2, "a"): True, (2, "c"): False}
+
+
+def test_plans_are_dealt_before_they_are_gathered(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    for rows in (tables.masks(t), degrees.scheduled(t)):
+        assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
