@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import term_label
 from ..operators import degree, eval_run, evaluation, solve
+from ..sources.batches import dealt
 from ..sources.scratch import kept
 from .program import PROGRAM
 from .registry import Tables, query
@@ -68,7 +69,7 @@ def scheduled(t: Tables) -> DataFrame:
     d = F.col("l_shipdate")
     place = F.struct("l_linenumber", "l_partkey")
     rows = t.lineitem.select(F.col("l_orderkey").cast("string").alias("plan"), ((F.year(d) - 1990) * 12 + F.month(d)).alias("month"), term_label(d).alias("term"), place.alias("place"), picked(F.col("l_partkey"), SCOPE).alias("course"), F.col("l_orderkey").alias("n"))
-    months = rows.groupBy("plan", "n", F.col("month").alias("term_idx"), "term").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "course"))), lambda s: s["course"]).alias("c"))
+    months = dealt(rows, "plan").groupBy("plan", "n", F.col("month").alias("term_idx"), "term").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "course"))), lambda s: s["course"]).alias("c"))
     return months.select("plan", "term_idx", "term", F.posexplode("c").alias("pos", "course"), "n")
 
 
