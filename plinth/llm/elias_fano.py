@@ -35,17 +35,18 @@ class EliasFano:
         n = len(values)
         low_bits = max(0, (universe // max(1, n)).bit_length() - 1)
         top = int(values[-1] >> U(low_bits)) if n else 0
-        high = np.zeros((n + top + 1) // 64 + 1, U)
-        at = (values >> U(low_bits)) + np.arange(n, dtype=U)
-        np.bitwise_or.at(high, (at >> U(6)).astype(np.int64), U(1) << (at & U(63)))
+        high = np.zeros(((n + top + 1) // 64 + 1) * 64, np.uint8)
+        high[((values >> U(low_bits)) + np.arange(n, dtype=U)).astype(np.int64)] = 1
+        high = np.packbits(high, bitorder="little").view("<u8")
         low = np.zeros(n * low_bits // 64 + 2, U)
         if low_bits:
             bit = np.arange(n, dtype=U) * U(low_bits)
             word, shift = (bit >> U(6)).astype(np.int64), bit & U(63)
             part = values & U((1 << low_bits) - 1)
-            np.bitwise_or.at(low, word, part << shift)
-            spill = shift + U(low_bits) > U(64)
-            np.bitwise_or.at(low, word[spill] + 1, part[spill] >> (U(64) - shift[spill]))
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            low[word[first]] = np.bitwise_or.reduceat(part << shift, first) if n else U(0)
+            spill = np.flatnonzero(shift + U(low_bits) > U(64))  # at most one from a word
+            low[word[spill] + 1] |= part[spill] >> (U(64) - shift[spill])
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
         return cls(n, low_bits, low, high, ones)
 
@@ -59,14 +60,23 @@ class EliasFano:
         out[spill] |= self.low[word[spill] + 1] << (U(64) - shift[spill])
         return out & U((1 << self.low_bits) - 1)
 
+    def _set(self, bit: int) -> np.ndarray:
+        """The places of all ones or zeros among the high bits: for so many questions that this costs less than a search for each."""
+        return np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little") == bit)
+
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at places i."""
+        if len(i) * 8 > self.n:
+            return ((self._set(1)[i] - i).astype(U) << U(self.low_bits)) | self._low(i)
         word = np.searchsorted(self.ones, i, side="right") - 1
         at = word * 64 + _in_word(self.high[word], i - self.ones[word])
         return ((at - i).astype(U) << U(self.low_bits)) | self._low(i)
 
     def _buckets(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places of values whose high part is h: between the ones before zero h - 1 and those before zero h."""
+        if len(h) * 8 > self.n:
+            zeros = self._set(0) - np.arange(len(self.high) * 64 - int(self.ones[-1]))
+            return np.where(h <= 0, 0, np.minimum(zeros[np.maximum(h - 1, 0)], self.n)), np.minimum(zeros[h], self.n)
         zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
         last = len(self.high) - 1
         r = np.maximum(h - 1, 0)
@@ -77,6 +87,7 @@ class EliasFano:
         word, bit = np.minimum(at >> 6, last), (at & 63).astype(U)
         x = self.high[word] >> bit
         run = np.bitwise_count((x ^ (x + U(1))) >> U(1)).astype(np.int64)  # ones from there on
+        run[x == ~U(0)] = 64
         b = np.minimum(a + run, self.n)
         on = np.flatnonzero(run + (at & 63) >= 64)
         while len(on):  # ones up to the end of a word go on in the next

@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano
@@ -109,7 +109,7 @@ def dump(**arrays: np.ndarray) -> bytes:
         bits = a.view(f"u{a.itemsize}")
         used = (int(bits.max()).bit_length() + 7) // 8 if len(a) else 0
         head.append((name, a.dtype.str, len(a), used))
-        planes += [(bits >> bits.dtype.type(8 * j)).astype(np.uint8).tobytes() for j in range(used)]
+        planes += [bits.view(np.uint8)[j :: a.itemsize].tobytes() for j in range(used)]
     first = json.dumps(head).encode()
     return _codec()[0].compress(b"".join([len(first).to_bytes(4, "little"), first, *planes]))
 
@@ -119,9 +119,10 @@ def undump(body: bytes) -> dict[str, np.ndarray]:
     at = 4 + int.from_bytes(raw[:4], "little")
     out = {}
     for name, kind, n, used in json.loads(raw[4:at]):
-        bits = np.zeros(n, f"u{np.dtype(kind).itemsize}")
+        size = np.dtype(kind).itemsize
+        bits = np.zeros(n * size, np.uint8)
         for j in range(used):
-            bits |= np.frombuffer(raw, np.uint8, n, at).astype(bits.dtype) << bits.dtype.type(8 * j)
+            bits[j::size] = np.frombuffer(raw, np.uint8, n, at)
             at += n
         out[name] = bits.view(kind)
     return out
@@ -134,14 +135,20 @@ def _small(x: np.ndarray) -> np.ndarray:
 
 def _unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values, none negative, and the place of each of x among them: as np.unique, by a sort of values with their places in the low bits."""
-    place = max(1, (len(x) - 1).bit_length())
-    over = max(0, (int(x.max()).bit_length() if len(x) else 0) + place - 64)
+    place, most = max(1, (len(x) - 1).bit_length()), int(x.max()).bit_length() if len(x) else 0
     keys = x.astype(U)
-    order = np.sort(keys >> U(over) << U(place) | np.arange(len(x), dtype=U)) & U((1 << place) - 1)
-    order = order.astype(np.int64)
-    keys = keys[order]
-    if over and (keys[1:] < keys[:-1]).any():  # values that differ only in bits that had no room
-        return np.unique(x, return_inverse=True)
+    if most + place > 64:  # high bits first; then what they are numbered by with the low ones
+        low = 64 - 2 * place
+        if low < 1:
+            return np.unique(x, return_inverse=True)
+        high, which = _unique(keys >> U(low))
+        keys, which = _unique(which.astype(U) << U(low) | keys & U((1 << low) - 1))
+        return (high[(keys >> U(low)).astype(np.int64)] << U(low) | keys & U((1 << low) - 1)).astype(x.dtype), which
+    mask = U((1 << place) - 1)
+    keys = keys << U(place) | np.arange(len(x), dtype=U)
+    keys.sort()
+    order = (keys & mask).astype(np.int64)
+    keys >>= U(place)
     fresh = np.append(np.ones(min(1, len(x)), bool), keys[1:] != keys[:-1])
     which = np.empty(len(x), np.int64)
     which[order] = np.cumsum(fresh) - 1
@@ -179,15 +186,14 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 # ---- pieces
 
 
-PIECES = "piece long, path string, tokens long"
+PIECES = "piece long, path string, tokens long, learned long"
 
 
 def _segments(batches, most: int):
-    """(doc_ids, raw, offsets, whether the last text ends here): texts of about ``most`` bytes; longer ones are cut after white space."""
+    """(rows, raw, offsets, whether the last text ends here): texts of about ``most`` bytes; longer ones are cut after white space."""
     for batch in batches:
         for part in slices(batch, "text", most):
             raw, offs = text_offsets(part.column("text"))
-            ids = part.column("doc_id")
             at = 0
             while part.num_rows == 1 and len(raw) - at > most:
                 space = np.flatnonzero(SPACE[raw[at : at + most]])
@@ -198,13 +204,13 @@ def _segments(batches, most: int):
                     to = at + most + int(space[0]) + 1 if len(space) else len(raw)
                 if to >= len(raw):
                     break
-                yield ids, raw[at:to], np.array([0, to - at]), False
+                yield part, raw[at:to], np.array([0, to - at]), False
                 at = to
-            yield (ids, raw[at:], offs - at if part.num_rows > 1 else np.array([0, len(raw) - at]), True)
+            yield (part, raw[at:], offs - at if part.num_rows > 1 else np.array([0, len(raw) - at]), True)
 
 
 def _pieces(folder: str):
-    """Writes pieces: of each text or part of one its row, doc_id and tokens; the tokens, as numbers into sorted hashes."""
+    """Writes pieces: of each text or part of one its row, doc_id, tokens and whether it is learned from; the tokens, as numbers into sorted hashes."""
 
     def run(batches):
         task = TaskContext.get()
@@ -220,10 +226,11 @@ def _pieces(folder: str):
             with fs.open_output_stream(f"{at}.dictionary", compression=None) as f:
                 f.write(dump(words=_gaps(words)))
             with fs.open_output_stream(at, compression=None) as f:
-                f.write(dump(size=np.array([len(words)]), local=local.astype(np.uint32), row=row_, tokens=tokens, doc_id=ids["id"].copy(), null=ids["null"].copy(), lead=np.array([lead])))
-            return _batch([(number, path, len(h) - lead)], PIECES)
+                f.write(dump(size=np.array([len(words)]), local=local.astype(np.uint32), row=row_, tokens=tokens, doc_id=ids["id"].copy(), null=ids["null"].copy(), learned=ids["learned"].copy(), lead=np.array([lead])))
+            learned = int(tokens[ids["learned"] > 0].sum()) - (lead if ids["learned"][0] else 0)
+            return _batch([(number, path, len(h) - lead, learned)], PIECES)
 
-        for ids, raw, offs, ends in _segments(batches, SEGMENT):
+        for part, raw, offs, ends in _segments(batches, SEGMENT):
             h, word_offs = word_hashes(raw, offs)
             n = len(offs) - 1
             own = np.repeat(np.arange(n), np.diff(word_offs))
@@ -231,8 +238,9 @@ def _pieces(folder: str):
                 out = np.full(len(h) + n, END, U)
                 out[np.arange(len(h)) + own] = h
                 h = out
-            keys = np.zeros(n, [("id", np.int64), ("null", np.uint8)])
-            keys["id"], keys["null"] = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
+            ids, learned = part.column("doc_id"), part.column("learned")
+            keys = np.zeros(n, [("id", np.int64), ("null", np.uint8), ("learned", np.uint8)])
+            keys["id"], keys["null"], keys["learned"] = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), learned.to_numpy(zero_copy_only=False)
             tokens = np.diff(word_offs) + int(ends)
             tail = np.zeros(0, U) if ends else np.concatenate([before, h])[-(ORDER_MOST - 1) :]
             if not held:
@@ -253,20 +261,18 @@ def _pieces(folder: str):
 
 
 class _Piece:
-    def __init__(self, path: str, numbers: str | None = None):
+    """A piece; once its words are numbered (``_number``), its local numbers are in order of the words' numbers, those of unknown words last."""
+
+    def __init__(self, path: str):
         x = self.read(path)
-        self.size, self.local, self.row, self.tokens = int(x["size"][0]), x["local"].astype(np.int64), x["row"], x["tokens"]
-        self.doc_id, self.null, self.lead = x["doc_id"], x["null"].astype(bool), int(x["lead"][0])
-        first = np.append(np.ones(min(1, len(self.row)), bool), self.row[1:] != self.row[:-1])  # a long text has several entries
+        self.size, self.local, self.tokens = int(x["size"][0]), x["local"].astype(np.int64), x["tokens"]
+        self.lead = int(x["lead"][0])
+        first = np.append(np.ones(min(1, len(x["row"])), bool), x["row"][1:] != x["row"][:-1])  # a long text has several entries
         self.own = np.repeat(np.cumsum(first) - 1, self.tokens)
-        self.row, self.doc_id, self.null = self.row[first], self.doc_id[first], self.null[first]
-        if numbers:
-            y = self.read(numbers)
-            number, self.count = y["number"].astype(np.int64) - 1, y["count"].astype(np.int64)
-            order = np.argsort(np.where(number < 0, np.iinfo(np.int64).max, number), kind="stable")
-            back = np.empty(len(order), np.int64)
-            back[order] = np.arange(len(order))
-            self.local, self.number, self.count = back[self.local], number[order], self.count[order]  # local numbers in order of the words' numbers, unknown words last
+        self.row, self.doc_id, self.null, self.learned = x["row"][first], x["doc_id"][first], x["null"][first].astype(bool), x["learned"][first].astype(bool)
+        if "number" in x:
+            self.number, self.count = x["number"].astype(np.int64) - 1, x["count"].astype(np.int64)
+            self.known = int((self.number >= 0).sum())
 
     @staticmethod
     def read(path: str) -> dict[str, np.ndarray]:
@@ -276,42 +282,41 @@ class _Piece:
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The n-grams of k words whose context is known, as keys; the tokens that end them."""
-        bits, begin = self.size.bit_length(), max(self.lead, k - 1)
-        at = np.arange(begin, len(self.local))
-        ok = self.own[begin:] == self.own[begin - k + 1 : len(self.own) - k + 1]
-        known = self.number >= 0
+        bits, begin, n = self.size.bit_length(), max(self.lead, k - 1), len(self.local)
+        if n <= begin:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ok = self.own[begin:] == self.own[begin - k + 1 : n - k + 1]
+        key = np.minimum(self.local[begin:], self.known)  # all unknown words are one
         for j in range(1, k):
-            ok &= known[self.local[begin - j : len(self.local) - j]]
-        at = at[ok]
-        key = np.zeros(len(at), np.int64)
-        for j in range(k - 1, 0, -1):
-            key = key << bits | self.local[at - j]
-        last = self.local[at]
-        key = key << bits | np.where(known[last], last, self.size)  # all unknown words are one
-        return key, at
+            word = self.local[begin - j : n - j]
+            key += word << j * bits
+            if self.known < self.size:
+                ok &= word < self.known
+        at = np.flatnonzero(ok)
+        return key[at], at + begin
 
     def dealt(self, k: int, distinct: np.ndarray, trie: Trie):
         """Of increasing keys: contexts and last words by their numbers, and parts."""
         bits = self.size.bit_length()
         low = (1 << bits) - 1
-        number = np.append(self.number, trie.words)
-        number[number < 0] = trie.words
+        number = np.append(self.number[: self.known], trie.words)
         last, rest = number[distinct & low], distinct >> bits
         ctx = number[rest] if k == 2 else number[rest >> bits] * (trie.words + 1) + number[rest & low]
         spread = mix(ctx.astype(U) * ODD[k])
-        if len(hot := trie.hot[k - 1][0]):
-            is_hot = hot[np.minimum(np.searchsorted(hot, ctx), len(hot) - 1)] == ctx
+        if len(trie.hot[k - 1][0]):
+            is_hot = trie.heat(k, ctx)[0]
             spread[is_hot] = mix(spread[is_hot] + last[is_hot].astype(U) * ODD[0])
-        return ctx, last, (spread % U(trie.parts[k - 1])).astype(np.int64)
+        return ctx, last, _word_part(spread, trie.parts[k - 1])
 
 
-def make_pieces(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """The pieces of docs (doc_id, text), and the folder that holds them."""
+def make_pieces(docs: DataFrame, name: str, learned: Column | None = None) -> tuple[DataFrame, str]:
+    """The pieces of docs (doc_id, text), and the folder that holds them. learned: of which texts n-grams are counted (all)."""
     spark = docs.sparkSession
     folder = fresh_dir(spark, name)
     fs, local = file_system(folder)
     fs.create_dir(local, recursive=True)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    learned = F.lit(True) if learned is None else F.coalesce(learned, F.lit(False))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), learned.alias("learned"))
     return stage(texts.mapInArrow(_pieces(folder), PIECES), "pieces"), folder
 
 
@@ -324,7 +329,7 @@ class Trie:
     def __init__(self, order: int, discount: float):
         self.order, self.discount, self.total, self.words = order, discount, 0, 0
         self.parts: list[int] = []
-        self.base = np.zeros((64, 1), np.int64)  # the first number of each class of words and part
+        self.firsts = np.zeros((64, 1), np.int64)  # the first number of each class of words and part
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         self.hot = [none] * order
         self.files: list[DataFrame] = []
@@ -332,12 +337,24 @@ class Trie:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "files"}
 
-    def base_log(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 0.1) / (self.total + 0.1 * (self.words + 1)))
+    def base(self, counts: np.ndarray) -> np.ndarray:
+        return (counts + 0.1) / (self.total + 0.1 * (self.words + 1))
+
+    def heat(self, k: int, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which contexts of level k are hot, and the places of those in the table of hot ones."""
+        hot = self.hot[k - 1][0]
+        if not len(hot):
+            return np.zeros(len(ctx), bool), np.zeros(0, np.int64)
+        place = np.minimum(np.searchsorted(hot, ctx), len(hot) - 1)
+        is_hot = hot[place] == ctx
+        return is_hot, place[is_hot]
 
 
 BLOCK = "part long, piece long, body binary"
 BUILT = "kind long, part long, path string, entries long, total long, key long, value double"
+ANSWERED = BUILT + ", piece long, body binary"
+#: The kind of rows that are answers.
+ANSWER = 3
 
 
 def _tasks(n: int) -> int:
@@ -358,11 +375,12 @@ def _send_words(parts: int, counted: bool):
     def run(batches):
         for number, path in _rows(batches, "piece", "path"):
             words = np.cumsum(_Piece.read(f"{path}.dictionary")["words"], dtype=U)
-            part = _word_part(words, parts)
-            cuts = np.searchsorted(part, np.arange(parts + 1))
             if counted:
                 p = _Piece(path)
-                counts = np.bincount(p.local[p.lead :], minlength=len(words))
+                counts = np.bincount(p.local[p.lead :][p.learned[p.own[p.lead :]]], minlength=len(words))
+                words, counts = words[counts > 0], counts[counts > 0]
+            part = _word_part(words, parts)
+            cuts = np.searchsorted(part, np.arange(parts + 1))
             out = []
             for s in np.flatnonzero(np.diff(cuts)):
                 own = slice(cuts[s], cuts[s + 1])
@@ -442,24 +460,30 @@ def _answer_words(batches):
 
 
 def _number(folder: str, trie):
-    """Rows sorted by piece and part, the piece's path as part -1 -> the piece with a file of its words' numbers (+ 1; 0: unknown) and counts."""
+    """Rows sorted by piece and part, the piece's path as part -1 -> the piece written again with its words' numbers (+ 1; 0: unknown) and counts, its local numbers in their order."""
 
     def run(batches):
         for piece, rows in groupby(_rows(batches, "piece", "part", "body"), lambda r: r[0]):
-            path, numbers, counts = None, [], []
+            path, numbers, counts = None, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for _, part, body in rows:
                 if part < 0:
                     path = body.decode()
                     continue
                 x = undump(body)
                 rank, count = x["rank"].astype(np.int64), x["count"].astype(np.int64)
-                numbers.append(np.where(rank > 0, rank + trie.value.base[_class(count), part], 0))
+                numbers.append(np.where(rank > 0, rank + trie.value.firsts[_class(count), part], 0))
                 counts.append(count)
-            at = f"{folder}/{piece:012d}-{TaskContext.get().taskAttemptId()}.words"
+            number, count = np.concatenate(numbers), np.concatenate(counts)
+            order = np.argsort(number.astype(U) - U(1))
+            back = np.empty(len(order), np.uint32)
+            back[order] = np.arange(len(order))
+            x = _Piece.read(path)
+            x |= {"local": back[x["local"]], "number": _small(number[order]), "count": _small(count[order])}
+            at = f"{folder}/{piece:012d}-{TaskContext.get().taskAttemptId()}.numbered"
             fs, local = file_system(at)
             with fs.open_output_stream(local, compression=None) as f:
-                f.write(dump(number=_small(np.concatenate([np.zeros(0, np.int64), *numbers])), count=_small(np.concatenate([np.zeros(0, np.int64), *counts]))))
-            yield _batch([(piece, path, at)], "piece long, path string, numbers string")
+                f.write(dump(**x))
+            yield _batch([(piece, at)], "piece long, path string")
 
     return run
 
@@ -469,22 +493,23 @@ def _with_files(requests: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def numbered(pieces: DataFrame, folder: str, trie: Trie, n: int) -> DataFrame:
-    """(piece, path, numbers): pieces with the numbers of their words."""
+    """(piece, path): pieces with the numbers of their words."""
     shared = pieces.sparkSession.sparkContext.broadcast(trie)
     asked = pieces.repartition(_tasks(n)).mapInArrow(_send_words(trie.parts[0], False), BLOCK)
     answers = _by(_with_files(asked, trie.files[0]), trie.parts[0], "part", "piece").mapInArrow(_answer_words, BLOCK)
     paths = pieces.select(F.lit(-1).cast("long").alias("part"), "piece", F.col("path").cast("binary").alias("body"))
-    out = stage(_by(answers.unionByName(paths), n, "piece", "part").mapInArrow(_number(folder, shared), "piece long, path string, numbers string"), "numbered")
-    pieces.mapInArrow(_drop_dictionaries, "piece long").agg(F.count("piece")).first()
+    out = stage(_by(answers.unionByName(paths), n, "piece", "part").mapInArrow(_number(folder, shared), "piece long, path string"), "numbered")
+    pieces.mapInArrow(_drop_first, "piece long").agg(F.count("piece")).first()
     return out
 
 
-def _drop_dictionaries(batches):
-    """Numbers stand for the words from here on."""
+def _drop_first(batches):
+    """Pieces with numbers stand for the first ones and their dictionaries from here on."""
     for number, path in _rows(batches, "piece", "path"):
-        fs, at = file_system(f"{path}.dictionary")
-        if fs.get_file_info(at).type == pafs.FileType.File:
-            fs.delete_file(at)
+        for first in (path, f"{path}.dictionary"):
+            fs, at = file_system(first)
+            if fs.get_file_info(at).type == pafs.FileType.File:
+                fs.delete_file(at)
         yield _batch([(number,)], "piece long")
 
 
@@ -494,21 +519,27 @@ def _by_part(part: np.ndarray) -> np.ndarray:
 
 
 def _send_grams(k: int, trie, counted: bool, of_round: int, rounds: int):
+    """Distinct n-grams of each piece to their parts; counted: with their counts in texts learned from, which may be 0."""
+
     def run(batches):
-        for number, path, numbers in _rows(batches, "piece", "path", "numbers"):
-            p, t = _Piece(path, numbers), trie.value
-            keys = np.sort(p.grams(k)[0])
-            first = np.flatnonzero(np.append(np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
-            counts = np.diff(np.append(first, len(keys)))
-            ctx, last, part = p.dealt(k, keys[first], t)
-            mine = np.flatnonzero(part % rounds == of_round)
+        for number, path in _rows(batches, "piece", "path"):
+            p, t = _Piece(path), trie.value
+            keys, at = p.grams(k)
+            keys = np.sort(keys.astype(U) << U(1) | p.learned[p.own[at]])
+            distinct = (keys >> U(1)).astype(np.int64)
+            first = np.flatnonzero(np.append(np.ones(min(1, len(keys)), bool), distinct[1:] != distinct[:-1]))
+            distinct = distinct[first]
+            ctx, last, part = p.dealt(k, distinct, t)
+            if counted:
+                counts = np.diff(np.append(0, np.cumsum(keys & U(1), dtype=np.int64)[np.append(first, len(keys))[1:] - 1]))
+            mine = np.flatnonzero(part % rounds == of_round) if rounds > 1 else np.arange(len(part))
             order = mine[_by_part(part[mine])]
-            cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
+            ctx, last, part = ctx[order], last[order], part[order]
+            cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(order))
             out = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                own = order[a:b]
-                more = {"counts": _small(counts[own])} if counted else {}
-                out.append((int(part[own[0]]), number, dump(ctx=_gaps(ctx[own]), last=_small(last[own]), **more)))
+                more = {"counts": _small(counts[order[a:b]])} if counted else {}
+                out.append((int(part[a]), number, dump(ctx=_gaps(ctx[a:b]), last=_small(last[a:b]), **more)))
             yield _batch(out, BLOCK)
 
     return run
@@ -529,30 +560,61 @@ def _encode(book: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.searchsorted((book[1:] + book[:-1]) / 2, x).astype(np.uint8)
 
 
-def _build(k: int, trie, least: int, folder: str, next_hot: float):
-    """Level k, part by part. Of a part's n-grams with hot contexts: what they take of each; and which n-grams of over next_hot tokens are hot contexts themselves."""
+class _Grams:
+    """The n-grams of some blocks of a part, together: contexts, spread and increasing; distinct keys, place of the context * wide + last word spread; which[j]: the key of the j-th."""
+
+    def __init__(self, k: int, t: Trie, blocks: list[dict[str, np.ndarray]]):
+        self.wide, self.all = _universe(t.words + 1), (t.words + 1) ** (k - 1)
+        ctx = np.concatenate([np.zeros(0, U), *(np.cumsum(x["ctx"], dtype=U) for x in blocks)])
+        self.ends = np.cumsum([len(x["ctx"]) for x in blocks], dtype=np.int64)
+        fresh = np.append(np.ones(min(1, len(ctx)), bool), ctx[1:] != ctx[:-1])
+        fresh[self.ends[:-1]] = True  # each block says what it has of its contexts
+        self.fresh = np.flatnonzero(fresh)
+        self.contexts, self.context = _unique(_spread(ctx[self.fresh], self.all))
+        last = np.concatenate([np.zeros(0, np.int64), *(x["last"] for x in blocks)])
+        above = np.repeat(self.context, np.diff(np.append(self.fresh, len(ctx))))
+        self.keys, self.which = _unique(above * self.wide + _spread(last, t.words + 1).astype(np.int64))
+
+    def answers(self, x: dict | None) -> list[bytes]:
+        """For each block the codes of what a part's file has: of each n-gram 0 or 1 + that of its probability; of each run of a context 0 or 1 + that of its weight; and the values they stand for."""
+        place, found = np.full(len(self.keys), -1, np.int64), np.full(len(self.contexts), -1, np.int64)
+        if x is not None and len(self.keys):
+            found = _get("contexts", x).find(self.contexts)
+            there = np.maximum(found, 0)
+            ends = [np.where(found >= 0, _get("pointers", x).get(there + j).astype(np.int64), 0) for j in (0, 1)] if x["contexts.n"] else [np.zeros(len(found), np.int64)] * 2
+            above, last = self.keys // self.wide, self.keys % self.wide
+            place = _get("children", x).find(there[above] * self.wide + last, ends[0][above], ends[1][above])
+        out = [{} for _ in self.ends]
+        for name, got, which, cuts in (("probs", place, self.which, self.ends[:-1]), ("backs", found, self.context, np.searchsorted(self.fresh, self.ends[:-1]))):
+            codes, book = np.zeros(len(got), np.uint16), np.zeros(0)
+            if x is not None and len(x[name]):
+                codes, book = np.where(got >= 0, x[name][got].astype(np.uint16) + np.uint16(1), np.uint16(0)), x[f"{name}.book"]
+            for o, own in zip(out, np.split(codes[which], cuts), strict=True):
+                used = np.flatnonzero(np.bincount(own, minlength=1)[1:])  # 0 stands for none
+                number = np.zeros(len(book) + 1, np.uint16)
+                number[used + 1] = np.arange(1, len(used) + 1)
+                o[name], o[f"{name}.book"] = _small(number[own]), book[used]
+        return [dump(**o) for o in out]
+
+
+def _build(k: int, trie, least: int, folder: str, next_hot: float, answered: bool):
+    """Level k, part by part. Of a part's n-grams with hot contexts: what they take of each; and which n-grams of over next_hot tokens are hot contexts themselves. answered: each part's file is then asked for all that was sent to it."""
 
     def run(batches):
         t = trie.value
-        hot, hot_counts, _ = t.hot[k - 1]
-        for part, rows in groupby(_rows(batches, "part", "body"), lambda r: r[0]):
-            held = [undump(r[1]) for r in rows]
-            wide, all_ctx = _universe(t.words + 1), (t.words + 1) ** (k - 1)
-            sent, which = np.unique(np.concatenate([np.cumsum(x["ctx"], dtype=U) for x in held]).astype(np.int64), return_inverse=True)
-            order = np.argsort(_spread(sent, all_ctx))
-            back = np.empty(len(order), np.int64)
-            back[order] = np.arange(len(order))
-            contexts, which = sent[order], back[which]  # in order of what they are spread to, as last words are
-            keys = which * wide + _spread(np.concatenate([x["last"] for x in held]), t.words + 1).astype(np.int64)
-            counts = np.concatenate([x["counts"] for x in held])
+        for part, rows in groupby(_rows(batches, "part", "piece", "body"), lambda r: r[0]):
+            pieces, held = [], []
+            for _, piece, body in rows:
+                pieces.append(piece)
+                held.append(undump(body))
+            g = _Grams(k, t, held)
+            wide, contexts = g.wide, _unspread(g.contexts, g.all)
+            counts = np.bincount(g.which, np.concatenate([x["counts"] for x in held]), len(g.keys)).astype(np.int64)
             del held
-            keys, which = np.unique(keys, return_inverse=True)
-            counts = np.bincount(which, counts, len(keys)).astype(np.int64)
-            above, last = keys // wide, keys % wide
+            above, last = g.keys // wide, g.keys % wide
             size = np.bincount(above, counts, len(contexts))
-            place = np.minimum(np.searchsorted(hot, contexts), max(0, len(hot) - 1))
-            is_hot = hot[place] == contexts if len(hot) else np.zeros(len(contexts), bool)
-            size[is_hot] = hot_counts[place[is_hot]] if len(hot) else 0
+            is_hot, place = t.heat(k, contexts)
+            size[is_hot] = t.hot[k - 1][1][place]
             out = []
             if k < t.order:
                 out += [(2, part, None, None, None, int(contexts[above[i]] * (t.words + 1) + _unspread(last[i : i + 1], t.words + 1)[0]), float(counts[i])) for i in np.flatnonzero(counts > next_hot)]
@@ -562,11 +624,11 @@ def _build(k: int, trie, least: int, folder: str, next_hot: float):
             used = np.bincount(above, p, len(contexts))
             out += [(1, part, None, None, None, int(contexts[i]), float(used[i])) for i in np.flatnonzero(is_hot & (used > 0))]
             live = np.flatnonzero(np.bincount(above, minlength=len(contexts)))
-            above = np.searchsorted(live, above)
+            above = np.cumsum(np.diff(above, prepend=-1) > 0) - 1
             logs, backs = np.log10(p), np.log10(np.maximum(1 - used[live], 1e-9))
             backs[is_hot[live]] = 0.0  # in the table of hot contexts
             arrays, numbers = {}, {}
-            values = (_spread(contexts[live], all_ctx), _universe(all_ctx)), (np.searchsorted(above, np.arange(len(live) + 1)), len(above) + 1), (above * wide + last, max(1, len(live) * wide))
+            values = (g.contexts[live], _universe(g.all)), (np.searchsorted(above, np.arange(len(live) + 1)), len(above) + 1), (above * wide + last, max(1, len(live) * wide))
             for name, (v, universe) in zip(("contexts", "pointers", "children"), values, strict=True):
                 a, b = _put(name, EliasFano.build(v, universe))
                 arrays |= a
@@ -576,54 +638,20 @@ def _build(k: int, trie, least: int, folder: str, next_hot: float):
                 arrays |= {f"{name}.book": book, name: _encode(book, v)}
             path = f"{folder}/order{k}-{part:08d}-{TaskContext.get().taskAttemptId()}.lvl"
             save(path, arrays, numbers)
-            yield _batch([(0, part, path, len(above), int(counts.sum()), None, None), *out], BUILT)
+            out.insert(0, (0, part, path, len(above), int(counts.sum()), None, None))
+            yield _batch([(*r, None, None) for r in out], ANSWERED)
+            if answered:
+                del arrays, values, p, logs, above, last, counts
+                yield _batch([(ANSWER, part, None, None, None, None, None, piece, body) for piece, body in zip(pieces, g.answers(load(path)), strict=True)], ANSWERED)
 
     return run
 
 
 def _answer_grams(k: int, trie):
-    """Codes of each n-gram asked for: 0 or 1 + that of its probability; 0 or 1 + that of its context's weight; and the values they stand for."""
+    """What the parts' files say of the n-grams asked for."""
 
     def run(batches):
-        t = trie.value
-        hot, _, weights = t.hot[k - 1]
-
-        def coded(name, place, x):
-            codes = np.where(place >= 0, x[name][place].astype(np.uint32) + 1, 0) if x is not None and len(x[name]) else np.zeros(len(place), np.uint32)
-            return codes, x[f"{name}.book"] if x is not None else np.zeros(0)
-
-        def answer(x, blocks):
-            ctx, last = np.concatenate([np.cumsum(b["ctx"], dtype=U) for b in blocks]), np.concatenate([b["last"].astype(U) for b in blocks])
-            ends_of = np.cumsum([len(b["last"]) for b in blocks])
-            fresh = np.append(np.ones(min(1, len(ctx)), bool), ctx[1:] != ctx[:-1])
-            distinct, which = ctx[fresh], np.cumsum(fresh) - 1
-            above, place = np.full(len(ctx), -1, np.int64), np.full(len(ctx), -1, np.int64)
-            if x is not None:
-                wanted = _spread(distinct, (t.words + 1) ** (k - 1))
-                order = np.argsort(wanted)  # what stands near in the file is asked for together
-                found = _get("contexts", x).find(wanted[order])
-                pointers = _get("pointers", x)
-                ends = np.zeros((3, len(distinct)), np.int64)
-                ends[:, order] = found, *(np.where(found >= 0, pointers.get(np.maximum(found, 0) + j).astype(np.int64), 0) for j in (0, 1))
-                above, begin, end = ends[:, which]
-                place = _get("children", x).find(np.maximum(above, 0).astype(U) * U(_universe(t.words + 1)) + _spread(last, t.words + 1), begin, end)
-            out = [{} for _ in blocks]
-            for name, where in (("probs", place), ("backs", above)):
-                codes, book = coded(name, where, x)
-                if name == "backs" and len(hot):
-                    at = np.minimum(np.searchsorted(hot, ctx.astype(np.int64)), len(hot) - 1)
-                    is_hot = hot[at] == ctx.astype(np.int64)
-                    mine, code = np.unique(at[is_hot], return_inverse=True)
-                    codes[is_hot] = len(book) + 1 + code
-                    book = np.append(book, weights[mine])
-                for o, own in zip(out, np.split(codes, ends_of[:-1]), strict=True):
-                    used = np.flatnonzero(np.bincount(own, minlength=1)[1:])  # 0 stands for none
-                    number = np.zeros(len(book) + 1, np.int64)
-                    number[used + 1] = np.arange(1, len(used) + 1)
-                    o[name], o[f"{name}.book"] = _small(number[own]), book[used]
-            return [dump(**o) for o in out]
-
-        yield from _answered(batches, answer)
+        yield from _answered(batches, lambda x, blocks: _Grams(k, trie.value, blocks).answers(x))
 
     return run
 
@@ -634,34 +662,30 @@ def _collect_hot(built: DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
     return got["key"].to_numpy(np.int64), got["value"].to_numpy(float)
 
 
-def train(docs: DataFrame, order: int = 3, least: int = 2, discount: float = 0.75) -> Trie:
-    """A trie of the n-grams of docs (text, ...); null texts are empty ones, which have an end. order: 2 or 3. At most 2**31 distinct words."""
-    if not 2 <= order <= ORDER_MOST:
-        raise ValueError(f"order must be 2 to {ORDER_MOST}")
-    spark = docs.sparkSession
-    prepare(spark)
+def _learn(pieces: DataFrame, piece_folder: str, order: int, least: int, discount: float, answered: bool) -> tuple[Trie, DataFrame, DataFrame | None]:
+    """A trie of what pieces have to be learned; the pieces with their words' numbers; answered: the answers to all their n-grams (level, part, piece, body)."""
+    spark = pieces.sparkSession
     trie = Trie(order, discount)
     folder = fresh_dir(spark, "ngrams")
     fs, local = file_system(folder)
     fs.create_dir(local, recursive=True)
-    pieces, piece_folder = make_pieces(docs.select(F.lit(0).alias("doc_id"), "text"), "train")
-    n, tokens = pieces.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    n, tokens, learned = pieces.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("learned"), F.lit(0))).first()
     trie.parts = [-(-max(1, tokens) // WORDS_PART), *[-(-max(1, tokens) // PART)] * (order - 1)]
-    share = max(tokens / trie.parts[-1], 1) if trie.parts[-1] > 1 else float("inf")
+    share = max(learned / trie.parts[-1], 1) if trie.parts[-1] > 1 else float("inf")
     sent = pieces.repartition(_tasks(n)).mapInArrow(_send_words(trie.parts[0], True), BLOCK)
     built = stage(_by(sent, trie.parts[0], "part", "piece").mapInArrow(_build_words(folder, share), BUILT), "words")
     trie.words, trie.total = built.where("kind = 0").agg(F.coalesce(F.sum("entries"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     sizes = np.zeros((64, trie.parts[0]), np.int64)
     for r in built.where("kind = 1").select("key", "part", "entries").collect():  # at most 64 a part
         sizes[r["key"], r["part"]] = r["entries"]
-    trie.base = (np.cumsum(sizes) - sizes.ravel()).reshape(sizes.shape)
+    trie.firsts = (np.cumsum(sizes) - sizes.ravel()).reshape(sizes.shape)
     if trie.words >= 1 << 31:
         raise ValueError("more than 2**31 distinct words")
     trie.files.append(built.where("kind = 0").select("part", "path"))
-    hot = sorted((int(trie.base[_class(np.array([r["value"]]))[0], r["part"]]) + r["key"], r["value"]) for r in built.where("kind = 2").select("part", "key", "value").collect())
+    hot = sorted((int(trie.firsts[_class(np.array([r["value"]]))[0], r["part"]]) + r["key"], r["value"]) for r in built.where("kind = 2").select("part", "key", "value").collect())
     keys, counts = np.array([r[0] for r in hot], np.int64), np.array([r[1] for r in hot], float)
     free(spark)
-    known = numbered(pieces, piece_folder, trie, n)
+    known, answers = numbered(pieces, piece_folder, trie, n), None
     for k in range(2, order + 1):
         trie.hot[k - 1] = (keys, counts, np.zeros(len(keys)))
         shared = spark.sparkContext.broadcast(trie)
@@ -669,7 +693,7 @@ def train(docs: DataFrame, order: int = 3, least: int = 2, discount: float = 0.7
         for r in range(ROUNDS[k]):
             free(spark)
             sent = known.repartition(_tasks(n)).mapInArrow(_send_grams(k, shared, True, r, ROUNDS[k]), BLOCK)
-            made = stage(_by(sent, trie.parts[k - 1], "part", "piece").mapInArrow(_build(k, shared, least, folder, share), BUILT), "level")
+            made = stage(_by(sent, trie.parts[k - 1], "part", "piece").mapInArrow(_build(k, shared, least, folder, share, answered), ANSWERED), "level")
             built = made if built is None else built.unionByName(made)
         used_keys, used = _collect_hot(built, 1)
         back = np.zeros(len(keys))
@@ -677,82 +701,86 @@ def train(docs: DataFrame, order: int = 3, least: int = 2, discount: float = 0.7
         trie.hot[k - 1] = (keys, counts, back)
         trie.files.append(built.where("kind = 0").select("part", "path"))
         keys, counts = _collect_hot(built, 2)
-    drop_dir(piece_folder)
-    free(spark)
-    return trie
-
-
-# ---- scores
-
+        if answered:
+            more = built.where(F.col("kind") == ANSWER).select(F.lit(k).alias("level"), "part", "piece", "body")
+            answers = more if answers is None else answers.unionByName(more)
+    return trie, known, answers
 
-KEPT = "piece long, path string"
 
+def _order(order: int) -> int:
+    if not 2 <= order <= ORDER_MOST:
+        raise ValueError(f"order must be 2 to {ORDER_MOST}")
+    return order
 
-def _keep(folder: str, k: int, of_round: int):
-    """Rows sorted by piece and part -> a file of answers for each piece."""
-
-    def run(batches):
-        for piece, rows in groupby(_rows(batches, "piece", "part", "body"), lambda r: r[0]):
-            path = f"{folder}/{piece:012d}-{k}-{of_round}-{TaskContext.get().taskAttemptId()}.answers"
-            fs, local = file_system(path)
-            with fs.open_output_stream(local, compression=None) as f:
-                for _, _, body in rows:
-                    f.write(len(body).to_bytes(8, "little"))
-                    f.write(body)
-            yield _batch([(piece, path)], KEPT)
 
-    return run
+def train(docs: DataFrame, order: int = 3, least: int = 2, discount: float = 0.75) -> Trie:
+    """A trie of the n-grams of docs (text, ...); null texts are empty ones, which have an end. order: 2 or 3. At most 2**31 distinct words."""
+    order = _order(order)
+    spark = docs.sparkSession
+    prepare(spark)
+    pieces, folder = make_pieces(docs.select(F.lit(0).alias("doc_id"), "text"), "train")
+    trie = _learn(pieces, folder, order, least, discount, False)[0]
+    drop_dir(folder)
+    free(spark)
+    return trie
 
 
-def _kept(path: str):
-    fs, local = file_system(path)
-    with fs.open_input_file(local) as f:
-        while head := f.read(8):
-            yield undump(f.read(int.from_bytes(head, "little")))
+# ---- scores
 
 
 SCORES = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
 def _score(trie):
-    """Rows sorted by piece and level, the piece's own files as level 0 -> sums of each text in a piece."""
+    """Rows sorted by piece, level and part, the piece's own file as level 0 -> sums of each text in a piece."""
 
-    def one(p: _Piece, answers: dict[int, list[tuple[int, str]]]):
+    def one(p: _Piece, answers: dict[int, list[dict[str, np.ndarray]]]):
         t = trie.value
-        log = t.base_log(p.count)[p.local]
-        base = log
+        base = t.base(p.count)
+        prob = base[p.local]
         for k in range(2, t.order + 1):
             keys, at = p.grams(k)
             distinct, which = _unique(keys)
-            part = p.dealt(k, distinct, t)[2]
-            order = np.concatenate([mine[_by_part(part[mine])] for mine in (np.flatnonzero(part % ASKING[k] == r) for r in range(ASKING[k]))])
-            got = [x for _, path in sorted(answers.get(k, [])) for x in _kept(path)]
-            prob, back = np.zeros(len(distinct)), np.ones(len(distinct))
-            for name, out, none in (("probs", prob, 0.0), ("backs", back, 1.0)):
-                parts = [np.append(none, 10.0 ** x[f"{name}.book"])[x[name]] for x in got]
-                out[order] = np.concatenate([np.zeros(0), *parts])
-            log = log.copy()
-            log[at] = np.log10(prob[which] + back[which] * 10.0 ** log[at])
+            ctx, _, part = p.dealt(k, distinct, t)
+            order = _by_part(part)
+            ctx, part, got = ctx[order], part[order], answers.pop(k, [])
+            probs, backs = (np.concatenate([np.zeros(0), *(np.append(none, 10.0 ** x[f"{name}.book"])[x[name]] for x in got)]) for name, none in (("probs", 0.0), ("backs", 1.0)))
+            fresh = np.append(np.ones(min(1, len(ctx)), bool), (ctx[1:] != ctx[:-1]) | (part[1:] != part[:-1]))
+            is_hot, place = t.heat(k, ctx[fresh])
+            backs[is_hot] = 10.0 ** t.hot[k - 1][2][place]
+            own, back = np.empty(len(order)), np.empty(len(order))
+            own[order], back[order] = probs, backs[np.cumsum(fresh) - 1]
+            prob[at] = own[which] + back[which] * prob[at]
         scored = slice(p.lead, None)
         own, n = p.own[scored], len(p.row)
-        known = p.number[p.local[scored]] >= 0
-        sums = [np.bincount(own, x, minlength=n) for x in (np.ones(len(own)), known, base[scored], log[scored])]
+        sums = [np.bincount(own, x, minlength=n) for x in (np.ones(len(own)), p.local[scored] < p.known, np.log10(base)[p.local[scored]], np.log10(prob[scored]))]
         columns = [pa.array(p.row), pa.array(p.doc_id, mask=p.null), *(pa.array(x.astype(np.int64)) for x in sums[:2]), *map(pa.array, sums[2:])]
         return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORES.split(", ")])
 
     def run(batches):
-        for _, rows in groupby(_rows(batches, "piece", "level", "round", "path"), lambda r: r[0]):
+        for _, rows in groupby(_rows(batches, "piece", "level", "body"), lambda r: r[0]):
             p, answers = None, {}
-            for _, level, of_round, path in rows:
+            for _, level, body in rows:
                 if level == 0:
-                    p = _Piece(*path.split("\n"))
+                    p = _Piece(body.decode())
                 else:
-                    answers.setdefault(level, []).append((of_round, path))
+                    answers.setdefault(level, []).append(undump(body))
             yield one(p, answers)
 
     return run
 
 
+def _scores(known: DataFrame, answers: DataFrame, trie: Trie) -> DataFrame:
+    """The scores of texts by the answers to their pieces."""
+    spark = known.sparkSession
+    free(spark)
+    shared = spark.sparkContext.broadcast(trie)
+    paths = known.select(F.lit(0).alias("level"), F.lit(-1).cast("long").alias("part"), "piece", F.col("path").cast("binary").alias("body"))
+    sums = _by(answers.unionByName(paths), known.count(), "piece", "level", "part").mapInArrow(_score(shared), SCORES)
+    whole = sums.groupBy("row", "doc_id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
+    return whole.select("doc_id", "n_tokens", "n_known", F.lit(trie.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def score(docs: DataFrame, trie: Trie) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, n_tokens, n_known, train_tokens, base_score, score), a row for each of docs.
 
@@ -764,17 +792,24 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
     pieces, folder = make_pieces(docs, "scored")
     n = pieces.count()
     known = numbered(pieces, folder, trie, n)
-    shared = spark.sparkContext.broadcast(trie)
-    paths = known.select("piece", F.lit(0).alias("level"), F.lit(0).alias("round"), F.concat_ws("\n", "path", "numbers").alias("path"))
+    shared, answers = spark.sparkContext.broadcast(trie), None
     for k in range(2, trie.order + 1):
         for r in range(ASKING[k]):
             free(spark)
             asked = known.repartition(_tasks(n)).mapInArrow(_send_grams(k, shared, False, r, ASKING[k]), BLOCK)
             files = trie.files[k - 1].where(F.col("part") % ASKING[k] == r)
-            answers = _by(_with_files(asked, files), trie.parts[k - 1], "part", "piece").mapInArrow(_answer_grams(k, shared), BLOCK)
-            kept = stage(_by(answers, n, "piece", "part").mapInArrow(_keep(folder, k, r), KEPT), "answers")
-            paths = paths.unionByName(kept.select("piece", F.lit(k).alias("level"), F.lit(r).alias("round"), "path"))
-    free(spark)
-    sums = _by(paths, n, "piece", "level", "round").mapInArrow(_score(shared), SCORES)
-    whole = sums.groupBy("row", "doc_id").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
-    return whole.select("doc_id", "n_tokens", "n_known", F.lit(trie.total).cast("long").alias("train_tokens"), "base_score", "score")
+            got = stage(_by(_with_files(asked, files), trie.parts[k - 1], "part", "piece").mapInArrow(_answer_grams(k, shared), BLOCK), "answers")
+            got = got.select(F.lit(k).alias("level"), "part", "piece", "body")
+            answers = got if answers is None else answers.unionByName(got)
+    return _scores(known, answers, trie)
+
+
+def train_and_score(docs: DataFrame, learned: Column, order: int = 3, least: int = 2, discount: float = 0.75) -> DataFrame:
+    """As ``score(docs, train(docs.where(learned), ...))``, in one pass: texts are cut into pieces once, a piece's distinct n-grams are sent once, with
+    their counts in texts learned from, and each part's file is asked for them as soon as it is written. For docs most of which are learned from: what
+    is asked of a part is in memory with what is counted there."""
+    order = _order(order)
+    prepare(docs.sparkSession)
+    pieces, folder = make_pieces(docs, "scored", learned)
+    trie, known, answers = _learn(pieces, folder, order, least, discount, True)
+    return _scores(known, answers, trie)

@@ -61,9 +61,7 @@ def op6_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     remainder = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10, F.lit(1))
-    trie = ngram_lm.train(docs.where(remainder != 0), order=3, least=1)
-    held_out = (F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10, F.lit(1)) == 0).alias("held_out")
-    return ngram_lm.score(docs, trie).select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return ngram_lm.train_and_score(docs, remainder != 0, order=3, least=1).select("doc_id", (remainder == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,15 @@ def test_elias_fano():
         assert (e.successor(x, b, c) == [i + np.searchsorted(v[i:j], k) for k, i, j in zip(x, b, c, strict=True)]).all()
 
 
+def test_elias_fano_finds_all_of_a_full_word():
+    """Over 63 values with the same high part, the first at the begin of a word of the high bits."""
+    v = 64 * 1024 + np.arange(300)
+    e = elias_fano.EliasFano.build(v, 300 << 10)
+    assert e.low_bits == 10
+    for some in (v, v[100:110]):  # by the whole directory, and by a search for each
+        assert (e.find(some) == some - v[0]).all() and (e.get(some - v[0]) == some.astype(np.uint64)).all()
+
+
 def test_alignment_equals_the_textbook():
     def plain(x, y):
         h, best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)], 0

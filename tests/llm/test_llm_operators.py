@@ -351,6 +351,26 @@ def test_query_scores_by_ngrams_seen_once_too(spark, tmp_path):
         assert abs(got[k] - want) < 0.01  # a few more values than codes
 
 
+def test_learned_and_scored_in_one_pass(spark, tmp_path, monkeypatch):
+    """op7 cuts its table into pieces once and sends each level's n-grams once; scores are as by brute force for texts learned from and others."""
+    made, sent, make, send = [], [], ngram_lm.make_pieces, ngram_lm._send_grams
+    monkeypatch.setattr(ngram_lm, "make_pieces", lambda *x: made.append(1) or make(*x))
+    monkeypatch.setattr(ngram_lm, "_send_grams", lambda k, *x: sent.append(k) or send(k, *x))
+    monkeypatch.setattr(ngram_lm, "PIECE", 20)
+    monkeypatch.setattr(ngram_lm, "PART", 40)
+    texts = [t for _, t in small_texts()] + [" ".join(f"w{k}" for k in range(30)), "w1 w2 w3 a b", "", None]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    train = [t or "" for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 10]
+    assert 0 < len(train) < len(texts)
+    got = {r["doc_id"]: r for r in queries.op7_ngram_lm(spark, str(tmp_path)).collect()}
+    assert len(made) == 1 and len(sent) == sum(ngram_lm.ROUNDS.values())
+    known = {w for t in train for w in t.split()}
+    for k, want in enumerate(brute_scores(train, [t or "" for t in texts], 1)):
+        words = (texts[k] or "").split()
+        assert (got[k]["n_tokens"], got[k]["n_known"]) == (len(words) + 1, sum(w in known for w in words) + 1)
+        assert got[k]["held_out"] == (zlib.crc32(str(k).encode()) % 10 == 0) and math.isclose(got[k]["score"], want, rel_tol=1e-6), k
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql_says_the_same(spark, sf_dir, duck, name):
     same_rows(queries.QUERIES[name](spark, sf_dir), duck, queries.ORACLE_SQL[name])
