@@ -14,8 +14,10 @@ the piece; a long text goes on in the next piece, which begins with the words be
 *parts* chosen by the context's hash. A context of over a part's share of all tokens is *hot*: its n-grams are dealt by
 their own hash, and what they sum to is added up and broadcast (at most one hot context a part). A part is a file. To be
 asked, it is sent its path and the pieces' distinct n-grams, is mapped into memory once (first copied to an unlinked temporary file
-where the path isn't local), and sends back codes. So no task opens more than one part at a time, and none looks up an n-gram of a piece
+where the path isn't local), and sends back codes. ``train_and_score`` asks a part as soon as its file is written, for all that was
+sent to be counted. So no task opens more than one part at a time, and none looks up an n-gram of a piece
 twice. Levels above 1 are built in ``ROUNDS`` and asked in ``ASKING`` rounds over the parts, so that shuffles on disk stay small.
+Each piece sends a block to nearly every part, so blocks grow with the square of the input, though what is in them doesn't.
 """
 
 from __future__ import annotations
@@ -106,11 +108,10 @@ def dump(**arrays: np.ndarray) -> bytes:
     """Arrays as one compressed block: all lowest bytes of an array, then all next ones, as far as any is set."""
     head, planes = [], []
     for name, a in arrays.items():
-        bits = a.view(f"u{a.itemsize}")
-        used = (int(bits.max()).bit_length() + 7) // 8 if len(a) else 0
-        head.append((name, a.dtype.str, len(a), used))
-        planes += [bits.view(np.uint8)[j :: a.itemsize].tobytes() for j in range(used)]
-    first = json.dumps(head).encode()
+        used = (int(a.view(f"u{a.itemsize}").max()).bit_length() + 7) // 8 if len(a) else 0
+        head.append(f"{name} {a.dtype.str} {len(a)} {used}")
+        planes.append(a.view(np.uint8).reshape(len(a), a.itemsize)[:, :used].T.tobytes())
+    first = "\n".join(head).encode()
     return _codec()[0].compress(b"".join([len(first).to_bytes(4, "little"), first, *planes]))
 
 
@@ -118,13 +119,13 @@ def undump(body: bytes) -> dict[str, np.ndarray]:
     raw = _codec()[1].decompress(body)
     at = 4 + int.from_bytes(raw[:4], "little")
     out = {}
-    for name, kind, n, used in json.loads(raw[4:at]):
-        size = np.dtype(kind).itemsize
-        bits = np.zeros(n * size, np.uint8)
-        for j in range(used):
-            bits[j::size] = np.frombuffer(raw, np.uint8, n, at)
-            at += n
-        out[name] = bits.view(kind)
+    for line in raw[4:at].decode().split("\n"):
+        name, kind, n, used = line.split(" ")
+        kind, n, used = np.dtype(kind), int(n), int(used)
+        bits = np.zeros((n, kind.itemsize), np.uint8)
+        bits[:, :used] = np.frombuffer(raw, np.uint8, n * used, at).reshape(used, n).T
+        at += n * used
+        out[name] = bits.reshape(-1).view(kind)
     return out
 
 
@@ -663,7 +664,7 @@ def _collect_hot(built: DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _learn(pieces: DataFrame, piece_folder: str, order: int, least: int, discount: float, answered: bool) -> tuple[Trie, DataFrame, DataFrame | None]:
-    """A trie of what pieces have to be learned; the pieces with their words' numbers; answered: the answers to all their n-grams (level, part, piece, body)."""
+    """A trie of what pieces have to be learned; the pieces with their words' numbers; answered: the answers to all their n-grams (level, part, piece, body), and no files of levels above 1 are left."""
     spark = pieces.sparkSession
     trie = Trie(order, discount)
     folder = fresh_dir(spark, "ngrams")
@@ -693,13 +694,18 @@ def _learn(pieces: DataFrame, piece_folder: str, order: int, least: int, discoun
         for r in range(ROUNDS[k]):
             free(spark)
             sent = known.repartition(_tasks(n)).mapInArrow(_send_grams(k, shared, True, r, ROUNDS[k]), BLOCK)
-            made = stage(_by(sent, trie.parts[k - 1], "part", "piece").mapInArrow(_build(k, shared, least, folder, share, answered), ANSWERED), "level")
+            files = f"{folder}/order{k}-{r}"
+            file_system(files)[0].create_dir(file_system(files)[1], recursive=True)
+            made = stage(_by(sent, trie.parts[k - 1], "part", "piece").mapInArrow(_build(k, shared, least, files, share, answered), ANSWERED), "level")
+            if answered:  # nothing more is asked of them
+                drop_dir(files)
             built = made if built is None else built.unionByName(made)
         used_keys, used = _collect_hot(built, 1)
         back = np.zeros(len(keys))
         back[np.searchsorted(keys, used_keys)] = np.log10(np.maximum(1 - used, 1e-9))
         trie.hot[k - 1] = (keys, counts, back)
-        trie.files.append(built.where("kind = 0").select("part", "path"))
+        if not answered:
+            trie.files.append(built.where("kind = 0").select("part", "path"))
         keys, counts = _collect_hot(built, 2)
         if answered:
             more = built.where(F.col("kind") == ANSWER).select(F.lit(k).alias("level"), "part", "piece", "body")

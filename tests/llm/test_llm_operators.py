@@ -1,6 +1,7 @@
 """Operators on small tables with nulls, ties, repeated rows, clashing columns; against brute force."""
 
 import collections
+import glob
 import math
 import random
 import re
@@ -15,7 +16,7 @@ from plinth.llm import components, decontamination, language_id, ngram_lm, queri
 from plinth.llm.jaccard_join import jaccard_join
 from plinth.llm.packing import pack_documents
 from plinth.llm.records import token_records, write_records
-from plinth.llm.shared import file_system, fresh_dir
+from plinth.llm.shared import file_system, fresh_dir, shared_dir
 from plinth.llm.tokens import default_path
 from plinth.llm.topk import top_k
 from plinth.llm.urls import filter_urls
@@ -362,8 +363,13 @@ def test_learned_and_scored_in_one_pass(spark, tmp_path, monkeypatch):
     spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     train = [t or "" for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 10]
     assert 0 < len(train) < len(texts)
+    def left():
+        return set(glob.glob(f"{file_system(shared_dir(spark))[1]}/plinth/ngrams-*/**/order*.lvl", recursive=True))
+
+    before = left()
     got = {r["doc_id"]: r for r in queries.op7_ngram_lm(spark, str(tmp_path)).collect()}
     assert len(made) == 1 and len(sent) == sum(ngram_lm.ROUNDS.values())
+    assert not left() - before  # files of levels that were asked are gone
     known = {w for t in train for w in t.split()}
     for k, want in enumerate(brute_scores(train, [t or "" for t in texts], 1)):
         words = (texts[k] or "").split()
