@@ -24,39 +24,59 @@ LEAD_INS = [
 DAYS = "MTWRF"
 
 
-def clauses(df: DataFrame, key: str, description: str) -> DataFrame:
-    """(key, prereq_raw, coreq_raw, credit_exclusion_raw, combined) of each description.
+def let(x: Column, f) -> Column:
+    """f(x), where x is computed once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def clause_column(description: Column) -> Column:
+    """struct(prereq_raw, coreq_raw, credit_exclusion_raw, combined) of a description.
 
     Marks are put before all lead-ins by one alternation, longest kinds first, and the text is split there; the first clause of a kind
     counts. A clause of both kinds fills what is empty of either. A credit clause keeps its lead-in.
     """
     mark, end = "\u0001", "\u0002"
     one = "|".join(f"({p})" for _, p in LEAD_INS)
-    marked = F.regexp_replace(clean(F.col(description)), f"(?i){one}", f"{mark}$0{end}")
-    pieces = df.select(key, F.posexplode(F.split(marked, mark))).where("pos > 0")
-    lead, body = F.split_part("col", F.lit(end), F.lit(1)), clean(F.split_part("col", F.lit(end), F.lit(2)))
-    kind = F.lit(None).cast("string")
-    for name, p in reversed(LEAD_INS):
-        kind = F.when(lead.rlike(f"(?i)^(?:{p})$"), name).otherwise(kind)
-    rows = pieces.select(key, "pos", kind.alias("kind"), F.when(kind == "credit", clean(F.concat(lead, F.lit(" "), body))).otherwise(body).alias("value")).where("value <> ''")
-    first = lambda *kinds: F.min_by("value", F.when(F.col("kind").isin(*kinds), F.col("pos")))
-    found = rows.groupBy(key).agg(
-        first("prereq", "combined").alias("prereq_raw"), first("coreq", "combined").alias("coreq_raw"), first("credit").alias("credit_exclusion_raw"), F.bool_or(F.col("kind") == "combined").alias("combined")
-    )
-    return df.select(key).join(found, key, "left").withColumn("combined", F.coalesce("combined", F.lit(False)))
+    marked = F.regexp_replace(clean(description), f"(?i){one}", f"{mark}$0{end}")
+
+    def kind_of(piece: Column) -> Column:
+        lead, kind = F.split_part(piece, F.lit(end), F.lit(1)), F.lit(None).cast("string")
+        for name, p in reversed(LEAD_INS):
+            kind = F.when(lead.rlike(f"(?i)^(?:{p})$"), name).otherwise(kind)
+        return F.struct(kind.alias("kind"), lead.alias("lead"), clean(F.split_part(piece, F.lit(end), F.lit(2))).alias("body"))
+
+    value = lambda x: F.when(x["kind"] == "credit", clean(F.concat(x["lead"], F.lit(" "), x["body"]))).otherwise(x["body"])
+    pieces = let(F.split(marked, mark), lambda x: F.slice(x, 2, F.size(x)))
+    rows = F.filter(F.transform(F.transform(pieces, kind_of), lambda x: F.struct(x["kind"].alias("kind"), value(x).alias("value"))), lambda x: x["value"] != "")
+    first = lambda x, *kinds: F.get(F.filter(x, lambda r: r["kind"].isin(*kinds)), F.lit(0))["value"]
+    return let(rows, lambda x: F.struct(
+        first(x, "prereq", "combined").alias("prereq_raw"), first(x, "coreq", "combined").alias("coreq_raw"), first(x, "credit").alias("credit_exclusion_raw"), F.exists(x, lambda r: r["kind"].eqNullSafe("combined")).alias("combined")
+    ))
+
+
+def clauses(df: DataFrame, key: str, description: str) -> DataFrame:
+    """(key, prereq_raw, coreq_raw, credit_exclusion_raw, combined) of each description."""
+    return df.select(key, clause_column(F.col(description)).alias("c")).select(key, "c.*")
 
 
 def section_cell(cell: Column) -> Column:
     """'<component words> <section> (<class id>)' -> struct(component, section, class_id); parts that are not there are null."""
-    text = clean(cell)
-    inside = F.regexp_extract(text, r"^(.+?)\s*\(([0-9A-Za-z]+)\)\s*$", 2)
-    words = F.split(F.when(inside != "", F.regexp_extract(text, r"^(.+?)\s*\(([0-9A-Za-z]+)\)\s*$", 1)).otherwise(text), " ")
-    n = F.size(words)
-    return F.struct(
-        F.when(text != "", F.when(n > 1, F.array_join(F.slice(words, 1, F.greatest(n - 1, F.lit(1))), " ")).otherwise(F.get(words, F.lit(0)))).alias("component"),
-        F.when(n > 1, F.element_at(words, -1)).alias("section"),
-        F.when(inside != "", inside).alias("class_id"),
-    )
+    pattern = r"^(.+?)\s*\(([0-9A-Za-z]+)\)\s*$"
+
+    def parts(x: Column) -> Column:
+        inside, words, n = x["inside"], x["words"], F.size(x["words"])
+        return F.struct(
+            F.when(x["text"] != "", F.when(n > 1, F.array_join(F.slice(words, 1, F.greatest(n - 1, F.lit(1))), " ")).otherwise(F.get(words, F.lit(0)))).alias("component"),
+            F.when(n > 1, F.element_at(words, -1)).alias("section"),
+            F.when(inside != "", inside).alias("class_id"),
+        )
+
+    def cut(x: Column) -> Column:
+        words = F.split(F.when(x["inside"] != "", F.regexp_extract(x["text"], pattern, 1)).otherwise(x["text"]), " ")
+        return F.struct(x["text"].alias("text"), x["inside"].alias("inside"), words.alias("words"))
+
+    inside = lambda text: F.struct(text.alias("text"), F.regexp_extract(text, pattern, 2).alias("inside"))
+    return let(clean(cell), lambda text: let(let(inside(text), cut), parts))
 
 
 def expand_days(text: Column) -> Column:
@@ -68,15 +88,17 @@ def expand_days(text: Column) -> Column:
 def date_column(text: Column) -> Column:
     """'2026-01-05 - 2026-04-10 (MWF)' -> struct(date_start, date_end, days); one date is its own end."""
     pattern = r"([0-9]{4}-[0-9]{2}-[0-9]{2})(?:\s*-\s*([0-9]{4}-[0-9]{2}-[0-9]{2}))?(?:\s*\(([^)]*)\))?"
-    a, b, c = (F.nullif(F.regexp_extract(text, pattern, k), F.lit("")) for k in (1, 2, 3))
-    return F.struct(a.alias("date_start"), F.coalesce(b, a).alias("date_end"), c.alias("days"))
+    some = F.struct(*(F.regexp_extract(text, pattern, k).alias(x) for k, x in ((1, "a"), (2, "b"), (3, "c"))))
+    given = lambda x: F.when(x != "", x)
+    return let(some, lambda x: F.struct(given(x["a"]).alias("date_start"), F.coalesce(given(x["b"]), given(x["a"])).alias("date_end"), given(x["c"]).alias("days")))
 
 
 def time_column(text: Column) -> Column:
     """'9:00 - 9:50' -> struct(time_start, time_end), hours of two digits."""
     pattern = r"([0-9]{1,2}):([0-9]{2})\s*-\s*([0-9]{1,2}):([0-9]{2})"
-    part = lambda h, m: F.when(text.rlike(pattern), F.concat(F.lpad(F.regexp_extract(text, pattern, h), 2, "0"), F.lit(":"), F.regexp_extract(text, pattern, m)))
-    return F.struct(part(1, 2).alias("time_start"), part(3, 4).alias("time_end"))
+    some = F.struct(*(F.regexp_extract(text, pattern, k).alias(x) for k, x in ((1, "a"), (2, "b"), (3, "c"), (4, "d"))))
+    part = lambda h, m: F.when(m != "", F.concat(F.lpad(h, 2, "0"), F.lit(":"), m))
+    return let(some, lambda x: F.struct(part(x["a"], x["b"]).alias("time_start"), part(x["c"], x["d"]).alias("time_end")))
 
 
 def meetings(cells: DataFrame, key: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import season_of, term_label
 from ..operators import courses, programs
+from ..sources.batches import dealt
 from .registry import Tables, query
 from .tables import TERM
 
@@ -21,27 +22,31 @@ def joined(*parts) -> Column:
 DAYS = ("MWF", "TR", "MX")
 
 
-def section_rows(t: Tables) -> DataFrame:
-    """(course, term, at, html): a table row for each line. Line 6 has no times, line 7 no number that says how many it takes, line 5 a time alone."""
-    n, day = F.col("l_linenumber"), F.date_format("l_shipdate", "yyyy-MM-dd")
+def section_row(at: Column) -> Column:
+    """A table row for a line. Line 6 has no times, line 7 no number that says how many it takes, line 5 a time alone."""
+    n, day = at["l_linenumber"], F.date_format(at["l_shipdate"], "yyyy-MM-dd")
     col = lambda icon, x: joined(f'<div class="col"><i class="far fa-{icon}"></i>', x, "</div>")
     time = joined((n + 8).cast("string"), ":05 - ", (n + 9).cast("string"), ":20")
     days = F.element_at(F.array(*map(F.lit, DAYS)), n % 3 + 1)
     times = F.when(n == 6, "").when(n == 5, col("clock", time)).otherwise(F.concat(col("calendar", joined(day, " (", days, ")")), col("clock", time)))
     cell = lambda name, x: joined(f'<td data-card-title="{name}">', x, "</td>")
     component = F.when(n % 2 == 0, "LAB").otherwise("READING COURSE")
-    seats = F.when(n == 7, "many").otherwise(F.col("l_quantity").cast("int").cast("string"))
-    html = F.concat(F.lit("<tr>"), cell("Section", joined(component, " S", n.cast("string"), "<br>(", F.col("l_orderkey").cast("string"), ")")), cell("Capacity", seats), cell("Class times", times), F.lit("</tr>"))
-    return t.lineitem.select(F.col("l_partkey").alias("course"), term_label(F.col("l_shipdate")).alias("term"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity").alias("at"), html.alias("html"))
+    seats = F.when(n == 7, "many").otherwise(at["l_quantity"].cast("int").cast("string"))
+    return F.concat(F.lit("<tr>"), cell("Section", joined(component, " S", n.cast("string"), "<br>(", at["l_orderkey"].cast("string"), ")")), cell("Capacity", seats), cell("Class times", times), F.lit("</tr>"))
 
 
 def course_pages(t: Tables) -> DataFrame:
-    """(url, html) of all parts."""
-    in_order = lambda: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "html"))), lambda s: s["html"]), "")
-    terms = section_rows(t).groupBy("course", "term").agg(F.min("at").alias("at"), F.count("*").alias("n"), in_order().alias("rows"))
-    tables = terms.select("course", "at", "n", "term", joined("<h2>", F.col("term"), "</h2><table><tbody>", F.col("rows"), "</tbody></table>").alias("html"))
-    body = tables.groupBy(F.col("course").alias("p_partkey")).agg(in_order().alias("body"), F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set("term")), ",").alias("terms"))
-    rows = t.part.join(body, "p_partkey", "left")
+    """(url, html) of all parts. Lines and parts meet in one shuffle of numbers and names, in many parts; markup is made after it."""
+    line, part = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity").alias("at"), F.struct("p_name", "p_size").alias("part")
+    lines = t.lineitem.where("l_partkey is not null").select(F.col("l_partkey").alias("p_partkey"), line)
+    both = dealt(lines.unionByName(t.part.select("p_partkey", part), allowMissingColumns=True), "p_partkey")
+    whole = both.groupBy("p_partkey").agg(F.array_sort(F.collect_list("at")).alias("at"), F.collect_list("part").alias("parts"))
+    rows = whole.select("p_partkey", F.explode("parts").alias("part"), "at").select("p_partkey", "part.*", "at", F.transform("at", lambda a: term_label(a["l_shipdate"])).alias("in_terms"))
+    # lines are in order of their dates, so those of a term stand together
+    begins = lambda i: (i == 0) | (F.get("in_terms", i) != F.get("in_terms", i - 1))
+    head = lambda i: F.when(begins(i), joined(F.when(i > 0, "</tbody></table>").otherwise(""), "<h2>", F.get("in_terms", i), "</h2><table><tbody>")).otherwise("")
+    table = F.when(F.size("at") > 0, joined(F.array_join(F.transform("at", lambda a, i: F.concat(head(i), F.coalesce(section_row(a), F.lit("")))), ""), "</tbody></table>"))
+    rows = rows.select("p_partkey", "p_name", "p_size", table.alias("body"), F.size("at").alias("n"), F.array_join(F.array_sort(F.array_distinct("in_terms")), ",").alias("terms"))
     key, size = F.col("p_partkey").cast("string"), F.col("p_size")
     meta = lambda name, x: joined(f'<meta name="ua__cat_{name}" content="', x, '">')
     head = F.concat(
@@ -67,7 +72,7 @@ LINE = f"""(SELECT l_partkey, l_orderkey, l_linenumber AS n, l_quantity, l_shipd
            CASE n WHEN 6 THEN 'No scheduled meeting times' WHEN 5 THEN said END AS schedule_note
     FROM {LINE} JOIN part ON p_partkey = l_partkey""")
 def course_page_sections(t: Tables) -> DataFrame:
-    rows = courses.parse_courses(course_pages(t)).select("course_id", F.explode("sections").alias("s"))
+    rows = courses.parse_courses(course_pages(t), deal=False).select("course_id", F.explode_outer("sections").alias("s")).where("s is not null")
     m = F.get(F.col("s.meetings"), F.lit(0))
     return rows.select(
         "course_id", "s.term", "s.component", "s.section", "s.class_id", "s.capacity", m["date_start"].alias("date_start"), F.array_join(m["days"], " ").alias("days"), m["time_start"].alias("time_start"), m["time_end"].alias("time_end"), "s.schedule_note"
@@ -81,7 +86,7 @@ def course_page_sections(t: Tables) -> DataFrame:
     FROM part LEFT JOIN {N_TERMS} ON k = p_partkey
     LEFT JOIN (SELECT l_partkey, count(*) FILTER (WHERE l_linenumber = 7) + count(*) FILTER (WHERE l_linenumber = 5) + count(*) FILTER (WHERE l_linenumber % 3 = 2 AND l_linenumber NOT IN (5, 6)) AS f FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey""")
 def course_page_fields(t: Tables) -> DataFrame:
-    rows = courses.parse_courses(course_pages(t))
+    rows = courses.parse_courses(course_pages(t), deal=False)
     return rows.select("course_id", "catalog_number", "title", "credits", F.array_join(F.array_sort("terms_offered"), ",").alias("terms"), "prereq_raw", "coreq_raw", F.size("sections").alias("n_sections"), F.size("flags").alias("n_flags"))
 
 
@@ -93,7 +98,7 @@ PART_TEXT = "component || ' S' || n || ' ' || CASE WHEN n IN (5, 6) THEN 'time T
            '[P ' || l_partkey || '::' || term || '] P ' || l_partkey || ' in ' || term || ': ' || string_agg({PART_TEXT}, '; ' ORDER BY l_shipdate, l_orderkey, n, l_quantity) || '. Total capacity ' || coalesce(sum(capacity), 0)::BIGINT || '.' AS text
     FROM {LINE} JOIN part ON p_partkey = l_partkey GROUP BY l_partkey, term""")
 def course_offering_spans(t: Tables) -> DataFrame:
-    snap = courses.snapshot(courses.parse_courses(course_pages(t)), "s")
+    snap = courses.snapshot(courses.parse_courses(course_pages(t), deal=False), "s")
     return courses.spans(snap).where("kind = 'offering'").select("id", "total_capacity", "text")
 
 
@@ -102,7 +107,7 @@ def course_offering_spans(t: Tables) -> DataFrame:
         SELECT p_partkey, p_size, p_partkey // 100 * 100 AS level, unnest(string_split(terms, ',')) AS term FROM part JOIN {N_TERMS} ON k = p_partkey)
     , (VALUES ('Winter'), ('Spring'), ('Summer'), ('Fall')) s(season) WHERE contains(term, season) GROUP BY ALL""")
 def course_snapshot_terms(t: Tables) -> DataFrame:
-    rows = courses.snapshot(courses.parse_courses(course_pages(t)), "s").select("course_id", "level", "units", F.explode("terms").alias("term"))
+    rows = courses.snapshot(courses.parse_courses(course_pages(t), deal=False), "s").select("course_id", "level", "units", F.explode_outer("terms").alias("term")).where("term is not null")
     return rows.groupBy("course_id", "level", "units", season_of(F.col("term")).alias("season")).agg(F.count("*").alias("n"))
 
 

@@ -1,8 +1,13 @@
 """Course pages of our own, built from data, through rows, snapshot and spans."""
 
+import datetime
+import random
+
 import pytest
 
 from plinth.operators import courses
+from plinth.plans import pages
+from plinth.plans.registry import Tables
 
 SUMMER = "2027-07-05 - 2027-08-13"
 #: (heading, [(section, class number, capacity, [(icon, text)])])
@@ -108,3 +113,54 @@ def test_flags_and_term_notes(spark):
     assert r["term_notes"] == {"Winter Term 2028": changed} and [x["schedule_note"] for x in r["sections"]] == ["soon | 10:00 - 11:00 | 2028-01-06 | 2028-01-07", "No scheduled meeting times"]
     assert next(r for r in got if r["course_id"] == "ART 9")["flags"] == ["missing-course-meta:"]
     assert courses.parse_courses(pages.limit(0)).collect() == []
+
+
+def test_pages_are_dealt_once_and_not_shuffled_by_what_they_hold(spark):
+    df = courses.parse_courses(spark.createDataFrame([("river", page())], "url string, html string"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan and "Join" not in plan and "MapInArrow" in plan
+    plan = courses.parse_courses(spark.createDataFrame([("river", page())], "url string, html string"), deal=False)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+TAGS = ["<tr>", "</tr>", "<TR>", '<td data-card-title="Section">', '<td data-card-title="Class times">', "</td>", '<div class="col">', "</div>", '<i class="fa-clock"></i>', "<br>", "<br/>", "<p>", "</p>", "<h2>", "</h2>", "<table>", "</table>", "<!DOCTYPE html>", '<meta name="ua__cat_x" content="a&quot;b">']
+TEXTS = ["text", " a b\n c ", "x &lt; y", "a > b", "There is no available", " course description", "&#84;here is no available course description", "Fall Term 2026", "{0}", "{"]
+ODD_MARKUP = ["<script>", "</script>", "<title>", "<!-- x > -->", "<", "<p x=1>", "<a b='>'>", "&", "\x00", '<tr a="b">', "</tr >", "</>"]
+
+
+def test_plain_markup_is_read_as_the_parser_reads_it():
+    rng, plain = random.Random(5), 0
+    for k in range(6000):
+        some = TAGS + TEXTS + (ODD_MARKUP if k % 3 == 0 else [])
+        html = "".join(rng.choice(some) for _ in range(rng.randrange(1, 30)))
+        if k % 2:
+            cells = [f'<td data-card-title="Section">{rng.choice(some)}<br>{rng.choice(some)}</td><td data-card-title="Class times"><div class="col">{rng.choice(some)}<i class="fa-clock"></i>{rng.choice(some)}</div></td>' for _ in range(3)]
+            html = "".join(f"<tr>{c}</tr>{rng.choice(some)}" for c in cells) + html
+        want, got = courses._Nodes(), courses._read(html)
+        want.feed(html)
+        want.close()
+        assert (got.rows, got.undescribed) == (want.rows, want.undescribed), html
+        plain += courses._plain(html) is not None
+    assert 1000 < plain < 5000
+
+
+def test_of_a_term_named_twice_the_last_note_counts(spark):
+    long = "{} what rivers carry, how they sort it, and what lakes and seas keep of it."
+    head = "<h2>{}</h2><p>{}</p>"
+    html = "".join(head.format(t, long.format(x)) for t, x in (("Winter Term 2028", "First"), ("Fall Term 2027", "Second"), ("Winter Term 2028", "Third"))) + "<h2>Fall Term 2028</h2><table></table>" + f"<p>{long.format('Shut')}</p>"
+    r = courses.parse_courses(spark.createDataFrame([("u", f"<a href='#'>x</a><p class='faculty'>f</p><p>{long.format('Top')}</p>{html}")], "url string, html string")).first()
+    assert r["description_raw"] == long.format("Top") and r["term_notes"] == {"Winter Term 2028": long.format("Third"), "Fall Term 2027": long.format("Second")}
+    assert [f.split("]")[0] for f in r["flags"] if "per-term" in f] == ["[Winter Term 2028", "[Fall Term 2027"]
+
+
+def test_lines_and_parts_that_are_odd_make_the_same_pages(spark, tmp_path):
+    day = datetime.date(1996, 3, 13)
+    lines = [(1, 10, 1, 5.0, day), (1, 10, 1, 5.0, day), (1, 11, 2, None, datetime.date(1996, 9, 1)), (1, 12, 6, 7.0, None), (None, 13, 1, 1.0, day), (9, 14, 1, 1.0, day)]
+    spark.createDataFrame(lines, "l_partkey long, l_orderkey long, l_linenumber int, l_quantity double, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "iron", 3), (2, "tin", 4)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["url"]: r["html"] for r in pages.course_pages(Tables(spark, str(tmp_path))).collect()}
+    assert set(got) == {"p/1", "p/2"} and "<h2>" not in got["p/2"] and 'sections" content="0"' in got["p/2"]
+    # a line that no row can be made of is counted, and its term named, as before
+    assert got["p/1"].count("<tr>") == 3 and 'sections" content="4"' in got["p/1"] and 'term" content="Fall Term,Fall Term 1996,Winter Term 1996"' in got["p/1"]
+    assert [x.split("</h2>")[0] for x in got["p/1"].split("<h2>")[1:]] == ["Fall Term", "Winter Term 1996", "Fall Term 1996"]
+    assert got["p/1"].count("<tbody>") == got["p/1"].count("</tbody>") == 3
