@@ -376,7 +376,7 @@ EDGES = """(SELECT l_partkey AS course, min(l_suppkey) AS needs FROM lineitem GR
 def prerequisite_closure(t: Tables) -> DataFrame:
     """A part needs the least and the largest of its suppliers, whose numbers are parts too."""
     ends = t.lineitem.groupBy(F.col("l_partkey").alias("course")).agg(F.array(F.min("l_suppkey"), F.max("l_suppkey")).alias("n"))
-    return closure.closure(ends.select("course", F.explode("n").alias("needs"))).select("course", "needs", (F.col("course") == F.col("needs")).alias("on_cycle"))
+    return closure.reached(ends.select("course", F.explode("n").alias("needs"))).select("course", "needs", (F.col("course") == F.col("needs")).alias("on_cycle"))
 
 
 @query(f"""

@@ -27,7 +27,11 @@ def frames(rows: Iterable[tuple], columns: list[str], most: int = ROWS) -> Itera
         yield pd.DataFrame(some, columns=columns)
 
 
+def parts(spark: SparkSession) -> int:
+    """As many parts as a shuffle has, or WAVES for each core if these are more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), WAVES * spark.sparkContext.defaultParallelism)
+
+
 def dealt(df: DataFrame, *by: Column | str) -> DataFrame:
-    """df in as many parts as a shuffle has, or WAVES for each core if these are more: rows that take long but shuffle to little aren't gathered in a few tasks."""
-    spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), WAVES * spark.sparkContext.defaultParallelism), *by)
+    """df in so many parts: rows that take long but shuffle to little aren't gathered in a few tasks."""
+    return df.repartition(parts(df.sparkSession), *by)

@@ -53,6 +53,37 @@ def test_rounds_of_the_closure_go_over_needed_courses_only(spark, monkeypatch):
     assert sum(n for name, n in written if name == "reached") <= 3
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_reached_is_the_closure_without_steps(spark, monkeypatch, kind):
+    monkeypatch.setattr(closure, "MEMBERS", 3)
+    rng = random.Random(3)
+    cycle = lambda *x: {*zip(x, (*x[1:], x[0]), strict=True)}
+    edges = cycle(*range(40, 47)) | cycle(60, 61, 62) | cycle(63, 64) | {(45, 63), (63, 30), (62, 41), (61, 70), (70, 71), (71, 40), (99, 42), (99, 71), (98, 98), (97, 98), (96, 97)}
+    edges |= {(rng.randrange(14), rng.randrange(14)) for _ in range(16)}
+    edges = {(str(a), str(b)) for a, b in edges} if kind == "string" else edges
+    want = set(edges)
+    while more := {(a, d) for a, b in want for c, d in edges if b == c} - want:
+        want |= more
+    rows = [*edges, (None, next(iter(edges))[0]), next(iter(edges))]
+    got = [tuple(r) for r in closure.reached(spark.createDataFrame(rows, f"course {kind}, needs {kind}")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert closure.reached(spark.createDataFrame([], "course int, needs int")).collect() == []
+
+
+def test_courses_that_need_each_other_are_followed_as_one(spark, monkeypatch):
+    written, keep = [], closure.kept
+
+    def count(df, name):
+        out = keep(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(closure, "kept", count)
+    edges, n = [(k, (k + 1) % 30) for k in range(30)] + [(k, k * 7 % 30) for k in range(30)] + [(100 + k, k) for k in range(30)], 60 * 30
+    assert closure.reached(spark.createDataFrame(edges, "course int, needs int")).count() == n
+    assert max(written) <= len(edges)
+
+
 def test_closure_of_the_program(spark):
     closed = closure.closure(closure.program_edges(spark, PROGRAM))
     needs = {r["needs"] for r in closed.where("course = 'CMPUT 401'").collect()}
